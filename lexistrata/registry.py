@@ -1,15 +1,688 @@
-"""All registered queries and their SQL."""
+"""All registered queries, each beside the DuckDB SQL that has to give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import stats
+from .functions.dates import month_of
+from .functions.text import ascii_tokens, escape_markup, guard_formula, slug
+from .operators import cooccurrence, document, expressions, facets, filters, graph, keyness, library, mentions, replies, search, sessions, speakers, temporal, trend
+from .operators.filters import Filters
+from .schema import collection_ids, corpus, read
+from .sources import exports
+from .streaming import events as streams
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+#: The corpus table of ``schema.corpus_from_documents``.
+CORPUS = r"""
+WITH base AS (SELECT *, doc_id // 8 AS s, doc_id % 97 AS r FROM documents),
+corpus AS (
+  SELECT doc_id AS id, s::INTEGER AS num_session, (doc_id % 8)::INTEGER AS ord, strftime(DATE '2010-01-01' + (s * 7 % 4000)::INTEGER, '%Y-%m-%d') AS date,
+    year(DATE '2010-01-01' + (s * 7 % 4000)::INTEGER)::INTEGER AS year, lang AS legislature, CASE WHEN s % 5 = 0 THEN 'EXTRA' ELSE 'ORD' END AS session_type,
+    'SPEAKER ' || r AS speaker, r::INTEGER AS rep_id, 'rep' || r AS rep_name, CASE WHEN r % 3 = 0 THEN 'F' ELSE 'M' END AS sex, 'D' || (doc_id % 7) AS district,
+    source AS party, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 1 END AS dm_speech, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::INTEGER AS nwords,
+    strlen(text)::INTEGER AS nbytes, text AS speech FROM base),
+"""
+TOK = r"regexp_extract_all(strip_accents(lower(speech)), '[\p{L}\p{N}]+')"
+TOKENS = f"toks AS (SELECT *, {TOK} AS tokens FROM corpus), tok AS (SELECT id, dm_speech, party, date, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM toks), "
+LINE = "(' ' || array_to_string(tokens, ' ') || ' ')"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- facets and totals
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT legislature AS value, count(*) AS n, sum(nwords)::BIGINT AS words FROM corpus GROUP BY 1")
+def facet_lang(spark, d):
+    return facets.facet(corpus(spark, d), "legislature")
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT party AS value, count(*) AS n, sum(nwords)::BIGINT AS words, min(date) AS date_min, max(date) AS date_max, count(DISTINCT num_session) AS sessions FROM corpus GROUP BY 1")
+def facet_source_dates(spark, d):
+    return facets.facet_dates(corpus(spark, d), "party")
+
+
+@query(CORPUS + """
+p AS (SELECT rep_name, party, row_number() OVER (PARTITION BY rep_name ORDER BY count(*) DESC, party) k FROM corpus GROUP BY 1, 2),
+x AS (SELECT rep_name, sex, row_number() OVER (PARTITION BY rep_name ORDER BY count(*) DESC, sex) k FROM corpus GROUP BY 1, 2)
+SELECT c.rep_name, c.n, c.words, p.party, x.sex FROM (SELECT rep_name, count(*) AS n, sum(nwords)::BIGINT AS words FROM corpus GROUP BY 1) c
+LEFT JOIN p ON p.rep_name = c.rep_name AND p.k = 1 LEFT JOIN x ON x.rep_name = c.rep_name AND x.k = 1""")
+def facet_modal_speaker(spark, d):
+    return facets.speakers(corpus(spark, d))
+
+
+@query(CORPUS + """z AS (SELECT 1) SELECT count(*) AS n, sum(nwords)::BIGINT AS words, count(*) FILTER (dm_speech = 1) AS speeches, count(DISTINCT num_session) AS sessions,
+count(DISTINCT rep_id) AS reps, min(date) AS date_min, max(date) AS date_max FROM corpus""")
+def totals_conditional(spark, d):
+    return facets.totals(corpus(spark, d))
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT year, count(*) AS n, sum(nwords)::BIGINT AS words FROM corpus GROUP BY 1")
+def year_hist(spark, d):
+    return facets.years(corpus(spark, d))
+
+
+@query(CORPUS + """c AS (SELECT legislature, party, count(*) AS n FROM corpus GROUP BY 1, 2)
+SELECT legislature, list(party || ':' || n ORDER BY n DESC, party) AS labels, sum(n)::BIGINT AS n FROM c GROUP BY 1""")
+def label_equivalences(spark, d):
+    return facets.label_equivalences(corpus(spark, d), "party", "legislature")
+
+
+@query(CORPUS + "f AS (SELECT party AS value, count(*) AS n, sum(nwords)::BIGINT AS words FROM corpus GROUP BY 1) SELECT * FROM f WHERE contains(value, 'src1')")
+def facet_search(spark, d):
+    return filters.facet_values(facets.facet(corpus(spark, d), "party"), "SRC1")
+
+
+# --- filters
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT id, party, sex FROM corpus WHERE party IN ('src0', 'src3') AND sex IN ('F') AND dm_speech = 1")
+def filter_inlist(spark, d):
+    f = Filters.from_dict({"party": ["src0", "src3"], "sex": "F", "exclude_docs": True, "speaker": None, "other": 1})
+    return filters.apply(corpus(spark, d), f).select("id", "party", "sex")
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT id, date, nwords FROM corpus WHERE date >= '2011-01-01' AND date <= '2012-06-30' AND nwords >= 50 AND nwords <= 400")
+def filter_range(spark, d):
+    return filters.apply(corpus(spark, d), Filters(date_from="2011-01-01", date_to="2012-06-30", min_words=50, max_words=400)).select("id", "date", "nwords")
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT id FROM corpus WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1) AND id IN (SELECT doc_id FROM labels WHERE toxic = 0) AND num_session <> 3")
+def filter_idset_semi(spark, d):
+    toxic = read(spark, d, "labels").filter("toxic = 0").select(F.col("doc_id").alias("id"))
+    return filters.apply(corpus(spark, d), Filters(), toxic, collection_ids(spark, d)).filter("num_session <> 3").select("id")
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT id, ord FROM corpus WHERE num_session = 3")
+def filter_session(spark, d):
+    return filters.apply(corpus(spark, d), Filters(num_session=3)).select("id", "ord")
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT id FROM corpus WHERE substr(date, 1, 7) BETWEEN '2011-02' AND '2011-05'")
+def filter_period(spark, d):
+    return corpus(spark, d).filter(filters.period("2011-02", "2011-05")).select("id")
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT id, translate(substr(speech, 1, 320), chr(10), ' ') AS preview, CASE WHEN nwords >= 100 THEN nwords END AS long_words FROM corpus")
+def projection_preview(spark, d):
+    return corpus(spark, d).select("id", filters.preview(F.col("speech")).alias("preview"), filters.long_text(F.col("nwords"), F.col("nwords"), 100).alias("long_words"))
+
+
+# --- search
+
+
+@query(CORPUS + TOKENS + "z AS (SELECT 1) SELECT id FROM toks WHERE list_contains(tokens, 'that') AND list_contains(tokens, 'ing')")
+def search_and(spark, d):
+    return search.match(corpus(spark, d), "that ing").select("id")
+
+
+@query(CORPUS + TOKENS + "z AS (SELECT 1) SELECT id FROM toks WHERE list_contains(tokens, 'que') OR list_contains(tokens, 'los')")
+def search_or(spark, d):
+    return search.match(corpus(spark, d), "que | los").select("id")
+
+
+@query(CORPUS + TOKENS + f"z AS (SELECT 1) SELECT id FROM toks WHERE contains({LINE}, ' de la ') OR (list_contains(tokens, 'the') AND contains({LINE}, ' of the '))")
+def search_phrase(spark, d):
+    return search.match(corpus(spark, d), '"de la" | (the + "of the")').select("id")
+
+
+_BM25 = CORPUS + TOKENS + """
+n AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM toks),
+tf AS (SELECT t.id, t.token, count(*) AS tf FROM tok t WHERE t.token IN ('que', 'los') GROUP BY 1, 2),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT tf.id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks.tokens) / avgdl))) AS score
+  FROM tf JOIN df USING (token) JOIN toks ON toks.id = tf.id, n GROUP BY 1)
+"""
+
+
+@query(_BM25 + "SELECT id, round(score, 6) AS score FROM s")
+def bm25_scores(spark, d):
+    return search.scores(corpus(spark, d), "que | los").select("id", F.round("score", 6).alias("score"))
+
+
+@query(_BM25 + ", p AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 20) SELECT c.id, c.date, c.party, c.nwords FROM p JOIN corpus c USING (id)")
+def search_page(spark, d):
+    return search.search(corpus(spark, d), "que | los", limit=20).select("id", "date", "party", "nwords")
+
+
+@query(CORPUS + TOKENS + "z AS (SELECT 1) SELECT id, nwords FROM toks WHERE list_contains(tokens, 'que') ORDER BY nwords DESC, id LIMIT 20 OFFSET 5")
+def search_by_length(spark, d):
+    return search.search(corpus(spark, d), "que", limit=20, offset=5, order="length_desc").select("id", "nwords")
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT id, date, translate(substr(speech, 1, 320), chr(10), ' ') AS snippet, NULL::DOUBLE AS score FROM corpus ORDER BY date DESC, num_session DESC, ord, id LIMIT 30 OFFSET 10")
+def browse_page(spark, d):
+    return search.search(corpus(spark, d), None, limit=30, offset=10, order="date_desc").select("id", "date", "snippet", "score")
+
+
+@query(CORPUS + TOKENS + "z AS (SELECT 1) SELECT count(*) AS total FROM toks WHERE list_contains(tokens, 'the')")
+def search_total(spark, d):
+    return search.total(corpus(spark, d), "(the)")
+
+
+@query(CORPUS + TOKENS + """h AS (SELECT year::VARCHAR AS year, sex, session_type, party, rep_name FROM toks WHERE list_contains(tokens, 'the')),
+g AS (SELECT 'year' AS dim, year AS value, count(*) AS n FROM h GROUP BY 2 UNION ALL SELECT 'sex', sex, count(*) FROM h GROUP BY 2 UNION ALL SELECT 'session_type', session_type, count(*) FROM h GROUP BY 2
+  UNION ALL SELECT 'party', party, count(*) FROM h GROUP BY 2 UNION ALL SELECT 'rep_name', rep_name, count(*) FROM h GROUP BY 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY n DESC, value NULLS FIRST) AS k FROM g)
+SELECT dim, value, n FROM r WHERE (dim <> 'party' OR k <= 15) AND (dim <> 'rep_name' OR k <= 25)""")
+def stats_grouping_sets(spark, d):
+    return search.statistics(search.match(corpus(spark, d), "(the)"))
+
+
+@query(CORPUS + TOKENS + "z AS (SELECT 1) SELECT year, count(*) AS n FROM toks WHERE list_contains(tokens, 'der') GROUP BY 1")
+def result_years(spark, d):
+    return search.by_year(search.match(corpus(spark, d), "der"))
+
+
+@query(CORPUS + TOKENS + "z AS (SELECT 1) SELECT id FROM toks WHERE list_contains(tokens, 'que') ORDER BY date, num_session, ord, id LIMIT 40")
+def id_list_capped(spark, d):
+    return search.id_list(corpus(spark, d), "que", order="date_asc", cap=40)
+
+
+@query("""WITH items AS (SELECT doc_id AS id, quality AS collection_id FROM labels UNION ALL SELECT doc_id, 10 + toxic FROM labels), p AS (SELECT doc_id AS id FROM documents WHERE doc_id < 100)
+SELECT p.id, coalesce(list_sort(list(DISTINCT collection_id) FILTER (collection_id IS NOT NULL)), []) AS collections FROM p LEFT JOIN items USING (id) GROUP BY 1""")
+def membership(spark, d):
+    labels = read(spark, d, "labels")
+    items = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("collection_id")).unionAll(labels.select("doc_id", F.col("toxic") + 10))
+    return search.membership(corpus(spark, d).filter("id < 100"), items)
+
+
+@query()
+def search_snippets(spark, d):
+    return search.search(corpus(spark, d), '"de la" | que', limit=50).select("id", "snippet", "score")
+
+
+# --- sessions
+
+
+@query(CORPUS + """z AS (SELECT 1) SELECT date, num_session, min(id) AS session_id, max(id) AS id_max, count(*) AS n, sum(nwords)::BIGINT AS words, min(ord) AS ord_min, max(ord) AS ord_max,
+max(id) - min(id) + 1 = count(*) AS contiguous FROM corpus GROUP BY 1, 2""")
+def session_groups(spark, d):
+    return sessions.sessions(corpus(spark, d))
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT id, row_number() OVER (PARTITION BY date, num_session ORDER BY id) AS position, count(*) OVER (PARTITION BY date, num_session) AS n_session FROM corpus")
+def session_position(spark, d):
+    return sessions.positions(corpus(spark, d))
+
+
+@query(CORPUS + """z AS (SELECT 1) SELECT id, coalesce(list(id) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []) AS before, coalesce(list(id) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), []) AS after
+FROM corpus WINDOW w AS (PARTITION BY date, num_session ORDER BY ord, id)""")
+def context_window(spark, d):
+    return sessions.context(corpus(spark, d), 2)
+
+
+@query(CORPUS + """r AS (SELECT *, row_number() OVER (PARTITION BY date, num_session ORDER BY ord, id) AS r FROM corpus),
+l AS (SELECT id, lead(id) OVER w AS next_id, lead(r) OVER w - r - 1 AS turns FROM r WHERE nwords >= 45 WINDOW w AS (PARTITION BY date, num_session ORDER BY ord, id))
+SELECT * FROM l WHERE next_id IS NOT NULL""")
+def turns_between(spark, d):
+    return sessions.turns_between(corpus(spark, d))
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT date, num_session, ord, id, speaker, nwords, nwords / sum(nwords) OVER (PARTITION BY date, num_session) AS share FROM corpus")
+def session_outline(spark, d):
+    return sessions.outline(corpus(spark, d))
+
+
+@query(CORPUS + "s AS (SELECT date, num_session, min(id) AS session_id FROM corpus GROUP BY 1, 2) SELECT DISTINCT a.session_id, b.session_id AS other FROM s a JOIN s b ON a.date = b.date AND a.num_session <> b.num_session")
+def same_day_sessions(spark, d):
+    return sessions.same_day(corpus(spark, d))
+
+
+@query(CORPUS + """s AS (SELECT min(id) AS session_id, max(id) AS m, min(ord) AS o, count(*) AS n FROM corpus GROUP BY date, num_session)
+SELECT session_id, list_filter([CASE WHEN m - session_id + 1 <> n THEN 'split' END, CASE WHEN n = 1 THEN 'one_speech' END], lambda x: x IS NOT NULL) AS warnings FROM s""")
+def session_warnings(spark, d):
+    return sessions.warnings(sessions.sessions(corpus(spark, d)))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations)
+SELECT conv_id, turn, role, position, strlen(text) AS bytes FROM s""")
+def conversation_turns(spark, d):
+    c = read(spark, d, "conversations")
+    from pyspark.sql.window import Window
+
+    return c.select("conv_id", "turn", "role", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("position"), F.octet_length("text").alias("bytes"))
+
+
+# --- trend
+
+_MONTHS = """
+cal AS (SELECT strftime(unnest(generate_series(date_trunc('month', min(date)::DATE)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 MONTH)), '%Y-%m') AS month FROM corpus),
+sums AS (SELECT substr(date, 1, 7) AS month, sum(len(tokens))::BIGINT AS tokens, count(*) AS speeches FROM toks GROUP BY 1),
+"""
+_REL = "CASE WHEN coalesce(tokens, 0) >= 100000 THEN 'normal' WHEN tokens >= 20000 THEN 'low' WHEN tokens > 0 THEN 'very_low' ELSE 'empty' END AS reliability"
+
+
+def _trend_sql(key: str, count: str) -> str:
+    return CORPUS + TOKENS + _MONTHS + f"""c AS (SELECT id, substr(date, 1, 7) AS month, {count} AS c FROM toks),
+n AS (SELECT month, sum(c)::BIGINT AS count, count(*) FILTER (c > 0) AS docs FROM c GROUP BY 1)
+SELECT '{key}' AS term, cal.month, coalesce(n.count, 0) AS count, coalesce(n.docs, 0) AS docs, coalesce(tokens, 0) AS tokens, coalesce(speeches, 0) AS speeches, {_REL}
+FROM cal LEFT JOIN sums USING (month) LEFT JOIN n USING (month)"""
+
+
+_WORD = _trend_sql("word:the", "len(list_filter(tokens, lambda x: x = 'the'))")
+
+
+@query(_WORD)
+def trend_word(spark, d):
+    return trend.monthly(corpus(spark, d), trend.read_terms(["the", '"the"']))
+
+
+@query(_trend_sql("prefix:ing", "len(list_filter(tokens, lambda x: starts_with(x, 'ing')))"))
+def trend_prefix(spark, d):
+    return trend.monthly(corpus(spark, d), trend.read_terms(["ing*"]))
+
+
+@query(_trend_sql("phrase:de la", "len(list_filter(range(1, len(tokens)), lambda i: tokens[i] = 'de' AND tokens[i + 1] = 'la'))"))
+def trend_phrase(spark, d):
+    return trend.monthly(corpus(spark, d), trend.read_terms(['"de la"']))
+
+
+@query(f"WITH m AS ({_WORD}) SELECT term, substr(month, 1, 4)::INTEGER AS year, sum(count)::BIGINT AS count, sum(docs)::BIGINT AS docs, sum(tokens)::BIGINT AS tokens, sum(speeches)::BIGINT AS speeches FROM m GROUP BY 1, 2")
+def trend_yearly(spark, d):
+    return trend.yearly(trend_word(spark, d))
+
+
+@query(f"""WITH m AS ({_WORD}), f AS (SELECT *, substr(month, 1, 4)::INTEGER * 12 + substr(month, 6, 2)::INTEGER - 1 AS i FROM m WHERE tokens > 0),
+g AS (SELECT *, CASE WHEN i - lag(i) OVER (ORDER BY i) <= 3 THEN 0 ELSE 1 END AS new FROM f), s AS (SELECT *, sum(new) OVER (ORDER BY i)::BIGINT AS segment FROM g)
+SELECT term, month, segment, sum(count) OVER w / sum(tokens) OVER w * 10000 AS density FROM s WINDOW w AS (PARTITION BY segment ORDER BY i RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
+def trend_smooth_segments(spark, d):
+    return trend.smoothed(trend_word(spark, d))
+
+
+@query(f"WITH m AS ({_WORD}) SELECT term, month, CASE WHEN tokens > 0 THEN count / tokens * 10000 END AS density, CASE WHEN speeches > 0 THEN docs / speeches * 100 END AS percent FROM m")
+def trend_metrics(spark, d):
+    return trend.metrics(trend_word(spark, d)).select("term", "month", "density", "percent")
+
+
+@query(CORPUS + """g AS (SELECT substr(date, 1, 7) AS month, id, id - row_number() OVER (PARTITION BY substr(date, 1, 7) ORDER BY id) AS g FROM corpus)
+SELECT month, min(id) AS first, max(id) AS last, count(*) AS n FROM g GROUP BY month, g""")
+def trend_id_runs(spark, d):
+    return trend.id_runs(corpus(spark, d))
+
+
+@query(CORPUS + TOKENS + "z AS (SELECT 1) SELECT token, count(DISTINCT id) AS docs, count(*) AS count FROM tok GROUP BY 1")
+def vocabulary(spark, d):
+    return trend.vocabulary(corpus(spark, d))
+
+
+@query(CORPUS + TOKENS + "z AS (SELECT 1) SELECT token, count(DISTINCT id) AS docs, count(*) AS count FROM tok WHERE starts_with(token, 'tion') GROUP BY 1 ORDER BY count DESC, token LIMIT 8")
+def prefix_forms(spark, d):
+    return trend.prefix_forms(trend.vocabulary(corpus(spark, d)), "tion")
+
+
+# --- keyness
+
+_XLX = "CASE WHEN {o} > 0 THEN {o} * ln(1 + ({o} - {e}) / {e}) ELSE 0 END"
+
+
+def _g2(a: str, b: str, c: str, d: str) -> str:
+    a, b, c, d = (f"({x})::DOUBLE" for x in (a, b, c, d))
+    e1, e2 = f"({c} * ({a} + {b}) / ({c} + {d}))", f"({d} * ({a} + {b}) / ({c} + {d}))"
+    parts = [_XLX.format(o=f"({o})", e=f"({e})") for o, e in ((a, e1), (b, e2), (f"{c} - {a}", f"{c} - {e1}"), (f"{d} - {b}", f"{d} - {e2}"))]
+    return f"(greatest(2 * ({' + '.join(parts)}), 0) * CASE WHEN {a} * {d} >= {b} * {c} THEN 1 ELSE -1 END)"
+
+
+def _keyness_sql(member: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in sorted(keyness.STOP_WORDS))
+    return CORPUS + TOKENS + f"""
+col AS ({member}), k AS (SELECT token AS term, count(*) FILTER (id IN (SELECT id FROM col)) AS a, count(*) AS k FROM tok GROUP BY 1),
+s AS (SELECT *, sum(a) OVER () AS c, sum(k) OVER () AS n FROM k), g AS (SELECT term, a AS freq, k - a AS ref, c, n - c AS d, {_g2("a", "k - a", "c", "n - c")} AS g2 FROM s WHERE a >= 5),
+r AS (SELECT *, log2((CASE WHEN freq = 0 THEN 0.5 ELSE freq END / c) / (CASE WHEN ref = 0 THEN 0.5 ELSE ref END / d)) AS log_ratio FROM g)
+SELECT term, freq, ref, round(g2, 4) AS g2, round(log_ratio, 5) AS log_ratio, CASE WHEN g2 > 0 THEN CASE WHEN ref = 0 OR log_ratio >= 6 THEN 'exclusive' WHEN log_ratio >= 3 THEN 'marked' ELSE 'common' END END AS badge
+FROM r WHERE abs(g2) >= 10.83 AND term NOT IN ({stop}) AND length(term) > 1"""
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("g2", F.round("g2", 4)).withColumn("log_ratio", F.round("log_ratio", 5))
+
+
+@query(_keyness_sql("SELECT id FROM corpus WHERE legislature = 'es'"))
+def keyness_lang(spark, d):
+    c = corpus(spark, d)
+    return _rounded(keyness.keyness(c, c.filter("legislature = 'es'")))
+
+
+@query(_keyness_sql("SELECT doc_id AS id FROM labels WHERE quality = 1"))
+def keyness_collection(spark, d):
+    return _rounded(keyness.keyness(corpus(spark, d), collection_ids(spark, d)))
+
+
+@query(CORPUS + TOKENS + "z AS (SELECT 1) SELECT count(*) AS tokens, count(DISTINCT token) AS types, count(DISTINCT token) / count(*) AS ttr FROM tok WHERE id IN (SELECT id FROM corpus WHERE legislature = 'fr')")
+def ttr(spark, d):
+    c = corpus(spark, d)
+    return keyness.profile(c, c.filter("legislature = 'fr'"))
+
+
+@query(CORPUS + r"""f AS (SELECT unnest(regexp_extract_all(strip_accents(lower(speech)), '[\p{L}\p{N}]+')) AS term, unnest(regexp_extract_all(lower(speech), '[\p{L}\p{N}]+')) AS form FROM corpus),
+r AS (SELECT term, form, count(*) AS n, row_number() OVER (PARTITION BY term ORDER BY count(*) DESC, form) AS k FROM f GROUP BY 1, 2) SELECT term, form, n FROM r WHERE k = 1""")
+def accented_forms(spark, d):
+    return keyness.surface_forms(corpus(spark, d))
+
+
+# --- expressions, co-occurrence, graphs
+
+
+@query()
+def expressions_detected(spark, d):
+    return expressions.detect(corpus(spark, d), least=5)
+
+
+@query()
+def expression_units(spark, d):
+    return expressions.units(corpus(spark, d), ["que los", "the of the", "of the", "de la"])
+
+
+_VOCAB = CORPUS + TOKENS + "v AS (SELECT token AS term, count(*) AS c FROM tok WHERE length(token) >= 4 GROUP BY 1 ORDER BY c DESC, term LIMIT 60), "
+_EDGES = _VOCAB + f"""
+u AS (SELECT DISTINCT id, token AS term FROM tok WHERE token IN (SELECT term FROM v)), df AS (SELECT term, count(*) AS df FROM u GROUP BY 1), n AS (SELECT count(*) AS n FROM corpus),
+p AS (SELECT a.term AS a, b.term AS b, count(*) AS n FROM u a JOIN u b ON a.id = b.id AND a.term < b.term GROUP BY 1, 2),
+e AS (SELECT p.a, p.b, p.n, p.n / (x.df * y.df / n.n) AS weight, {_g2("p.n", "y.df - p.n", "x.df", "n.n - x.df")} AS g2 FROM p JOIN df x ON x.term = p.a JOIN df y ON y.term = p.b, n),
+edge AS (SELECT * FROM e WHERE weight > 1 AND g2 >= 10.83)
+"""
+
+
+def _frequent(spark, d) -> DataFrame:
+    v = trend.vocabulary(corpus(spark, d)).filter(F.char_length("token") >= 4)
+    return v.orderBy(F.col("count").desc(), "token").limit(60).select(F.col("token").alias("term"), F.col("count").cast("double").alias("g2"))
+
+
+def _edges(spark, d) -> DataFrame:
+    return cooccurrence.edges(corpus(spark, d), _frequent(spark, d))
+
+
+@query(_EDGES + "SELECT a, b, n, round(weight, 6) AS weight, round(g2, 4) AS g2 FROM edge")
+def cooc_edges(spark, d):
+    return _edges(spark, d).withColumn("weight", F.round("weight", 6)).withColumn("g2", F.round("g2", 4))
+
+
+@query(_EDGES + """, o AS (SELECT a, b, g2, a AS node, b AS other FROM edge UNION ALL SELECT a, b, g2, b, a FROM edge),
+k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(g2, 6) DESC, other) AS k FROM o) SELECT DISTINCT a, b FROM k WHERE k <= 4""")
+def cooc_knn(spark, d):
+    return cooccurrence.nearest(_edges(spark, d), 4).select("a", "b")
+
+
+@query(_VOCAB + """f AS (SELECT DISTINCT id, (pos - 1) // 20 AS part, token AS term FROM tok WHERE token IN (SELECT term FROM v)) SELECT id, part, list_sort(list(term)) AS terms FROM f GROUP BY 1, 2""")
+def cooc_fragments(spark, d):
+    units, _ = cooccurrence.unit_terms(corpus(spark, d), _frequent(spark, d), 20)
+    return units.select("unit.id", "unit.part", "terms")
+
+
+@query(_EDGES + ", o AS (SELECT a AS node, weight FROM edge UNION ALL SELECT b, weight FROM edge) SELECT node, count(*) AS degree, round(sum(weight), 5) AS strength FROM o GROUP BY 1")
+def node_strengths(spark, d):
+    return graph.strengths(_edges(spark, d)).withColumn("strength", F.round("strength", 5))
+
+
+@query(_EDGES + """, m AS (SELECT term AS node, length(term) AS community FROM v), k AS (SELECT community, sum(w) AS k FROM (SELECT a AS node, weight AS w FROM edge UNION ALL SELECT b, weight FROM edge) JOIN m USING (node) GROUP BY 1),
+i AS (SELECT sum(CASE WHEN x.community = y.community THEN weight ELSE 0 END) AS i, sum(weight) AS m FROM edge JOIN m x ON x.node = a JOIN m y ON y.node = b)
+SELECT round(any_value(i.i / i.m) - sum((k.k / (2 * i.m)) ** 2), 6) AS modularity FROM k, i""")
+def graph_modularity(spark, d):
+    parts = _frequent(spark, d).select(F.col("term").alias("node"), F.char_length("term").alias("community"))
+    return graph.modularity(_edges(spark, d), parts).select(F.round("modularity", 6).alias("modularity"))
+
+
+@query()
+def cooc_themes(spark, d):
+    terms, net = cooccurrence.network(corpus(spark, d), collection_ids(spark, d), 80)
+    return cooccurrence.themes(net, terms)
+
+
+@query(CORPUS + TOKENS + """w AS (SELECT * FROM (VALUES (0, 'that', 50.0), (0, 'with', 20.0), (1, 'que', 90.0), (1, 'los', 40.0)) t(theme, term, g2)), a AS (SELECT avg(len(tokens)) AS avg FROM toks),
+tf AS (SELECT theme, id, term, g2, count(*) AS tf FROM tok JOIN w ON term = token GROUP BY ALL),
+s AS (SELECT theme, id, sum(ln(1 + g2) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks.tokens) / avg))) AS score FROM tf JOIN toks USING (id), a GROUP BY 1, 2),
+r AS (SELECT theme, id, score, row_number() OVER (PARTITION BY theme ORDER BY round(score, 6) DESC, id) AS k FROM s) SELECT theme, id, round(score, 6) AS score, k FROM r WHERE k <= 25""")
+def reading_list(spark, d):
+    weights = spark.createDataFrame([(0, "that", 50.0), (0, "with", 20.0), (1, "que", 90.0), (1, "los", 40.0)], "theme int, term string, g2 double")
+    return cooccurrence.reading(corpus(spark, d), weights).withColumn("score", F.round("score", 6))
+
+
+@query(CORPUS + TOKENS + """b AS (SELECT party, count(*) FILTER (token IN ('that', 'que')) AS hits, count(*) AS words FROM tok GROUP BY 1), t AS (SELECT sum(hits) AS h, sum(words) AS w FROM b)
+SELECT party, hits, words, hits / words * 1000 AS per_thousand, h * words / w AS expected, (CASE WHEN hits = 0 THEN 0.5 ELSE hits END) / (h * words / w) AS ratio, words >= 0.01 * w AND h * words / w >= 5 AS shown FROM b, t""")
+def party_rates(spark, d):
+    return cooccurrence.party_rates(corpus(spark, d), spark.createDataFrame([("that",), ("que",)], "term string"))
+
+
+@query(CORPUS + TOKENS + """m AS (SELECT * FROM (VALUES (0, 'that'), (0, 'with'), (0, 'from'), (1, 'que'), (1, 'los'), (2, 'der'), (2, 'und')) t(theme, term)), z AS (SELECT theme, count(*) AS size FROM m GROUP BY 1),
+u AS (SELECT id, theme, count(DISTINCT token) AS n FROM tok JOIN m ON term = token GROUP BY 1, 2), s AS (SELECT *, n / size AS share, max(n / size) OVER (PARTITION BY id) AS best FROM u JOIN z USING (theme))
+SELECT id, max(theme)::INTEGER AS theme FROM s WHERE share = best GROUP BY 1 HAVING count(*) = 1 AND max(n) >= 2""")
+def dominant_theme(spark, d):
+    rows = [(0, "that"), (0, "with"), (0, "from"), (1, "que"), (1, "los"), (2, "der"), (2, "und")]
+    return cooccurrence.dominant_theme(corpus(spark, d), spark.createDataFrame(rows, "theme int, term string"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 400 AS a, (l_partkey % 97) + 1000 AS b FROM lineitem WHERE l_orderkey % 31 = 0),
+g AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT x, x FROM g UNION SELECT r.node, g.y FROM r JOIN g ON g.x = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY 1""")
+def connected_components(spark, d):
+    e = read(spark, d, "lineitem").filter("l_orderkey % 31 = 0").select((F.col("l_orderkey") % 400).alias("a"), (F.col("l_partkey") % 97 + 1000).alias("b")).distinct()
+    return graph.components(e)
+
+
+# --- joins over time
+
+_LABELS = [("src0", None, "ALPHA"), ("src0", "2012-01-01", "BETA"), ("src1", "2011-06-01", "GAMMA"), ("src1", "2013-01-01", "DELTA"), ("src2", "2010-01-01", "ALPHA")]
+_HOLDERS = [("ORD", "ana", "2010-01-01", "2011-07-01"), ("ORD", "bea", "2011-07-01", None), ("EXTRA", "carl", "2012-01-01", "2013-01-01")]
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in rows)
+
+
+@query(CORPUS + f"""o(label, valid_from, sigla) AS (VALUES {_values(_LABELS)}),
+f AS (SELECT label, arg_min(sigla, coalesce(valid_from, '')) AS sigla FROM o GROUP BY 1),
+b AS (SELECT c.id, arg_max(o.sigla, coalesce(o.valid_from, '')) AS sigla FROM corpus c JOIN o ON o.label = c.party AND (o.valid_from IS NULL OR o.valid_from <= c.date) GROUP BY 1)
+SELECT c.id, c.party AS label, coalesce(b.sigla, f.sigla, c.party) AS party FROM corpus c LEFT JOIN b USING (id) LEFT JOIN f ON f.label = c.party""")
+def asof_party(spark, d):
+    labels = spark.createDataFrame(_LABELS, "label string, valid_from string, sigla string")
+    return temporal.normalise_party(corpus(spark, d), labels).select("id", "label", "party")
+
+
+@query(CORPUS + f"""h(key, name, date_from, date_to) AS (VALUES {_values(_HOLDERS)}) SELECT id, name FROM corpus JOIN h ON h.key = session_type AND date_from <= date AND (date_to IS NULL OR date < date_to)""")
+def office_in_force(spark, d):
+    holders = spark.createDataFrame(_HOLDERS, "key string, name string, date_from string, date_to string")
+    rows = corpus(spark, d).withColumn("key", F.col("session_type"))
+    return temporal.in_force(rows, F.col("date"), holders).select("id", "name")
+
+
+@query(CORPUS + """m AS (SELECT * FROM (VALUES ('a', '2010-03-05', 1), ('b', '2011-05-01', 2), ('c', '1999-01-01', 1)) t(id, date, rank)) SELECT m.id, m.date, m.rank, substr(m.date, 1, 7) AS month FROM m WHERE substr(m.date, 1, 7) IN (SELECT substr(date, 1, 7) FROM corpus)""")
+def milestone_months(spark, d):
+    m = spark.createDataFrame([("a", "2010-03-05", 1), ("b", "2011-05-01", 2), ("c", "1999-01-01", 1)], "id string, date string, rank int")
+    return trend.milestones_by_month(m, corpus(spark, d).select(month_of(F.col("date")).alias("month")))
+
+
+# --- speakers, documents, replies, mentions
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT id, 0 AS applause, 0 AS conflict, 0 AS \"order\", 0 AS neutral, 0 AS total FROM corpus")
+def climate(spark, d):
+    return speakers.climate(corpus(spark, d))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role FROM conversations) SELECT conv_id, turn, CASE role WHEN 'system' THEN 'chair' WHEN 'assistant' THEN 'minister' ELSE 'deputy' END AS role FROM c""")
+def speaker_roles(spark, d):
+    label = F.when(F.col("role") == "system", "El señor PRESIDENTE:").when(F.col("role") == "assistant", "La señora MINISTRA DE HACIENDA (Pérez)").otherwise("Sr. GÓMEZ")
+    return speakers.parse(read(spark, d, "conversations").withColumn("speaker", label)).select("conv_id", "turn", "role")
+
+
+@query()
+def document_blocks(spark, d):
+    return document.documents(corpus(spark, d)).select("id", "kind", "start", "end", "number")
+
+
+@query()
+def replies_in_session(spark, d):
+    return replies.synchronic(corpus(spark, d), 5)
+
+
+@query()
+def replies_across_sessions(spark, d):
+    return replies.diachronic(corpus(spark, d).withColumn("rep_id", F.col("rep_id") % 5), 8)
+
+
+def _speeches(spark, d) -> DataFrame:
+    """Speeches that name each other, made from the documents' ids."""
+    name = F.concat(F.lit("Diputado Rep"), (F.col("id") * 7 % 97).cast("string"), F.lit(", gracias. El ministro Gómez Pérez dijo.\n"))
+    return corpus(spark, d).withColumn("speech", F.concat(name, F.lit("texto sin nombres."))).withColumn("rep_name", F.concat(F.lit("Rep"), F.col("rep_id").cast("string")))
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT rep_id::VARCHAR AS a, (id * 7 % 97)::VARCHAR AS b, count(*) AS n FROM corpus WHERE rep_id <> id * 7 % 97 GROUP BY 1, 2 UNION ALL SELECT rep_id::VARCHAR, 'ext:gomez perez', count(*) FROM corpus GROUP BY 1")
+def mention_edges(spark, d):
+    rows = _speeches(spark, d)
+    return mentions.edges(mentions.resolve(mentions.candidates(rows), mentions.roster(rows)))
+
+
+@query(CORPUS + "m AS (SELECT rep_id, (id * 7 % 97)::VARCHAR AS person, 1 AS v FROM corpus UNION ALL SELECT rep_id, 'ext:gomez perez', 0 FROM corpus) SELECT person, count(DISTINCT rep_id) AS speakers, count(*) AS n, sum(v)::BIGINT AS vocative FROM m GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 40")
+def mention_received(spark, d):
+    rows = _speeches(spark, d)
+    return mentions.received(mentions.resolve(mentions.candidates(rows), mentions.roster(rows)))
+
+
+@query()
+def mention_foci(spark, d):
+    return mentions.foci(mention_edges(spark, d))
+
+
+@query(CORPUS + """c AS (SELECT legislature AS x, party AS y, count(*)::DOUBLE AS n FROM corpus GROUP BY 1, 2), t AS (SELECT sum(n) AS t FROM c), x AS (SELECT x, sum(n) AS nx FROM c GROUP BY 1), y AS (SELECT y, sum(n) AS ny FROM c GROUP BY 1),
+mi AS (SELECT sum(n / t * ln(n * t / (nx * ny))) AS mi FROM c JOIN x USING (x) JOIN y USING (y), t), hx AS (SELECT sum(-nx / t * ln(nx / t)) AS h FROM x, t), hy AS (SELECT sum(-ny / t * ln(ny / t)) AS h FROM y, t)
+SELECT round(2 * mi / (hx.h + hy.h), 6) AS nmi FROM mi, hx, hy""")
+def mutual_information(spark, d):
+    return mentions.mutual_information(corpus(spark, d), "legislature", "party").select(F.round("nmi", 6).alias("nmi"))
+
+
+# --- library and exports
+
+_ITEMS = "SELECT quality AS collection_id, 'ES' AS corpus, doc_id AS id, '' AS note, (row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1)::INTEGER AS position FROM labels"
+
+
+def _items(spark, d) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    place = F.row_number().over(Window.partitionBy("quality").orderBy("doc_id")) - 1
+    return read(spark, d, "labels").select(F.col("quality").alias("collection_id"), F.lit("ES").alias("corpus"), F.col("doc_id").alias("id"), F.lit("").alias("note"), F.array().cast("array<string>").alias("tags"), place.alias("position"))
+
+
+def _collections(spark) -> DataFrame:
+    return spark.createDataFrame([(0, "poor"), (1, "good"), (2, "empty")], "id int, name string")
+
+
+@query(f"WITH items AS ({_ITEMS}), c AS (SELECT * FROM (VALUES (0, 'poor'), (1, 'good'), (2, 'empty')) t(id, name)) SELECT c.id, c.name, count(i.id) AS n_items, count(i.id) AS n_total FROM c LEFT JOIN items i ON i.collection_id = c.id GROUP BY 1, 2")
+def library_listing(spark, d):
+    return library.listing(_collections(spark), _items(spark, d), "ES")
+
+
+@query(f"""WITH items AS ({_ITEMS}), top AS (SELECT max(position) AS top FROM items WHERE collection_id = 1), new AS (SELECT doc_id AS id, doc_id AS k FROM documents WHERE doc_id < 50)
+SELECT collection_id, corpus, id, position FROM items UNION ALL SELECT 1, 'ES', id, (top + 1 + k)::INTEGER FROM new, top WHERE id NOT IN (SELECT id FROM items WHERE collection_id = 1)""")
+def library_add_items(spark, d):
+    ids = corpus(spark, d).filter("id < 50").select("id", F.col("id").alias("k"))
+    return library.add_items(_items(spark, d), 1, "ES", ids).select("collection_id", "corpus", "id", "position")
+
+
+@query(f"WITH items AS ({_ITEMS}) SELECT collection_id, id FROM items WHERE NOT (collection_id = 1 AND id < 100)")
+def library_remove_items(spark, d):
+    return library.remove_items(_items(spark, d), 1, corpus(spark, d).filter("id < 100")).select("collection_id", "id")
+
+
+@query("SELECT * FROM (VALUES (1, 'a', true), (9, 'b', false), (NULL, 'c', true)) t(collection_id, name, live)")
+def library_searches(spark, d):
+    s = spark.createDataFrame([(1, "a"), (9, "b"), (None, "c")], "collection_id int, name string")
+    return library.live_searches(s, _collections(spark))
+
+
+@query(CORPUS + """z AS (SELECT 1) SELECT -2::BIGINT AS k, '# source' AS line UNION ALL SELECT -1, '"id";"date";"rep_name"' UNION ALL SELECT id, '"' || id || '";"' || date || '";"' || rep_name || '"' FROM corpus""")
+def export_csv_lines(spark, d):
+    return exports.csv_lines(corpus(spark, d).withColumn("k", F.col("id")), ["id", "date", "rep_name"], "source")
+
+
+@query(CORPUS + """z AS (SELECT 1) SELECT count(*) AS rows, sum(nwords)::BIGINT AS words, sum(nbytes)::BIGINT AS text_bytes, (sum(nbytes) + 260 * count(*))::BIGINT AS csv_bytes, (sum(nbytes) + 150 * count(*))::BIGINT AS markdown_bytes FROM corpus WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+def export_estimate(spark, d):
+    return exports.estimate(corpus(spark, d), collection_ids(spark, d))
+
+
+@query(CORPUS + """z AS (SELECT 1) SELECT id AS k, 'TY  - HEAR' || chr(10) || 'AU  - ' || rep_name || chr(10) || 'DA  - ' || date || chr(10) || 'N1  - ' || rep_name || ', (' || party || '), ' || date || ', session ' || num_session || ', id ' || id || chr(10) || 'ER  - ' AS line FROM corpus""")
+def export_references(spark, d):
+    return exports.ris(corpus(spark, d).withColumn("k", F.col("id")))
+
+
+@query()
+def export_markdown(spark, d):
+    return exports.markdown(corpus(spark, d).withColumn("k", F.col("id")))
+
+
+# --- streams over the events table, run as a batch
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    return streams.windowed(read(spark, d, "events"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, s""")
+def event_sessions(spark, d):
+    return streams.sessions(read(spark, d, "events"), "6 hours")
+
+
+# --- scalar functions
+
+
+@query(CORPUS + r"""z AS (SELECT 1) SELECT id, nwords, length(speech) AS chars, nbytes, len(regexp_extract_all(strip_accents(lower(speech)), '[a-z0-9]+')) AS ascii_tokens,
+trim(regexp_replace(strip_accents(lower(substr(speech, 1, 60))), '[^a-z0-9]+', '-', 'g'), '-') AS slug, CASE WHEN regexp_matches(speech, '^[=+\-@\t\r]') THEN '''' || substr(speech, 1, 20) ELSE substr(speech, 1, 20) END AS guarded,
+replace(replace(replace(replace(substr(speech, 1, 50), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS markup, substr(date, 1, 7) AS month FROM corpus""")
+def scalar_text(spark, d):
+    s = F.col("speech")
+    head = F.substring(s, 1, 20)
+    return corpus(spark, d).select(
+        "id", "nwords", F.char_length(s).alias("chars"), "nbytes", F.size(ascii_tokens(s)).alias("ascii_tokens"), slug(F.substring(s, 1, 60)).alias("slug"), guard_formula(head).alias("guarded"), escape_markup(F.substring(s, 1, 50)).alias("markup"), month_of(F.col("date")).alias("month")
+    )
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS a, 50 - p_size + 1 AS b FROM part) SELECT k, round(""" + _g2("a", "b", "1000", "2000") + """, 6) AS g2,
+round(log2((CASE WHEN a = 0 THEN 0.5 ELSE a END / 1000) / (CASE WHEN b = 0 THEN 0.5 ELSE b END / 2000)), 6) AS log_ratio, round_even(a / 8, 0) AS half_even FROM p""")
+def scalar_stats(spark, d):
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("a"), (51 - F.col("p_size")).alias("b"))
+    n = (F.col("a"), F.col("b"), F.lit(1000), F.lit(2000))
+    return p.select("k", F.round(stats.log_likelihood(*n), 6).alias("g2"), F.round(stats.log_ratio(*n), 6).alias("log_ratio"), F.bround(F.col("a") / 8, 0).alias("half_even"))
+
+
+@query("SELECT o_orderkey AS k, round(abs(date_diff('day', DATE '1998-01-01', o_orderdate::DATE)) / 365.25, 8) AS years FROM orders")
+def scalar_dates(spark, d):
+    o = read(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("k"), F.round(stats.years_apart(F.to_date("o_orderdate"), F.lit("1998-01-01").cast("date")), 8).alias("years"))
+
+
+# --- set operations
+
+
+@query("SELECT doc_id AS id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM labels WHERE toxic = 0")
+def set_intersection(spark, d):
+    labels = read(spark, d, "labels")
+    return labels.filter("quality = 1").select(F.col("doc_id").alias("id")).intersect(labels.filter("toxic = 0").select("doc_id"))
+
+
+@query("SELECT doc_id AS id FROM documents EXCEPT SELECT doc_id FROM labels")
+def set_difference(spark, d):
+    return corpus(spark, d).select("id").join(read(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti").distinct()
