@@ -150,19 +150,23 @@ def _solve(rows: DataFrame, is_query, s: Settings) -> DataFrame:
     copies = candidates.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0
     need = s.k + copies  # rows with the query's own id don't count
     nearest = Window.partitionBy("cell").orderBy("d")
-    inner: dict[int, list[float]] = {}
+    inner: dict[int, list[tuple[float, int]]] = {}
     # copies is 1 unless ids repeat; beyond a bound the k-th distance is replaced by the cell's radius
     if need <= 1000:
         for r in candidates.select("cell", "d").withColumn("k", F.row_number().over(nearest)).filter(F.col("k") <= need).collect():
-            inner.setdefault(r.cell, []).append(r.d)
+            inner.setdefault(r.cell, []).append((r.d, 1))
     else:
         for r in candidates.groupBy("cell").agg(F.max("d").alias("d"), F.count("*").alias("n")).collect():
-            inner[r.cell] = [r.d] * min(need, r.n)
+            inner[r.cell] = [(r.d, r.n)]
     bound = {}
     for i, (r, _) in radius.items():
         # an augmented query lies at its own distance from pivot i, so this holds for all queries of the cell
-        reach = sorted(r + gaps[i, j] + d for j, ds in inner.items() for d in ds)
-        bound[i] = (reach[need - 1] if len(reach) >= need else math.inf) * _SLACK + 1e-6
+        bound[i], seen = math.inf, 0
+        for far, m in sorted((r + gaps[i, j] + d, m) for j, ds in inner.items() for d, m in ds):
+            seen += m
+            if seen >= need:
+                bound[i] = far * _SLACK + 1e-6
+                break
     grouped = _groups([(i, c) for i, (_, c) in radius.items()], points, s.group_queries)
     count = 1 + max((g for g, _ in grouped.values()), default=-1)
     cells = sorted(grouped)
