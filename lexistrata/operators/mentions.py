@@ -25,7 +25,7 @@ OFFICES = ("presidente", "presidenta", "ministro", "ministra", "senador", "senad
 _NAME = r"(?P<name>(?:[A-ZÁÉÍÓÚÑÜÀÂÊÔÇ][\w'’-]+)(?:\s+(?:(?:de|del|la|las|los|y|da|do|dos)\s+){0,3}[A-ZÁÉÍÓÚÑÜÀÂÊÔÇ][\w'’-]+){0,4})"
 _CHAIN = re.compile(rf"\b(?P<form>(?:{'|'.join(FORMS + OFFICES)})\b\.?)(?:\s+(?P<form2>(?:{'|'.join(FORMS + OFFICES)})\b\.?))?\s+", re.I)
 _GUARD = re.compile(r"(?:calle|avenida|plaza|hospital|instituto|escuela|colegio|universidad|fundacion|barrio|provincia|municipio|san|santa)\s+$")
-_PROCEDURE = re.compile(r"(?:tiene la palabra|concedo la palabra|el uso de la palabra|asistencia|ausentes?:|presentes?:|votaron)\W{0,60}$")
+_PROCEDURE = re.compile(r"(?:tiene la palabra|concedo la palabra|el uso de la palabra|asistencia|ausentes?:|presentes?:|votaron)\W*(?:(?:a|al|el|la|los|las|o)\W+)*$")
 
 
 def _plain(text: str) -> str:

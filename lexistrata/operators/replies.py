@@ -13,7 +13,7 @@ from ..functions.stats import bm25, idf, years_apart
 from ..functions.text import ascii_tokens
 from ..plans.query import STOP_WORDS, fold_text
 from .sessions import KEY
-from .speakers import role
+from .speakers import bare_label, role
 
 #: Weights of the score.
 NAME, OFFICE, INTERRUPTION, TURN, OTHER_PARTY, EXTRA, EXTRA_CAP = 40.0, 30.0, 15.0, 30.0, 12.0, 3.0, 9.0
@@ -85,8 +85,9 @@ def synchronic(corpus: DataFrame, top: int = 10, reach: int = 12) -> DataFrame:
     same = F.coalesce(F.col("rep_id") == F.col("o_rep_id"), F.col("speaker") == F.col("o_speaker"))
     on = [left[k].eqNullSafe(right[k]) for k in KEY] + [left.block == right.block]
     pairs = left.join(right, on).filter((F.abs(F.col("turn") - F.col("o_turn")) <= reach) & (F.col("id") != F.col("o_id")) & ~same)
-    there = _count(F.col("speech"), F.col("o_rep_name"), F.col("o_speaker"))
-    back = _count(F.col("o_speech"), F.col("rep_name"), F.col("speaker"))
+    office = lambda c: F.when(role(c) != "deputy", bare_label(c))
+    there = _count(F.col("speech"), F.col("o_rep_name"), office(F.col("o_speaker")))
+    back = _count(F.col("o_speech"), F.col("rep_name"), office(F.col("speaker")))
     between = F.abs(F.col("turn") - F.col("o_turn")) - 1
     other = F.when((F.col("party") != F.col("o_party")) & F.col("party").isNotNull(), OTHER_PARTY).otherwise(0.0)
     scored = pairs.withColumn("there", there).withColumn("back", back).withColumn("score", F.bround(_weight(F.col("there")) + _weight(F.col("back")) + TURN * F.pow(F.lit(0.6), between) + other, 1))

@@ -83,8 +83,11 @@ def climate(corpus: DataFrame) -> DataFrame:
     """(id, applause, conflict, order, neutral, total) of each speech's stage directions."""
     units = F.filter(F.transform(direction_units(F.col("speech")), classify), lambda u: u.isNotNull())
     marked = corpus.select("id", units.alias("u"))
-    counts = {k: F.size(F.filter("u", lambda u, k=k: u["class"] == k)) for k in ("applause", "conflict", "order", "neutral")}
-    return marked.select("id", *(c.alias(k) for k, c in counts.items()), F.size("u").alias("total"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("u", lambda u: u["class"] == kind)).alias(kind)
+
+    return marked.select("id", *map(count, ("applause", "conflict", "order", "neutral")), F.size("u").alias("total"))
 
 
 def climate_labels(corpus: DataFrame) -> DataFrame:

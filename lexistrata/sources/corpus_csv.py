@@ -49,6 +49,8 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, ``corrupt`` for records of another width, ``place`` for the order in the file."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in CSV_COLUMNS] + [T.StructField("corrupt", T.StringType())])
     rows = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="corrupt", encoding="UTF-8", enforceSchema=True)
+    # the width of a record is only known if all its columns are read
+    rows = rows.withColumn("corrupt", F.when(F.length(F.concat_ws("", *CSV_COLUMNS)) >= 0, F.col("corrupt")))
     return rows.withColumn("place", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")))
 
 

@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Watermarks a stream; its event time has to be a timestamp with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed(events: DataFrame, late: str = "1 hour", size: str = "1 day", slide: str | None = None) -> DataFrame:
     """(start, event_type, n, total) by event time; rows later than ``late`` are left out when streaming."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    out = events.withWatermark("ts", late) if events.isStreaming else events
+    out = _timed(events, late)
     return out.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(user_id, start, end, n): runs of events of a user without a gap."""
-    out = events.withWatermark("ts", late) if events.isStreaming else events
+    out = _timed(events, late)
     return out.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
