@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import c_value, log_likelihood
+from ..functions.ranking import cut
 from ..functions.text import index_tokens, spans
 
 #: Words that join the parts of an expression.
@@ -29,14 +30,20 @@ def token_type(t: Column) -> Column:
 
 
 def candidates(corpus: DataFrame, longest: int = 7) -> DataFrame:
-    """(id, gram, left, right): every candidate of the speeches, with its neighbours in the span."""
-    rows = corpus.filter("dm_speech = 1").select("id", F.explode(spans(F.col("speech"))).alias("s"))
-    rows = rows.filter(F.size("s") >= 2).withColumn("t", F.transform("s", token_type))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), F.size("s"))), lambda n: F.transform(F.sequence(F.lit(1), F.size("s") - n + 1), lambda i: F.struct(i.alias("i"), n.alias("n")))))
-    fits = F.filter(pairs, lambda p: (F.element_at("t", p["i"]) == 2) & (F.element_at("t", p["i"] + p["n"] - 1) == 2) & F.forall(F.slice("t", p["i"], p["n"]), lambda x: x > 0))
-    at = rows.select("id", "s", F.explode(fits).alias("p"))
+    """(id, gram, left, right): every candidate of the speeches, with its neighbours in the span.
+
+    Starts are exploded first, then the lengths up to the next token that is
+    neither content nor connector.
+    """
+    rows = corpus.filter("dm_speech = 1").select("id", F.explode(spans(F.col("speech"))).alias("s")).filter(F.size("s") >= 2)
+    rows = rows.withColumn("t", F.transform("s", token_type))
+    starts = rows.select("id", "s", "t", F.explode(F.filter(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.element_at("t", i) == 2)).alias("i"))
+    stop = F.array_position(F.slice("t", F.col("i") + 1, longest - 1), 0).cast("int")
+    reach = F.least(F.when(stop == 0, longest).otherwise(stop), F.size("s") - F.col("i") + 1)
+    starts = starts.withColumn("reach", reach).filter("reach >= 2")
+    at = starts.select("id", "s", "i", F.explode(F.filter(F.sequence(F.lit(2), F.col("reach")), lambda n: F.element_at("t", F.col("i") + n - 1) == 2)).alias("n"))
     return at.select(
-        "id", F.slice("s", F.col("p.i"), F.col("p.n")).alias("gram"), F.when(F.col("p.i") > 1, F.element_at("s", F.col("p.i") - 1)).alias("left"), F.try_element_at("s", F.col("p.i") + F.col("p.n")).alias("right")
+        "id", F.array_join(F.slice("s", F.col("i"), F.col("n")), " ").alias("gram"), F.when(F.col("i") > 1, F.element_at("s", F.col("i") - 1)).alias("left"), F.try_element_at("s", F.col("i") + F.col("n")).alias("right")
     )
 
 
@@ -44,39 +51,40 @@ def detect(corpus: DataFrame, least: int | None = None, least_docs: int = 3, ext
     """(form, n_tokens, freq, docs, independent, g2, c_value) of detected expressions.
 
     ``least`` defaults to the larger of 20 and a quarter of the millions of tokens.
+    Neighbours are counted for frequent candidates only.
     """
     if least is None:
         n = corpus.select(F.sum(F.size(index_tokens(F.col("speech")))).alias("n")).first().n or 0
         least = max(20, math.ceil(0.25 * n / 1e6))
     found = candidates(corpus, longest)
-    counts = found.groupBy("gram").agg(F.count("*").alias("f"), F.countDistinct("id").alias("docs"))
-    kept = counts.filter((F.col("f") >= least) & (F.col("docs") >= least_docs))
+    per_doc = found.groupBy("gram", "id").agg(F.count("*").alias("f"))
+    counts = per_doc.groupBy("gram").agg(F.sum("f").alias("f"), F.count("*").alias("docs")).filter(F.col("f") >= least)
+    counts = cut(counts)
+    kept = counts.filter(F.col("docs") >= least_docs)
     # a gram that mostly stands inside a longer one is dropped
-    sides = []
-    for side in ("left", "right"):
-        top = found.filter(F.col(side).isNotNull()).groupBy("gram", side).agg(F.count("*").alias("c")).groupBy("gram").agg(F.max("c").alias(side[0]))
-        sides.append(top)
-    kept = kept.join(sides[0], "gram", "left").join(sides[1], "gram", "left")
-    kept = kept.filter((F.coalesce("l", F.lit(0)) < extension * F.col("f")) & (F.coalesce("r", F.lit(0)) < extension * F.col("f"))).select("gram", "f", "docs")
-    # association between all but the last word and the last word
+    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")), F.struct(F.lit("r").alias("side"), F.col("right").alias("word"))))
+    beside = found.join(kept.select("gram"), "gram", "left_semi").select("gram", sides.alias("n")).select("gram", "n.*").filter("word IS NOT NULL")
+    most = beside.groupBy("gram", "side", "word").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max("c").alias("most"))
+    kept = kept.join(most, "gram", "left").filter(F.coalesce("most", F.lit(0)) < extension * F.col("f")).select("gram", "f", "docs")
+    # association between all but the last content word's part and the last word
     tokens = corpus.filter("dm_speech = 1").select(F.explode(F.flatten(spans(F.col("speech")))).alias("token"))
     words = tokens.groupBy("token").agg(F.count("*").alias("fp"))
     total = tokens.agg(F.count("*").alias("n"))
-    grams = counts.select(F.col("gram").alias("head"), F.col("f").alias("fh"))
-    inner = F.reverse(F.slice("gram", 1, F.size("gram") - 1))
-    skip = F.size("gram") - 1 - (F.array_position(F.transform(inner, token_type), 2) - 1).cast("int")
-    kept = kept.withColumn("last", F.element_at("gram", -1)).withColumn("head", F.slice("gram", 1, skip))
-    single = words.select(F.array("token").alias("head"), F.col("fp").alias("fh"))
-    kept = kept.join(words.withColumnRenamed("token", "last"), "last").join(grams.unionByName(single), "head").crossJoin(F.broadcast(total))  # one row
+    kept = kept.withColumn("g", F.split("gram", " "))
+    inner = F.reverse(F.slice("g", 1, F.size("g") - 1))
+    head = F.size("g") - F.array_position(F.transform(inner, token_type), 2).cast("int")
+    kept = kept.withColumn("last", F.element_at("g", -1)).withColumn("head", F.array_join(F.slice("g", 1, head), " "))
+    heads = counts.select(F.col("gram").alias("head"), F.col("f").alias("fh")).unionByName(words.select(F.col("token").alias("head"), F.col("fp").alias("fh")))
+    kept = kept.join(words.withColumnRenamed("token", "last"), "last").join(heads, "head").crossJoin(F.broadcast(total))  # one row
     g2 = log_likelihood(F.col("f"), F.col("fp") - F.col("f"), F.col("fh"), F.col("n") - F.col("fh"))
-    kept = kept.withColumn("g2", g2).filter(F.col("g2") >= g2_min).select("gram", "f", "docs", "g2")
+    kept = cut(kept.withColumn("g2", g2).filter(F.col("g2") >= g2_min).select("gram", "g", "f", "docs", "g2"))
     # containers: longer kept grams that hold a gram
-    subs = F.flatten(F.transform(F.sequence(F.lit(2), F.size("gram") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.size("gram") - n + 1), lambda i: F.slice("gram", i, n))))
-    inside = kept.filter(F.size("gram") > 2).select(F.col("f").alias("cf"), F.explode(F.array_distinct(subs)).alias("gram"))
+    subs = F.flatten(F.transform(F.sequence(F.lit(2), F.size("g") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.size("g") - n + 1), lambda i: F.array_join(F.slice("g", i, n), " "))))
+    inside = kept.filter(F.size("g") > 2).select(F.col("f").alias("cf"), F.explode(F.array_distinct(subs)).alias("gram"))
     around = inside.groupBy("gram").agg(F.max("cf").alias("most"), F.avg("cf").alias("mean"))
     out = kept.join(around, "gram", "left").withColumn("independent", F.col("f") - F.coalesce("most", F.lit(0))).filter(F.col("independent") >= least)
-    value = c_value(F.size("gram"), F.col("f"), F.col("mean"))
-    return out.select(F.array_join("gram", " ").alias("form"), F.size("gram").alias("n_tokens"), F.col("f").alias("freq"), "docs", "independent", "g2", value.alias("c_value"))
+    value = c_value(F.size("g"), F.col("f"), F.col("mean"))
+    return out.select(F.col("gram").alias("form"), F.size("g").alias("n_tokens"), F.col("f").alias("freq"), "docs", "independent", "g2", value.alias("c_value"))
 
 
 def listing(table: DataFrame, rejected: DataFrame | None = None, needle: str = "", order: str = "frequency") -> DataFrame:
@@ -88,7 +96,7 @@ def listing(table: DataFrame, rejected: DataFrame | None = None, needle: str = "
 
 def occurrences(corpus: DataFrame, table: DataFrame, longest: int = 7) -> DataFrame:
     """(form, n): all occurrences, nested ones included."""
-    found = candidates(corpus, longest).select(F.array_join("gram", " ").alias("form"))
+    found = candidates(corpus, longest).select(F.col("gram").alias("form"))
     return found.join(table.select("form"), "form", "left_semi").groupBy("form").agg(F.count("*").alias("n"))
 
 

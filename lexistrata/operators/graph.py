@@ -8,6 +8,8 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import cut
+
 
 def strengths(edges: DataFrame) -> DataFrame:
     """(node, degree, strength) of an undirected weighted edge table (a, b, weight)."""
@@ -31,28 +33,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     executors cost one round.
     """
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
-    both = _cut(both)
+    both = cut(both)
     labels = both.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("over"))
-        moved = _cut(step.join(jump, "new", "left").select("node", "label", F.coalesce("over", "new").alias("new")))
+        moved = cut(step.join(jump, "new", "left").select("node", "label", F.coalesce("over", "new").alias("new")))
         labels = moved.select("node", F.col("new").alias("label"))
         if moved.filter("new <> label").isEmpty():
             break
     return labels.select("node", F.col("label").alias("component"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexistrata-checkpoint-"))
-    return df.checkpoint()
-
-
 class _Graph:
     """Undirected weighted graph of one level; ``size`` is what a node stands for."""
 

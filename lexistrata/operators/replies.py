@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranking import cut
 from ..functions.stats import bm25, idf, years_apart
 from ..functions.text import ascii_tokens
 from ..plans.query import STOP_WORDS, fold_text
@@ -48,14 +49,19 @@ def allusions(text: str | None, name: str | None, office: str | None) -> tuple[i
     return counts[0], counts[1], counts[2]
 
 
-def _count(text: Column, name: Column, office: Column) -> Column:
-    @F.arrow_udf("struct<name:int,office:int,interruption:int>")
-    def run(texts: pa.Array, names: pa.Array, offices: pa.Array) -> pa.Array:
-        rows = [allusions(*x) for x in zip(texts.to_pylist(), names.to_pylist(), offices.to_pylist(), strict=True)]
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in cols], ["name", "office", "interruption"])
+_COUNTS = "struct<name:int,office:int,interruption:int>"
 
-    return run(text, name, office)
+
+def _counts(text: Column, people: Column) -> Column:
+    """For each person (name, office) of an array the allusions in the text: a text is read once for all."""
+
+    @F.arrow_udf(f"array<{_COUNTS}>")
+    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        shape = pa.list_(pa.struct([("name", pa.int32()), ("office", pa.int32()), ("interruption", pa.int32())]))
+        rows = [[dict(zip(("name", "office", "interruption"), allusions(t, p["name"], p["office"]), strict=True)) for p in people or []] for t, people in zip(texts.to_pylist(), lists.to_pylist(), strict=True)]
+        return pa.array(rows, shape)
+
+    return run(text, people)
 
 
 def _weight(a: Column) -> Column:
@@ -74,25 +80,26 @@ def turns(corpus: DataFrame, least: int = 45) -> DataFrame:
 def synchronic(corpus: DataFrame, top: int = 10, reach: int = 12) -> DataFrame:
     """(id, other, score, rank): likely replies of the same session, for every substantive turn.
 
-    Turns are paired up to ``reach`` substantive turns apart; beyond it closeness
-    adds nothing visible. The pairs of a session come from an equi-join on the
-    session and a block of turns, so a long session doesn't meet itself whole.
+    Turns meet up to ``reach`` substantive turns apart; beyond it closeness adds
+    nothing visible. A window frame brings each turn its neighbours' names, so
+    texts are neither joined nor repeated; the way back is an equi-join of counts.
     """
-    t = turns(corpus).select(*KEY, "turn", "id", "ord", "rep_id", "rep_name", "speaker", "party", "nwords", "speech")
-    near = t.select(*KEY, *(F.col(c).alias(f"o_{c}") for c in ("turn", "id", "ord", "rep_id", "rep_name", "speaker", "party", "nwords", "speech")))
-    left = t.withColumn("block", F.floor(F.col("turn") / reach))
-    right = near.withColumn("block", F.explode(F.array(*(F.floor(F.col("o_turn") / reach) + d for d in (-1, 0, 1)))))
-    same = F.coalesce(F.col("rep_id") == F.col("o_rep_id"), F.col("speaker") == F.col("o_speaker"))
-    on = [left[k].eqNullSafe(right[k]) for k in KEY] + [left.block == right.block]
-    pairs = left.join(right, on).filter((F.abs(F.col("turn") - F.col("o_turn")) <= reach) & (F.col("id") != F.col("o_id")) & ~same)
-    office = lambda c: F.when(role(c) != "deputy", bare_label(c))
-    there = _count(F.col("speech"), F.col("o_rep_name"), office(F.col("o_speaker")))
-    back = _count(F.col("o_speech"), F.col("rep_name"), office(F.col("speaker")))
-    between = F.abs(F.col("turn") - F.col("o_turn")) - 1
-    other = F.when((F.col("party") != F.col("o_party")) & F.col("party").isNotNull(), OTHER_PARTY).otherwise(0.0)
-    scored = pairs.withColumn("there", there).withColumn("back", back).withColumn("score", F.bround(_weight(F.col("there")) + _weight(F.col("back")) + TURN * F.pow(F.lit(0.6), between) + other, 1))
-    order = Window.partitionBy("id").orderBy(F.col("score").desc(), F.abs(F.col("o_ord") - F.col("ord")), F.col("o_nwords").desc(), "o_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("id", F.col("o_id").alias("other"), "score", "rank")
+    office = F.when(role(F.col("speaker")) != "deputy", bare_label(F.col("speaker")))
+    t = turns(corpus).withColumn("who", F.struct("id", "turn", "ord", "rep_id", "speaker", "party", "nwords", F.col("rep_name").alias("name"), office.alias("office")))
+    frame = Window.partitionBy(*KEY).orderBy("turn").rowsBetween(-reach, reach)
+    t = t.withColumn("near", F.collect_list("who").over(frame))
+    same = lambda o: F.coalesce(o["rep_id"] == F.col("rep_id"), o["speaker"] == F.col("speaker"))
+    t = t.withColumn("near", F.filter("near", lambda o: ~same(o)))
+    people = F.transform("near", lambda o: F.struct(o["name"].alias("name"), o["office"].alias("office")))
+    t = t.withColumn("counts", _counts(F.col("speech"), people)).select("who", F.explode(F.arrays_zip("near", "counts")).alias("z"))
+    pairs = cut(t.select("who", F.col("z.near").alias("o"), F.col("z.counts").alias("there")))
+    back = pairs.select(F.col("o.id").alias("id1"), F.col("who.id").alias("id2"), F.col("there").alias("back"))
+    pairs = pairs.withColumns({"id1": F.col("who.id"), "id2": F.col("o.id")}).join(back, ["id1", "id2"])
+    between = F.abs(F.col("who.turn") - F.col("o.turn")) - 1
+    other = F.when((F.col("who.party") != F.col("o.party")) & F.col("who.party").isNotNull(), OTHER_PARTY).otherwise(0.0)
+    score = F.bround(_weight(F.col("there")) + _weight(F.col("back")) + TURN * F.pow(F.lit(0.6), between) + other, 1)
+    order = Window.partitionBy("id1").orderBy(F.col("score").desc(), F.abs(F.col("o.ord") - F.col("who.ord")), F.col("o.nwords").desc(), "id2")
+    return pairs.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(F.col("id1").alias("id"), F.col("id2").alias("other"), "score", "rank")
 
 
 def main_terms(corpus: DataFrame, k: int = 12) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.dates import year_of
+from ..functions.ranking import numbered
 from ..functions.text import word_count
 from ..schema import CORPUS, CSV_COLUMNS, UNKNOWN
 
@@ -66,19 +66,10 @@ def problems(raw: DataFrame) -> DataFrame:
     return raw.select(F.explode(found).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-def _first_seen(rows: DataFrame, key: str, name: str, base: int) -> DataFrame:
-    """(key, name): numbers of keys by first appearance. One row per key is ordered, not one per record."""
+def _first_seen(rows: DataFrame, key: str, name: str, first: int) -> DataFrame:
+    """(key, name): numbers of keys by first appearance."""
     firsts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("place").alias("p"))
-    return firsts.select(key, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p")) - 1 + base).alias(name))
-
-
-def dense_ids(rows: DataFrame) -> DataFrame:
-    """Adds ``id`` 1..n in file order: counts by input partition, then a place within it."""
-    rows = rows.withColumn("__part", F.shiftright(F.col("place.row"), 33))
-    counts = rows.groupBy("__part").agg(F.count("*").alias("n"), F.min("place").alias("p"))
-    before = counts.select("__part", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy("place"))
-    return rows.join(F.broadcast(before), "__part").withColumn("id", (F.col("before") + inside).cast("long")).drop("__part", "before")
+    return numbered(firsts, ["p"], name, first).select(key, name)
 
 
 def transform(raw: DataFrame) -> DataFrame:
@@ -87,14 +78,15 @@ def transform(raw: DataFrame) -> DataFrame:
     known = lambda c: F.coalesce(clean(c), F.lit(UNKNOWN))
     c = F.col
     rows = raw.filter("corrupt IS NULL")
-    rows = dense_ids(rows.withColumn("id_session", F.btrim("id_session")).withColumn("id_dep", clean(c("id_dep"))))
-    rows = rows.join(F.broadcast(_first_seen(rows, "id_session", "num_session", 1)), "id_session", "left").join(F.broadcast(_first_seen(rows, "id_dep", "rep_id", 0)), "id_dep", "left")
+    rows = rows.withColumn("id_session", F.btrim("id_session")).withColumn("id_dep", clean(c("id_dep")))
+    rows = numbered(rows, ["place"], "id", 1)
+    rows = rows.join(_first_seen(rows, "id_session", "num_session", 1), "id_session", "left").join(_first_seen(rows, "id_dep", "rep_id", 0), "id_dep", "left")
     order = F.regexp_replace(F.btrim("intervention_order"), "_", "").try_cast("int")
     label = F.coalesce(clean(c("speaker_raw")), F.when(F.coalesce(order, F.lit(0)) == 0, "SUMARIO").otherwise("COMENTARIOS"))
     speech = F.coalesce(F.btrim("dm_speech").try_cast("int"), F.when(clean(c("speaker_raw")).isNull(), 0).otherwise(1))
     date = clean(c("date"))
     return rows.select(
-        "id", "id_int", "id_session", "num_session", clean(c("session_number")).alias("session_number"), order.alias("ord"), date.alias("date"), year_of(date).alias("year"),
+        c("id"), "id_int", "id_session", c("num_session").cast("int"), clean(c("session_number")).alias("session_number"), order.alias("ord"), date.alias("date"), year_of(date).alias("year"),
         known(c("legislature")).alias("legislature"), known(c("legislative_session")).alias("legislative_session"), known(c("session_type")).alias("session_type"), label.alias("speaker"),
         c("rep_id").cast("int"), "id_dep", known(c("speaker_name")).alias("rep_name"), F.upper(known(c("sex"))).alias("sex"), known(c("district")).alias("district"), known(c("party")).alias("party"),
         speech.alias("dm_speech"), word_count(c("text")).alias("nwords"), F.octet_length(F.coalesce("text", F.lit(""))).alias("nbytes"), F.coalesce("text", F.lit("")).alias("speech"),
