@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import stats
 from .functions.dates import month_of
 from .functions.text import ascii_tokens, escape_markup, guard_formula, slug
-from .operators import cooccurrence, document, expressions, facets, filters, graph, keyness, library, mentions, replies, search, sessions, speakers, temporal, trend
+from .operators import cooccurrence, document, expressions, facets, filters, graph, keyness, library, mentions, replies, search, sessions, speakers, temporal, trend, views
 from .operators.filters import Filters
 from .schema import collection_ids, corpus, read
 from .sources import exports
@@ -674,6 +674,52 @@ def scalar_dates(spark, d):
     return o.select(F.col("o_orderkey").alias("k"), F.round(stats.years_apart(F.to_date("o_orderdate"), F.lit("1998-01-01").cast("date")), 8).alias("years"))
 
 
+# --- views
+
+
+@query(CORPUS + TOKENS + """o AS (SELECT count(*) AS rows, sum(nwords) AS words, sum(nbytes) AS bytes, count(DISTINCT num_session) AS sessions, count(DISTINCT party) AS parties, count(DISTINCT rep_id) AS speakers,
+min(year) AS first_year, max(year) AS last_year, sum(len(tokens)) AS tokens FROM toks) SELECT name AS key, value::BIGINT AS value FROM (UNPIVOT (SELECT COLUMNS(*)::BIGINT FROM o) ON *)""")
+def corpus_info(spark, d):
+    return views.corpus_info(corpus(spark, d))
+
+
+@query(CORPUS + """k AS (SELECT date, num_session, rep_id % 3 AS rep_id, nwords, row_number() OVER (w ORDER BY nwords, id) - 1 AS k, count(*) OVER w AS turns FROM corpus WINDOW w AS (PARTITION BY date, num_session, rep_id % 3))
+SELECT date, num_session, rep_id, turns, nwords AS median_words FROM k WHERE k = turns // 2""")
+def median_turns(spark, d):
+    return views.median_turns(corpus(spark, d).withColumn("rep_id", F.col("rep_id") % 3))
+
+
+@query("""WITH n AS (SELECT l_suppkey, count(*)::DOUBLE AS n, count(*) FILTER (l_returnflag = 'R')::DOUBLE AS h FROM lineitem GROUP BY 1), p AS (SELECT *, h / n AS p FROM n)
+SELECT l_suppkey, round((p + 1.9208 / n - 1.96 * sqrt(p * (1 - p) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 8) AS low, round((p + 1.9208 / n + 1.96 * sqrt(p * (1 - p) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 8) AS high FROM p""")
+def wilson_interval(spark, d):
+    n = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("h"))
+    low, high = views.wilson(F.col("h"), F.col("n"))
+    return n.select("l_suppkey", F.round(low, 8).alias("low"), F.round(high, 8).alias("high"))
+
+
+@query("SELECT o_orderkey AS k, o_orderdate::DATE AS plain, o_orderdate::DATE AS compact, o_orderdate::DATE AS week FROM orders")
+def iso_dates(spark, d):
+    day = F.to_date("o_orderdate")
+    week = F.format_string("%d-W%02d-%d", F.extract(F.lit("YEAROFWEEK"), day), F.weekofyear(day), F.weekday(day) + 1)
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.date_format(day, "yyyy-MM-dd").alias("a"), F.date_format(day, "yyyyMMdd").alias("b"), week.alias("c"))
+    return o.select("k", views.iso_date(F.col("a")).alias("plain"), views.iso_date(F.col("b")).alias("compact"), views.iso_date(F.col("c")).alias("week"))
+
+
+@query("WITH p AS (SELECT p_partkey, p_size, (rank() OVER (ORDER BY p_size DESC) - 1) / count(*) OVER () AS q FROM part) SELECT p_partkey, (q >= 0.03)::INTEGER + (q >= 0.10)::INTEGER + (q >= 0.25)::INTEGER + (q >= 0.55)::INTEGER AS ring FROM p")
+def node_rings(spark, d):
+    return views.rings(read(spark, d, "part"), "p_size").select("p_partkey", "ring")
+
+
+@query(CORPUS + "e AS (SELECT rep_id::VARCHAR AS a, (id * 7 % 97)::VARCHAR AS b, count(*) AS n FROM corpus WHERE rep_id <> id * 7 % 97 GROUP BY 1, 2 UNION ALL SELECT rep_id::VARCHAR, 'ext:gomez perez', count(*) FROM corpus GROUP BY 1) SELECT * FROM e WHERE a = '3' OR b = '3'")
+def mention_ego(spark, d):
+    return views.ego(mention_edges(spark, d), "3")
+
+
+@query(f"WITH items AS ({_ITEMS}), f AS (SELECT * FROM items WHERE collection_id = 1 ORDER BY position, id LIMIT 20) SELECT note, count(*) AS n FROM f GROUP BY 1")
+def library_notes(spark, d):
+    return library.notes_summary(_items(spark, d), 1, 20).select("note", "n")
+
+
 # --- set operations
 
 

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from lexistrata.functions import text
-from lexistrata.operators import document, expressions, graph, library, mentions, replies, search, sessions, speakers, temporal, trend
+from lexistrata.operators import document, expressions, graph, library, mentions, replies, search, sessions, speakers, temporal, trend, views
 from lexistrata.plans.query import QueryError, fold_text, parse
 from lexistrata.schema import CORPUS, CSV_COLUMNS, corpus
 from lexistrata.sources import corpus_csv, exports
@@ -332,3 +332,25 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     as_text = lambda df: sorted(map(tuple, df.withColumn("start", F.col("start").cast("string")).collect()))
     assert as_text(spark.table("w")) == as_text(streams.windowed(table))
+
+
+# --- views
+
+
+def test_views(spark):
+    assert views.theme_query(["casa", "de la", "casa"]) == 'casa | "de la"' and parse(views.theme_query(["casa", "de la"])).text() == 'casa | "de la"'
+    assert views.theme_ranges("El Cambio Climático y el cambio", ["cambio", "cambio climatico"]) == [(3, 19, "cambio climatico"), (25, 31, "cambio")]
+    assert views.seed_terms(parse('casa "de la"').terms()) == ["casa", '"de la"']
+    rows = spark.createDataFrame([("2020-02-29",), ("20200229",), ("2020-W53-5",), ("2021-W53-1",), ("2020-13-01",), ("x",), (None,)], "d string")
+    assert [str(r[0]) for r in rows.select(views.iso_date(F.col("d"))).collect()] == ["2020-02-29", "2020-02-29", "2021-01-01", "None", "None", "None", "None"]
+    with pytest.raises(ValueError, match="direction"):
+        views.ego(rows, "a", "up")
+
+
+def test_numbers_are_dense(spark):
+    from lexistrata.functions.ranking import numbered
+
+    rows = spark.createDataFrame([(i * 37 % 101,) for i in range(101)], "k int").repartition(5)
+    got = numbered(rows, ["k"], "n", 1).collect()
+    assert sorted((r.k, r.n) for r in got) == [(i, i + 1) for i in range(101)]
+    assert numbered(rows.filter("k < 0"), ["k"], "n").count() == 0
