@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,13 +19,14 @@ def vocabulary(lexicon: DataFrame, size: int = 250, excluded: tuple[str, ...] =
     return good.orderBy(F.bround("g2", 2).desc(), "term").limit(size).select("term", "g2")
 
 
-def unit_terms(corpus: DataFrame, terms: DataFrame, fragment: int | None = None) -> tuple[DataFrame, DataFrame]:
+def unit_terms(corpus: DataFrame, terms: DataFrame, fragment: int | None = None, tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(unit, terms) with the sorted vocabulary of each unit, and (n): all units, empty ones too.
 
     A unit is a speech, or with ``fragment`` a run of so many tokens. The
-    vocabulary has a bounded size and is broadcast.
+    vocabulary has a bounded size and is broadcast. ``tokens`` is an array column
+    to read instead of the speech's tokens, such as its expressions.
     """
-    rows = corpus.select("id", F.posexplode(index_tokens(F.col("speech"))).alias("pos", "term"))
+    rows = corpus.select("id", F.posexplode(index_tokens(F.col("speech")) if tokens is None else tokens).alias("pos", "term"))
     part = F.lit(0) if fragment is None else F.floor(F.col("pos") / fragment)
     rows = rows.select(F.struct("id", part.alias("part")).alias("unit"), "term")
     n = rows.agg(F.countDistinct("unit").alias("n")) if fragment else corpus.agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -139,3 +139,20 @@ def commonest_surface(rows: DataFrame) -> DataFrame:
     """Keeps the commonest surface of each form; ties go to the smaller text."""
     w = Window.partitionBy("form").orderBy(F.col("n").desc(), "surface")
     return rows.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+
+
+#: Changes when the rules of detection do.
+VERSION = 1
+
+
+def save(table: DataFrame, path: str, corpus_sha256: str) -> None:
+    """Writes detected expressions with the version of the rules and the checksum of the corpus file."""
+    table.withColumns({"version": F.lit(VERSION), "corpus": F.lit(corpus_sha256)}).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str, corpus_sha256: str) -> DataFrame | None:
+    """Saved expressions, or None if they are of other rules or another corpus."""
+    table = spark.read.parquet(path)
+    if not table.filter((F.col("version") != VERSION) | (F.col("corpus") != corpus_sha256)).isEmpty():
+        return None
+    return table.drop("version", "corpus")

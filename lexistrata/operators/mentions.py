@@ -185,3 +185,26 @@ def rates(mentions: DataFrame, corpus: DataFrame) -> DataFrame:
     words = corpus.groupBy("party").agg(F.sum("nwords").alias("words"))
     n = mentions.groupBy("party").agg(F.count("*").alias("n"))
     return words.join(n, "party", "left").select("party", F.coalesce("n", F.lit(0)).alias("n"), "words", (F.coalesce("n", F.lit(0)) / F.col("words") * 10_000).alias("per_10k"))
+
+
+def contexts(mentions: DataFrame, each: int = 6) -> DataFrame:
+    """(person, id, date, k): the newest mention by each distinct speaker, at most ``each`` for a person."""
+    rows = mentions.filter("person IS NOT NULL")
+    newest = F.row_number().over(Window.partitionBy("person", "rep_id").orderBy(F.col("date").desc_nulls_last(), "id", "at"))
+    one = rows.withColumn("n", newest).filter("n = 1")
+    k = F.row_number().over(Window.partitionBy("person").orderBy(F.col("date").desc_nulls_last(), "id", "at"))
+    return one.withColumn("k", k).filter(F.col("k") <= each).select("person", "id", "date", "k")
+
+
+def external_by_party(mentions: DataFrame, top: int = 6) -> DataFrame:
+    """(person, party, n): which parties mention the most mentioned persons from outside."""
+    rows = mentions.filter(F.startswith("person", F.lit("ext:")))
+    most = rows.groupBy("person").agg(F.count("*").alias("s")).orderBy(F.col("s").desc(), "person").limit(top).select("person")
+    return rows.join(F.broadcast(most), "person", "left_semi").groupBy("person", "party").agg(F.count("*").alias("n"))
+
+
+def party_words(corpus: DataFrame) -> DataFrame:
+    """(party, words): words of each party without turns of the chair."""
+    from .speakers import role
+
+    return corpus.filter(~role(F.col("speaker")).isin("chair", "vicechair", "chair_age")).groupBy("party").agg(F.sum("nwords").alias("words"))

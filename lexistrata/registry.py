@@ -561,6 +561,24 @@ def mention_received(spark, d):
     return mentions.received(mentions.resolve(mentions.candidates(rows), mentions.roster(rows)))
 
 
+@query(CORPUS + "m AS (SELECT id, date, rep_id, (id * 7 % 97)::VARCHAR AS person FROM corpus UNION ALL SELECT id, date, rep_id, 'ext:gomez perez' FROM corpus), o AS (SELECT *, row_number() OVER (PARTITION BY person, rep_id ORDER BY date DESC, id) AS n FROM m), k AS (SELECT person, id, date, row_number() OVER (PARTITION BY person ORDER BY date DESC, id)::INTEGER AS k FROM o WHERE n = 1) SELECT * FROM k WHERE k <= 6")
+def mention_contexts(spark, d):
+    rows = _speeches(spark, d)
+    return mentions.contexts(mentions.resolve(mentions.candidates(rows), mentions.roster(rows)))
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT party, sum(nwords)::BIGINT AS words FROM corpus WHERE ord <> 0 GROUP BY 1")
+def party_words(spark, d):
+    rows = corpus(spark, d)
+    return mentions.party_words(rows.withColumn("speaker", F.when(F.col("ord") == 0, "La señora PRESIDENTA").otherwise(F.col("speaker"))))
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT 'ext:gomez perez' AS person, party, count(*) AS n FROM corpus GROUP BY 2")
+def mention_external(spark, d):
+    rows = _speeches(spark, d)
+    return mentions.external_by_party(mentions.resolve(mentions.candidates(rows), mentions.roster(rows)))
+
+
 @query()
 def mention_foci(spark, d):
     return mentions.foci(mention_edges(spark, d))

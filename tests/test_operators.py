@@ -220,6 +220,12 @@ def test_expressions_found(spark):
     assert "ley de aguas" not in {r.form for r in listed}
 
 
+def test_saved_expressions(spark, tmp_path):
+    table = spark.createDataFrame([("ley de aguas", 3)], "form string, freq int")
+    expressions.save(table, str(tmp_path / "e"), "abc")
+    assert expressions.load(spark, str(tmp_path / "e"), "abc").collect() == table.collect() and expressions.load(spark, str(tmp_path / "e"), "abd") is None
+
+
 # --- speakers, documents, replies, mentions
 
 
