@@ -284,7 +284,8 @@ def keep_first(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     groups = materialise(near_duplicates(docs, settings).select("doc_id", "component_id"), "groups")
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    rows = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    # what goes grows with the input, so it is never broadcast; ids are even, texts need no sort
+    rows = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
     if groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return rows
     return rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id IS NULL"))
