@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import materialise, ship
 
 _SHINGLES_AT_ONCE = 200_000
+#: Rows of sorted buckets swept together.
+_ROWS_AT_ONCE = 20_000
 
 
 @dataclass(frozen=True)
@@ -187,8 +189,12 @@ def links(distinct: DataFrame, n: int, settings: Settings = Settings()) -> DataF
 
     def run(batches):
         held: pa.Table | None = None
+        waiting: list = []
         for batch in batches:
-            t = pa.Table.from_batches([batch])
+            waiting.append(batch)
+            if sum(b.num_rows for b in waiting) < _ROWS_AT_ONCE:
+                continue
+            t, waiting = pa.Table.from_batches(waiting), []
             held = t if held is None else pa.concat_tables([held, t])
             last = [held.column(c)[-1].as_py() for c in group]
             same = np.ones(held.num_rows, bool)
@@ -198,6 +204,9 @@ def links(distinct: DataFrame, n: int, settings: Settings = Settings()) -> DataF
             if cut:
                 yield from solve(held.slice(0, cut))
                 held = held.slice(cut)
+        if waiting:
+            t = pa.Table.from_batches(waiting)
+            held = t if held is None else pa.concat_tables([held, t])
         if held is not None and held.num_rows:
             yield from solve(held)
 
