@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexistrata.llm import langid, packing, pii, quality, simhash
+from lexistrata.llm import langid, neardup, packing, pii, quality
 from lexistrata.llm.common import materialise, read
 from lexistrata.llm.queries import tokenizer_path
 
@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return simhash.keep_first(docs)
+    """Keeps one document of each group of near-duplicates: Jaccard similarity of five-word shingles 0.8 or more."""
+    return neardup.keep_first(docs)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
