@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import cut
 from ..functions.stats import bm25, idf, years_apart
 from ..functions.text import ascii_tokens
 from ..plans.query import STOP_WORDS, fold_text
@@ -29,16 +30,23 @@ def allusions(text: str | None, name: str | None, office: str | None) -> tuple[i
     Inside parentheses a label with a colon is an interruption, anything else is
     a stage direction and doesn't count.
     """
-    if not text:
-        return 0, 0, 0
+    return _count(_read(text), name, office) if text else (0, 0, 0)
+
+
+def _read(text: str) -> tuple[str, str, list]:
+    """(text, folded text, parentheses), of one length."""
     flat = fold_text(text)
     if len(flat) != len(text):
         text = flat
-    inside = [(m.start(), m.end()) for m in re.finditer(r"\([^()]*\)", flat)]
+    return text, flat, [(m.start(), m.end()) for m in re.finditer(r"\([^()]*\)", flat)]
+
+
+def _count(read: tuple[str, str, list], name: str | None, office: str | None) -> tuple[int, int, int]:
+    text, flat, inside = read
     counts = [0, 0, 0]
     for place, wanted in enumerate((name, office)):
         parts = [p for p in re.findall(r"[^\W_]+", fold_text(wanted or "")) if len(p) > 2 and p not in STOP_WORDS]
-        if not parts:
+        if not parts or any(p not in flat for p in parts):
             continue
         for m in re.finditer(r"\b" + r"\W+(?:\w{1,3}\W+)?".join(map(re.escape, parts)) + r"\b", flat):
             around = next(((a, b) for a, b in inside if a < m.start() < b), None)
@@ -49,26 +57,29 @@ def allusions(text: str | None, name: str | None, office: str | None) -> tuple[i
     return counts[0], counts[1], counts[2]
 
 
-_COUNTS = "struct<name:int,office:int,interruption:int>"
+_LINKS = "array<struct<name:string,office:string,weight:double>>"
 
 
-def _counts(text: Column, people: Column) -> Column:
-    """For each person (name, office) of an array the allusions in the text: a text is read once for all."""
+def _links(text: Column, people: Column) -> Column:
+    """The persons (name, office) of an array that the text alludes to, with the points: a text is read once for all."""
 
-    @F.arrow_udf(f"array<{_COUNTS}>")
+    @F.arrow_udf(_LINKS)
     def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        shape = pa.list_(pa.struct([("name", pa.int32()), ("office", pa.int32()), ("interruption", pa.int32())]))
-        rows = [[dict(zip(("name", "office", "interruption"), allusions(t, p["name"], p["office"]), strict=True)) for p in people or []] for t, people in zip(texts.to_pylist(), lists.to_pylist(), strict=True)]
+        shape = pa.list_(pa.struct([("name", pa.string()), ("office", pa.string()), ("weight", pa.float64())]))
+        rows = []
+        for t, some in zip(texts, lists, strict=True):
+            read = _read(t.as_py()) if t.is_valid and some.is_valid else None
+            found = [(p, _weight(*_count(read, p["name"], p["office"]))) for p in some.as_py()] if read else []
+            rows.append([{"name": p["name"], "office": p["office"], "weight": w} for p, w in found if w])
         return pa.array(rows, shape)
 
     return run(text, people)
 
 
-def _weight(a: Column) -> Column:
-    n = a["name"] + a["office"]
-    more = lambda x: F.least(F.lit(EXTRA_CAP), EXTRA * (x - 1))
-    named = F.when(n > 0, F.when(a["name"] > 0, NAME).otherwise(OFFICE) + more(n)).otherwise(0.0)
-    return named + F.when(a["interruption"] > 0, INTERRUPTION + more(a["interruption"])).otherwise(0.0)
+def _weight(name: int, office: int, interruption: int) -> float:
+    more = lambda x: min(EXTRA_CAP, EXTRA * (x - 1))
+    n = name + office
+    return (((NAME if name else OFFICE) + more(n)) if n else 0.0) + ((INTERRUPTION + more(interruption)) if interruption else 0.0)
 
 
 def turns(corpus: DataFrame, least: int = 45) -> DataFrame:
@@ -77,29 +88,109 @@ def turns(corpus: DataFrame, least: int = 45) -> DataFrame:
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy(*KEY).orderBy("ord", "id")))
 
 
-def synchronic(corpus: DataFrame, top: int = 10, reach: int = 12) -> DataFrame:
+class _Session:
+    """The substantive turns of one session, without their texts."""
+
+    #: Place of a turn without order.
+    NOWHERE = 10**6
+
+    def __init__(self, rows: list[dict]):
+        at = lambda r: self.NOWHERE if r["ord"] is None else r["ord"]
+        self.rows = sorted(rows, key=lambda r: (at(r), r["id"]))
+        self.at = [at(r) for r in self.rows]
+        self.placed = [r["ord"] for r in self.rows if r["ord"] is not None]
+        self.turns: dict = {}  # of a person
+        self.named: dict = {}  # turns that allude to a person
+        self.links: list[dict] = []
+        self.own: dict = {}
+        for i, r in enumerate(self.rows):
+            self.turns.setdefault((r["name"], r["office"]), []).append(i)
+            self.links.append({(x["name"], x["office"]): x["weight"] for x in r["links"] or ()})
+            for person in self.links[i]:
+                self.named.setdefault(person, []).append(i)
+        self.sides: dict = {}
+
+    def same(self, a: dict, b: dict) -> bool:
+        if a["rep_id"] is not None and b["rep_id"] is not None:
+            return a["rep_id"] == b["rep_id"]
+        return a["speaker"] is not None and a["speaker"] == b["speaker"]
+
+    def own_places(self, r: dict) -> list[int]:
+        key = r["rep_id"], r["speaker"]
+        if key not in self.own:
+            self.own[key] = [x["ord"] for x in self.rows if x["ord"] is not None and self.same(r, x)]
+        return self.own[key]
+
+    def other_party(self, a: str | None, b: str | None) -> bool:
+        return a is not None and b is not None and a != b
+
+    def nearest(self, i: int, top: int) -> set[int]:
+        """On each side the next ``top`` turns of others with another party, and with none; of the last place all."""
+        r, out = self.rows[i], set()
+        if r["party"] not in self.sides:
+            split = ([], [])
+            for j, o in enumerate(self.rows):
+                split[self.other_party(r["party"], o["party"])].append(j)
+            self.sides[r["party"]] = [(x, [self.at[j] for j in x]) for x in split]
+        for side, places in self.sides[r["party"]]:
+            start = bisect_left(places, r["ord"] or 0)
+            for way in (range(start, len(side)), range(start - 1, -1, -1)):
+                n, last = 0, None
+                for k in way:
+                    if n >= top and places[k] != last:
+                        break
+                    if not self.same(r, self.rows[side[k]]):
+                        out.add(side[k])
+                        n, last = n + 1, places[k]
+        return out
+
+    def score(self, i: int, j: int) -> float:
+        r, o = self.rows[i], self.rows[j]
+        total = 0.0
+        for a, b in ((j, r), (i, o)):
+            total += self.links[a].get((b["name"], b["office"]), 0.0)
+        if r["ord"] is not None and o["ord"] is not None:
+            low, high = min(r["ord"], o["ord"]), max(r["ord"], o["ord"])
+            between = lambda x: max(0, bisect_left(x, high) - bisect_right(x, low))
+            total += TURN * 0.6 ** (between(self.placed) - between(self.own_places(r)))
+        return round(total + OTHER_PARTY * self.other_party(r["party"], o["party"]), 1)
+
+    def best(self, top: int):
+        for i, r in enumerate(self.rows):
+            found = self.nearest(i, top)
+            for person in self.links[i]:
+                found.update(self.turns.get(person, ()))
+            found.update(self.named.get((r["name"], r["office"]), ()))
+            rows = []
+            for j in found:
+                o = self.rows[j]
+                if not self.same(r, o) and i != j:
+                    rows.append((-self.score(i, j), abs(self.at[j] - (r["ord"] or 0)), -(o["nwords"] or 0), o["id"]))
+            for k, (score, _, _, other) in enumerate(heapq.nsmallest(top, rows)):
+                yield r["id"], other, -score, k + 1
+
+
+def synchronic(corpus: DataFrame, top: int = 10) -> DataFrame:
     """(id, other, score, rank): likely replies of the same session, for every substantive turn.
 
-    Turns meet up to ``reach`` substantive turns apart; beyond it closeness adds
-    nothing visible. A window frame brings each turn its neighbours' names, so
-    texts are neither joined nor repeated; the way back is an equi-join of counts.
+    Allusions are sought by the session's distinct speakers, so a text is read
+    once for each, and link turns at any distance. Without one the score only
+    falls with distance, so the nearest ``top`` turns on each side, with another
+    party and without, hold the best of all others. Only turns of others count
+    as turns between.
     """
     office = F.when(role(F.col("speaker")) != "deputy", bare_label(F.col("speaker")))
-    t = turns(corpus).withColumn("who", F.struct("id", "turn", "ord", "rep_id", "speaker", "party", "nwords", F.col("rep_name").alias("name"), office.alias("office")))
-    frame = Window.partitionBy(*KEY).orderBy("turn").rowsBetween(-reach, reach)
-    t = t.withColumn("near", F.collect_list("who").over(frame))
-    same = lambda o: F.coalesce(o["rep_id"] == F.col("rep_id"), o["speaker"] == F.col("speaker"))
-    t = t.withColumn("near", F.filter("near", lambda o: ~same(o)))
-    people = F.transform("near", lambda o: F.struct(o["name"].alias("name"), o["office"].alias("office")))
-    t = t.withColumn("counts", _counts(F.col("speech"), people)).select("who", F.explode(F.arrays_zip("near", "counts")).alias("z"))
-    pairs = cut(t.select("who", F.col("z.near").alias("o"), F.col("z.counts").alias("there")))
-    back = pairs.select(F.col("o.id").alias("id1"), F.col("who.id").alias("id2"), F.col("there").alias("back"))
-    pairs = pairs.withColumns({"id1": F.col("who.id"), "id2": F.col("o.id")}).join(back, ["id1", "id2"])
-    between = F.abs(F.col("who.turn") - F.col("o.turn")) - 1
-    other = F.when((F.col("who.party") != F.col("o.party")) & F.col("who.party").isNotNull(), OTHER_PARTY).otherwise(0.0)
-    score = F.bround(_weight(F.col("there")) + _weight(F.col("back")) + TURN * F.pow(F.lit(0.6), between) + other, 1)
-    order = Window.partitionBy("id1").orderBy(F.col("score").desc(), F.abs(F.col("o.ord") - F.col("who.ord")), F.col("o.nwords").desc(), "id2")
-    return pairs.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(F.col("id1").alias("id"), F.col("id2").alias("other"), "score", "rank")
+    t = turns(corpus).withColumns({"name": F.col("rep_name"), "office": office})
+    people = F.collect_set(F.struct("name", "office")).over(Window.partitionBy(*KEY))
+    t = t.withColumn("links", _links(F.col("speech"), people))
+    schema = "id bigint, other bigint, score double, rank int"
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(_Session(table.to_pylist()).best(top))
+        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)], names=["id", "other", "score", "rank"])
+
+    return t.select(*KEY, "id", "ord", "rep_id", "speaker", "party", "nwords", "name", "office", "links").groupBy(*KEY).applyInArrow(run, schema)
 
 
 def main_terms(corpus: DataFrame, k: int = 12) -> DataFrame:

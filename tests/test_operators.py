@@ -278,6 +278,35 @@ def test_reply_scores(spark):
     assert [tuple(r) for r in replies.synchronic(c).orderBy("id").collect()] == [(1, 2, 82.0, 1), (2, 1, 82.0, 1)]
 
 
+def test_replies_at_any_distance(spark):
+    """Against all pairs of a session scored as the reference does: long, with runs of one speaker and late answers."""
+    rnd = random.Random(4)
+    names = ["Gómez", "Paz", "Luz", "Ruiz", "Vega", "Soto"]
+    rows = []
+    for i in range(60):
+        p = 0 if 20 < i < 36 else rnd.randrange(6)
+        text = "palabra " * 50
+        if rnd.random() < 0.3:
+            text += f"El señor {rnd.choice(names)} lo dijo. "
+        if rnd.random() < 0.2:
+            text += f"(El señor {rnd.choice(names)}: ¡No!)"
+        rows.append((i, "2010-01-01", 1, i, p, names[p], f"Sr. {names[p].upper()}", "AABBC"[p] if p < 5 else None, 60 + i % 3, text))
+    c = spark.createDataFrame(rows, "id long, date string, num_session int, ord int, rep_id int, rep_name string, speaker string, party string, nwords int, speech string")
+    weight = {(i, p): replies._weight(*replies.allusions(rows[i][9], names[p], None)) for i in range(60) for p in range(6)}
+    want = []
+    for a in rows:
+        others = [b for b in rows if b[4] != a[4]]
+        found = []
+        for b in others:
+            k = sum(min(a[3], b[3]) < x[3] < max(a[3], b[3]) for x in others)
+            party = 12 * (a[7] is not None and b[7] is not None and a[7] != b[7])
+            found.append((-round(weight[a[0], b[4]] + weight[b[0], a[4]] + 30 * 0.6**k + party, 1), abs(a[3] - b[3]), -b[8], b[0]))
+        want += [(a[0], x[3], -x[0], k + 1) for k, x in enumerate(sorted(found)[:10])]
+    got = sorted((tuple(r) for r in replies.synchronic(c).collect()), key=lambda r: (r[0], r[3]))
+    assert got == want
+    assert any(abs(a - b) > 13 and s >= 40 for a, b, s, _ in got)
+
+
 def test_mention_scan_and_resolution(spark):
     found = mentions.scan("Gracias, señor Gómez. La ministra Paz Ruiz vino a la calle general Prim. (El señor Luz: no) Tiene la palabra el señor Sol.")
     assert [(m["form"], m["office"], m["name"], m["vocative"]) for m in found] == [("senor", None, "Gómez", True), ("ministra", "ministra", "Paz Ruiz", False)]
