@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.ranking import cut
 
@@ -26,23 +29,57 @@ def modularity(edges: DataFrame, membership: DataFrame, gamma: float = 1.0) -> D
     return k.crossJoin(F.broadcast(inside)).groupBy("inside", "m").agg(F.sum(F.pow(F.col("k") / (2 * F.col("m")), 2)).alias("e")).select((F.col("inside") / F.col("m") - gamma * F.col("e")).alias("modularity"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node of each component, by min-label rounds with pointer jumps.
+def _joined(live: DataFrame) -> DataFrame:
+    """(node, to): the smallest node of its component for each other node, in one task."""
 
-    Each round's labels are checkpointed, so that the plan doesn't grow and lost
-    executors cost one round.
+    def run(batches):
+        up: dict = {}
+
+        def root(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = root(a), root(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], ["node", "to"])
+
+    kind = to_arrow_type(live.schema["a"].dataType)
+    return live.coalesce(1).mapInArrow(run, T.StructType([T.StructField("node", live.schema["a"].dataType), T.StructField("to", live.schema["a"].dataType)]))
+
+
+def components(edges: DataFrame, few: int = 100_000) -> DataFrame:
+    """(node, component): the smallest node of each component.
+
+    Each round hooks a component onto its smallest neighbour and jumps pointers,
+    until no edge leads out of a component. A component that has none smaller is
+    met by a larger one, so rounds grow with the logarithm of the nodes at most.
+    The last ``few`` edges between components are joined in one task.
+    Each step is checkpointed, so that the plan doesn't grow and lost executors
+    cost one step.
     """
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
-    both = cut(both)
-    labels = both.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        jump = step.select(F.col("node").alias("new"), F.col("new").alias("over"))
-        moved = cut(step.join(jump, "new", "left").select("node", "label", F.coalesce("over", "new").alias("new")))
-        labels = moved.select("node", F.col("new").alias("label"))
-        if moved.filter("new <> label").isEmpty():
+    ends = cut(edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct())
+    labels = ends.select(F.col("a").alias("node")).unionAll(ends.select(F.col("b").alias("node"))).distinct().withColumn("label", F.col("node"))
+    live = cut(ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    while left := live.count():
+        hook = cut(_joined(live) if left <= few else live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))
+        while left > few:
+            up = hook.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            jumped = cut(hook.join(up, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+            hook = jumped.select("node", "to")
+            if jumped.filter("moved").isEmpty():
+                break
+        labels = cut(labels.join(hook.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        if left <= few:
             break
+        a = hook.select(F.col("node").alias("a"), F.col("to").alias("a2"))
+        b = hook.select(F.col("node").alias("b"), F.col("to").alias("b2"))
+        moved = live.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b")).filter("a <> b")
+        live = cut(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return labels.select("node", F.col("label").alias("component"))
 
 

@@ -197,6 +197,15 @@ def test_components_of_a_chain(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize(("n", "few"), [(1000, 100_000), (300, 20)])
+def test_components_of_a_long_path(spark, n, few):
+    ids = list(range(n))
+    random.Random(2).shuffle(ids)
+    rows = list(zip(ids, ids[1:], strict=False)) + [(2000, 2000), (3001, 3000), (None, 5)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(rows, "a long, b long"), few).collect()}
+    assert got == {**dict.fromkeys(range(n), 0), 2000: 2000, 3000: 3000, 3001: 3000}
+
+
 # --- expressions
 
 
