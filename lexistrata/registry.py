@@ -482,6 +482,13 @@ def connected_components(spark, d):
     return graph.components(e)
 
 
+@query()
+def connected_components_whole(spark, d):
+    """Over all rows and keys, where recursive SQL is too slow; orders are even nodes, parts odd ones."""
+    e = read(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
+    return graph.components(e)
+
+
 # --- joins over time
 
 _LABELS = [("src0", None, "ALPHA"), ("src0", "2012-01-01", "BETA"), ("src1", "2011-06-01", "GAMMA"), ("src1", "2013-01-01", "DELTA"), ("src2", "2010-01-01", "ALPHA")]

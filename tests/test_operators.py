@@ -6,6 +6,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from lexistrata import registry
 from lexistrata.functions import text
 from lexistrata.operators import document, expressions, graph, library, mentions, replies, search, sessions, speakers, temporal, trend, views
 from lexistrata.plans.query import QueryError, fold_text, parse
@@ -206,6 +207,21 @@ def test_components_of_a_long_path(spark, n, few):
     assert got == {**dict.fromkeys(range(n), 0), 2000: 2000, 3000: 3000, 3001: 3000}
 
 
+def test_components_of_all_lines(spark):
+    up = {}
+
+    def root(x):
+        while (y := up.setdefault(x, x)) != x:
+            x = y
+        return x
+
+    for r in spark.read.parquet(f"{D}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        x, y = root(2 * r.l_orderkey), root(2 * r.l_partkey + 1)
+        up[max(x, y)] = min(x, y)
+    got = registry.queries()["connected_components_whole"](spark, D).collect()
+    assert {r.node: r.component for r in got} == {x: root(x) for x in up} and len(got) == len(up)
+
+
 # --- expressions
 
 
