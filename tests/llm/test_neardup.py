@@ -77,3 +77,11 @@ def test_prefixes_meet():
             assert set(neardup.prefix(x, common)) & set(neardup.prefix(y, common))
             apart = np.bitwise_count(np.frombuffer(neardup.bitmap(x, 8), np.uint64) ^ np.frombuffer(neardup.bitmap(y, 8), np.uint64)).sum()
             assert apart <= len(set(x) ^ set(y))
+
+
+def test_rows_of_repeated_and_missing_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (7, a), (7, b), (7, b.upper()), (None, c), (None, c), (None, a), (9, "short one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted((rows[i][0] or 0, rows[i][1]) for i in plain_keep(rows)) == sorted([(1, a), (7, b.upper()), (0, c), (9, "short one")])
