@@ -1,12 +1,16 @@
 """Language identification by cross-parsing with suffix automata.
 
 For each language a suffix automaton is built over a bounded sample of its
-labelled text. A text is cut greedily into phrases, each the longest piece that
-occurs in the sample. The language that needs the fewest phrases, normalised as
+labelled texts. A whole text is cut greedily into phrases, each the longest
+piece that occurs in the sample; a letter that doesn't occur is a phrase of its
+own. The language that needs the fewest phrases, normalised as
 ``phrases * log2(sample length) / text length``, wins.
 
-Automata are flat transition tables, and many pieces of text walk through them
-in step, so a walk costs a few array operations for each character.
+Automata are packed as double arrays, so any number of letters costs no more
+than the transitions there are. Texts are cut in blocks that walk side by side:
+each block first starts with no phrase open; then blocks whose predecessor left
+one open are walked again until they meet their first walk. What is counted are
+the phrases of the uncut text, whatever the size of a block.
 """
 
 from __future__ import annotations
@@ -16,68 +20,63 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import ship
 
-SCHEMA = "struct<lang_pred:string,score:double,bits:double>"
+SCHEMA = "struct<lang_pred:string,score:double,bits:double,familiar:boolean>"
 UNKNOWN = "und"
 _SPACE, _OTHER = 0, 1
 _SLICE = 1 << 20
-_BATCH = 1 << 22
-_MODELS: dict = {}
+#: Places of a batch of blocks.
+_BATCH = 1 << 21
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the training sample, and of what the filter keeps.
+    """Bounds of the training sample, and what the filter keeps.
 
-    For each language at most ``docs_per_lang`` documents are taken, those with
-    the smallest hashes of their ids, of each at most ``chars_per_doc``
-    characters, and of all these the first ``chars_per_lang``.
+    The sample of a language is at most ``docs_per_lang`` labelled rows, those
+    with the smallest hashes of their ids. Rows of more than ``doc_chars``
+    characters are not in it (if all are, the shortest is), and the others enter
+    whole, as long as the automaton's text stays within ``chars_per_lang``.
     """
 
-    docs_per_lang: int = 200
-    chars_per_doc: int = 1000
-    chars_per_lang: int = 40_000
+    docs_per_lang: int = 100
+    doc_chars: int = 20_000
+    chars_per_lang: int = 100_000
+    #: One row of so many is kept back from the automaton; the filter's limit comes from these.
+    hold_back: int = 5
+    #: Bits a character a kept text may need, against the most of the rows kept back, and phrases granted on top for short texts.
+    slack: float = 1.75
+    grace: int = 2
+    #: Characters of a block; results don't depend on it.
     block: int = 256
-    #: The filter drops a text whose best language needs more bits a character.
-    max_bits: float = 7.5
 
 
 class Letters:
-    """Folds text to small classes: 0 anything but a letter, 1 an unseen letter, then letters."""
-
-    def __init__(self, alphabet: str):
-        self.table = np.zeros(0x110000, np.uint8)
-        for i in range(0x110000):
-            if chr(i).isalpha():
-                self.table[i] = _OTHER
-        for k, c in enumerate(alphabet):
-            self.table[ord(c)] = 2 + k
-        self.size = 2 + len(alphabet)
-
-    def classes(self, text: str) -> np.ndarray:
-        """Classes of the lower-cased text; runs of non-letters become one space."""
-        raw = text.lower().encode("utf-32-le", "surrogatepass")
-        out = self.table[np.frombuffer(raw, np.uint32)]
+    """Folds code points to classes: 0 anything but a letter, 1 a letter in no sample, then letters."""
+
+    def __init__(self, texts: list[str]):
+        fold = {c: chr(c).lower()[0] for c in range(0x110000) if chr(c).isalpha()}
+        seen = sorted({fold[ord(c)] for t in texts for c in set(t) if ord(c) in fold})
+        number = {c: 2 + k for k, c in enumerate(seen)}
+        self.table = np.zeros(0x110000, np.int32)
+        self.table[list(fold)] = [number.get(c, _OTHER) for c in fold.values()]
+        self.size = 2 + len(seen)
+
+    def classes(self, text: str, after_space: bool = False) -> np.ndarray:
+        """Classes of a piece of text; runs of non-letters become one space, also across pieces."""
+        out = self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         keep = out != _SPACE
         keep[1:] |= out[:-1] != _SPACE
+        if len(keep) and not after_space:
+            keep[0] = True
         return out[keep]
 
 
-def alphabet(texts: list[str], most: int = 240) -> str:
-    """Letters of the lower-cased samples, the commonest first."""
-    seen: dict = {}
-    for t in texts:
-        for c in t.lower():
-            if c.isalpha():
-                seen[c] = seen.get(c, 0) + 1
-    return "".join(sorted(seen, key=lambda c: (-seen[c], c))[:most])
-
-
 def suffix_automaton(codes: list[int]) -> list[dict]:
     """Transitions of each state of the suffix automaton of ``codes``; state 0 is the root."""
     moves: list[dict] = [{}]
@@ -112,96 +111,191 @@ def suffix_automaton(codes: list[int]) -> list[dict]:
 class Parser:
     """Cross-parser for one language.
 
-    ``table[state * width + class]`` holds ``2 * (next state * width) + 1`` if a
-    phrase ends before the class, else without the 1. The last class is padding.
+    State s goes by class c to ``to[base[s] + c]`` if ``owner[base[s] + c]`` is
+    s. State 0 stands for no phrase being open: nothing leads on from it, and
+    ``first`` has the states that one class leads to.
     """
 
     def __init__(self, codes: np.ndarray, classes: int):
         moves = suffix_automaton(codes.tolist())
-        self.width = width = classes + 1
-        root = np.zeros(width, np.int32)
-        for c, to in moves[0].items():
-            root[c] = to * width * 2
-        root[_OTHER] = 0
-        table = np.tile(root | 1, (len(moves), 1))
-        for s, out in enumerate(moves):
-            for c, to in out.items():
-                table[s, c] = to * width * 2
-        # at the root an unknown class is a phrase of its own; elsewhere it ends one and is one
-        table[:, classes] = 0
-        self.table = table.astype(np.int32).ravel()
-        self.known = np.zeros(width, bool)
-        self.known[list(moves[0])] = True
+        self.first = np.zeros(classes, np.int32)
+        self.first[list(moves[0])] = list(moves[0].values())
+        self.base = np.zeros(len(moves), np.int32)
+        room = classes + sum(map(len, moves)) * 2
+        owner, to = np.full(room + 8192 + classes, -1, np.int32), np.zeros(room + 8192 + classes, np.int32)
+        free = np.ones(len(owner), bool)
+        low = 0
+        for s in sorted((s for s in range(1, len(moves)) if len(moves[s]) > 1), key=lambda s: -len(moves[s])):
+            c = np.fromiter(moves[s], np.int64, len(moves[s]))
+            at = low
+            while True:
+                fits = free[at + c[0] : at + c[0] + 4096].copy()
+                for k in c[1:]:
+                    fits &= free[at + k : at + k + 4096]
+                if fits.any():
+                    at += int(fits.argmax())
+                    break
+                at += 4096
+                if at + 4096 + classes > len(free):
+                    free = np.concatenate([free, np.ones(room, bool)])
+                    owner, to = np.concatenate([owner, np.full(room, -1, np.int32)]), np.concatenate([to, np.zeros(room, np.int32)])
+            self.base[s] = at
+            free[at + c] = False
+            owner[at + c] = s
+            to[at + c] = list(moves[s].values())
+            while low + 4096 < at and free[low : low + 4096].sum() < 64:
+                low += 4096
+        # states with one way on fill the places left
+        single = np.array([s for s in range(1, len(moves)) if len(moves[s]) == 1], np.int64)
+        c = np.array([next(iter(moves[s])) for s in single], np.int64)
+        place = classes + np.flatnonzero(free[classes:])[: len(single)]
+        if len(place) < len(single):
+            more = len(single) - len(place)
+            place = np.concatenate([place, np.arange(len(owner), len(owner) + more)])
+            owner, to = np.concatenate([owner, np.full(more, -1, np.int32)]), np.concatenate([to, np.zeros(more, np.int32)])
+        self.base[single] = place - c
+        owner[place] = single
+        to[place] = [next(iter(moves[s].values())) for s in single]
+        end = int(self.base.max(initial=0)) + classes
+        self.owner = np.concatenate([owner, np.full(classes, -1, np.int32)])[:end]
+        self.to = np.concatenate([to, np.zeros(classes, np.int32)])[:end]
         self.bits = math.log2(max(2, len(codes)))
 
-    def phrases(self, columns: np.ndarray) -> np.ndarray:
-        """Phrases in each column of padded classes."""
-        state = np.zeros(columns.shape[1], np.int32)
-        count = np.zeros(columns.shape[1], np.int32)
-        for row in columns:
-            v = self.table[state + row]
-            count += v & 1
-            state = v >> 1
-        return count
+    def _step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase begins."""
+        at = self.base[state] + c
+        on = self.owner[at] == state
+        return np.where(on, self.to[at], self.first[c]), ~on
+
+    def phrases(self, codes: np.ndarray, lengths: np.ndarray, before: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases that begin, state at the end) of each column of ``codes``.
+
+        Columns are sorted by length, the longest first. ``before`` has the column
+        that a column continues, or -1 if it is entered with the state ``entry``.
+        """
+        size, n = codes.shape
+        state = np.zeros(n, np.int32)
+        path, begins = np.zeros((size, n), np.int32), np.zeros((size, n), bool)
+        for t, wide in enumerate(np.searchsorted(-lengths, -np.arange(size), "left").tolist()):
+            path[t, :wide], begins[t, :wide] = self._step(state[:wide], codes[t, :wide])
+            state[:wide] = path[t, :wide]
+        entered = np.zeros(n, np.int32)
+        while True:
+            want = np.where(before >= 0, state[before], entry)
+            live = np.flatnonzero(want != entered)
+            if not len(live):
+                return begins.sum(0), state
+            entered[live] = now = want[live]
+            for t in range(size + 1):
+                done = lengths[live] <= t
+                if done.any():
+                    state[live[done]] = now[done]
+                    live, now = live[~done], now[~done]
+                if not len(live):
+                    break
+                now, new = self._step(now, codes[t, live])
+                apart = now != path[t, live]
+                path[t, live], begins[t, live] = now, new
+                live, now = live[apart], now[apart]
 
 
 class Model:
-    def __init__(self, samples: dict[str, str], settings: Settings):
+    """Parsers of all languages, from ``samples``: the whole texts of each."""
+
+    def __init__(self, samples: dict[str, list[str]], settings: Settings = Settings()):
         self.settings = settings
-        self.langs = sorted(samples)
-        self.letters = Letters(alphabet(list(samples.values())))
-        self.parsers = {}
+        has_letters = lambda t: any(c.isalpha() for c in t)
+        samples = {k: [t for t in v if has_letters(t)] for k, v in samples.items()}
+        self.langs = sorted(k for k, v in samples.items() if v)
+        self.letters = Letters([t for v in samples.values() for t in v])
+        self.parsers, aside = [], []
         for k in self.langs:
-            codes = self.letters.classes(samples[k])
-            self.parsers[k] = Parser(codes[codes != _OTHER], self.letters.size)
-
-    def _blocks(self, texts: list[str | None]):
-        """(owners, columns) for runs of blocks whose characters stay within a bound."""
-        size, pad = self.settings.block, self.letters.size
-        owners: list[int] = []
+            texts = samples[k]
+            fit = [t for i, t in enumerate(texts) if len(texts) < settings.hold_back or i % settings.hold_back]
+            kept, held = [], 0
+            for t in fit:
+                if not kept or held + len(t) <= settings.chars_per_lang:
+                    kept.append(t)
+                    held += len(t) + 1
+            self.parsers.append(Parser(self.letters.classes("\n".join(kept)), self.letters.size))
+            aside.append(texts[:: settings.hold_back] if len(texts) >= settings.hold_back else [])
+        self.limits = [math.inf] * len(self.langs)
+        for k, texts in enumerate(aside):
+            bits = self.bits(texts)[0][k]
+            if len(texts):
+                self.limits[k] = settings.slack * float(bits.max())
+
+    def _batches(self, texts: list[str | None]):
+        """(columns, lengths, owner, column before, continues) of batches of blocks."""
+        size = self.settings.block
         parts: list[np.ndarray] = []
-        held = 0
+        owner: list[int] = []
+        goes_on = False
 
         def flush():
-            cols = np.full((len(parts), size), pad, np.int32)
-            for k, x in enumerate(parts):
-                cols[k, : len(x)] = x
-            return np.array(owners), np.ascontiguousarray(cols.T)
+            lengths = np.array([len(p) for p in parts])
+            order = np.argsort(-lengths, kind="stable")
+            columns = np.zeros((len(parts), size), np.int32)
+            for k, p in enumerate(parts):
+                columns[k, : len(p)] = p
+            place = np.empty(len(parts), np.int64)
+            place[order] = np.arange(len(parts))
+            of = np.array(owner)
+            before = np.full(len(parts), -1)
+            same = np.flatnonzero(of[1:] == of[:-1])
+            before[place[same + 1]] = place[same]
+            return np.ascontiguousarray(columns[order].T), lengths[order], of[order], before, place, goes_on
 
         for i, text in enumerate(texts):
+            space = False
             for a in range(0, len(text or ""), _SLICE):
-                codes = self.letters.classes(text[a : a + _SLICE])
-                if a + _SLICE >= len(text) and a == 0 and not (codes > _SPACE).any():
-                    continue
-                cut = [codes[b : b + size] for b in range(0, len(codes), size)]
-                parts += cut
-                owners += [i] * len(cut)
-                held += len(cut) * size
-                if held >= _BATCH:
-                    yield flush()
-                    owners, parts, held = [], [], 0
+                codes = self.letters.classes(text[a : a + _SLICE], space)
+                space = codes[-1] == _SPACE if len(codes) else space
+                for b in range(0, len(codes), size):
+                    parts.append(codes[b : b + size])
+                    owner.append(i)
+                    if len(parts) * size >= _BATCH:
+                        yield flush()
+                        goes_on = True
+                        parts, owner = [], []
+            if not parts:
+                goes_on = False
         if parts:
             yield flush()
 
+    def bits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits a character of each text in each language, its characters, and its letters."""
+        n = len(texts)
+        count = np.zeros((len(self.langs), n))
+        chars, letters = np.zeros(n), np.zeros(n)
+        carried, carrier = np.zeros(len(self.langs), np.int32), -1
+        for columns, lengths, owner, before, place, goes_on in self._batches(texts):
+            chars += np.bincount(owner, lengths, n)
+            letters += np.bincount(owner, (columns > _SPACE).sum(0), n)
+            entry = np.zeros(len(owner), np.int32)
+            for k, parser in enumerate(self.parsers):
+                # the first block may continue the last text of the batch before
+                entry[place[0]] = carried[k] if goes_on and owner[place[0]] == carrier else 0
+                found, state = parser.phrases(columns, lengths, before, entry)
+                count[k] += np.bincount(owner, found, n)
+                carried[k] = state[place[-1]]
+            carrier = owner[place[-1]]
+        each = np.array([p.bits for p in self.parsers])[:, None] if self.parsers else np.zeros((0, 1))
+        return count * each / np.maximum(1, chars), chars, letters
+
     def rows(self, texts: list[str | None]) -> list[tuple]:
-        """(language, score, bits a character) of each text."""
-        total = np.zeros((len(self.langs), len(texts)))
-        chars, letters = np.zeros(len(texts)), np.zeros(len(texts))
-        for owners, columns in self._blocks(texts):
-            chars += np.bincount(owners, (columns != self.letters.size).sum(0), len(texts))
-            letters += np.bincount(owners, ((columns != self.letters.size) & (columns > _SPACE)).sum(0), len(texts))
-            for k, lang in enumerate(self.langs):
-                total[k] += np.bincount(owners, self.parsers[lang].phrases(columns) + 1, len(texts))
+        """(language, score, bits a character, whether that is within the language's limit) of each text."""
+        bits, chars, letters = self.bits(texts)
         out = []
         for i in range(len(texts)):
             if not letters[i] or not self.langs:
-                out.append((UNKNOWN, 0.0, None))
+                out.append((UNKNOWN, 0.0, None, False))
                 continue
-            bits = [total[k, i] * self.parsers[x].bits / chars[i] for k, x in enumerate(self.langs)]
-            order = sorted(range(len(bits)), key=lambda k: (bits[k], k))
-            best = bits[order[0]]
-            score = 1.0 if len(order) == 1 else 1 - best / bits[order[1]]
-            out.append((self.langs[order[0]], float(min(1.0, max(0.0, score))), float(best)))
+            order = np.argsort(bits[:, i], kind="stable")
+            k, best = int(order[0]), float(bits[order[0], i])
+            score = 1.0 if len(order) == 1 else 1 - best / float(bits[order[1], i])
+            familiar = best <= self.limits[k] + self.settings.grace * self.parsers[k].bits / chars[i]
+            out.append((self.langs[k], min(1.0, max(0.0, score)), best, bool(familiar)))
         return out
 
 
@@ -210,65 +304,59 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, settings: Settings = Settings()) -> dict[str, str]:
-    """Sample text of each language, from labelled documents that aren't held out."""
-    ours = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+def train(docs: DataFrame, settings: Settings = Settings()) -> dict[str, list[str]]:
+    """Whole sample texts of each language, from labelled documents that aren't held out."""
+    ours = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "doc_id", "text")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ours.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= settings.docs_per_lang)
-    ids = [r.doc_id for r in chosen.select("doc_id").collect()]
-    if not ids:
-        return {}
-    cut = F.substring(F.coalesce("text", F.lit("")), 1, settings.chars_per_doc)
-    rows = ours.filter(F.col("doc_id").isin(ids)).select("lang", "doc_id", cut.alias("text")).collect()
+    # docs_per_lang rows for each language at most
+    chosen = docs.sparkSession.createDataFrame(chosen.select("lang", "doc_id").distinct().toArrow(), chosen.select("lang", "doc_id").schema)
+    long = F.when(F.length("text") > settings.doc_chars, F.length("text")).otherwise(0)
+    rows = ours.filter("text IS NOT NULL").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").withColumn("long", long)
+    best = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "text")
+    rows = rows.withColumn("k", F.row_number().over(best)).filter((F.col("k") == 1) | ((F.col("k") <= settings.docs_per_lang) & (F.col("long") == 0)))
     texts: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text)):
+    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.k)):
         texts.setdefault(r.lang, []).append(r.text)
-    samples = {k: "\n".join(_spread(v, settings.chars_per_lang)) for k, v in texts.items()}
-    return {k: v for k, v in samples.items() if any(c.isalpha() for c in v)}
+    return texts
 
 
-def _spread(texts: list[str], most: int) -> list[str]:
-    out, n = [], 0
-    for t in texts[: 10 * most]:
-        out.append(t[: max(0, most - n)])
-        n += len(t)
-    return out
-
-
-def language(text: Column, samples: dict[str, str], spark: SparkSession, settings: Settings = Settings()) -> Column:
-    """Struct column (lang_pred, score, bits). ``samples`` is broadcast: its size is bounded by ``settings``."""
-    shared = spark.sparkContext.broadcast(samples)
+def language(docs: DataFrame, text: Column, settings: Settings) -> Column:
+    """Struct column of ``SCHEMA``. The model that is broadcast grows with the languages and the bounds of ``settings`` alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(Model(train(docs, settings), settings))
 
     @F.arrow_udf(SCHEMA)
     def run(texts: pa.Array) -> pa.Array:
-        from lexistrata.llm import langid
-
-        key = (hash(tuple(sorted(shared.value.items()))), settings)
-        if key not in langid._MODELS:
-            langid._MODELS.clear()
-            langid._MODELS[key] = Model(shared.value, settings)
-        rows = langid._MODELS[key].rows(texts.to_pylist())
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pa.StructArray.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], ["lang_pred", "score", "bits"])
+        rows = shared.value.rows(texts.to_pylist())
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        kinds = {"lang_pred": pa.string(), "score": pa.float64(), "bits": pa.float64(), "familiar": pa.bool_()}
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds))
 
     return run.asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score (margin over the next language), bits.
+    """One row per document: doc_id, held_out, lang_pred, score (margin over the next language), bits, familiar.
 
     A null text or one without letters, and any text if nothing is labelled,
     gets ``und`` with score 0. Ties between languages go to the first by name.
-    Repeated rows each get a row; a null id is neither learnt from nor held out.
+    Repeated rows each get a row; a null id is neither learnt from nor held out;
+    an empty table gives an empty result; other columns aren't read.
     """
     ship(docs.sparkSession)
-    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), language(F.col("text"), train(docs, settings), docs.sparkSession, settings).alias("p"))
+    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), language(docs, F.col("text"), settings).alias("p"))
     return found.select("doc_id", "held_out", "p.*")
 
 
 def filter_language(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` without texts in no known language: ``und``, or too many bits a character."""
+    """``docs`` without texts in no known language, columns as they were.
+
+    Dropped are ``und`` (null and empty texts among them) and texts that need more
+    bits a character than ``slack`` times the most that the language's own texts
+    needed that were kept back from its automaton. Repeated rows are judged
+    alike; an empty table gives an empty result; extra columns stay, whatever
+    their names.
+    """
     ship(docs.sparkSession)
-    column = language(F.col("text"), train(docs, settings), docs.sparkSession, settings)
-    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), column.alias("p"))
-    return marked.filter((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.bits") <= settings.max_bits)).select("row.*")
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), language(docs, F.col("text"), settings).alias("p"))
+    return marked.filter((F.col("p.lang_pred") != UNKNOWN) & F.col("p.familiar")).select("row.*")

@@ -3,7 +3,7 @@
 import corpus_pipeline
 import pytest
 from lexistrata.llm import langid, pii, quality, queries
-from tests.llm.test_table_operators import plain_components, plain_fingerprint
+from tests.llm.test_neardup import plain_keep
 
 D = "/root/testdata/sf0.001"
 
@@ -11,18 +11,14 @@ D = "/root/testdata/sf0.001"
 def test_pipeline_matches_plain(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     rows = docs.collect()
-    model = langid.Model(langid.train(docs), langid.Settings())
+    model = langid.Model(langid.train(docs))
     found = model.rows([r.text for r in rows])
-    rows = [r for r, (lang, _, bits) in zip(rows, found, strict=True) if lang != "und" and bits <= langid.Settings().max_bits]
+    rows = [r for r, (lang, _, _, familiar) in zip(rows, found, strict=True) if lang != "und" and familiar]
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=3).compress
     rows = [r for r in rows if quality.profile(r.text, quality.Limits(), squeeze)[-1]]
-    groups = plain_components([plain_fingerprint(r.text) for r in rows])
-    first = {}
-    for r, g in zip(rows, groups, strict=True):
-        first[g] = min(first.get(g, r.doc_id), r.doc_id)
-    rows = [r for r, g in zip(rows, groups, strict=True) if first[g] == r.doc_id]
+    rows = [rows[i] for i in plain_keep([(r.doc_id, r.text) for r in rows])]
 
     from lexistrata.llm.tokenstore import tokens
 

@@ -96,25 +96,52 @@ def test_language_on_odd_rows(spark, docs, empty):
     assert langid.filter_language(docs).columns == docs.columns
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="abc", min_size=1, max_size=40), st.text(alphabet="abcd", min_size=1, max_size=60))
-def test_cross_parsing_matches_plain(sample, text):
-    model = langid.Model({"x": sample}, langid.Settings(block=16))
-    codes = model.letters.classes(text)
-    known = model.letters.classes(sample).tobytes()
-    want = 0
-    for b in range(0, len(codes), 16):
-        block, i = codes[b : b + 16], 0
-        while i < len(block):
-            j = i + 1
-            while j <= len(block) and block[i:j].tobytes() in known:
-                j += 1
-            i = max(i + 1, j - 1)
-            want += 1
-    columns = next(model._blocks([text]))[1]
-    got = int(model.parsers["x"].phrases(columns).sum())
-    # a phrase is counted when the next begins; what begins with an unseen letter counts at once
-    assert abs(got - want) <= 2 * columns.shape[1] + sum(c == 1 or bytes([c]) not in known for c in codes.tolist())
+def plain_phrases(sample, codes):
+    """Phrases of the greedy cut of all of ``codes`` into longest pieces of ``sample``."""
+    letters = lambda x: "".join(map(chr, x))
+    known, text, i, n = letters(sample), letters(codes), 0, 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in known:
+            j += 1
+        i, n = j, n + 1
+    return n
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abc -", min_size=1, max_size=40), st.lists(st.text(alphabet="abcdé 1", max_size=80), min_size=1, max_size=4), st.sampled_from([1, 3, 16]))
+def test_cross_parsing_matches_plain(sample, texts, block):
+    sample += "a"
+    model = langid.Model({"x": [sample], "y": ["bcd"]}, langid.Settings(block=block))
+    bits, chars, _ = model.bits(texts)
+    for i, text in enumerate(texts):
+        codes = model.letters.classes(text)
+        assert chars[i] == len(codes)
+        for k, known in enumerate((sample, "bcd")):
+            want = plain_phrases(model.letters.classes(known), codes) * model.parsers[k].bits / max(1, len(codes))
+            assert abs(bits[k, i] - want) < 1e-9
+
+
+def test_cross_parsing_over_slices_and_batches(monkeypatch):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choices("abc ,", k=rnd.choice([0, 5, 300, 3000]))) for _ in range(25)] + ["abc" * 500, "a" * 2000, "  " * 90]
+    want = langid.Model({"x": ["abcab cabca aab " * 3], "y": ["ccb a"]}).bits(texts)
+    monkeypatch.setattr(langid, "_SLICE", 37)
+    monkeypatch.setattr(langid, "_BATCH", 40)
+    got = langid.Model({"x": ["abcab cabca aab " * 3], "y": ["ccb a"]}, langid.Settings(block=8)).bits(texts)
+    for a, b in zip(want, got, strict=True):
+        assert abs(a - b).max() < 1e-9
+
+
+def test_languages_of_thousands_of_letters():
+    rnd = random.Random(2)
+    tongues = {name: ["".join(chr(start + rnd.randrange(n)) for _ in range(3)) for _ in range(700)] for name, start, n in (("zh", 0x4E00, 2000), ("ko", 0xAC00, 1500), ("en", 97, 26))}
+    say = lambda name: " ".join(rnd.choices(tongues[name], k=150))
+    model = langid.Model({k: [say(k) for _ in range(30)] for k in tongues})
+    assert model.letters.size > 2000
+    rows = model.rows([say(k) for k in tongues for _ in range(5)])
+    assert [r[0] for r in rows] == [k for k in tongues for _ in range(5)] and all(r[3] for r in rows)
+    assert not model.rows(["".join(chr(0x400 + rnd.randrange(60)) for _ in range(400))])[0][3]
 
 
 def plain_rule(host, path):
