@@ -1,15 +1,22 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
+"""Near-duplicates by the exact Jaccard similarity of word shingles, over SimHash fingerprints.
+
+Fingerprints of 64 bits can't tell a similarity of 0.8 (some 10 bits apart) from
+chance without losing links, so this stage widens them, and adds two things to
+the method of ``simhash``: a meeting place that loses nothing, and proof.
 
 1. Texts of the same words are one class. A class is the set of the hashes of
-   its shingles.
+   its shingles, and has a fingerprint of 256 bits: the majority of each bit
+   over four mixed forms of the hashes.
 2. Under one order of all shingles, two sets of the wanted similarity share one
    of the first ``n - ceil(similarity * n) + 1`` shingles of each (prefix
    filter), so classes meet in buckets, one for each such shingle. Shingles that
    are common in a sample come last in the order; any order is right.
-3. Inside a bucket the first members are held against all others, then more of
-   them, until all pairs that aren't connected already were looked at. Pairs of
-   sizes too different, or whose parity bitmaps differ in more bits than the sets
-   may in shingles, are discarded; all others are verified on the whole sets.
+3. Inside a bucket few members, then more, are held against all others, until
+   all pairs that aren't connected already were looked at. Pairs are discarded
+   by their sizes, by the largest difference of their distances to reference
+   fingerprints (pivot tables), by their own distance, and by parity bitmaps,
+   which differ in no more bits than the sets do in shingles; survivors are
+   verified on the whole sets.
 4. Links join into components by ``simhash.components``.
 """
 
@@ -24,9 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialise, ship
-from .simhash import components
+from .simhash import components, references
 
 _ROWS_AT_ONCE = 20_000
+_SHINGLES_AT_ONCE = 50_000
 
 
 @dataclass(frozen=True)
@@ -39,8 +47,19 @@ class Settings:
     sample: int = 4000
     common: int = 4
     most_common: int = 100_000
+    #: Longs of a fingerprint, and bits that similar ones differ in at most. A bit differs with a chance of at most
+    #: 0.19 where the similarity is 0.8, so a pair is lost with a chance under 2e-11 (Chernoff).
+    longs: int = 4
+    radius: int = 96
     #: Longs of a parity bitmap.
     bitmap: int = 8
+    #: Reference fingerprints: those of the classes with the smallest hashes.
+    references: int = 32
+    #: Members of a bucket that are held against all others at first, and how many times more each round.
+    hubs: int = 4
+    growth: int = 8
+    #: Members of a larger bucket are dealt out in blocks of so many, with its hubs in each.
+    block: int = 2048
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -87,10 +106,20 @@ def prefix(found: np.ndarray, common: np.ndarray, settings: Settings = Settings(
     return found[:size]
 
 
+def fingerprint(found: np.ndarray, longs: int) -> bytes:
+    """Majority of each bit over mixed forms of the shingles' hashes, a long for each form."""
+    salts = np.array(references(longs), np.uint64)
+    total = np.zeros(64 * longs, np.int64)
+    for k in range(0, len(found), _SHINGLES_AT_ONCE):
+        mixed = _mixed((found[k : k + _SHINGLES_AT_ONCE, None].view(np.uint64) ^ salts).view(np.int64))
+        total += np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.uint32)
+    return np.packbits(2 * total > len(found)).tobytes()
+
+
 def bitmap(found: np.ndarray, longs: int) -> bytes:
-    """Parity of the number of shingles at each place: bitmaps differ in no more bits than sets do in shingles."""
+    """Parity of the number of shingles at each place."""
     place = found.view(np.uint64) % np.uint64(64 * longs)
-    return np.packbits(np.bincount(place.astype(np.int64), minlength=64 * longs) & 1).astype(np.uint8).tobytes()
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=64 * longs) & 1).tobytes()
 
 
 def classes(text: Column) -> Column:
@@ -127,33 +156,36 @@ def _common(docs: DataFrame, total: int, settings: Settings) -> np.ndarray:
     return np.sort(top.column("key").to_numpy().astype(np.int64))
 
 
-def _prefixes(docs: DataFrame, common: np.ndarray, settings: Settings) -> DataFrame:
-    """(key, id, n): a row for each shingle of the prefix of each class."""
+def _sketches(docs: DataFrame, common: np.ndarray, settings: Settings) -> DataFrame:
+    """(doc_id, id) of each row, and (n, fp, bits, rare, late) where a task meets a class first.
+
+    ``rare`` and ``late`` are the shingles of the prefix that aren't common, and that are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        def make(text):
-            found = shingles(text, settings.shingle_words)
-            return prefix(found, shared.value, settings), len(found)
-
-        parts, held = [], 0
-
-        def flush():
-            key = np.concatenate([k for _, (k, _) in parts])
-            each = [len(k) for _, (k, _) in parts]
-            ids = np.repeat(np.array([c for c, _ in parts], np.int64), each)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(np.repeat(np.array([n for _, (_, n) in parts], np.int32), each))], ["key", "id", "n"])
-
-        for part in _once(batches, make):
-            parts.append(part)
-            held += len(part[1][0])
-            if held >= _ROWS_AT_ONCE:
-                yield flush()
-                parts, held = [], 0
-        if parts:
-            yield flush()
+        seen: set = set()
+        for batch in batches:
+            ids, made = [], []
+            for text in batch.column(1):
+                text = text.as_py()
+                c = class_of(text)
+                ids.append(c)
+                if not c or c in seen:
+                    made.append((None,) * 5)
+                    continue
+                seen.add(c)
+                found = shingles(text, settings.shingle_words)
+                first = prefix(found, shared.value, settings)
+                at = np.searchsorted(shared.value, first).clip(max=max(0, len(shared.value) - 1))
+                late = shared.value[at] == first if len(shared.value) else np.zeros(len(first), bool)
+                made.append((len(found), fingerprint(found, settings.longs), bitmap(found, settings.bitmap), first[~late], first[late]))
+            cols = list(zip(*made, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "id", "n", "fp", "bits", "rare", "late"])
 
-    return docs.select("text").mapInArrow(run, "key bigint, id bigint, n int")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, id bigint, n bigint, fp binary, bits binary, rare array<bigint>, late array<bigint>")
 
 
 def _whole(batches, key: str, solve):
@@ -193,110 +225,123 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, id, n) of the buckets that more than one class is in; those of the same classes are one.
+def _buckets(sketches: DataFrame) -> DataFrame:
+    """(bucket, size, id) of the buckets that more than one class is in; those of the same classes are one.
 
     A bucket is named by a hash of its classes; equal names of different ones
-    would only bring more pairs together.
+    would only bring more pairs together. Rare shingles are dealt by themselves.
+    Common ones, whose classes can be a large part of all, are counted by partial
+    sums; they are at most ``most_common``.
     """
-
-    def solve(t: pa.Table):
-        key, ids, n = (t.column(c).to_numpy() for c in ("key", "id", "n"))
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
-        key, ids, n = key[new], ids[new], n[new]
-        starts, sizes, run = _runs(key)
-        name = np.add.reduceat(_mixed(ids), starts).view(np.int64)[run]
-        on = sizes[run] > 1
-        yield pa.RecordBatch.from_arrays([pa.array(name[on]), pa.array(ids[on]), pa.array(n[on])], ["bucket", "id", "n"])
-
-    dealt = rows.repartition("key").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(lambda b: _whole(b, "key", solve), "bucket bigint, id bigint, n int").distinct()
-
-
-def _bitmaps(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(id, bits) of each class."""
-
-    def run(batches):
-        ids, bits = [], []
-        for c, found in _once(batches, lambda t: bitmap(shingles(t, settings.shingle_words), settings.bitmap)):
-            ids.append(c)
-            bits.append(found)
-            if len(ids) >= _ROWS_AT_ONCE:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bits, pa.binary())], ["id", "bits"])
-                ids, bits = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bits, pa.binary())], ["id", "bits"])
-
-    return docs.select("text").mapInArrow(run, "id bigint, bits binary").distinct()
+    name, size = F.bit_xor(F.xxhash64("id")).alias("bucket"), F.count("*").alias("size")
+    rare = sketches.select("id", F.explode("rare").alias("key")).repartition("key").dropDuplicates(["key", "id"])
+    key = Window.partitionBy("key")
+    rare = rare.select("id", F.bit_xor(F.xxhash64("id")).over(key).alias("bucket"), F.count("*").over(key).alias("size")).filter("size > 1")
+    late = materialise(sketches.select("id", F.explode("late").alias("key")).distinct(), "late")
+    named = late.groupBy("key").agg(name, size).filter("size > 1")
+    late = late.join(F.broadcast(named), "key")
+    return rare.select("bucket", "size", "id").unionByName(late.select("bucket", "size", "id")).distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     """(id, found): shingles of the wanted classes."""
 
+    def texts(batches):
+        for c, text in _once(batches, lambda t: t):
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([text])], ["id", "text"])
+
     def run(batches):
         for c, found in _once(batches, lambda t: shingles(t, settings.shingle_words)):
             yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([found.tobytes()], pa.binary())], ["id", "found"])
 
-    some = docs.select(classes(F.col("text")).alias("id"), "text").join(wanted, "id", "left_semi")
+    # copies of a text go on once from each task
+    some = docs.select("text").mapInArrow(texts, "id bigint, text string").join(wanted, "id", "left_semi")
     return some.select("text").mapInArrow(run, "id bigint, found binary").dropDuplicates(["id"])
 
 
-def _pairs(rows: DataFrame, low: int, high: int, settings: Settings) -> DataFrame:
-    """(a, b): members ``low`` to ``high`` of each bucket with those behind them, where they aren't connected and may be similar."""
-    over, under = settings.over, settings.under
+def _pairs(rows: DataFrame, low: int, high: int, refs: np.ndarray, settings: Settings) -> DataFrame:
+    """(a, b): pairs of each bucket, the lower of their places from ``low`` to below ``high``, where they aren't connected and may be similar.
+
+    The place of a class in a bucket is a hash below the bucket's size, so hubs
+    are found without sorting a bucket; equal places are told apart by id.
+    """
+    over, under, radius = settings.over, settings.under, settings.radius
 
     def solve(t: pa.Table):
-        ids, n, label = (t.column(c).to_numpy() for c in ("id", "n", "label"))
+        cell, ids, n, label, place, hub = (t.column(c).to_numpy() for c in ("cell", "id", "n", "label", "place", "hub"))
+        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(t.num_rows, -1)
         bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(t.num_rows, -1)
-        starts, sizes, run = _runs(t.column("bucket").to_numpy())
-        n = n.astype(np.int64)
-        rank = np.arange(t.num_rows) - starts[run]
-        at = np.flatnonzero(rank > low)
-        for i in range(low, high):
-            at = at[rank[at] > i]
-            if not len(at):
-                break
-            hub = starts[run[at]] + i
-            live = (label[at] != label[hub]) & (over * np.maximum(n[at], n[hub]) <= under * np.minimum(n[at], n[hub]))
-            a, b = hub[live], at[live]
-            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
-            near = apart * (over + under) <= (under - over) * (n[a] + n[b])
-            a, b = ids[a[near]], ids[b[near]]
+        table = np.stack([np.bitwise_count(fp ^ r).sum(1, dtype=np.int16) for r in refs], 1)
+        starts, sizes, run = _runs(cell)
+        hubs = np.add.reduceat(hub.astype(np.int64), starts)
+        # hubs stand first in their cell; each is a member of one block as well
+        members = np.flatnonzero(~hub)
+        for i in range(int(hubs.max(initial=0))):
+            at = members[hubs[run[members]] > i]
+            to = starts[run[at]] + i
+            after = (place[at] > place[to]) | ((place[at] == place[to]) & (ids[at] > ids[to]))
+            live = after & (label[at] != label[to]) & (over * np.maximum(n[at], n[to]) <= under * np.minimum(n[at], n[to]))
+            at, to = at[live], to[live]
+            near = (np.abs(table[at] - table[to]).max(1) <= radius) if len(at) else np.zeros(0, bool)
+            at, to = at[near], to[near]
+            true = np.bitwise_count(fp[at] ^ fp[to]).sum(1, dtype=np.int64) <= radius
+            at, to = at[true], to[true]
+            apart = np.bitwise_count(bits[at] ^ bits[to]).sum(1, dtype=np.int64)
+            some = apart * (over + under) <= (under - over) * (n[at] + n[to])
+            a, b = ids[at[some]], ids[to[some]]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "id")
-    return dealt.mapInArrow(lambda b: _whole(b, "bucket", solve), "a bigint, b bigint").distinct()
+    blocks = F.ceil(F.col("size") / settings.block)
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("id", "bucket"), F.col("size"))).filter(F.col("place") >= low)
+    members = rows.withColumns({"part": F.pmod(F.xxhash64("id"), blocks), "hub": F.lit(False)})
+    hubs = rows.filter(F.col("place") < high).withColumns({"part": F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)), "hub": F.lit(True)})
+    dealt = members.unionByName(hubs).withColumn("cell", F.xxhash64("bucket", "part")).select("cell", "hub", "id", "n", "fp", "bits", "label", "place")
+    dealt = dealt.repartition("cell").sortWithinPartitions("cell", F.col("hub").desc(), "place", "id")
+    return dealt.mapInArrow(lambda b: _whole(b, "cell", solve), "a bigint, b bigint").distinct()
 
 
-def labels(docs: DataFrame, total: int, settings: Settings = Settings()) -> DataFrame | None:
+def labels(docs: DataFrame, sketches: DataFrame, settings: Settings = Settings()) -> DataFrame | None:
     """(node, label): component of each class that a link leads to; None without links."""
-    found = materialise(_buckets(_prefixes(docs, _common(docs, total, settings), settings)), "buckets")
-    most = found.groupBy("bucket").count().agg(F.max("count")).first()[0]
+    met = materialise(_buckets(sketches), "buckets")
+    most = met.agg(F.max("size")).first()[0]
     if most is None:
         return None
-    rows = materialise(found.join(_bitmaps(docs, settings), "id"), "rows")
+    known = sketches.filter("fp IS NOT NULL").select("id", "n", "fp", "bits")
+    refs = known.select(F.xxhash64("id").alias("h"), "fp").distinct().orderBy("h").limit(settings.references)
+    refs = np.frombuffer(b"".join(bytes(r.fp) for r in refs.collect()), np.uint64).reshape(-1, settings.longs)
+    rows = materialise(met.join(known.dropDuplicates(["id"]), "id"), "rows")
 
     @F.arrow_udf("boolean")
     def verified(x: pa.Array, y: pa.Array) -> pa.Array:
         whole = lambda v: np.frombuffer(v.as_buffer(), np.int64)
         return pa.array([similar(whole(a), whole(b), settings) for a, b in zip(x, y, strict=True)], pa.bool_())
 
-    edges = named = None
-    low, high = 0, 1
-    while low < most - 1:
-        if named is None:
-            now = rows.withColumn("label", F.col("id"))
-        else:
+    edges = named = sets = None
+    low, high = 0, settings.hubs
+    while low < most:
+        now = rows.withColumn("label", F.col("id"))
+        if named is not None:
             now = rows.join(named.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        pairs = materialise(_pairs(now, low, high, settings), "pairs")
-        wanted = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-        sets = materialise(_sets(docs, wanted, settings), "sets")
-        pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("found").alias("y")), "b")
-        more = materialise(pairs.filter(verified("x", "y")).select("a", "b"), "links")
-        if not more.isEmpty():
-            edges = more if edges is None else edges.unionByName(more)
-            named = materialise(components(edges), "labels")
-        low, high = high, 32 * high
+            # buckets whose members are all connected are done with
+            live = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
+            now = materialise(now.join(materialise(live, "live"), "bucket", "left_semi"), "now")
+            rows = now.drop("label")
+        pairs = materialise(_pairs(now, low, high, refs, settings), "pairs")
+        if not pairs.isEmpty():
+            wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+            if sets is None:
+                sets = materialise(_sets(docs, materialise(wanted, "wanted"), settings), "sets")
+            else:
+                wanted = materialise(wanted.join(sets.select("id"), "id", "left_anti"), "wanted")
+                if not wanted.isEmpty():
+                    sets = sets.unionByName(materialise(_sets(docs, wanted, settings), "sets"))
+            pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("found").alias("y")), "b")
+            more = materialise(pairs.filter(verified("x", "y")).select("a", "b"), "links")
+            if not more.isEmpty():
+                edges = more if edges is None else edges.unionByName(more)
+                named = materialise(components(edges), "labels")
+        low, high = high, settings.growth * high
     return named
 
 
@@ -304,22 +349,27 @@ def keep_first(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with one row of each component: the smallest by doc_id, null ids last, then by class and text.
 
     Rows are told apart by id and class, so a repeated id keeps a row of each
-    component that its texts are in.
+    component that its texts are in. Null, empty and blank texts are one class;
+    texts of fewer words than a shingle are similar only to texts of the same
+    words. An empty table gives an empty result; extra columns stay, whatever
+    their names.
     """
     ship(docs.sparkSession)
-    marked = docs.withColumn("__class", classes(F.col("text")))
-    groups = materialise(marked.select("doc_id", "__class"), "groups")
-    named = labels(docs, groups.count(), settings)
-    placed = groups.withColumn("part", F.col("__class"))
+    total = docs.count()
+    sketches = materialise(_sketches(docs, _common(docs, total, settings), settings), "sketches")
+    named = labels(docs, sketches, settings)
+    placed = sketches.select("doc_id", F.col("id").alias("class")).withColumn("part", F.col("class"))
     if named is not None:
-        placed = groups.join(named.select(F.col("node").alias("__class"), "label"), "__class", "left").withColumn("part", F.coalesce("label", "__class"))
-    each = placed.groupBy("doc_id", "__class", "part").agg(F.count("*").alias("rows"))
-    each = materialise(each.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__class")), "placed")
-    best = each.groupBy("part").agg(F.min("place").alias("best"))
-    gone = each.join(best, "part").filter(~F.col("place").eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("__gone"), F.col("__class").alias("__of"))
+        placed = placed.join(named.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("part", F.coalesce("label", "class"))
+    each = placed.groupBy("doc_id", "class", "part").agg(F.count("*").alias("rows"))
+    each = materialise(each.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")), "placed")
+    # written first, so that rows of a large component can be split where they meet it
+    best = materialise(each.groupBy("part").agg(F.min("place").alias("best")), "best")
+    gone = each.join(best, "part").filter(~F.col("place").eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("gone"), F.col("class").alias("of"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), classes(F.col("text")).alias("class"))
     # what goes grows with the input, so it is never broadcast; ids are even, texts need no sort
-    rows = marked.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.col("__class") == F.col("__of")), "left_anti")
+    rows = rows.join(gone.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("gone")) & (F.col("class") == F.col("of")), "left_anti")
     if not each.filter("rows > 1").isEmpty():
-        first = Window.partitionBy("__class").orderBy("text")
-        rows = rows.withColumn("__row", F.row_number().over(first)).filter("__row = 1").drop("__row")
-    return rows.drop("__class")
+        first = Window.partitionBy("class").orderBy("row.text")
+        rows = rows.withColumn("k", F.row_number().over(first)).filter("k = 1")
+    return rows.select("row.*")

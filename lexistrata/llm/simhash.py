@@ -280,21 +280,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     # classes in no link stand for themselves
     classes = distinct.join(named, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     classes = materialise(classes, "classes")
-    first = classes.groupBy("label").agg(F.min("first").alias("component_id"))
+    # written first, so that the rows of a large component can be split where they meet it
+    first = materialise(classes.groupBy("label").agg(F.min("first").alias("component_id")), "first")
     known = classes.select("fp", "label").join(first, "label").select("fp", "component_id")
     return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id.
-
-    Of rows that repeat an id one stays; rows without an id all stay, as nothing
-    tells them apart.
-    """
-    groups = materialise(near_duplicates(docs, settings).select("doc_id", "component_id"), "groups")
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    # what goes grows with the input, so it is never broadcast; ids are even, texts need no sort
-    rows = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    if groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return rows
-    return rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id IS NULL"))

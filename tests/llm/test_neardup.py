@@ -55,13 +55,13 @@ def near_copies():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("rows_at_once", [20_000, 50])
-def test_stage_matches_brute_force(spark, monkeypatch, rows_at_once):
+@pytest.mark.parametrize(("rows_at_once", "settings"), [(20_000, neardup.Settings()), (50, neardup.Settings(hubs=1, growth=2, block=5, sample=30, most_common=40))])
+def test_stage_matches_brute_force(spark, monkeypatch, rows_at_once, settings):
     monkeypatch.setattr(neardup, "_ROWS_AT_ONCE", rows_at_once)
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = [rows[i] for i in plain_keep(rows)]
-    got = corpus_pipeline.near_dedup(spark, docs, "")
+    got = neardup.keep_first(docs, settings)
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in got.collect()) == want
     assert 60 < len(want) < 150
@@ -85,3 +85,43 @@ def test_rows_of_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert got == sorted((rows[i][0] or 0, rows[i][1]) for i in plain_keep(rows)) == sorted([(1, a), (7, b.upper()), (0, c), (9, "short one")])
+
+
+def test_one_large_group_of_near_copies(spark):
+    """A group that is one bucket, dealt out in blocks; few of its members are similar, so that all rounds are needed."""
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(40)]
+    texts = []
+    for k in range(120):
+        x = list(base)
+        for i in rnd.sample(range(15, 40), k % 5):
+            x[i] = f"x{k}_{i}"
+        texts.append(" ".join(x))
+    rows = list(enumerate(texts)) + [(1000 + i, texts[i % 7]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [rows[i] for i in plain_keep(rows)]
+    got = neardup.keep_first(docs, neardup.Settings(hubs=1, growth=4, block=20))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == want
+    assert 1 < len(want) < 120
+
+
+@pytest.mark.parametrize("at_once", [50_000, 7])
+def test_wide_fingerprint(monkeypatch, at_once):
+    monkeypatch.setattr(neardup, "_SHINGLES_AT_ONCE", at_once)
+    rnd = np.random.default_rng(1)
+    for _ in range(50):
+        n = int(rnd.integers(10, 200))
+        x = np.unique(rnd.integers(-(1 << 62), 1 << 62, n))
+        y = np.unique(np.concatenate([x[: max(9, n * 9 // 10)], rnd.integers(-(1 << 62), 1 << 62, n // 10)]))
+        a, b = (np.frombuffer(neardup.fingerprint(v, 4), np.uint64) for v in (x, y))
+        assert len(a) == 4 and np.bitwise_count(a ^ b).sum() <= 96 if neardup.similar(x, y) else True
+        salts, full = neardup.references(4), (1 << 64) - 1
+
+        def mixed(h, salt):
+            z = ((h & full) ^ salt) * 0x9E3779B97F4A7C15 & full
+            z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 & full
+            return z ^ (z >> 31)
+
+        hashes = [[mixed(int(h), s).to_bytes(8, "little") for h in x] for s in salts]
+        want = b"".join(bytes(sum(128 >> k for k in range(8) if 2 * sum(h[i] >> (7 - k) & 1 for h in of) > len(x)) for i in range(8)) for of in hashes)
+        assert neardup.fingerprint(x, 4) == want

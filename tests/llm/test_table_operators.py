@@ -214,10 +214,6 @@ def test_near_duplicates_on_odd_rows(docs, empty):
     blank = {r.component_id for r in rows if r.fingerprint == "0" * 16}
     assert blank == {1}
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.keep_first(docs)
-    ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == docs.columns and sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 7] and ids.count(None) == 2
-    assert simhash.keep_first(empty).count() == 0
 
 
 # --- archives
