@@ -117,8 +117,9 @@ def _merge_long(word: bytes, v: Vocabulary) -> list[int]:
 class Codec:
     """Encoder and decoder with tables of words and pairs that it has met."""
 
-    #: entries after which the table of words starts anew
+    #: entries after which the tables of words and of pairs start anew; that of single tokens has at most the vocabulary's
     most_words = 400_000
+    most_pairs = 2_000_000
     #: characters whose words are looked up together
     at_once = 4_000_000
 
@@ -213,6 +214,8 @@ class Codec:
         plain = [w for ws in words for w in ws if not isinstance(w, str)]
         if len(self.words) > self.most_words:
             self.words.clear()
+        if len(self.pairs) > self.most_pairs:
+            self.pairs.clear()
         self._learn(list({w for ws in plain for w in ws} - self.words.keys()))
         get = self.words.__getitem__
         return [b"".join(b"".join(map(get, w)) if not isinstance(w, str) else b"%d," % self.v.special[w] for w in ws) for ws in words]

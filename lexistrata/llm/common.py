@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -43,11 +44,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """URI of a new folder that driver and executors share.
 
-    It lies in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) is a local folder made. Hadoop deletes it when the driver ends.
+    It lies in ``spark.checkpoint.dir``; only where that is unset and all runs on
+    one machine (tests) is a local folder made. Hadoop deletes it when the driver
+    ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexistrata-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     uri = f"{base.rstrip('/')}/lexistrata-{uuid.uuid4().hex}/{label}"
@@ -59,14 +63,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     return fs.makeQualified(path).toString()
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
     Cuts the lineage in a way that survives lost executors.
     """
     spark = df.sparkSession
     uri = scratch(spark, label)
-    df.write.mode("overwrite").parquet(uri)
+    df.write.mode("overwrite").option("compression", compression).parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
 
 

@@ -36,7 +36,9 @@ _SLACK = 1 + 1e-9
 class Settings:
     k: int = 5
     scale: float = 256.0
+    #: Pivots: the square root of the number of vectors, between these.
     pivots: int = 32
+    most_pivots: int = 1024
     #: Queries of a group, and candidates of a block, at most (of hashed blocks: on average).
     group_queries: int = 512
     block_rows: int = 4096
@@ -97,8 +99,9 @@ def top_k(vectors: DataFrame, is_query, settings: Settings = Settings()) -> Data
     isn't the query's, repeated rows included; a query row that repeats with the
     same vector is answered once. Ties go to the smaller vec_id. Rows with a null
     vec_id, a null vector, or null or non-finite components take no part; only
-    vectors of equal length meet. An empty table gives an empty result; other
-    columns aren't read.
+    vectors of equal length meet. Components and scores beyond the range of a
+    long are clipped to it, and tie there. An empty table gives an empty result;
+    other columns aren't read.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -114,11 +117,13 @@ def top_k(vectors: DataFrame, is_query, settings: Settings = Settings()) -> Data
 
 
 def _solve(rows: DataFrame, is_query, s: Settings) -> DataFrame:
-    # pivots: a bounded sample, the distinct vectors with the smallest hashes
-    sample = rows.select(F.xxhash64("v").alias("h"), "v").distinct().orderBy("h").limit(s.pivots).collect()
-    pivots = np.array([r.v for r in sample], np.float64)
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     top, n = rows.agg(F.max(squares), F.count("*")).first()
+    # pivots: a bounded sample, the distinct vectors with the smallest hashes
+    hashed = rows.select(F.xxhash64("v").alias("h"), "v")
+    chosen = hashed.select("h").distinct().orderBy("h").limit(min(s.most_pivots, max(s.pivots, math.isqrt(n))))
+    sample = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("v").alias("v")).orderBy("h").collect()
+    pivots = np.array([r.v for r in sample], np.float64)
     norms = (pivots**2).sum(1)
     points = np.concatenate([pivots, np.sqrt(np.maximum(0, top - norms))[:, None]], 1)
     gaps = np.sqrt(np.maximum(0, ((points[:, None] - points[None]) ** 2).sum(2)))
@@ -170,35 +175,51 @@ def _solve(rows: DataFrame, is_query, s: Settings) -> DataFrame:
     grouped = _groups([(i, c) for i, (_, c) in radius.items()], points, s.group_queries)
     count = 1 + max((g for g, _ in grouped.values()), default=-1)
     cells = sorted(grouped)
-    blocks = max(1, math.ceil(n / s.block_rows))
     parts_of = [1] * count
     for g, p in grouped.values():
         parts_of[g] = max(parts_of[g], p)
 
+    def groups_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, group) of all groups that candidates can be needed in."""
+        d = as_candidate(v)
+        own = d.argmin(1)
+        nearest = d[np.arange(len(v)), own]
+        needed = np.zeros((len(v), count), bool)
+        for i in cells:
+            low = d[:, i] - radius[i][0]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = (d[:, i] ** 2 - nearest**2) / (2 * gaps[i, own])
+            # a query of cell i is nearer to pivot i than to the candidate's: the plane between them parts the two
+            low = np.maximum(low, np.where(gaps[i, own] > 0, plane, 0))
+            needed[:, grouped[i][0]] |= low <= bound[i]
+        return np.nonzero(needed)
+
+    def tally(batches):
+        total = np.zeros(count, np.int64)
+        for batch in batches:
+            v = _matrix(batch.column("v"))
+            if len(v) and cells:
+                total += np.bincount(groups_of(v)[1], minlength=count)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(count), pa.int32()), pa.array(total)], ["g", "n"])
+
+    # a row for each group, and there are no more groups than pivots
+    sizes = {r.g: r.n for r in candidates.select("v").mapInArrow(tally, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    blocks = np.maximum(1, -(-np.array([sizes.get(g, 0) for g in range(count)], np.int64) // s.block_rows))
+
     def replicate(batches):
         for batch in batches:
             v = _matrix(batch.column("v"))
             if not len(v) or not cells:
                 continue
-            d = as_candidate(v)
-            own = d.argmin(1)
-            needed = np.zeros((len(v), count), bool)
-            for i in cells:
-                r = radius[i][0]
-                low = d[:, i] - r
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (d[:, i] ** 2 - d[np.arange(len(v)), own] ** 2) / (2 * gaps[i, own])
-                # a query of cell i is nearer to pivot i than to the candidate's: the plane between them parts the two
-                low = np.maximum(low, np.where(gaps[i, own] > 0, plane, 0))
-                needed[:, grouped[i][0]] |= low <= bound[i]
-            at, g = np.nonzero(needed)
-            block = np.array([hash(x) % blocks for x in zip(batch.column("vec_id").to_pylist(), d[:, 0].tolist(), strict=True)], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(block[at]), batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at))], ["g", "block", "vec_id", "v"])
+            at, g = groups_of(v)
+            mark = np.array([hash(x) & 0x7FFFFFFF for x in zip(batch.column("vec_id").to_pylist(), v[:, 0].tolist(), strict=True)], np.int64)
+            block = (mark[at] % blocks[g]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(block), batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at))], ["g", "block", "vec_id", "v"])
 
     part = {i: (g, p) for i, (g, p) in grouped.items()}
-    places = rows.sparkSession.createDataFrame([(i, g, p) for i, (g, p) in part.items()] or [(-1, -1, 1)], "cell int, g int, parts int")
+    places = rows.sparkSession.createDataFrame([(i, g, p, int(blocks[g])) for i, (g, p) in part.items()] or [(-1, -1, 1, 1)], "cell int, g int, parts int, blocks int")
     asked = queries.join(F.broadcast(places), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int"))
-    asked = asked.select("g", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
+    asked = asked.select("g", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
     shape = rows.sparkSession.createDataFrame([(g, p) for g, p in enumerate(parts_of)] or [(-1, 1)], "g int, parts int")
     sent = candidates.select("vec_id", "v").mapInArrow(replicate, "g int, block int, vec_id long, v array<long>")
     sent = sent.join(F.broadcast(shape), "g").select("g", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "v")

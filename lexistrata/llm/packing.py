@@ -5,13 +5,15 @@ distinct length: with T tokens at most sqrt(2 T) of them). Dynamic programming
 over it chooses the bucket boundaries with the least padding; the inner
 minimum is found on a convex hull of lines, so a bucket costs time linear in
 the number of lengths. Documents of a bucket, in an order spread by hash, then
-fill batches of ``budget // boundary`` documents.
+fill batches of ``budget // boundary`` documents. Their token ids are written in
+that order, so that a batch is one run of rows of the written table.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ from .tokenstore import tokens
 class Settings:
     buckets: int = 8
     budget: int = 65_536
+    end_id: int = 0
 
 
 def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
@@ -76,60 +79,76 @@ def _useless(a: tuple, b: tuple, c: tuple) -> bool:
     return (c[1] - a[1]) * (b[0] - a[0]) <= (b[1] - a[1]) * (c[0] - a[0])
 
 
-def token_count(text: Column, tokenizer: str) -> Column:
-    """Tokens of each whole text with an end token, by the tokenizers library; null counts as empty."""
+def _width(tokenizer: str) -> str:
+    return "<u2" if tokens(tokenizer).library.get_vocab_size() <= 1 << 16 else "<u4"
 
-    @F.arrow_udf("bigint")
+
+def encoded(text: Column, tokenizer: str, settings: Settings = Settings()) -> Column:
+    """Struct (n_tokens, ids) of each whole text with the end token, by the tokenizers library; null counts as empty.
+
+    ``ids`` are little-endian, of 16 bits where the vocabulary fits, else of 32.
+    """
+
+    @F.arrow_udf("struct<n_tokens:bigint,ids:binary>")
     def run(texts: pa.Array) -> pa.Array:
-        encode = tokens(tokenizer).encode
-        return pa.array([len(encode(x or "")) // 4 + 1 for x in texts.to_pylist()], pa.int64())
+        encode, kind = tokens(tokenizer).encode, _width(tokenizer)
+        end = np.array([settings.end_id], kind).tobytes()
+        ids = [np.frombuffer(encode(x or ""), "<u4").astype(kind).tobytes() + end for x in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["n_tokens", "ids"])
 
     return run(text)
 
 
-def pack(docs: DataFrame, tokenizer: str, settings: Settings = Settings()) -> DataFrame:
-    """One row per document: doc_id, n_tokens, bucket (from 0), bucket_limit, padding, batch, slot.
+def pack_ids(docs: DataFrame, tokenizer: str, settings: Settings = Settings()) -> DataFrame:
+    """The written batches: a row per document with doc_id, n_tokens, bucket (from 0), bucket_limit, padding, batch, slot, ids.
 
     Batches are numbered from 0 within a bucket and hold at most ``budget``
-    padded tokens, or one document that is longer. Null and empty texts have the
-    end token alone. Repeated rows each get a place; a null doc_id has one too;
-    an empty table gives an empty result; other columns aren't read.
+    padded tokens, or one document that is longer. Files are ordered by bucket
+    and place, so a filter by bucket reads its files alone.
     """
     spark = docs.sparkSession
     ship(spark)
-    sized = materialise(docs.select("doc_id", token_count(F.col("text"), tokenizer).alias("n_tokens")), "lengths")
+    sized = docs.select("doc_id", encoded(F.col("text"), tokenizer, settings).alias("t")).select("doc_id", "t.*")
+    sized = materialise(sized, "encoded", "zstd")
+    # a row for each distinct length
     histogram = [(r.n_tokens, r.c) for r in sized.groupBy("n_tokens").agg(F.count("*").alias("c")).collect()]
-    ends = boundaries(histogram, settings.buckets)
-    if not ends:
-        ends = [1]
+    ends = boundaries(histogram, settings.buckets) or [1]
     table = F.array(*map(F.lit, ends))
-    bucket = F.size(F.filter(table, lambda e: e < F.col("n_tokens")))
-    spread = F.xxhash64("doc_id", "n_tokens")
-    rows = sized.withColumn("bucket", bucket).withColumn("spread", spread)
-    rows = rows.repartitionByRange(partitions(spark), "bucket", "spread", "doc_id").sortWithinPartitions("bucket", "spread", "doc_id")
-    rows = rows.withColumn("part", F.spark_partition_id())
-
-    def number(batches):
-        seen: dict = {}
-        for batch in batches:
-            places = []
-            for k in batch.column("bucket").to_pylist():
-                places.append(seen.get(k, 0))
-                seen[k] = places[-1] + 1
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "n_tokens", "bucket", "part")] + [pa.array(places, pa.int64())], ["doc_id", "n_tokens", "bucket", "part", "place"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    placed = rows.select("doc_id", "n_tokens", "bucket", "part").mapInArrow(number, f"doc_id {kind}, n_tokens long, bucket int, part int, place long")
-    placed = materialise(placed, "places")
+    order = ["bucket", "spread", "doc_id"]
+    rows = sized.withColumn("bucket", F.size(F.filter(table, lambda e: e < F.col("n_tokens")))).withColumn("spread", F.xxhash64("doc_id", "n_tokens"))
+    rows = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    # the number of a row has its partition in the upper bits and its place in the lower 33
+    rows = rows.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33).cast("int"))
+    placed = materialise(rows.drop("spread"), "placed", "zstd")
     # one row for each range partition and bucket in it: at most partitions + buckets
-    counts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n")).collect()
+    counts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.min("at").alias("first")).collect()
     ahead, before = {}, []
     for r in sorted(counts, key=lambda r: (r.bucket, r.part)):
-        before.append((r.bucket, r.part, ahead.get(r.bucket, 0)))
+        before.append((r.bucket, r.part, ahead.get(r.bucket, 0) - r.first))
         ahead[r.bucket] = ahead.get(r.bucket, 0) + r.n
     offsets = spark.createDataFrame(before, "bucket int, part int, ahead long")
     limit = F.element_at(table, F.col("bucket") + 1).cast("long")
     room = F.greatest(F.lit(1), F.floor(F.lit(settings.budget) / F.col("bucket_limit"))).cast("long")
-    out = placed.join(F.broadcast(offsets), ["bucket", "part"]).withColumn("bucket_limit", limit).withColumn("place", F.col("place") + F.col("ahead"))
-    out = out.withColumn("room", room)
-    return out.select("doc_id", "n_tokens", "bucket", "bucket_limit", (F.col("bucket_limit") - F.col("n_tokens")).alias("padding"), F.floor(F.col("place") / F.col("room")).alias("batch"), (F.col("place") % F.col("room")).alias("slot"))
+    out = placed.join(F.broadcast(offsets), ["bucket", "part"]).withColumn("bucket_limit", limit).withColumn("place", F.col("at") + F.col("ahead")).withColumn("room", room)
+    out = out.withColumn("batch", F.floor(F.col("place") / F.col("room"))).withColumn("slot", F.col("place") % F.col("room"))
+    return out.select("doc_id", "n_tokens", "bucket", "bucket_limit", (F.col("bucket_limit") - F.col("n_tokens")).alias("padding"), "batch", "slot", "ids")
+
+
+def padded(batch: list, tokenizer: str, pad: int = 0) -> np.ndarray:
+    """The ids of the rows of one batch as a matrix, in order of their slots, padded to the bucket's limit."""
+    kind = _width(tokenizer)
+    out = np.full((len(batch), batch[0].bucket_limit if batch else 0), pad, kind)
+    for k, r in enumerate(sorted(batch, key=lambda r: r.slot)):
+        out[k, : r.n_tokens] = np.frombuffer(bytes(r.ids), kind)
+    return out
+
+
+def pack(docs: DataFrame, tokenizer: str, settings: Settings = Settings()) -> DataFrame:
+    """Writes the batches and reads them back: the rows of ``pack_ids`` with the CRC-32 of the ids in place of these.
+
+    Null and empty texts have the end token alone. Repeated rows each get a place;
+    a null doc_id has one too; an empty table gives an empty result; other columns
+    aren't read.
+    """
+    out = pack_ids(docs, tokenizer, settings)
+    return out.select(*(c for c in out.columns if c != "ids"), F.crc32("ids").alias("ids_crc32"))

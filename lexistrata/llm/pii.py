@@ -8,7 +8,8 @@ Kinds: ``email``, ``ip``, ``card`` and ``phone`` follow fixed patterns, matched
 leftmost and without overlap, and dropped if they don't validate. ``address``
 (a web address that carries user information or an IPv6 host) and ``account``
 (an identifier after a cue such as ``iban:`` or ``password=``, or with an issuer's
-prefix) come from the other anchors.
+prefix) come from the other anchors. After ``iban`` groups of four letters or
+digits are read together, up to the last at which the check digits are right.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AUTHORITY = re.compile(r"[^\s/?#\"'<>]+")
 _SEPARATOR = re.compile(r"(?: ?(?:no|nr|number|num|id)\b\.?)?[ \t]{0,2}(?:[:=#][ \t]{0,2})?[\"']?")
 _VALUE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9]|[-_ ](?=[0-9]))*")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]{1,4}(?![A-Za-z0-9])|[ -]?[A-Za-z0-9]{4})*")
 _KEY = re.compile(r"[A-Za-z0-9_-]+")
 
 
@@ -96,7 +98,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         elif kind == "://":
             _address(text, at, out)
         elif kind == "cue":
-            _account(text, at, last + 1, out)
+            _account(text, at, last + 1, folded[at : last + 1], out)
         else:
             _issued(text, at, out)
     out = list(dict.fromkeys(out))
@@ -161,12 +163,30 @@ def _address(text: str, at: int, out: list) -> None:
         out.append(("address", start, m.end()))
 
 
-def _account(text: str, at: int, end: int, out: list) -> None:
+def _iban_end(text: str, start: int) -> int:
+    """Where the longest valid account number from ``start`` ends; -1 if there is none."""
+    m = _IBAN.match(text, start, start + 45)
+    end = m.end() if m else -1
+    while end > start:
+        number = re.sub("[ -]", "", text[start:end]).upper()
+        if len(number) < 15:
+            return -1
+        if len(number) <= 34 and int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1:
+            return end
+        # back to the end of the group before, or to none
+        end = max(text.rfind(" ", start, end), text.rfind("-", start, end))
+    return -1
+
+
+def _account(text: str, at: int, end: int, cue: str, out: list) -> None:
     if at > 0 and (text[at - 1].isalnum() or text[at - 1] == "_"):
         return
     start = _SEPARATOR.match(text, end).end()
     if start == end:
         return
+    if cue == "iban" and (stop := _iban_end(text, start)) > 0:
+        out.append(("account", start, stop))
+        return
     m = _VALUE.match(text, start)
     if m and len(m.group()) >= 6 and sum(c.isdigit() for c in m.group()) >= 4:
         out.append(("account", start, m.end()))
@@ -236,7 +256,11 @@ def masked(text: Column) -> Column:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of each text replaced by ``<KIND>``; n_chars follows the new text."""
+    """``docs`` with every span of each text replaced by ``<KIND>``; n_chars follows the new text.
+
+    Null and empty texts stay as they are; each of repeated rows is masked; an
+    empty table gives an empty result; extra columns stay, whatever their names.
+    """
     ship(docs.sparkSession)
     size = F.when(F.col("text").isNotNull(), F.length("text").cast("long"))
     return docs.withColumn("text", masked(F.col("text"))).withColumn("n_chars", size)

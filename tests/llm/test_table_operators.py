@@ -118,6 +118,17 @@ def test_packing_keeps_every_document_within_the_budget(docs, empty):
         sizes = [len(batches[b, i]) for i in range(sum(k[0] == b for k in batches))]
         assert len(set(sizes[:-1])) <= 1
     assert packing.pack(empty, tokenizer_path()).count() == 0
+    # the written batches hold the library's ids
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    rows = packing.pack_ids(docs, tokenizer_path(), s).collect()
+    want = sorted([*library.encode(t or "", add_special_tokens=False).ids, 0] for _, t in ODD)
+    assert sorted(np.frombuffer(bytes(r.ids), "<u2").tolist() for r in rows) == want
+    batch = [r for r in rows if (r.bucket, r.batch) == (rows[0].bucket, rows[0].batch)]
+    matrix = packing.padded(batch, tokenizer_path())
+    assert matrix.shape == (len(batch), batch[0].bucket_limit) and matrix.size <= max(s.budget, batch[0].bucket_limit)
+    assert all(matrix[r.slot, : r.n_tokens].tobytes() == bytes(r.ids) and not matrix[r.slot, r.n_tokens :].any() for r in batch)
     assert packing.boundaries([], 3) == []
 
 
@@ -281,7 +292,7 @@ def test_top_k_matches_plain(spark, kind):
     want = plain_top(rows)
     if kind == "large":
         want = [(q, r, i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, r, i, s in want]
-        assert {(q, r) for q, r, _, _ in got} == {(q, r) for q, r, _, _ in want}
+        assert [(q, r, score) for q, r, _, score in got] == [(q, r, score) for q, r, _, score in want]
     else:
         assert got == want
     assert knn.top_k(table.filter("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
