@@ -13,15 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-#: Rows of an Arrow batch at most: texts can be long, and two copies of a batch are held on either side.
+#: Rows and bytes of an Arrow batch at most: texts can be long, and two copies of a batch are held on either side.
 _BATCH_ROWS = 1000
+_BATCH_BYTES = 4 << 20
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, and bound Arrow batches."""
     if not 0 < int(spark.conf.get(_ROWS)) <= _BATCH_ROWS:
         spark.conf.set(_ROWS, str(_BATCH_ROWS))
+    if not 0 < int(str(spark.conf.get(_BYTES, "0")).rstrip("b")) <= _BATCH_BYTES:
+        spark.conf.set(_BYTES, str(_BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_lexistrata_shipped", False):
         return

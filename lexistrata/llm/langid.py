@@ -31,7 +31,7 @@ UNKNOWN = "und"
 _SPACE, _OTHER = 0, 1
 _SLICE = 1 << 20
 #: Places of a batch of blocks.
-_BATCH = 1 << 21
+_BATCH = 1 << 20
 
 
 @dataclass(frozen=True)

@@ -254,9 +254,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
         for c, found in _once(batches, lambda t: shingles(t, settings.shingle_words)):
             yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([found.tobytes()], pa.binary())], ["id", "found"])
 
-    # copies of a text go on once from each task
+    # copies of a text go on once from each task; written, so that a task has one Python worker at a time
     some = docs.select("text").mapInArrow(texts, "id bigint, text string").join(wanted, "id", "left_semi")
-    return some.select("text").mapInArrow(run, "id bigint, found binary").dropDuplicates(["id"])
+    return materialise(some.select("text"), "texts").mapInArrow(run, "id bigint, found binary").dropDuplicates(["id"])
 
 
 def _pairs(rows: DataFrame, low: int, high: int, refs: np.ndarray, settings: Settings) -> DataFrame:

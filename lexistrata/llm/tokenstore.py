@@ -57,7 +57,7 @@ class Tokens:
     library does. Texts that hold a special token go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
