@@ -24,7 +24,7 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, and bound Arrow batches."""
     if not 0 < int(spark.conf.get(_ROWS)) <= _BATCH_ROWS:
         spark.conf.set(_ROWS, str(_BATCH_ROWS))
-    if not 0 < int(str(spark.conf.get(_BYTES, "0")).rstrip("b")) <= _BATCH_BYTES:
+    if not 0 < int(str(spark.conf.get(_BYTES)).rstrip("b")) <= _BATCH_BYTES:
         spark.conf.set(_BYTES, str(_BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_lexistrata_shipped", False):
