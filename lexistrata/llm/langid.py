@@ -30,8 +30,8 @@ SCHEMA = "struct<lang_pred:string,score:double,bits:double,familiar:boolean>"
 UNKNOWN = "und"
 _SPACE, _OTHER = 0, 1
 _SLICE = 1 << 20
-#: Places of a batch of blocks.
-_BATCH = 1 << 20
+#: Places of a batch of blocks, for all languages together.
+_BATCH = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -39,14 +39,15 @@ class Settings:
     """Bounds of the training sample, and what the filter keeps.
 
     The sample of a language is at most ``docs_per_lang`` labelled rows, those
-    with the smallest hashes of their ids. Rows of more than ``doc_chars``
-    characters are not in it (if all are, the shortest is), and the others enter
-    whole, as long as the automaton's text stays within ``chars_per_lang``.
+    with the smallest hashes of their ids. Rows of up to ``doc_chars`` characters
+    enter it first, then longer ones, the shortest first; all enter whole, as long
+    as their texts stay within ``chars_per_lang`` (the first one always does).
     """
 
     docs_per_lang: int = 100
-    doc_chars: int = 20_000
-    chars_per_lang: int = 100_000
+    #: Walks of texts that are in the sample themselves take time with the length of its rows.
+    doc_chars: int = 4_000
+    chars_per_lang: int = 120_000
     #: One row of so many is kept back from the automaton; the filter's limit comes from these.
     hold_back: int = 5
     #: Bits a character a kept text may need, against the most of the rows kept back, and phrases granted on top for short texts.
@@ -109,7 +110,7 @@ def suffix_automaton(codes: list[int]) -> list[dict]:
 
 
 class Parser:
-    """Cross-parser for one language.
+    """Table of the automaton of one language.
 
     State s goes by class c to ``to[base[s] + c]`` if ``owner[base[s] + c]`` is
     s. State 0 stands for no phrase being open: nothing leads on from it, and
@@ -161,42 +162,76 @@ class Parser:
         self.to = np.concatenate([to, np.zeros(classes, np.int32)])[:end]
         self.bits = math.log2(max(2, len(codes)))
 
-    def _step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next states, and where a phrase begins."""
-        at = self.base[state] + c
-        on = self.owner[at] == state
-        return np.where(on, self.to[at], self.first[c]), ~on
+
+class Walk:
+    """Walks of texts through the parsers of all languages at once; states and places of each come after those of the one before."""
+
+    def __init__(self, parsers: list[Parser], classes: int):
+        states = np.cumsum([0] + [len(p.base) for p in parsers])
+        places = np.cumsum([0] + [len(p.owner) for p in parsers])
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.closed = states[:-1]
+        self.base = join([p.base + a for p, a in zip(parsers, places, strict=False)])
+        self.owner = join([np.where(p.owner < 0, -1, p.owner + a) for p, a in zip(parsers, states, strict=False)])
+        self.to = join([p.to + a for p, a in zip(parsers, states, strict=False)])
+        self.first = join([p.first + a for p, a in zip(parsers, states, strict=False)])
+        self.row = np.arange(len(parsers)) * classes
+        self.__setstate__(self.__dict__)
+
+    def __getstate__(self) -> dict:
+        """Half as wide for the broadcast."""
+        return {k: v.astype(np.int32) for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        """As wide as an index: gathers need no casts."""
+        self.__dict__.update({k: v.astype(np.int64) for k, v in state.items()})
+
+    def _step(self, state: np.ndarray, c: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase goes on; ``row`` says of which language ``first`` is."""
+        at = self.base.take(state)
+        at += c
+        on = self.owner.take(at) == state
+        return np.where(on, self.to.take(at), self.first.take(c + row)), on
 
     def phrases(self, codes: np.ndarray, lengths: np.ndarray, before: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(phrases that begin, state at the end) of each column of ``codes``.
+        """(phrases that begin, state at the end) by language and column of ``codes``.
 
         Columns are sorted by length, the longest first. ``before`` has the column
-        that a column continues, or -1 if it is entered with the state ``entry``.
+        that a column continues, or -1 if it is entered with the states ``entry``.
         """
         size, n = codes.shape
-        state = np.zeros(n, np.int32)
-        path, begins = np.zeros((size, n), np.int32), np.zeros((size, n), bool)
+        many = len(self.closed)
+        entered = np.repeat(self.closed[:, None], n, 1)
+        state = entered.copy()
+        path, goes_on = np.zeros((size, many, n), np.int32), np.ones((size, many, n), bool)
         for t, wide in enumerate(np.searchsorted(-lengths, -np.arange(size), "left").tolist()):
-            path[t, :wide], begins[t, :wide] = self._step(state[:wide], codes[t, :wide])
-            state[:wide] = path[t, :wide]
-        entered = np.zeros(n, np.int32)
+            state[:, :wide], goes_on[t, :, :wide] = self._step(state[:, :wide], codes[t, :wide], self.row[:, None])
+            path[t, :, :wide] = state[:, :wide]
+        path, goes_on = path.reshape(size, -1), goes_on.reshape(size, -1)
+        entered, state = entered.ravel(), state.ravel()
         while True:
-            want = np.where(before >= 0, state[before], entry)
+            want = np.where(before >= 0, state.reshape(many, n)[:, before], entry).ravel()
             live = np.flatnonzero(want != entered)
             if not len(live):
-                return begins.sum(0), state
+                return (~goes_on).sum(0).reshape(many, n), state.reshape(many, n)
             entered[live] = now = want[live]
+            column, row = live % n, self.row[live // n]
+            shortest = int(lengths[column].min())
             for t in range(size + 1):
-                done = lengths[live] <= t
-                if done.any():
+                if t >= shortest:
+                    done = lengths[column] <= t
                     state[live[done]] = now[done]
-                    live, now = live[~done], now[~done]
-                if not len(live):
-                    break
-                now, new = self._step(now, codes[t, live])
-                apart = now != path[t, live]
-                path[t, live], begins[t, live] = now, new
-                live, now = live[apart], now[apart]
+                    live, now, column, row = live[~done], now[~done], column[~done], row[~done]
+                    if not len(live):
+                        break
+                now, on = self._step(now, codes[t].take(column), row)
+                same = path[t].take(live) == now
+                path[t][live], goes_on[t][live] = now, on
+                if same.any():
+                    apart = ~same
+                    live, now, column, row = live[apart], now[apart], column[apart], row[apart]
+                    if not len(live):
+                        break
 
 
 class Model:
@@ -208,17 +243,14 @@ class Model:
         samples = {k: [t for t in v if has_letters(t)] for k, v in samples.items()}
         self.langs = sorted(k for k, v in samples.items() if v)
         self.letters = Letters([t for v in samples.values() for t in v])
-        self.parsers, aside = [], []
+        parsers, aside = [], []
         for k in self.langs:
             texts = samples[k]
             fit = [t for i, t in enumerate(texts) if len(texts) < settings.hold_back or i % settings.hold_back]
-            kept, held = [], 0
-            for t in fit:
-                if not kept or held + len(t) <= settings.chars_per_lang:
-                    kept.append(t)
-                    held += len(t) + 1
-            self.parsers.append(Parser(self.letters.classes("\n".join(kept)), self.letters.size))
+            parsers.append(Parser(self.letters.classes("\n".join(fit)), self.letters.size))
             aside.append(texts[:: settings.hold_back] if len(texts) >= settings.hold_back else [])
+        self.each = np.array([p.bits for p in parsers])
+        self.walk = Walk(parsers, self.letters.size)
         self.limits = [math.inf] * len(self.langs)
         for k, texts in enumerate(aside):
             bits = self.bits(texts)[0][k]
@@ -228,6 +260,7 @@ class Model:
     def _batches(self, texts: list[str | None]):
         """(columns, lengths, owner, column before, continues) of batches of blocks."""
         size = self.settings.block
+        most = max(1, _BATCH // (size * max(1, len(self.langs))))
         parts: list[np.ndarray] = []
         owner: list[int] = []
         goes_on = False
@@ -235,7 +268,7 @@ class Model:
         def flush():
             lengths = np.array([len(p) for p in parts])
             order = np.argsort(-lengths, kind="stable")
-            columns = np.zeros((len(parts), size), np.int32)
+            columns = np.zeros((len(parts), size), np.int64)
             for k, p in enumerate(parts):
                 columns[k, : len(p)] = p
             place = np.empty(len(parts), np.int64)
@@ -254,7 +287,7 @@ class Model:
                 for b in range(0, len(codes), size):
                     parts.append(codes[b : b + size])
                     owner.append(i)
-                    if len(parts) * size >= _BATCH:
+                    if len(parts) >= most:
                         yield flush()
                         goes_on = True
                         parts, owner = [], []
@@ -268,20 +301,18 @@ class Model:
         n = len(texts)
         count = np.zeros((len(self.langs), n))
         chars, letters = np.zeros(n), np.zeros(n)
-        carried, carrier = np.zeros(len(self.langs), np.int32), -1
+        carried, carrier = self.walk.closed, -1
         for columns, lengths, owner, before, place, goes_on in self._batches(texts):
             chars += np.bincount(owner, lengths, n)
             letters += np.bincount(owner, (columns > _SPACE).sum(0), n)
-            entry = np.zeros(len(owner), np.int32)
-            for k, parser in enumerate(self.parsers):
-                # the first block may continue the last text of the batch before
-                entry[place[0]] = carried[k] if goes_on and owner[place[0]] == carrier else 0
-                found, state = parser.phrases(columns, lengths, before, entry)
-                count[k] += np.bincount(owner, found, n)
-                carried[k] = state[place[-1]]
-            carrier = owner[place[-1]]
-        each = np.array([p.bits for p in self.parsers])[:, None] if self.parsers else np.zeros((0, 1))
-        return count * each / np.maximum(1, chars), chars, letters
+            entry = np.repeat(self.walk.closed[:, None], len(owner), 1)
+            if goes_on and owner[place[0]] == carrier:
+                entry[:, place[0]] = carried  # the first block continues the last text of the batch before
+            found, state = self.walk.phrases(columns, lengths, before, entry)
+            for k in range(len(self.langs)):
+                count[k] += np.bincount(owner, found[k], n)
+            carried, carrier = state[:, place[-1]], owner[place[-1]]
+        return count * self.each[:, None] / np.maximum(1, chars), chars, letters
 
     def rows(self, texts: list[str | None]) -> list[tuple]:
         """(language, score, bits a character, whether that is within the language's limit) of each text."""
@@ -294,7 +325,7 @@ class Model:
             order = np.argsort(bits[:, i], kind="stable")
             k, best = int(order[0]), float(bits[order[0], i])
             score = 1.0 if len(order) == 1 else 1 - best / float(bits[order[1], i])
-            familiar = best <= self.limits[k] + self.settings.grace * self.parsers[k].bits / chars[i]
+            familiar = best <= self.limits[k] + self.settings.grace * self.each[k] / chars[i]
             out.append((self.langs[k], min(1.0, max(0.0, score)), best, bool(familiar)))
         return out
 
@@ -314,7 +345,9 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> dict[str, list[st
     long = F.when(F.length("text") > settings.doc_chars, F.length("text")).otherwise(0)
     rows = ours.filter("text IS NOT NULL").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").withColumn("long", long)
     best = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "text")
-    rows = rows.withColumn("k", F.row_number().over(best)).filter((F.col("k") == 1) | ((F.col("k") <= settings.docs_per_lang) & (F.col("long") == 0)))
+    rows = rows.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= settings.docs_per_lang)
+    held = F.sum(F.length("text") + 1).over(Window.partitionBy("lang").orderBy("k"))
+    rows = rows.withColumn("held", held).filter((F.col("k") == 1) | (F.col("held") <= settings.chars_per_lang))
     texts: dict[str, list] = {}
     for r in sorted(rows.collect(), key=lambda r: (r.lang, r.k)):
         texts.setdefault(r.lang, []).append(r.text)

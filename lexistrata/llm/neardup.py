@@ -59,7 +59,7 @@ class Settings:
     hubs: int = 4
     growth: int = 8
     #: Members of a larger bucket are dealt out in blocks of so many, with its hubs in each.
-    block: int = 2048
+    block: int = 512
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -262,13 +262,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
 def _pairs(rows: DataFrame, low: int, high: int, refs: np.ndarray, settings: Settings) -> DataFrame:
     """(a, b): pairs of each bucket, the lower of their places from ``low`` to below ``high``, where they aren't connected and may be similar.
 
-    The place of a class in a bucket is a hash below the bucket's size, so hubs
-    are found without sorting a bucket; equal places are told apart by id.
+    The place of a class in a bucket is its hash as a share of the bucket's size,
+    so hubs are found without sorting a bucket, and are the same ones in all the
+    buckets that classes share. a is the hub: b, not a, decides where a pair goes
+    with the set of the other.
     """
     over, under, radius = settings.over, settings.under, settings.radius
 
     def solve(t: pa.Table):
-        cell, ids, n, label, place, hub = (t.column(c).to_numpy() for c in ("cell", "id", "n", "label", "place", "hub"))
+        cell, ids, n, label, mark, hub = (t.column(c).to_numpy() for c in ("cell", "id", "n", "label", "mark", "hub"))
         fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(t.num_rows, -1)
         bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(t.num_rows, -1)
         table = np.stack([np.bitwise_count(fp ^ r).sum(1, dtype=np.int16) for r in refs], 1)
@@ -279,8 +281,7 @@ def _pairs(rows: DataFrame, low: int, high: int, refs: np.ndarray, settings: Set
         for i in range(int(hubs.max(initial=0))):
             at = members[hubs[run[members]] > i]
             to = starts[run[at]] + i
-            after = (place[at] > place[to]) | ((place[at] == place[to]) & (ids[at] > ids[to]))
-            live = after & (label[at] != label[to]) & (over * np.maximum(n[at], n[to]) <= under * np.minimum(n[at], n[to]))
+            live = (mark[at] > mark[to]) & (label[at] != label[to]) & (over * np.maximum(n[at], n[to]) <= under * np.minimum(n[at], n[to]))
             at, to = at[live], to[live]
             near = (np.abs(table[at] - table[to]).max(1) <= radius) if len(at) else np.zeros(0, bool)
             at, to = at[near], to[near]
@@ -288,16 +289,17 @@ def _pairs(rows: DataFrame, low: int, high: int, refs: np.ndarray, settings: Set
             at, to = at[true], to[true]
             apart = np.bitwise_count(bits[at] ^ bits[to]).sum(1, dtype=np.int64)
             some = apart * (over + under) <= (under - over) * (n[at] + n[to])
-            a, b = ids[at[some]], ids[to[some]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[to[some]]), pa.array(ids[at[some]])], ["a", "b"])
 
     blocks = F.ceil(F.col("size") / settings.block)
-    rows = rows.withColumn("place", F.pmod(F.xxhash64("id", "bucket"), F.col("size"))).filter(F.col("place") >= low)
+    mark = F.shiftrightunsigned(F.xxhash64("id"), 1)
+    place = F.floor(mark.cast("double") / F.lit(float(1 << 63)) * F.col("size")).cast("bigint")
+    rows = rows.withColumns({"mark": mark, "place": place}).filter(F.col("place") >= low)
     members = rows.withColumns({"part": F.pmod(F.xxhash64("id"), blocks), "hub": F.lit(False)})
     hubs = rows.filter(F.col("place") < high).withColumns({"part": F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)), "hub": F.lit(True)})
-    dealt = members.unionByName(hubs).withColumn("cell", F.xxhash64("bucket", "part")).select("cell", "hub", "id", "n", "fp", "bits", "label", "place")
-    dealt = dealt.repartition("cell").sortWithinPartitions("cell", F.col("hub").desc(), "place", "id")
+    dealt = members.unionByName(hubs).withColumn("cell", F.xxhash64("bucket", "part")).select("cell", "hub", "id", "n", "fp", "bits", "label", "mark")
+    dealt = dealt.repartition("cell").sortWithinPartitions("cell", F.col("hub").desc(), "mark")
     return dealt.mapInArrow(lambda b: _whole(b, "cell", solve), "a bigint, b bigint").distinct()
 
 

@@ -118,7 +118,7 @@ def test_cross_parsing_matches_plain(sample, texts, block):
         codes = model.letters.classes(text)
         assert chars[i] == len(codes)
         for k, known in enumerate((sample, "bcd")):
-            want = plain_phrases(model.letters.classes(known), codes) * model.parsers[k].bits / max(1, len(codes))
+            want = plain_phrases(model.letters.classes(known), codes) * model.each[k] / max(1, len(codes))
             assert abs(bits[k, i] - want) < 1e-9
 
 
