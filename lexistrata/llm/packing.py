@@ -109,7 +109,7 @@ def pack_ids(docs: DataFrame, tokenizer: str, settings: Settings = Settings()) -
     spark = docs.sparkSession
     ship(spark)
     sized = docs.select("doc_id", encoded(F.col("text"), tokenizer, settings).alias("t")).select("doc_id", "t.*")
-    sized = materialise(sized, "encoded", "zstd")
+    sized = materialise(sized, "encoded")
     # a row for each distinct length
     histogram = [(r.n_tokens, r.c) for r in sized.groupBy("n_tokens").agg(F.count("*").alias("c")).collect()]
     ends = boundaries(histogram, settings.buckets) or [1]

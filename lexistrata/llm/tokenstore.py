@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +32,31 @@ class Settings:
 
 
 class _Words(dict):
-    """Ids by word, as bytes; a new word is encoded, and a full table starts anew."""
+    """Ids by word, as bytes; a new word is encoded.
+
+    A table that is half full becomes the older half, from which words that are
+    met again come back; the half before it goes.
+    """
 
     def __init__(self, library, most: int):
         super().__init__()
-        self.most = most
+        self.half = max(1, most // 2)
+        self.older: dict = {}
         self.tokenize = library.model.tokenize
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
         self.letters = {b: b if b in plain else next(spare) for b in range(256)}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
+        ids = self.older.get(word)
+        if ids is None:
+            mapped = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+            found = [t.id for t in self.tokenize(mapped)]
+            ids = pack(f"<{len(found)}I", *found)
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        mapped = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        ids = self[word] = np.array([t.id for t in self.tokenize(mapped)], "<u4").tobytes()
+        self[word] = ids
         return ids
 
 
@@ -57,7 +68,7 @@ class Tokens:
     library does. Texts that hold a special token go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
