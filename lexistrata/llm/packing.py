@@ -27,6 +27,8 @@ class Settings:
     buckets: int = 8
     budget: int = 65_536
     end_id: int = 0
+    #: Bytes of ids that a range partition gets on average at most.
+    part_bytes: int = 64 << 20
 
 
 def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
@@ -116,7 +118,8 @@ def pack_ids(docs: DataFrame, tokenizer: str, settings: Settings = Settings()) -
     table = F.array(*map(F.lit, ends))
     order = ["bucket", "spread", "doc_id"]
     rows = sized.withColumn("bucket", F.size(F.filter(table, lambda e: e < F.col("n_tokens")))).withColumn("spread", F.xxhash64("doc_id", "n_tokens"))
-    rows = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    total = sum(n * c for n, c in histogram) * int(_width(tokenizer)[2:])
+    rows = rows.repartitionByRange(max(partitions(spark), -(-total // settings.part_bytes)), *order).sortWithinPartitions(*order)
     # the number of a row has its partition in the upper bits and its place in the lower 33
     rows = rows.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33).cast("int"))
     placed = materialise(rows.drop("spread"), "placed", "zstd")
