@@ -22,8 +22,9 @@ def _fold_pairs() -> tuple[str, str]:
 
 _MARKED, _PLAIN = _fold_pairs()
 
-#: Python's white space, beyond what a Java pattern calls \s.
-SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+#: Python's white space.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{_SPACES}]"
 #: Characters between which an expression may not stretch.
 _SPAN_CUT = r"[.,;:!?¿¡()\[\]{}«»\"“”„–—…•|\n\t]| {6,}"
 
@@ -39,7 +40,9 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(F.coalesce(c, F.lit(""))))
+    """Size of ``words``, without the array's filter."""
+    bare = F.btrim(F.coalesce(c, F.lit("")), F.lit(_SPACES))
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, SPACE + "+")))
 
 
 def index_tokens(c: Column) -> Column:

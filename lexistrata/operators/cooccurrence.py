@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranking import cut
 from ..functions.stats import log_likelihood
 from ..functions.text import index_tokens
 from .expressions import NUMBERS
@@ -41,6 +42,7 @@ def edges(corpus: DataFrame, terms: DataFrame, fragment: int | None = None, g2_m
     vocabulary, so counting needs one shuffle with partial aggregation.
     """
     units, n = unit_terms(corpus, terms, fragment)
+    units = cut(units)  # read twice, and made from the texts
     df = units.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     pairs = units.select(F.posexplode("terms").alias("i", "a"), "terms").select("a", F.explode(F.slice("terms", F.col("i") + 2, F.greatest(F.lit(0), F.size("terms") - F.col("i") - 1))).alias("b"))
     counts = pairs.groupBy("a", "b").agg(F.count("*").alias("both"))
@@ -65,9 +67,9 @@ def themes(network: DataFrame, terms: DataFrame, gamma: float = 1.0, seed: int =
     The network has at most the vocabulary's nodes, so it is solved on the driver.
     """
     spark = network.sparkSession
-    names = [r.term for r in terms.orderBy("term").collect()]
+    g2 = {r.term: r.g2 for r in terms.orderBy("term").collect()}
+    names = list(g2)
     at = {t: i for i, t in enumerate(names)}
-    g2 = {r.term: r.g2 for r in terms.collect()}
     links = [(at[r.a], at[r.b], r.weight) for r in network.orderBy("a", "b").collect()]
     part, _ = leiden(len(names), links, gamma, seed)
     strength = [0.0] * len(names)
@@ -143,6 +145,6 @@ def dominant_theme(corpus: DataFrame, members: DataFrame) -> DataFrame:
 
 def network(corpus: DataFrame, collection: DataFrame, size: int = 250, fragment: int | None = None, k: int = 10, min_freq: int = 5, g2_min: float = 10.83) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, pruned edges) of a collection."""
-    terms = vocabulary(keyness(corpus, collection, min_freq), size)
+    terms = cut(vocabulary(keyness(corpus, collection, min_freq), size))
     own = corpus.join(collection.select("id"), "id", "left_semi").filter("dm_speech = 1")
     return terms, nearest(edges(own, terms, fragment, g2_min), k)

@@ -53,7 +53,12 @@ def corpus_from_documents(docs: DataFrame) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_from_documents(read(spark, sf_dir, "documents"))
+    """The corpus table. Files of fewer splits than there are cores are dealt out by id, as text work would wait for few of them."""
+    docs = read(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores, "doc_id")
+    return corpus_from_documents(docs)
 
 
 def collection_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
