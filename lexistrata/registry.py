@@ -204,12 +204,12 @@ def id_list_capped(spark, d):
     return search.id_list(corpus(spark, d), "que", order="date_asc", cap=40)
 
 
-@query("""WITH items AS (SELECT doc_id AS id, quality AS collection_id FROM labels UNION ALL SELECT doc_id, 10 + toxic FROM labels), p AS (SELECT doc_id AS id FROM documents WHERE doc_id < 100)
+@query("""WITH items AS (SELECT doc_id AS id, quality AS collection_id FROM labels UNION ALL SELECT doc_id, 10 + toxic FROM labels), p AS (SELECT doc_id AS id FROM documents)
 SELECT p.id, coalesce(list_sort(list(DISTINCT collection_id) FILTER (collection_id IS NOT NULL)), []) AS collections FROM p LEFT JOIN items USING (id) GROUP BY 1""")
 def membership(spark, d):
     labels = read(spark, d, "labels")
     items = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("collection_id")).unionAll(labels.select("doc_id", F.col("toxic") + 10))
-    return search.membership(corpus(spark, d).filter("id < 100"), items)
+    return search.membership(corpus(spark, d), items)
 
 
 @query()
@@ -475,17 +475,25 @@ def dominant_theme(spark, d):
     return cooccurrence.dominant_theme(corpus(spark, d), spark.createDataFrame(rows, "theme int, term string"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 400 AS a, (l_partkey % 97) + 1000 AS b FROM lineitem WHERE l_orderkey % 31 = 0),
-g AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT x, x FROM g UNION SELECT r.node, g.y FROM r JOIN g ON g.x = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY 1""")
+def _components_sql(edges: str) -> str:
+    """Components of the edges (a, b) of a subquery, labels passed on until none falls."""
+    return f"""WITH RECURSIVE e AS ({edges}), g AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
+r(node, component) USING KEY (node) AS (SELECT DISTINCT x, x FROM g UNION
+  SELECT g.y, min(r.component) FROM r JOIN g ON g.x = r.node JOIN recurring.r AS k ON k.node = g.y WHERE r.component < k.component GROUP BY g.y)
+SELECT node, component FROM r"""
+
+
+@query(_components_sql("SELECT DISTINCT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem"))
 def connected_components(spark, d):
-    e = read(spark, d, "lineitem").filter("l_orderkey % 31 = 0").select((F.col("l_orderkey") % 400).alias("a"), (F.col("l_partkey") % 97 + 1000).alias("b")).distinct()
+    """Orders (even nodes) and parts (odd ones) that all rows of lineitem link."""
+    e = read(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
     return graph.components(e)
 
 
-@query()
-def connected_components_whole(spark, d):
-    """Over all rows and keys, where recursive SQL is too slow; orders are even nodes, parts odd ones."""
-    e = read(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
+@query(_components_sql("SELECT DISTINCT o_orderkey * 2 AS a, o_custkey * 2 + 1 AS b FROM orders"))
+def connected_components_orders(spark, d):
+    """Orders (even nodes) and customers (odd ones): a component for each customer."""
+    e = read(spark, d, "orders").select((F.col("o_orderkey") * 2).alias("a"), (F.col("o_custkey") * 2 + 1).alias("b"))
     return graph.components(e)
 
 
@@ -619,16 +627,16 @@ def library_listing(spark, d):
     return library.listing(_collections(spark), _items(spark, d), "ES")
 
 
-@query(f"""WITH items AS ({_ITEMS}), top AS (SELECT max(position) AS top FROM items WHERE collection_id = 1), new AS (SELECT doc_id AS id, doc_id AS k FROM documents WHERE doc_id < 50)
+@query(f"""WITH items AS ({_ITEMS}), top AS (SELECT max(position) AS top FROM items WHERE collection_id = 1), new AS (SELECT doc_id AS id, doc_id AS k FROM documents)
 SELECT collection_id, corpus, id, position FROM items UNION ALL SELECT 1, 'ES', id, (top + 1 + k)::INTEGER FROM new, top WHERE id NOT IN (SELECT id FROM items WHERE collection_id = 1)""")
 def library_add_items(spark, d):
-    ids = corpus(spark, d).filter("id < 50").select("id", F.col("id").alias("k"))
+    ids = corpus(spark, d).select("id", F.col("id").alias("k"))
     return library.add_items(_items(spark, d), 1, "ES", ids).select("collection_id", "corpus", "id", "position")
 
 
-@query(f"WITH items AS ({_ITEMS}) SELECT collection_id, id FROM items WHERE NOT (collection_id = 1 AND id < 100)")
+@query(f"WITH items AS ({_ITEMS}) SELECT collection_id, id FROM items WHERE NOT (collection_id = 1 AND id IN (SELECT doc_id FROM labels WHERE toxic = 1))")
 def library_remove_items(spark, d):
-    return library.remove_items(_items(spark, d), 1, corpus(spark, d).filter("id < 100")).select("collection_id", "id")
+    return library.remove_items(_items(spark, d), 1, read(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))).select("collection_id", "id")
 
 
 @query("SELECT * FROM (VALUES (1, 'a', true), (9, 'b', false), (NULL, 'c', true)) t(collection_id, name, live)")
@@ -642,7 +650,7 @@ def export_csv_lines(spark, d):
     return exports.csv_lines(corpus(spark, d).withColumn("k", F.col("id")), ["id", "date", "rep_name"], "source")
 
 
-@query(CORPUS + """z AS (SELECT 1) SELECT count(*) AS rows, sum(nwords)::BIGINT AS words, sum(nbytes)::BIGINT AS text_bytes, (sum(nbytes) + 260 * count(*))::BIGINT AS csv_bytes, (sum(nbytes) + 150 * count(*))::BIGINT AS markdown_bytes FROM corpus WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+@query(CORPUS + """z AS (SELECT 1) SELECT count(*) AS rows, sum(nwords)::BIGINT AS words, sum(nbytes)::BIGINT AS text_bytes, round(sum(nbytes) * 1.003 + count(*) * 143)::BIGINT AS csv_bytes, round(sum(nbytes) * 1.02 + count(*) * 446.09 + 647.6)::BIGINT AS json_bytes, round(sum(nbytes) * 1.0015 + count(*) * 191)::BIGINT AS markdown_bytes, count(*) * 178 AS citations_bytes, count(*) * 191 AS bundle_bytes FROM corpus WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
 def export_estimate(spark, d):
     return exports.estimate(corpus(spark, d), collection_ids(spark, d))
 

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import escape_markup, guard_formula, slug
 
+#: Fixed value: the format tag by which bundles are told.
 BUNDLE = "2replib/1"
+#: Bytes of a row beside its text, and how much longer the text gets.
+ROW_BYTES = {"csv": 143, "json": 446.09, "markdown": 191, "citations": 178, "bundle": 191}
+TEXT_FACTOR = {"csv": 1.003, "json": 1.02, "markdown": 1.0015, "citations": 0.0, "bundle": 0.0}
+#: Fixed value: bytes of a JSON export beside its rows.
+JSON_NOTICE = 647.6
 
 
 def rows_for(corpus: DataFrame, ids: DataFrame) -> DataFrame:
@@ -59,10 +65,9 @@ def ris(rows: DataFrame) -> DataFrame:
 
 
 def estimate(corpus: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rows, words, text_bytes, csv_bytes, markdown_bytes) of an export, before it is made."""
-    return corpus.join(ids.select("id"), "id", "left_semi").agg(
-        F.count("*").alias("rows"), F.sum("nwords").alias("words"), F.sum("nbytes").alias("text_bytes"), (F.sum("nbytes") + 260 * F.count("*")).alias("csv_bytes"), (F.sum("nbytes") + 150 * F.count("*")).alias("markdown_bytes")
-    )
+    """(rows, words, text_bytes, and bytes for each format) of an export, before it is made."""
+    size = lambda k: F.round(F.sum("nbytes") * TEXT_FACTOR[k] + F.count("*") * ROW_BYTES[k] + (JSON_NOTICE if k == "json" else 0)).cast("long").alias(f"{k}_bytes")
+    return corpus.join(ids.select("id"), "id", "left_semi").agg(F.count("*").alias("rows"), F.sum("nwords").alias("words"), F.sum("nbytes").alias("text_bytes"), *map(size, ROW_BYTES))
 
 
 def gexf(nodes: DataFrame, edges: DataFrame, directed: bool = False) -> str:

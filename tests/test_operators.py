@@ -218,7 +218,7 @@ def test_components_of_all_lines(spark):
     for r in spark.read.parquet(f"{D}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
         x, y = root(2 * r.l_orderkey), root(2 * r.l_partkey + 1)
         up[max(x, y)] = min(x, y)
-    got = registry.queries()["connected_components_whole"](spark, D).collect()
+    got = registry.queries()["connected_components"](spark, D).collect()
     assert {r.node: r.component for r in got} == {x: root(x) for x in up} and len(got) == len(up)
 
 
