@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -11,10 +12,13 @@ _ROW_BITS = 33
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints to the folder in ``spark.checkpoint.dir``; sets one of its own only where that is unset."""
+    """Checkpoints to the folder in ``spark.checkpoint.dir``; sets one of its own only where that is unset and all runs on one machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexistrata-checkpoint-"))
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.match(r"local(\[.*\])?$", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="lexistrata-checkpoint-"))
     return df.checkpoint()
 
 

@@ -10,6 +10,7 @@ paragraphs, so they run as an Arrow function, one call for a batch of texts.
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -68,15 +69,17 @@ def kind(text: str) -> str:
 def pieces(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """A long paragraph cut at sentence ends near the target length; a short tail joins the last piece."""
     cuts = [a + m.end() for m in _SENTENCE.finditer(text[a:b])]
-    out, start = [], a
     ends = [*cuts, b]
+    # cuts stand behind white space, so the words up to one are a running sum
+    words = list(accumulate(len(text[x:y].split()) for x, y in zip([a, *cuts], ends, strict=True)))
+    out, start, before = [], a, 0
     for i, end in enumerate(ends):
-        n = len(text[start:end].split())
-        more = len(text[start : ends[i + 1]].split()) if i + 1 < len(ends) else n
-        rest = len(text[end:b].split())
+        n = words[i] - before
+        more = words[min(i + 1, len(ends) - 1)] - before
+        rest = words[-1] - words[i]
         if (n >= TARGET or (n >= LEAST and more > MOST)) and rest >= TAIL:
             out.append((start, end))
-            start = end
+            start, before = end, words[i]
     out.append((start, b))
     return out
 

@@ -129,10 +129,21 @@ def _snip(text: str, terms: list[tuple[str, ...]], size: int) -> str:
         return ""
     starts = [a for a, _ in spots]
     best, at = (-1, 0), 0
+    # hits low to high are inside the window; both ends only move on
+    low = high = 0
+    inside: dict[str, int] = {}
+    found = [text[x:y].lower() for x, y in hits]
     for i in range(max(1, len(spots) - size + 1)):
         a, b = starts[i], spots[min(len(spots), i + size) - 1][1]
-        inside = [text[x:y].lower() for x, y in hits if x >= a and y <= b]
-        score = len(set(inside)), len(inside)
+        while high < len(hits) and hits[high][1] <= b:
+            inside[found[high]] = inside.get(found[high], 0) + 1
+            high += 1
+        while low < high and hits[low][0] < a:
+            inside[found[low]] -= 1
+            if not inside[found[low]]:
+                del inside[found[low]]
+            low += 1
+        score = len(inside), high - low
         if score > best:
             best, at = score, i
     a, b = starts[at], spots[min(len(spots), at + size) - 1][1]

@@ -25,7 +25,7 @@ ROLES = (
 
 #: (pattern on the folded direction, class, label), the first that fits holds.
 DIRECTIONS = (
-    (r"(president[ea]|chair).*(campana|timbre|orden|silencio|agita)|toca el timbre|campanilla|rings the bell", "order", "call to order"),
+    (r"(?s)^(?=.*(president[ea]|chair))(?=.*(campana|timbre|orden|silencio|agita))|toca el timbre|campanilla|rings the bell", "order", "call to order"),
     (r"muy bien|bravo|hear, hear", "applause", "approval"),
     (r"protest|rumor|tumult|gritos|abuche|pateo|interrup|escandalo|uproar", "conflict", "protest"),
     (r"\brisas\b|laughter", "neutral", "laughter"),
