@@ -4,21 +4,29 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROW_BITS = 33
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lexistrata-shared-")
+    return f"{base.rstrip('/')}/lexistrata-{uuid.uuid4().hex}/{label}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoints to the folder in ``spark.checkpoint.dir``; sets one of its own only where that is unset and all runs on one machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not re.match(r"local(\[.*\])?$", sc.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="lexistrata-checkpoint-"))
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()
 
 

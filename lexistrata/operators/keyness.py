@@ -23,7 +23,11 @@ def keyness(corpus: DataFrame, collection: DataFrame, min_freq: int = 5, thresho
     candidates; the threshold comes first, then stop words, then single letters.
     A collection that is the whole corpus has no rest, and gives no rows.
     """
-    counts = term_counts(corpus, collection)
+    return judged(term_counts(corpus, collection), min_freq, threshold, stop_words)
+
+
+def judged(counts: DataFrame, min_freq: int = 5, threshold: float = 10.83, stop_words: frozenset = STOP_WORDS) -> DataFrame:
+    """Keyness from counts (term, a, k) in the collection and in the whole corpus."""
     sums = counts.agg(F.sum("a").alias("c"), F.sum("k").alias("n"))
     rows = counts.filter(F.col("a") >= min_freq).crossJoin(F.broadcast(sums))  # one row
     a, b, c, d = F.col("a"), F.col("k") - F.col("a"), F.col("c"), F.col("n") - F.col("c")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import stats
 from .functions.dates import month_of
+from .functions.ranking import shared_folder
 from .functions.text import ascii_tokens, escape_markup, guard_formula, slug
-from .operators import cooccurrence, document, expressions, facets, filters, graph, keyness, library, mentions, replies, search, sessions, speakers, temporal, trend, views
+from .operators import cooccurrence, document, expressions, facets, filters, graph, index, keyness, library, mentions, replies, search, sessions, speakers, temporal, trend, views
 from .operators.filters import Filters
 from .schema import collection_ids, corpus, read
 from .sources import exports
@@ -54,6 +55,17 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+_INDEXES: dict[tuple, index.Index] = {}
+
+
+def _index(spark: SparkSession, d: str) -> index.Index:
+    """The index of a corpus, built once in an application."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        _INDEXES[key] = index.build(corpus(spark, d), shared_folder(spark, "index"))
+    return _INDEXES[key]
+
+
 # --- facets and totals
 
 
@@ -165,6 +177,16 @@ def bm25_scores(spark, d):
     return search.scores(corpus(spark, d), "que | los").select("id", F.round("score", 6).alias("score"))
 
 
+@query(_BM25 + "SELECT id, round(score, 6) AS score FROM s")
+def index_bm25(spark, d):
+    return _index(spark, d).scores("que | los").select("id", F.round("score", 6).alias("score"))
+
+
+@query(CORPUS + TOKENS + f"z AS (SELECT 1) SELECT id FROM toks WHERE contains({LINE}, ' de la ') OR (list_contains(tokens, 'the') AND contains({LINE}, ' of the '))")
+def index_phrase(spark, d):
+    return _index(spark, d).match('"de la" | (the + "of the")', corpus(spark, d))
+
+
 @query(_BM25 + ", p AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 20) SELECT c.id, c.date, c.party, c.nwords FROM p JOIN corpus c USING (id)")
 def search_page(spark, d):
     return search.search(corpus(spark, d), "que | los", limit=20).select("id", "date", "party", "nwords")
@@ -293,6 +315,11 @@ def trend_word(spark, d):
     return trend.monthly(corpus(spark, d), trend.read_terms(["the", '"the"']))
 
 
+@query(_WORD)
+def index_trend(spark, d):
+    return _index(spark, d).monthly(corpus(spark, d), trend.read_terms(["the"]))
+
+
 @query(_trend_sql("prefix:ing", "len(list_filter(tokens, lambda x: starts_with(x, 'ing')))"))
 def trend_prefix(spark, d):
     return trend.monthly(corpus(spark, d), trend.read_terms(["ing*"]))
@@ -331,6 +358,11 @@ def vocabulary(spark, d):
     return trend.vocabulary(corpus(spark, d))
 
 
+@query(CORPUS + TOKENS + "z AS (SELECT 1) SELECT token, count(DISTINCT id) AS docs, count(*) AS count FROM tok GROUP BY 1")
+def index_vocabulary(spark, d):
+    return _index(spark, d).vocabulary()
+
+
 @query(CORPUS + TOKENS + "z AS (SELECT 1) SELECT token, count(DISTINCT id) AS docs, count(*) AS count FROM tok WHERE starts_with(token, 'tion') GROUP BY 1 ORDER BY count DESC, token LIMIT 8")
 def prefix_forms(spark, d):
     return trend.prefix_forms(trend.vocabulary(corpus(spark, d)), "tion")
@@ -368,6 +400,11 @@ def keyness_lang(spark, d):
     return _rounded(keyness.keyness(c, c.filter("legislature = 'es'")))
 
 
+@query(_keyness_sql("SELECT doc_id AS id FROM labels WHERE quality = 1"))
+def index_keyness(spark, d):
+    return _rounded(_index(spark, d).keyness(collection_ids(spark, d)))
+
+
 @query(_keyness_sql("SELECT doc_id AS id FROM labels WHERE quality = 1"))
 def keyness_collection(spark, d):
     return _rounded(keyness.keyness(corpus(spark, d), collection_ids(spark, d)))

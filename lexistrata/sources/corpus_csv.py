@@ -20,12 +20,22 @@ class IngestError(ValueError):
         self.code = code
 
 
+def _file(spark: SparkSession, path: str):
+    """Hadoop file system and path."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), file
+
+
 def sniff(spark: SparkSession, path: str) -> list[str]:
     """Looks at the head of a file; raises on what is no CSV, returns warnings."""
-    head = spark.read.format("binaryFile").load(path).select("length", F.substring("content", 1, 4096).alias("head")).first()
-    if head is None or not head.length:
+    fs, file = _file(spark, path)
+    stream = fs.open(file)
+    try:
+        data = bytes(stream.readNBytes(4096))
+    finally:
+        stream.close()
+    if not data:
         raise IngestError("empty_file")
-    data = bytes(head.head)
     if data[:4] in (b"PK\x03\x04", b"PK\x05\x06"):
         raise IngestError("zip_file")
     if data.startswith(b"SQLite format 3"):
@@ -59,7 +69,6 @@ def problems(raw: DataFrame) -> DataFrame:
     checks = {
         "field_count": F.col("corrupt").isNotNull(),
         "order_not_integer": F.col("intervention_order").isNotNull() & ~F.col("intervention_order").rlike(r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"),
-        "invalid_utf8": F.contains("text", F.lit("�")),
         "bad_date": F.col("date").isNotNull() & F.try_to_timestamp("date", F.lit("yyyy-MM-dd")).isNull(),
     }
     found = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in checks.items())), lambda x: x.isNotNull())
@@ -98,9 +107,13 @@ def ingest(spark: SparkSession, path: str) -> DataFrame:
     sniff(spark, path)
     raw = read_raw(spark, path)
     found = {r.code: r.n for r in problems(raw).collect()}
-    for code in ("field_count", "order_not_integer", "invalid_utf8"):
+    for code in ("field_count", "order_not_integer"):
         if code in found:
             raise IngestError(code, f"{found[code]} records")
+    # the text source keeps bytes as they are
+    wrong = spark.read.text(path).filter(~F.is_valid_utf8("value")).count()
+    if wrong:
+        raise IngestError("invalid_utf8", f"{wrong} lines")
     return transform(raw)
 
 
@@ -109,14 +122,14 @@ def write_corpus(corpus: DataFrame, path: str) -> None:
     corpus.repartition("year", F.pmod(F.xxhash64("id_session"), F.lit(32))).sortWithinPartitions("date", "num_session", "ord", "id").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
-def write_postings(corpus: DataFrame, path: str) -> None:
-    """(token, id, tf) sorted by token inside range partitions, so that a token's rows lie together."""
-    from ..functions.text import explode_tokens
-
-    tf = explode_tokens(corpus).groupBy("token", "id").agg(F.count("*").alias("tf"))
-    tf.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(path)
-
-
 def checksum(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of files, each read as a stream, whatever its size."""
+    fs, pattern = _file(spark, path)
+    rows = []
+    for status in fs.globStatus(pattern):
+        stream = fs.open(status.getPath())
+        try:
+            rows.append((str(status.getPath()), status.getLen(), spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        finally:
+            stream.close()
+    return spark.createDataFrame(rows, "path string, length long, sha256 string")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from lexistrata import registry
 from lexistrata.functions import text
-from lexistrata.operators import document, expressions, graph, library, mentions, replies, search, sessions, speakers, temporal, trend, views
+from lexistrata.operators import document, expressions, graph, index, library, mentions, replies, search, sessions, speakers, temporal, trend, views
 from lexistrata.plans.query import QueryError, fold_text, parse
 from lexistrata.schema import CORPUS, CSV_COLUMNS, corpus
 from lexistrata.sources import corpus_csv, exports
@@ -118,6 +118,11 @@ ROWS = [
 ]
 
 
+def _csv_bytes(folder):
+    with open(_csv(folder / "source.csv", ROWS), "rb") as f:
+        return f.read()
+
+
 def test_csv_ingest(spark, tmp_path):
     got = corpus_csv.ingest(spark, _csv(tmp_path / "c.csv", ROWS))
     assert got.columns == CORPUS.fieldNames()
@@ -127,9 +132,32 @@ def test_csv_ingest(spark, tmp_path):
     assert rows[0].speech == 'Order "of" the day\nsecond line' and rows[0].nwords == 6 and rows[2].date is None and rows[2].legislature == "Sin identificar" and rows[1].sex == "M"
     corpus_csv.write_corpus(got, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
-    corpus_csv.write_postings(got, str(tmp_path / "post"))
-    assert spark.read.parquet(str(tmp_path / "post")).filter("token = 'order'").count() == 1
-    assert corpus_csv.checksum(spark, str(tmp_path / "c.csv")).first().length > 0
+    found = index.build(got, str(tmp_path / "index"))
+    assert found.match("order").count() == 1 and found.match('"of the"', got).count() == 1 and found.match("nothing").count() == 0
+    assert [(r["token"], r["docs"], r["count"]) for r in found.vocabulary("ord").collect()] == [("order", 1, 1)]
+    with pytest.raises(ValueError, match="corpus"):
+        found.match('"of the"')
+    import hashlib
+
+    raw = (tmp_path / "c.csv").read_bytes()
+    assert [(r.length, r.sha256) for r in corpus_csv.checksum(spark, str(tmp_path / "c.csv")).collect()] == [(len(raw), hashlib.sha256(raw).hexdigest())]
+
+
+def test_index_of_an_empty_corpus(spark, tmp_path):
+    none = spark.createDataFrame([], CORPUS)
+    found = index.build(none, str(tmp_path / "index"))
+    assert found.scores("a | b").count() == 0 and found.vocabulary().count() == 0
+
+
+def test_replacement_characters_are_valid(spark, tmp_path):
+    good = tmp_path / "good.csv"
+    good.write_bytes(_csv_bytes(tmp_path).replace(b"second line", "second \ufffd line".encode()))
+    assert corpus_csv.ingest(spark, str(good)).count() == 4
+    bad = tmp_path / "bad.csv"
+    bad.write_bytes(_csv_bytes(tmp_path).replace(b"second line", b"second \xff line"))
+    with pytest.raises(corpus_csv.IngestError) as e:
+        corpus_csv.ingest(spark, str(bad))
+    assert e.value.code == "invalid_utf8"
 
 
 def test_csv_errors(spark, tmp_path):
