@@ -47,6 +47,12 @@ def candidates(corpus: DataFrame, longest: int = 7) -> DataFrame:
     )
 
 
+def counted(found: DataFrame) -> DataFrame:
+    """(gram, f, docs) of candidates."""
+    per_doc = found.groupBy("gram", "id").agg(F.count("*").alias("f"))
+    return per_doc.groupBy("gram").agg(F.sum("f").alias("f"), F.count("*").alias("docs"))
+
+
 def detect(corpus: DataFrame, least: int | None = None, least_docs: int = 3, extension: float = 0.8, g2_min: float = 10.83, longest: int = 7) -> DataFrame:
     """(form, n_tokens, freq, docs, independent, g2, c_value) of detected expressions.
 
@@ -57,9 +63,7 @@ def detect(corpus: DataFrame, least: int | None = None, least_docs: int = 3, ext
         n = corpus.select(F.sum(F.size(index_tokens(F.col("speech")))).alias("n")).first().n or 0
         least = max(20, math.ceil(0.25 * n / 1e6))
     found = candidates(corpus, longest)
-    per_doc = found.groupBy("gram", "id").agg(F.count("*").alias("f"))
-    counts = per_doc.groupBy("gram").agg(F.sum("f").alias("f"), F.count("*").alias("docs")).filter(F.col("f") >= least)
-    counts = cut(counts)
+    counts = cut(counted(found).filter(F.col("f") >= least))
     kept = counts.filter(F.col("docs") >= least_docs)
     # a gram that mostly stands inside a longer one is dropped
     sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")), F.struct(F.lit("r").alias("side"), F.col("right").alias("word"))))

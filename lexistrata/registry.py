@@ -430,6 +430,19 @@ def expressions_detected(spark, d):
     return expressions.detect(corpus(spark, d), least=5)
 
 
+_KIND = f"""CASE WHEN x IN ({", ".join(f"'{w}'" for w in expressions.CONNECTORS)}) THEN 1 WHEN length(x) >= 3 AND NOT regexp_matches(x, '[0-9]') AND x NOT IN ({", ".join(f"'{w}'" for w in expressions.NUMBERS)}) THEN 2 ELSE 0 END"""
+_GRAMS = CORPUS + rf"""sp AS (SELECT id, unnest(regexp_split_to_array(speech, '[.,;:!?¿¡()\[\]{{}}«»"“”„–—…•|\n\t]| {{6,}}')) AS s FROM corpus WHERE dm_speech = 1),
+w AS (SELECT id, regexp_extract_all(strip_accents(lower(s)), '[\p{{L}}\p{{N}}]+') AS w FROM sp), ty AS (SELECT id, w, list_transform(w, lambda x: {_KIND}) AS t FROM w WHERE len(w) >= 2),
+i AS (SELECT id, w, t, unnest(range(1, len(w))) AS i FROM ty), n AS (SELECT id, w, t, i, unnest(range(2, 8)) AS n FROM i WHERE t[i] = 2),
+g AS (SELECT id, array_to_string(w[i:i + n - 1], ' ') AS gram FROM n WHERE i + n - 1 <= len(w) AND t[i + n - 1] = 2 AND NOT list_contains(t[i:i + n - 1], 0))
+"""
+
+
+@query(_GRAMS + "SELECT gram, count(*) AS f, count(DISTINCT id) AS docs FROM g GROUP BY 1 HAVING count(*) >= 5")
+def expression_counts(spark, d):
+    return expressions.counted(expressions.candidates(corpus(spark, d))).filter("f >= 5")
+
+
 @query()
 def expression_units(spark, d):
     return expressions.units(corpus(spark, d), ["que los", "the of the", "of the", "de la"])
@@ -697,7 +710,7 @@ def export_references(spark, d):
     return exports.ris(corpus(spark, d).withColumn("k", F.col("id")))
 
 
-@query()
+@query(CORPUS + r"""z AS (SELECT 1) SELECT id AS k, concat_ws(chr(10), '## ' || rep_name, '', '*' || rep_name || ', (' || party || '), ' || date || ', session ' || num_session || ', id ' || id || '*', '', regexp_replace(speech, '(?m)^([#>*-])', '\\\1', 'g'), '') AS line FROM corpus""")
 def export_markdown(spark, d):
     return exports.markdown(corpus(spark, d).withColumn("k", F.col("id")))
 
