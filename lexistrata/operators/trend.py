@@ -150,8 +150,34 @@ def prefix_forms(vocab: DataFrame, prefix: str, k: int = 8) -> DataFrame:
     return vocab.filter(F.startswith("token", F.lit(prefix))).orderBy(F.col("count").desc(), "token").limit(k)
 
 
-def suggestions(vocab: DataFrame, word: str, k: int = 3, most: int = 20_000) -> list[str]:
-    """Close forms of a word without hits, among the commonest tokens with its first letter."""
-    near = vocab.filter(F.startswith("token", F.lit(word[:1])) & F.abs(F.length("token") - len(word)).between(0, 4))
-    rows = near.orderBy(F.col("count").desc(), "token").limit(most).select("token").collect()
+def suggestions(vocab: DataFrame, word: str, k: int = 3) -> list[str]:
+    """Close forms of a word without hits, among the tokens with its first two letters; a single letter has none.
+
+    A similarity of 0.75 leaves an edit distance of a quarter of both lengths at
+    most, so what isn't near is left out before anything is collected.
+    """
+    if len(word) < 2:
+        return []
+    near = vocab.filter(F.startswith("token", F.lit(word[:2])) & (4 * F.levenshtein("token", F.lit(word)) <= F.char_length("token") + len(word)))
+    rows = near.orderBy(F.col("count").desc(), "token").select("token").collect()
     return difflib.get_close_matches(word, [r.token for r in rows], k, 0.75)
+
+
+def without_hits(vocab: DataFrame, term: Term, least_prefix: int = 3, k: int = 5) -> dict:
+    """What to offer for a term that wasn't found.
+
+    For a word its close forms; for a phrase the words that no speech has, with
+    close forms of each; for a prefix the longest shorter one with tokens, and
+    its commonest ``k``.
+    """
+    if term.kind == "phrase":
+        known = {r.token for r in vocab.filter(F.col("token").isin(*term.tokens)).select("token").collect()}
+        missing = [t for t in dict.fromkeys(term.tokens) if t not in known]
+        return {"missing": missing, "alternatives": {t: suggestions(vocab, t) for t in missing}}
+    if term.kind == "prefix":
+        for size in range(len(term.tokens[0]) - 1, least_prefix - 1, -1):
+            forms = [(r["token"], r["count"]) for r in prefix_forms(vocab, term.tokens[0][:size], k).collect()]
+            if forms:
+                return {"prefix": term.tokens[0][:size], "forms": forms}
+        return {}
+    return {"alternatives": suggestions(vocab, term.tokens[0])}

@@ -79,6 +79,12 @@ def test_hits_and_snippets():
 def test_suggestions_and_thinning(spark):
     v = spark.createDataFrame([("casa", 9, 9), ("caso", 3, 3), ("perro", 1, 1)], "token string, docs long, count long")
     assert trend.suggestions(v, "cass") == ["caso", "casa"] or trend.suggestions(v, "cass") == ["casa", "caso"]
+    assert trend.suggestions(v, "c") == [] and trend.suggestions(v, "zzzz") == []
+    assert trend.without_hits(v, trend.read_term("cass")) == {"alternatives": trend.suggestions(v, "cass")}
+    phrase = trend.without_hits(v, trend.read_term('"casa pero"'))
+    assert phrase == {"missing": ["pero"], "alternatives": {"pero": ["perro"]}}
+    assert trend.without_hits(v, trend.read_term("casilla*")) == {"prefix": "cas", "forms": [("casa", 9), ("caso", 3)]}
+    assert trend.without_hits(v, trend.read_term("zzzz*")) == {}
     m = spark.createDataFrame([(f"m{i}", f"20{i:02d}-01-01", 1 if i < 2 else 2) for i in range(10)], "id string, date string, rank int")
     kept = trend.thin(m, 5).collect()
     assert len(kept) == 5 and sum(r["rank"] == 1 for r in kept) == 2
