@@ -448,7 +448,7 @@ def expression_units(spark, d):
     return expressions.units(corpus(spark, d), ["que los", "the of the", "of the", "de la"])
 
 
-_VOCAB = CORPUS + TOKENS + "v AS (SELECT token AS term, count(*) AS c FROM tok WHERE length(token) >= 4 GROUP BY 1 ORDER BY c DESC, term LIMIT 60), "
+_VOCAB = CORPUS + TOKENS + "v AS (SELECT token AS term, count(*) AS c FROM tok WHERE length(token) >= 4 GROUP BY 1 ORDER BY c DESC, term LIMIT 250), "
 _EDGES = _VOCAB + f"""
 u AS (SELECT DISTINCT id, token AS term FROM tok WHERE token IN (SELECT term FROM v)), df AS (SELECT term, count(*) AS df FROM u GROUP BY 1), n AS (SELECT count(*) AS n FROM corpus),
 p AS (SELECT a.term AS a, b.term AS b, count(*) AS n FROM u a JOIN u b ON a.id = b.id AND a.term < b.term GROUP BY 1, 2),
@@ -459,7 +459,7 @@ edge AS (SELECT * FROM e WHERE weight > 1 AND g2 >= 10.83)
 
 def _frequent(spark, d) -> DataFrame:
     v = trend.vocabulary(corpus(spark, d)).filter(F.char_length("token") >= 4)
-    return v.orderBy(F.col("count").desc(), "token").limit(60).select(F.col("token").alias("term"), F.col("count").cast("double").alias("g2"))
+    return v.orderBy(F.col("count").desc(), "token").limit(250).select(F.col("token").alias("term"), F.col("count").cast("double").alias("g2"))
 
 
 def _edges(spark, d) -> DataFrame:
@@ -498,7 +498,7 @@ def graph_modularity(spark, d):
 
 @query()
 def cooc_themes(spark, d):
-    terms, net = cooccurrence.network(corpus(spark, d), collection_ids(spark, d), 80)
+    terms, net = cooccurrence.network(corpus(spark, d), collection_ids(spark, d))
     return cooccurrence.themes(net, terms)
 
 
