@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knn, langid, packing, pii, quality, simhash, tokenstore, urlfilter, warc
+from . import bpe, collocations, knn, langid, licenses, packing, pii, quality, resample, simhash, tokenstore, urlfilter, warc
 from .common import read
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -59,6 +59,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(read(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ours = (op1_quality_rules, op2_language_id, op3_url_filters, op4_warc, op5_token_store, op6_knn_join, op7_packing, op8_simhash, op9_bpe, op10_pii, pipeline)
+    ours = (op1_quality_rules, op2_language_id, op3_url_filters, op4_warc, op5_token_store, op6_knn_join, op7_packing, op8_simhash, op9_bpe, op10_pii, op11_collocations, op12_licenses, op13_resample, pipeline)
     return {f.__name__: f for f in ours}
 
 
