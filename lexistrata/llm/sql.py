@@ -43,12 +43,20 @@ OP11 = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents WHERE text IS NOT NULL),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+w AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
 total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+stood AS (SELECT p, lang, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM w),
+five AS (
+  SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4, lead(w1, 4) OVER o AS w5
+  FROM stood WINDOW o AS (PARTITION BY p ORDER BY i)),
 grams AS (
-  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase
-  FROM w, range(1, 6) t(k) WHERE len(ws) >= k),
-f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+  SELECT lang, 1 AS k, w1 AS phrase FROM five
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM five WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM five WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM five WHERE w4 IS NOT NULL
+  UNION ALL SELECT lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM five WHERE w5 IS NOT NULL),
+counts AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+f AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS ws FROM counts),
 cuts AS (
   SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, n, (1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS score,
     row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f), t.i) AS o
