@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -268,6 +268,12 @@ def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> tuple[
     return materialise(words.unionByName(pairs).unionByName(longer), "frequent"), total
 
 
+def exact_score(a: str, n: str, l: str, r: str) -> Column:  # noqa: E741
+    """floor(1000 a n / (l r)) of four long columns, in decimals of 38 digits."""
+    wide = [f"cast({c} as decimal(38,0))" for c in ("1000", a, n, l, r)]
+    return F.expr("({} * {} * {}) div ({} * {})".format(*wide))
+
+
 def collocations(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Each language's first phrases by score: lang, rank, phrase, a, l, r, n, score.
 
@@ -283,9 +289,7 @@ def collocations(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     cuts = cuts.withColumn("left", joined(F.lit(1), F.col("k"))).withColumn("right", joined(F.col("k") + 1, F.size("words") - F.col("k"))).drop("words")
     left, right = (counts.select("lang", F.col("phrase").alias(side), F.col("f").alias(side[0])) for side in ("left", "right"))
     cuts = cuts.join(left, ["lang", "left"]).join(right, ["lang", "right"]).join(total, "lang")
-    wide = lambda c: f"cast({c} as decimal(38,0))"
-    score = F.expr(f"({wide('1000')} * {wide('a')} * {wide('n')}) div ({wide('l')} * {wide('r')})")
-    lowest = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
+    lowest = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(exact_score("a", "n", "l", "r").alias("score"), "k", "l", "r")).alias("cut"))
     # words inside a longer candidate: at most nine for each
     inside = parts.filter(F.size("words") > 2).select("lang", "f", "words", F.size("words").alias("size"))
     inside = inside.select("lang", "f", "words", "size", F.explode(F.sequence(F.lit(2), F.col("size") - 1)).alias("m"))
