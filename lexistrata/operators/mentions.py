@@ -1,14 +1,18 @@
 """Mentions of persons in speeches, and the network that they make.
 
-A candidate is a form of address or an office followed by a name, or an office
-alone. Rosters and registries are dimension tables; the name is resolved by
-joins on its words, by strength (full name, surname, other part), seat and
-date. The scan of a text is the only Python code.
+A candidate is a form of address or an office followed by a name or, in the
+plural, by a list of names; or an office alone, with or without its institution.
+Rosters and registries are dimension tables; the name is resolved by joins on
+its words, by strength (full name, surname, other part), seat and date. The scan
+of a text is the only Python code. ``persons`` goes on from here.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,60 +22,237 @@ from pyspark.sql.window import Window
 from ..functions.text import fold
 from .graph import leiden
 
-FOUND = "array<struct<at:int,form:string,office:string,name:string,vocative:boolean>>"
-#: Forms of address and offices, folded.
-FORMS = ("senor", "senora", "senores", "sr", "sra", "don", "dona", "diputado", "diputada", "companero", "companera", "senhor", "senhora", "deputado", "deputada", "mr", "mrs", "ms")
-OFFICES = ("presidente", "presidenta", "ministro", "ministra", "senador", "senadora", "gobernador", "gobernadora", "alcalde", "alcaldesa", "general", "coronel", "king", "president", "minister")
-_NAME = r"(?P<name>(?:[A-ZÁÉÍÓÚÑÜÀÂÊÔÇ][\w'’-]+)(?:\s+(?:(?:de|del|la|las|los|y|da|do|dos)\s+){0,3}[A-ZÁÉÍÓÚÑÜÀÂÊÔÇ][\w'’-]+){0,4})"
-_CHAIN = re.compile(rf"\b(?P<form>(?:{'|'.join(FORMS + OFFICES)})\b\.?)(?:\s+(?P<form2>(?:{'|'.join(FORMS + OFFICES)})\b\.?))?\s+", re.I)
-_GUARD = re.compile(r"(?:calle|avenida|plaza|hospital|instituto|escuela|colegio|universidad|fundacion|barrio|provincia|municipio|san|santa)\s+$")
+FOUND = "array<struct<at:int,form:string,office:string,institution:string,name:string,vocative:boolean>>"
+LOOSE = "array<struct<at:int,word:string,before:string,after:string>>"
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Words of a language that mentions are made of, folded. Spanish, Portuguese and English ones."""
+
+    forms: tuple = (
+        "senor", "senora", "senores", "sr", "sra", "don", "dona", "diputado", "diputada", "companero", "companera", "senhor", "senhora", "deputado", "deputada", "mr", "mrs", "ms",
+        "congresista", "legislador", "legisladora", "representante", "colega", "honorable", "doctor", "doctora", "dr", "dra",
+    )
+    offices: tuple = (
+        "presidente", "presidenta", "ministro", "ministra", "senador", "senadora", "gobernador", "gobernadora", "alcalde", "alcaldesa", "general", "coronel", "king", "president", "minister",
+        "secretario", "secretaria", "fiscal", "canciller",
+    )
+    #: plural form, and the one that each name of its list has
+    plurals: tuple = (
+        ("senores", "senor"), ("senoras", "senora"), ("sres", "sr"), ("sras", "sra"), ("diputados", "diputado"), ("diputadas", "diputada"), ("companeros", "companero"), ("companeras", "companera"),
+        ("senhores", "senhor"), ("senhoras", "senhora"), ("deputados", "deputado"), ("deputadas", "deputada"), ("congresistas", "congresista"), ("legisladores", "legislador"), ("legisladoras", "legisladora"),
+        ("representantes", "representante"), ("colegas", "colega"), ("honorables", "honorable"), ("doctores", "doctor"), ("doctoras", "doctora"), ("ministros", "ministro"), ("ministras", "ministra"),
+        ("senadores", "senador"), ("senadoras", "senadora"), ("ministers", "minister"), ("presidents", "president"),
+    )
+    #: words in small letters inside names, between a head and its institution, and before the last name of a list
+    particles: tuple = ("de", "del", "la", "las", "los", "y", "da", "do", "dos", "das", "i", "von", "van", "di")
+    of: tuple = ("de", "del", "da", "do", "of", "for")
+    joins: tuple = ("y", "e", "and")
+    #: what a bare surname isn't taken after
+    kin: tuple = ("familia", "clan", "hermanos", "irmaos", "apellido", "sobrenome", "los", "os", "family")
+    places: tuple = ("calle", "avenida", "plaza", "hospital", "instituto", "escuela", "colegio", "universidad", "fundacion", "barrio", "provincia", "municipio", "san", "santa", "sao", "street", "university")
+    #: surnames too common to stand for one person
+    common: tuple = ("garcia", "fernandez", "gonzalez", "rodriguez", "lopez", "martinez", "sanchez", "perez", "gomez", "martin", "silva", "santos", "oliveira", "souza", "sousa")
+
+
+DEFAULT = Lexicon()
+_CAPITAL = r"[A-ZÁÉÍÓÚÑÜÀÂÊÔÇÃÕ]"
+_WORD = rf"{_CAPITAL}[\w'’-]+"
+_NAME_WORD = re.compile(rf"{_WORD}|{_CAPITAL}\.")
+_BLANK = re.compile(r"[ \t]+")
+_SMALL = re.compile(r"[ \t]+([a-z]+)(?=[ \t])")
 _PROCEDURE = re.compile(r"(?:tiene la palabra|concedo la palabra|el uso de la palabra|asistencia|ausentes?:|presentes?:|votaron)\W*(?:(?:a|al|el|la|los|las|o)\W+)*$")
+_STAGE = re.compile(r"\([^()]{1,900}\)")
+
+
+class Scanner:
+    """The machine of one lexicon: from each cue it reads forms, then a name, a list of names or an institution."""
+
+    def __init__(self, lexicon: Lexicon):
+        x = self.lexicon = lexicon
+        self.plurals = dict(x.plurals)
+        self.heads = {*x.forms, *x.offices, *self.plurals}
+        cue = "|".join(sorted(map(re.escape, self.heads), key=len, reverse=True))
+        self.cue = re.compile(rf"(?<!\w)({cue})(?!\w)\.?")
+        self.guard = re.compile(rf"(?<!\w)(?:{'|'.join(x.places)})\s+$")
+        self.kin = re.compile(rf"(?<!\w)(?:{'|'.join(x.kin + x.places)})[ \t]+(?:{_CAPITAL.lower()}[\w'’-]*[ \t]+)?$")
+        self.titled = re.compile(rf"(?<!\w)(?:{cue})\.?[ \t]+$")
+        self.word = re.compile(rf"(?<![\w'’-])({_CAPITAL}[\w’]{{3,}})(?![\w’]|-\w)")
+        self.previous = re.compile(rf"({_WORD})(?:[ \t]+(?:{'|'.join(x.particles)}))?[ \t]+$")
+        self.next = re.compile(rf"[ \t]+(?:(?:{'|'.join(x.particles)})[ \t]+)?({_WORD})")
+
+    # each step returns where it ends, or -1
+
+    def _name(self, text: str, at: int, most: int = 6, listed: bool = False) -> int:
+        """A name from ``at``: capitalised words and initials on one line, with up to three particles between; on a list, joins end it."""
+        m = _NAME_WORD.match(text, at)
+        if not m:
+            return -1
+        end, words = m.end(), 1
+        while words < most:
+            k, small = end, 0
+            while small < 3 and (p := _SMALL.match(text, k)) and p[1] in self.lexicon.particles and not (listed and p[1] in self.lexicon.joins):
+                k, small = p.end(), small + 1
+            gap = _BLANK.match(text, k)
+            m = _NAME_WORD.match(text, gap.end()) if gap else None
+            if not m:
+                break
+            end, words = m.end(), words + 1
+        return end
+
+    def _list(self, text: str, at: int) -> list[tuple[int, int]]:
+        """Names that go on a list: after commas, up to the one after a join."""
+        out = []
+        sep = re.compile(rf"[ \t]*,[ \t]*(?:(?:{'|'.join(self.lexicon.joins)})[ \t]+)?|[ \t]+(?:{'|'.join(self.lexicon.joins)})[ \t]+")
+        while m := sep.match(text, at):
+            end = self._name(text, m.end(), listed=True)
+            if end < 0:
+                break
+            out.append((m.end(), end))
+            at = end
+            if m[0].split()[-1:] and m[0].split()[-1] in self.lexicon.joins:
+                break
+        return out
+
+    def _institution(self, text: str, flat: str, at: int) -> tuple[int, int]:
+        """(start, end) of the institution after ``of``, with a capital in it; (-1, -1) if there is none."""
+        m = re.compile(rf"[ \t]+(?:{'|'.join(self.lexicon.of)})(?:[ \t]+(?:la|las|los|o|a|the))?[ \t]+").match(flat, at)
+        end = self._name(text, m.end(), 8) if m else -1
+        return (m.end(), end) if end > 0 else (-1, -1)
+
+    def scan(self, text: str | None) -> list[dict]:
+        """Candidates of one speech in order, without overlap."""
+        text = text or ""
+        flat = _plain(text)
+        stage = [(m.start(), m.end()) for m in _STAGE.finditer(flat)] if "(" in flat else []
+        inside = 0
+        out: list[dict] = []
+        end = 0
+        for cue in self.cue.finditer(flat):
+            start = cue.start()
+            while inside < len(stage) and stage[inside][1] <= start:
+                inside += 1
+            if start < end or (inside < len(stage) and stage[inside][0] < start):
+                continue
+            # forms in a row, on one line
+            words, stop = [cue[1]], cue.end()
+            while len(words) < 4 and (gap := _BLANK.match(flat, stop)) and (m := self.cue.match(flat, gap.end())):
+                words.append(m[1])
+                stop = m.end()
+            plural = any(w in self.plurals and w not in self.lexicon.forms for w in words) or words[0] in self.plurals
+            words = [self.plurals.get(w, w) for w in words]
+            office = next((w for w in words if w in self.lexicon.offices), None)
+            gap = _BLANK.match(text, stop)
+            named = self._name(text, gap.end(), listed=plural) if gap else -1
+            spans = [(gap.end(), named)] if named > 0 else []
+            body = None
+            if spans and plural:
+                spans += self._list(text, named)
+            elif not spans and office:
+                a, b = self._institution(text, flat, stop)
+                if b > 0:
+                    body, stop = text[a:b], b
+                    m = re.compile(r"[ \t]*,[ \t]+").match(text, b)
+                    named = self._name(text, m.end()) if m else -1
+                    # one capital alone after the comma may be anything
+                    if named > 0 and _BLANK.search(text, m.end(), named):
+                        spans = [(m.end(), named)]
+            if not spans and not office or spans and len(spans[0]) and spans[0][1] - spans[0][0] <= 2:
+                continue
+            before = flat[max(0, start - 60) : start]
+            if self.guard.search(before) or _PROCEDURE.search(before) or _capitals(text, start, stop):
+                continue
+            end = spans[-1][1] if spans else stop
+            vocative = bool(re.search(r"(?:^|[.,;:¡!¿?\n—-]|gracias)\s*$", before)) and bool(re.match(r"\s*[.,;:!?]", text[end : end + 20]) or not text[end:].strip())
+            for k, (a, b) in enumerate(spans or [(start, start)]):
+                out.append({"at": a if k else start, "form": words[0], "office": office, "institution": body, "name": text[a:b] or None, "vocative": vocative, "end": b if spans else stop})
+        return out
+
+    def loose(self, text: str | None) -> list[dict]:
+        """Capitalised words outside of mentions and stage directions that may be bare surnames.
+
+        ``before`` and ``after`` are the capitalised words next to it, which have to
+        be of the same person's name; one that opens a sentence doesn't count.
+        """
+        text = text or ""
+        flat = _plain(text)
+        taken = sorted([(m["at"], m["end"]) for m in self.scan(text)] + [(m.start(), m.end()) for m in _STAGE.finditer(flat)])
+        out, k = [], 0
+        for m in self.word.finditer(text):
+            while k < len(taken) and taken[k][1] <= m.start():
+                k += 1
+            if k < len(taken) and taken[k][0] < m.end():
+                continue
+            a = max(0, m.start() - 60)
+            before = flat[a : m.start()]
+            if self.kin.search(before) or self.titled.search(before):
+                continue
+            p = self.previous.search(text, a, m.start())
+            if p and re.search(r"(?:^|[.!?:;¿¡—–\n])[ \t\"«“(]*$", text[max(0, p.start() - 20) : p.start()]) and _BLANK.fullmatch(text, p.end(1), m.start()):
+                p = None
+            n = self.next.match(text, m.end())
+            out.append({"at": m.start(), "word": _plain(m[1]), "before": _plain(p[1]) if p else None, "after": _plain(n[1]) if n else None})
+        return out
+
+
+def _capitals(text: str, start: int, stop: int) -> bool:
+    """Whether the line is a heading: at least 20 letters, 85 % of them capitals. A longer line is judged by the 400 characters on either side."""
+    a = text.rfind("\n", max(0, start - 400), start) + 1 or max(0, start - 400)
+    b = text.find("\n", stop, stop + 400)
+    letters = [c for c in text[a : b if b >= 0 else stop + 400] if c.isalpha()]
+    return len(letters) >= 20 and sum(c.isupper() for c in letters) >= 0.85 * len(letters)
 
 
 def _plain(text: str) -> str:
     """Folded text of the same length."""
-    import unicodedata
-
-    return "".join(unicodedata.normalize("NFD", c)[0].lower() if len(c.lower()) == 1 else c for c in text)
-
-
-def scan(text: str | None) -> list[dict]:
-    """Candidates of one speech in order, without overlap."""
-    text = text or ""
-    flat = _plain(text)
-    stage = [(m.start(), m.end()) for m in re.finditer(r"\([^()]{1,900}\)", flat)]
-    name = re.compile(_NAME)
-    out, end = [], 0
-    for m in _CHAIN.finditer(flat):
-        if m.start() < end or any(a < m.start() < b for a, b in stage):
-            continue
-        before = flat[max(0, m.start() - 60) : m.start()]
-        n = name.match(text, m.end())
-        words = [w.strip(".") for w in (m["form"], m["form2"]) if w]
-        office = next((w for w in words if w in OFFICES), None)
-        if not n and not office:
-            continue
-        line = text[text.rfind("\n", 0, m.start()) + 1 : (text.find("\n", m.end()) + 1 or len(text) + 1) - 1]
-        letters = [c for c in line if c.isalpha()]
-        capitals = len(letters) >= 20 and sum(c.isupper() for c in letters) >= 0.85 * len(letters)
-        if _GUARD.search(before) or _PROCEDURE.search(before) or capitals or (n and len(n["name"]) <= 2):
-            continue
-        stop = n.end() if n else m.end()
-        vocative = bool(re.search(r"(?:^|[.,;:¡!¿?\n—-]|gracias)\s*$", before)) and bool(re.match(r"\s*[.,;:!?]", text[stop:]) or not text[stop:].strip())
-        out.append({"at": m.start(), "form": words[0], "office": office, "name": n["name"] if n else None, "vocative": vocative})
-        end = stop
-    return out
-
-
-def candidates(corpus: DataFrame) -> DataFrame:
-    """(id, date, num_session, rep_id, party, at, form, office, name, vocative)."""
+    if text.isascii():
+        return text.lower()
+    return "".join(c.lower() if c.isascii() else _plain_letter(c) for c in text)
+
+
+@lru_cache(4096)
+def _plain_letter(c: str) -> str:
+    return unicodedata.normalize("NFD", c)[0].lower() if len(c.lower()) == 1 else c
+
+
+@lru_cache(8)
+def scanner(lexicon: Lexicon) -> Scanner:
+    return Scanner(lexicon)
+
+
+def scan(text: str | None, lexicon: Lexicon = DEFAULT) -> list[dict]:
+    return scanner(lexicon).scan(text)
+
+
+def _keys(corpus: DataFrame) -> list[str]:
+    return [k for k in ("id", "date", "num_session", "ord", "legislature", "rep_id", "party") if k in corpus.columns]
+
+
+def candidates(corpus: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """(id, date, num_session, rep_id, party, at, form, office, institution, name, vocative), with ord and legislature where the corpus has them.
+
+    (id, at) is the key: spans of a speech don't overlap.
+    """
 
     @F.arrow_udf(FOUND)
     def run(texts: pa.Array) -> pa.Array:
-        shape = pa.list_(pa.struct([("at", pa.int32()), ("form", pa.string()), ("office", pa.string()), ("name", pa.string()), ("vocative", pa.bool_())]))
-        return pa.array([scan(t) for t in texts.to_pylist()], shape)
+        shape = pa.list_(pa.struct([("at", pa.int32()), ("form", pa.string()), ("office", pa.string()), ("institution", pa.string()), ("name", pa.string()), ("vocative", pa.bool_())]))
+        return pa.array([scanner(lexicon).scan(t) for t in texts.to_pylist()], shape)
+
+    keys = _keys(corpus)
+    return corpus.select(*keys, F.explode(run(F.col("speech"))).alias("m")).select(*keys, "m.*")
+
+
+def capitals(corpus: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """(keys of the corpus, at, word, before, after): words that may be bare surnames."""
+
+    @F.arrow_udf(LOOSE)
+    def run(texts: pa.Array) -> pa.Array:
+        shape = pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string()), ("before", pa.string()), ("after", pa.string())]))
+        return pa.array([scanner(lexicon).loose(t) for t in texts.to_pylist()], shape)
 
-    keys = ("id", "date", "num_session", "rep_id", "party")
+    keys = _keys(corpus)
     return corpus.select(*keys, F.explode(run(F.col("speech"))).alias("m")).select(*keys, "m.*")
 
 
@@ -85,33 +266,36 @@ def roster(corpus: DataFrame) -> DataFrame:
 
 
 def resolve(found: DataFrame, people: DataFrame, holders: DataFrame | None = None) -> DataFrame:
-    """Adds ``person``: a member's id, ``ext:name`` for others, null where it stays unsure.
+    """Adds ``person``: a member's id, ``ext:name`` for others, null where it stays unsure, with the members between whom it is unsure as ``options``.
 
     Strength 3 is the whole name, 2 its last word, 1 another word; the strongest
     wins, then someone seated at the date, then five times the activity. Offices
-    without a name go to their holder at the date (holders: key, name, date_from, date_to).
+    without a name go to their holder at the date (holders: key, name, date_from,
+    date_to); the key of an office with an institution is both, folded, as in
+    ``ministro de hacienda``.
     """
     from .temporal import in_force
 
-    named = found.filter("name IS NOT NULL").withColumn("k", F.monotonically_increasing_id())
     parts = F.filter(F.regexp_extract_all(fold(F.col("name")), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: F.char_length(w) > 2)
-    named = named.withColumn("parts", parts)
+    named = found.filter("name IS NOT NULL").withColumn("parts", parts)
     by_word = people.select("rep_id", "words", "first", "last", "turns", F.explode("words").alias("w")).withColumnRenamed("rep_id", "member")
-    pairs = named.select("k", "parts", "date", F.explode("parts").alias("w")).join(by_word, "w").dropDuplicates(["k", "member"])
+    pairs = named.select("id", "at", "parts", "date", F.explode("parts").alias("w")).join(by_word, "w").dropDuplicates(["id", "at", "member"])
     inside = F.size(F.array_except("parts", "words")) == 0
     strength = F.when(inside & (F.size("parts") == F.size("words")), 3).when(inside & (F.element_at("parts", -1) == F.element_at("words", -1)), 2).when(inside, 1).otherwise(0)
     pairs = pairs.withColumn("strength", strength).filter("strength > 0").withColumn("seated", F.col("date").between(F.col("first"), F.col("last")).cast("int"))
-    w = Window.partitionBy("k").orderBy(F.col("strength").desc(), F.col("seated").desc(), F.col("turns").desc(), "member")
-    ranked = pairs.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead(F.struct("strength", "seated", "turns")).over(w)).filter("r = 1")
-    tied = F.col("next").isNotNull() & (F.col("next.strength") == F.col("strength")) & (F.col("next.seated") == F.col("seated")) & (F.col("turns") < 5 * F.col("next.turns"))
-    best = ranked.select("k", F.when(~tied, F.col("member").cast("string")).alias("member"), F.lit(True).alias("met"))
-    out = named.join(best, "k", "left")
+    w = Window.partitionBy("id", "at").orderBy(F.col("strength").desc(), F.col("seated").desc(), F.col("turns").desc(), "member")
+    top = pairs.withColumn("best", F.first(F.struct("strength", "seated")).over(w)).filter(F.struct("strength", "seated") == F.col("best"))
+    ranked = top.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("turns").over(w)).withColumn("all", F.collect_list("member").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).filter("r = 1")
+    sure = F.col("next").isNull() | (F.col("turns") >= 5 * F.col("next"))
+    best = ranked.select("id", "at", F.when(sure, F.col("member").cast("string")).alias("member"), F.when(~sure, F.transform("all", lambda m: m.cast("string"))).alias("options"), F.lit(True).alias("met"))
+    out = named.join(best, ["id", "at"], "left")
     person = F.when(F.col("met"), F.col("member")).otherwise(F.concat(F.lit("ext:"), F.array_join("parts", " ")))
-    out = out.withColumn("person", person).drop("k", "parts", "member", "met")
+    out = out.withColumn("person", person).drop("parts", "member", "met")
     bare = found.filter("name IS NULL")
     if holders is None:
         return out
-    dated = in_force(bare.withColumn("key", F.col("office")).drop("name"), F.col("date"), holders)
+    key = F.when(F.col("institution").isNull(), F.col("office")).otherwise(F.concat_ws(" de ", "office", fold(F.col("institution"))))
+    dated = in_force(bare.withColumn("key", key).drop("name"), F.col("date"), holders).withColumn("options", F.lit(None).cast("array<string>"))
     return out.unionByName(dated.withColumn("person", F.concat(F.lit("ext:"), fold(F.col("name")))).select(*out.columns))
 
 
