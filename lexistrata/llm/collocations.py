@@ -7,10 +7,11 @@ phrase made longer; as no word stands in a gap, no phrase crosses one. The
 popcount is the shard's count, and the sum over shards the count of the corpus.
 
 Three passes keep shards from extending what can't be frequent: words, then
-pairs of frequent words, then depth-first the phrases whose adjacent pairs are
-all frequent. What is frequent comes back to a shard as the codes of its own
-words and pairs, so no task holds more than its shards, and nothing is sent to
-all of them. The frequent set itself is only ever a distributed table.
+pairs of frequent words, then the phrases whose adjacent pairs are all frequent.
+Frequent words get numbers over the whole corpus, so a pair is one long. What is
+frequent comes back to a shard as its own words and pairs, so no task holds more
+than its shards, and nothing is sent to all of them. The frequent set itself is
+only ever a distributed table.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranking import numbered
 from .common import materialise, ship
 
 _BREAK = b"\xff"  # in no UTF-8 text
@@ -39,7 +41,7 @@ class Settings:
     #: A candidate goes if a longer one around it has this percentage of its occurrences.
     percent: int = 100
     #: Positions after which a shard is closed.
-    shard: int = 1 << 20
+    shard: int = 1 << 21
 
 
 # --- bitmaps -----------------------------------------------------------------
@@ -85,64 +87,80 @@ class Bits:
 
 
 class Shard:
-    """Bitmaps of the frequent words of a shard, and phrases by extending them."""
-
-    #: An intersection of packed words costs as much as looking up the word at so many positions.
-    lookups = 500
-
-    def __init__(self, codes: np.ndarray, frequent: np.ndarray):
-        """``codes`` has the word at each position, 0 for a gap; ``frequent`` the codes to keep."""
-        keep = np.zeros(int(codes.max(initial=0)) + 1, bool)
-        keep[frequent] = True
-        keep[0] = False
-        self.span = len(codes)
-        self.word_at = np.where(keep[codes], codes, 0)
-        order = np.argsort(self.word_at, kind="stable")
-        words, starts = np.unique(self.word_at[order], return_index=True)
-        groups = np.split(order, starts[1:]) if len(words) else []
-        self.bits = {w: Bits.of(at, self.span) for w, at in zip(words.tolist(), groups, strict=True) if w}
-
-    def children(self, phrase: Bits, allowed: np.ndarray | None) -> Iterator[tuple[int, Bits]]:
-        """(word, bitmap) of each extension that occurs.
-
-        A packed bitmap is intersected with each allowed word. Where these are many
-        for the positions there are, or only places are kept, all words are met at
-        once: the places are grouped by the word that stands there.
+    """Position bitmaps of the words of a shard, and phrases by extending them."""
+
+    def __init__(self, word_at: np.ndarray):
+        """``word_at`` has the number of the word at each position, 0 for a gap or a word that doesn't count."""
+        # codes in order of the numbers; one more gap makes 0 the first and lets every position have a next one
+        self.words, self.at = np.unique(np.append(word_at, 0), return_inverse=True)
+        self.span = len(self.at)
+        dense = np.bincount(self.at, minlength=len(self.words)) * 32 > self.span
+        dense[0] = False
+        self.is_packed = dense
+        self.packed = {c: Bits.of(np.flatnonzero(self.at == c), self.span) for c in np.flatnonzero(dense).tolist()}
+
+    def phrases(self, pairs: np.ndarray | None, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(codes, counts) of the phrases of 2, 3, ... up to ``longest`` words, a row of codes for each; adjacent words are among ``pairs``.
+
+        Packed bitmaps are extended depth-first: shifted, intersected with that of
+        each packed word, counted by population. All that is kept as places is
+        extended together, a length at a time: shifted places are grouped by the
+        phrase that ends before and the word that stands there, which is the
+        intersection with all words at once.
         """
-        after = phrase.shifted()
-        if allowed is not None and after.packed is not None and len(allowed) * self.lookups < after.count():
-            for w in allowed.tolist():
-                found = after.meet(self.bits[w])
-                if found.count():
-                    yield w, found
-            return
-        at = after.places()
-        words = self.word_at[at]
-        fits = words > 0
-        if allowed is not None:
-            fits &= np.isin(words, allowed)
-        at, words = at[fits], words[fits]
-        if not len(at):
-            return
-        order = np.argsort(words, kind="stable")
-        at, words = at[order], words[order]
-        cuts = np.flatnonzero(np.diff(words)) + 1
-        starts = np.concatenate([[0], cuts])
-        for w, a, b in zip(words[starts].tolist(), starts.tolist(), [*cuts.tolist(), len(at)], strict=True):
-            yield w, Bits.of(at[a:b], self.span)
-
-    def phrases(self, allowed: dict[int, np.ndarray] | None, longest: int) -> Iterator[tuple[tuple, int]]:
-        """(codes, count) of the phrases of 2 to ``longest`` words, depth-first; ``allowed`` has the words that may follow a word."""
-        for w, bits in self.bits.items():
-            if allowed is None or w in allowed:
-                yield from self._below((w,), bits, allowed, longest)
-
-    def _below(self, phrase: tuple, bits: Bits, allowed: dict | None, longest: int) -> Iterator[tuple[tuple, int]]:
-        for w, found in self.children(bits, None if allowed is None else allowed[phrase[-1]]):
-            longer = (*phrase, w)
-            yield longer, found.count()
-            if len(longer) < longest and (allowed is None or w in allowed):
-                yield from self._below(longer, found, allowed, longest)
+        here, there = self.at[:-1], self.at[1:]
+        goes_on = np.append((here > 0) & (there > 0), False)
+        if pairs is not None:
+            some = np.flatnonzero(goes_on)
+            goes_on[some] = np.isin(self.words[here[some]] << _SHIFT | self.words[there[some]], pairs)
+        self._allowed = None if pairs is None else set(pairs.tolist())
+        self._goes_on = goes_on
+        self._counted: list[list[tuple[tuple, int]]] = [[] for _ in range(longest + 1)]
+        self._placed: list[list[tuple[tuple, np.ndarray]]] = [[] for _ in range(longest + 1)]
+        for c, bits in self.packed.items():
+            self._extend((c,), bits, longest)
+        ends = np.flatnonzero(goes_on & ~self.is_packed[self.at])
+        known, owner = np.arange(len(self.words))[:, None], self.at[ends]
+        for k in range(1, longest):
+            more = self._placed[k]
+            if more:
+                owner = np.concatenate([owner, np.repeat(np.arange(len(more)) + len(known), [len(e) for _, e in more])])
+                known = np.concatenate([known, np.array([p for p, _ in more])])
+                ends = np.concatenate([ends, *(e for _, e in more)])
+            keys, owner, counts = np.unique(owner * len(self.words) + self.at[ends + 1], return_inverse=True, return_counts=True)
+            known = np.column_stack([known[keys // len(self.words)], keys % len(self.words)])
+            packed = self._counted[k + 1]
+            if packed:
+                yield np.array([p for p, _ in packed]), np.array([n for _, n in packed])
+            if len(known):
+                yield known, counts
+            ends = ends + 1
+            kept = goes_on[ends]
+            ends, owner = ends[kept], owner[kept]
+
+    def _extend(self, phrase: tuple, bits: Bits, longest: int) -> None:
+        """Counts what packed words make of a packed phrase, and leaves the places of the rest to be extended together."""
+        ends = bits.places()
+        ends = ends[self._goes_on[ends]]
+        self._placed[len(phrase)].append((phrase, ends[~self.is_packed[self.at[ends + 1]]]))
+        after = bits.shifted()
+        last = int(self.words[phrase[-1]]) << _SHIFT
+        for c, word in self.packed.items():
+            if self._allowed is not None and last | int(self.words[c]) not in self._allowed:
+                continue
+            found = after.meet(word)
+            n = found.count()
+            if not n:
+                continue
+            longer = (*phrase, c)
+            self._counted[len(longer)].append((longer, n))
+            if len(longer) == longest:
+                continue
+            if n * 32 > self.span:
+                self._extend(longer, found, longest)
+            else:
+                at = found.places()
+                self._placed[len(longer)].append((longer, at[self._goes_on[at]]))
 
 
 # --- shards ------------------------------------------------------------------
@@ -160,18 +178,21 @@ class _Codes(dict):
 
 
 def _shards(batches, positions: int) -> Iterator[pa.RecordBatch]:
-    """Closes the largest language's shard whenever so many positions are held over all languages."""
-    import uuid
+    """Closes the largest language's shard whenever so many positions are held over all languages. Shards are numbered within the task that writes them."""
+    from pyspark import TaskContext
 
+    number = TaskContext.get().partitionId() << _SHIFT
     held: dict[str, list] = {}  # lang -> [codes of words, arrays, positions]
     total = 0
 
     def close(lang: str) -> pa.RecordBatch:
+        nonlocal number
+        number += 1
         words, arrays, _ = held.pop(lang)
         flat = np.concatenate(arrays)
         n = np.bincount(flat, minlength=len(words)).astype("<i8")
-        row = {"shard": [uuid.uuid4().hex], "lang": [lang], "words": [_BREAK.join([b"", *list(words)[1:]])], "n": [n.tobytes()], "codes": [flat.astype("<u4").tobytes()]}
-        return pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.string()), ("lang", pa.string()), ("words", pa.binary()), ("n", pa.binary()), ("codes", pa.binary())]))
+        row = {"shard": [number], "lang": [lang], "words": [_BREAK.join([b"", *list(words)[1:]])], "n": [n.tobytes()], "codes": [flat.astype("<u4").tobytes()]}
+        return pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("n", pa.binary()), ("codes", pa.binary())]))
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -191,16 +212,9 @@ def _shards(batches, positions: int) -> Iterator[pa.RecordBatch]:
         yield close(lang)
 
 
-_COUNTED = pa.schema([("shard", pa.string()), ("lang", pa.string()), ("phrase", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 _ROWS = 50_000
 
 
-def _rows(shard: str, lang: str, phrases: list, codes: list, counts: list) -> pa.RecordBatch:
-    k = len(phrases)
-    cols = [pa.array([shard] * k, pa.string()), pa.array([lang] * k, pa.string()), pa.array(phrases, pa.string()), pa.array(codes, pa.int64()), pa.array(counts, pa.int64())]
-    return pa.RecordBatch.from_arrays(cols, schema=_COUNTED)
-
-
 def _counted_words(batches) -> Iterator[pa.RecordBatch]:
     """A row for each word of each shard."""
     for batch in batches:
@@ -208,38 +222,45 @@ def _counted_words(batches) -> Iterator[pa.RecordBatch]:
             words, n = r["words"].split(_BREAK), np.frombuffer(r["n"], "<i8")
             for a in range(1, len(words), _ROWS):
                 part = words[a : a + _ROWS]
-                yield _rows(r["shard"], r["lang"], [w.decode() for w in part], list(range(a, a + len(part))), n[a : a + len(part)].tolist())
+                k = len(part)
+                cols = [pa.array([r["shard"]] * k, pa.int64()), pa.array([r["lang"]] * k, pa.string()), pa.array([w.decode() for w in part], pa.string()), pa.array(range(a, a + k), pa.int32()), pa.array(n[a : a + k])]
+                yield pa.RecordBatch.from_arrays(cols, ["shard", "lang", "phrase", "code", "n"])
+
 
+def _numbers(r: dict) -> np.ndarray:
+    """The number of the word at each position of a shard, 0 for a gap or a word that isn't frequent."""
+    codes = np.frombuffer(r["codes"], "<u4")
+    table = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
+    for w in r["own"]:
+        table[w["code"]] = w["number"]
+    return table[codes]
 
-def _counted_phrases(batches, pairs: bool, longest: int) -> Iterator[pa.RecordBatch]:
-    """Phrases of each shard: all pairs of its frequent words, or what lies above its frequent pairs."""
+
+def _counted_pairs(batches) -> Iterator[pa.RecordBatch]:
+    """(shard, pair, n): the pairs of frequent words of each shard, as both numbers in one."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            shard = Shard(_numbers(r))
+            for codes, n in shard.phrases(None, 2):
+                pair = shard.words[codes[:, 0]] << _SHIFT | shard.words[codes[:, 1]]
+                for a in range(0, len(pair), _ROWS):
+                    part = pair[a : a + _ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), r["shard"])), pa.array(part), pa.array(n[a : a + _ROWS], pa.int64())], ["shard", "pair", "n"])
+
+
+def _counted_longer(batches, longest: int) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, n): the phrases of three words or more over the frequent pairs of each shard."""
     for batch in batches:
         for r in batch.to_pylist():
-            frequent = np.array(r["frequent"], np.int64)
-            allowed = None
-            if not pairs:
-                frequent = np.unique(frequent)
-                first, second = frequent >> _SHIFT, frequent & (1 << _SHIFT) - 1
-                heads, starts = np.unique(first, return_index=True)
-                allowed = dict(zip(heads.tolist(), np.split(second, starts[1:]), strict=True))
-                frequent = np.union1d(first, second)
-            words = r["words"].split(_BREAK)
-            shard = Shard(np.frombuffer(r["codes"], "<u4").astype(np.int64), frequent)
-            texts, codes, counts = [], [], []
-            for phrase, n in shard.phrases(allowed, 2 if pairs else longest):
-                if pairs or len(phrase) > 2:
-                    texts.append(b" ".join([words[c] for c in phrase]).decode())
-                    codes.append(phrase[0] << _SHIFT | phrase[1])
-                    counts.append(n)
-                if len(texts) >= _ROWS:
-                    yield _rows(r["shard"], r["lang"], texts, codes, counts)
-                    texts, codes, counts = [], [], []
-            if texts:
-                yield _rows(r["shard"], r["lang"], texts, codes, counts)
-
-
-def _summed(counted: DataFrame, least: int) -> DataFrame:
-    return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+            shard = Shard(_numbers(r))
+            words, local = r["words"].split(_BREAK), {w["number"]: w["code"] for w in r["own"]}
+            texts = [words[local[x]] if x else b"" for x in shard.words.tolist()]
+            for codes, n in shard.phrases(np.sort(np.array(r["pairs"], np.int64)), longest):
+                if codes.shape[1] < 3:
+                    continue
+                for a in range(0, len(codes), _ROWS):
+                    part = [b" ".join([texts[c] for c in p]).decode() for p in codes[a : a + _ROWS].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * len(part), pa.string()), pa.array(part, pa.string()), pa.array(n[a : a + _ROWS], pa.int64())], ["lang", "phrase", "n"])
 
 
 def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -250,22 +271,31 @@ def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> tuple[
     ship(docs.sparkSession)
     s = settings
     texts = docs.filter("text is not null").select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
-    shards = texts.mapInArrow(lambda b: _shards(b, s.shard), "shard string, lang string, words binary, n binary, codes binary")
+    shards = texts.mapInArrow(lambda b: _shards(b, s.shard), "shard long, lang string, words binary, n binary, codes binary")
     shards = materialise(shards, "shards", "zstd")
+    often = F.col("f") >= s.least
 
-    def back(counted: DataFrame, frequent: DataFrame) -> DataFrame:
-        """Shards with the codes of their own frequent words or pairs: at most as many as a shard has positions."""
-        own = counted.join(frequent.select("lang", "phrase"), ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list("code").alias("frequent"))
-        return shards.select("shard", "lang", "words", "codes").join(own, "shard")
-
-    kind = "shard string, lang string, phrase string, code long, n long"
-    counted = materialise(shards.select("shard", "lang", "words", "n").mapInArrow(_counted_words, kind), "words", "zstd")
+    counted = materialise(shards.select("shard", "lang", "words", "n").mapInArrow(_counted_words, "shard long, lang string, phrase string, code int, n long"), "words", "zstd")
     total = counted.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = materialise(_summed(counted, s.least), "frequent")
-    counted = materialise(back(counted, words).mapInArrow(lambda b: _counted_phrases(b, True, s.longest), kind), "pairs", "zstd")
-    pairs = materialise(_summed(counted, s.least), "frequent")
-    longer = _summed(back(counted, pairs).mapInArrow(lambda b: _counted_phrases(b, False, s.longest), kind), s.least)
-    return materialise(words.unionByName(pairs).unionByName(longer), "frequent"), total
+    words = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(often)
+    words = materialise(numbered(words, ["lang", "phrase"], "number", 1), "numbered")  # two numbers fit a long
+    own = counted.join(words.select("lang", "phrase", F.col("number").cast("int").alias("number")), ["lang", "phrase"])
+    # at most as many as a shard has words
+    own = materialise(own.groupBy("shard").agg(F.collect_list(F.struct("code", "number")).alias("own")), "own")
+
+    there = shards.select("shard", "codes").join(own, "shard")
+    counted = materialise(there.mapInArrow(_counted_pairs, "shard long, pair long, n long"), "pairs", "zstd")
+    pairs = materialise(counted.groupBy("pair").agg(F.sum("n").alias("f")).filter(often), "frequent")
+    # the frequent pairs of a partition are few beside the rows that look for them, so these needn't be sorted
+    theirs = counted.select("shard", "pair").join(pairs.select("pair").hint("shuffle_hash"), "pair", "left_semi")
+    theirs = theirs.groupBy("shard").agg(F.collect_list("pair").alias("pairs"))
+    there = shards.select("shard", "lang", "words", "codes").join(own, "shard").join(theirs, "shard")
+    longer = there.mapInArrow(lambda b: _counted_longer(b, s.longest), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(often)
+
+    first, second = (words.select(F.col("number").alias(x), F.col("lang"), F.col("phrase").alias(f"{x}_word")) for x in ("first", "second"))
+    named = pairs.select(F.shiftright("pair", _SHIFT).alias("first"), F.col("pair").bitwiseAND(F.lit((1 << _SHIFT) - 1)).alias("second"), "f")
+    named = named.join(first, "first").join(second.drop("lang"), "second").select("lang", F.concat_ws(" ", "first_word", "second_word").alias("phrase"), "f")
+    return materialise(words.select("lang", "phrase", "f").unionByName(named).unionByName(longer), "frequent"), total
 
 
 def exact_score(a: str, n: str, l: str, r: str) -> Column:  # noqa: E741

@@ -96,14 +96,23 @@ def test_bits_answer_like_sets(x, y):
     assert set(a.meet(b).places().tolist()) == set(b.meet(a).places().tolist()) == x & y
 
 
-def test_intersections_and_lookups_agree(monkeypatch):
-    rng = np.random.default_rng(1)
-    codes = rng.integers(0, 4, 5000)
-    allowed = {1: np.array([2, 3]), 2: np.array([1, 2, 3]), 3: np.array([1])}
-    by_lookup = dict(collocations.Shard(codes, np.array([1, 2, 3])).phrases(allowed, 4))
-    monkeypatch.setattr(collocations.Shard, "lookups", 1)
-    assert dict(collocations.Shard(codes, np.array([1, 2, 3])).phrases(allowed, 4)) == by_lookup
-    assert by_lookup[1, 2] == sum(codes[:-1][i] == 1 and codes[i + 1] == 2 for i in range(4999))
+@pytest.mark.parametrize("kinds", [3, 40, 400])
+def test_shard_counts_phrases_over_allowed_pairs(kinds):
+    """With words that are all packed, some of them, and none."""
+    rng = np.random.default_rng(kinds)
+    numbers = np.where(rng.random(6000) < 0.1, 0, 1 + (kinds * rng.random(6000) ** 3).astype(np.int64)) * 7
+    allowed = {(a, b) for a in np.unique(numbers).tolist() for b in np.unique(numbers).tolist() if a and b and (a + b) % 3}
+    for pairs in (None, allowed):
+        want = Counter()
+        for k in (2, 3, 4):
+            for i in range(len(numbers) - k + 1):
+                p = tuple(numbers[i : i + k].tolist())
+                if all(p) and all(pairs is None or x in pairs for x in zip(p, p[1:], strict=False)):
+                    want[p] += 1
+        shard = collocations.Shard(numbers)
+        keys = None if pairs is None else np.array(sorted(a << 32 | b for a, b in pairs))
+        got = [(tuple(shard.words[p].tolist()), int(n)) for codes, counts in shard.phrases(keys, 4) for p, n in zip(codes, counts, strict=True)]
+        assert len(got) == len(dict(got)) and dict(got) == want
 
 
 # --- licenses
