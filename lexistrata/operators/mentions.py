@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -256,13 +256,19 @@ def capitals(corpus: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     return corpus.select(*keys, F.explode(run(F.col("speech"))).alias("m")).select(*keys, "m.*")
 
 
+def name_words(name: Column) -> Column:
+    """Folded words of a name, those of three letters and more if it has any."""
+    every = F.regexp_extract_all(fold(name), F.lit(r"[\p{L}\p{N}]+"), 0)
+    long = F.filter(every, lambda w: F.char_length(w) > 2)
+    return F.when(F.size(long) > 0, long).otherwise(every)
+
+
 def roster(corpus: DataFrame) -> DataFrame:
     """(rep_id, rep_name, words, party, first, last, turns): speakers with their modal party and first and last date."""
     base = corpus.filter("rep_id IS NOT NULL").groupBy("rep_id", "rep_name").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("turns"))
     counts = corpus.groupBy("rep_id", "party").agg(F.count("*").alias("c"))
     best = counts.groupBy("rep_id").agg(F.min(F.struct((-F.col("c")).alias("m"), F.col("party").alias("party"))).alias("b")).select("rep_id", "b.party")
-    words = F.filter(F.regexp_extract_all(fold(F.col("rep_name")), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: F.char_length(w) > 2)
-    return base.withColumn("words", words).join(best, "rep_id", "left")
+    return base.withColumn("words", name_words(F.col("rep_name"))).join(best, "rep_id", "left")
 
 
 def resolve(found: DataFrame, people: DataFrame, holders: DataFrame | None = None) -> DataFrame:
@@ -276,8 +282,7 @@ def resolve(found: DataFrame, people: DataFrame, holders: DataFrame | None = Non
     """
     from .temporal import in_force
 
-    parts = F.filter(F.regexp_extract_all(fold(F.col("name")), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: F.char_length(w) > 2)
-    named = found.filter("name IS NOT NULL").withColumn("parts", parts)
+    named = found.filter("name IS NOT NULL").withColumn("parts", name_words(F.col("name")))
     by_word = people.select("rep_id", "words", "first", "last", "turns", F.explode("words").alias("w")).withColumnRenamed("rep_id", "member")
     pairs = named.select("id", "at", "parts", "date", F.explode("parts").alias("w")).join(by_word, "w").dropDuplicates(["id", "at", "member"])
     inside = F.size(F.array_except("parts", "words")) == 0

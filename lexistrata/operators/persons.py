@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.ranking import cut
 from ..functions.text import fold
-from .mentions import DEFAULT, Lexicon
+from .mentions import DEFAULT, Lexicon, name_words
 
 _OUT = "ext:"
 
@@ -108,8 +108,7 @@ def merge_outsiders(mentions: DataFrame, given: DataFrame, lexicon: Lexicon = DE
 
 def named_in_full(mentions: DataFrame, people: DataFrame) -> DataFrame:
     """(num_session, ord, id, at, surname, person, words): each word after the first that may stand for a person named with two words or more."""
-    parts = F.filter(F.regexp_extract_all(fold(F.col("name")), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: F.char_length(w) > 2)
-    full = mentions.filter("person IS NOT NULL AND name IS NOT NULL").withColumn("parts", parts).filter(F.size("parts") > 1)
+    full = mentions.filter("person IS NOT NULL AND name IS NOT NULL").withColumn("parts", name_words(F.col("name"))).filter(F.size("parts") > 1)
     own = people.select(F.col("rep_id").cast("string").alias("person"), F.col("words").alias("theirs"))
     # who a mention means may be another name than the one in the text
     theirs = F.coalesce("theirs", F.split(F.regexp_replace("person", "^" + _OUT, ""), " "))

@@ -11,7 +11,7 @@ from .functions import stats
 from .functions.dates import month_of
 from .functions.ranking import shared_folder
 from .functions.text import ascii_tokens, escape_markup, guard_formula, slug
-from .operators import cooccurrence, document, expressions, facets, filters, graph, index, keyness, library, mentions, replies, search, sessions, speakers, temporal, trend, views
+from .operators import chair, cooccurrence, document, expressions, facets, filters, graph, index, keyness, library, mentions, persons, replies, search, sessions, speakers, temporal, trend, views
 from .operators.filters import Filters
 from .schema import collection_ids, corpus, read
 from .sources import exports
@@ -608,40 +608,63 @@ def replies_across_sessions(spark, d):
     return replies.diachronic(corpus(spark, d).withColumn("rep_id", F.col("rep_id") % 5), 8)
 
 
-def _speeches(spark, d) -> DataFrame:
-    """Speeches that name each other, made from the documents' ids."""
-    name = F.concat(F.lit("Diputado Rep"), (F.col("id") * 7 % 97).cast("string"), F.lit(", gracias. El ministro Gómez Pérez dijo.\n"))
-    return corpus(spark, d).withColumn("speech", F.concat(name, F.lit("texto sin nombres."))).withColumn("rep_name", F.concat(F.lit("Rep"), F.col("rep_id").cast("string")))
+#: The given texts address nobody; capitalised names stand after these words in them.
+GIVEN = mentions.Lexicon(forms=("the", "under", "les"), offices=("version",), plurals=())
+_CAP = "[A-ZÁÉÍÓÚÑÜÀÂÊÔÇÃÕ]"
+_CAP_WORD = rf"(?:{_CAP}[\p{{L}}\p{{N}}_''’-]+|{_CAP}\.)"
+_SMALLS = rf"(?:[ \t]+(?:{'|'.join(GIVEN.particles)})){{0,3}}"
+_CUE = r"(?i:the|under|les)"
+#: (id, date, num_session, rep_id, party, name, person) of each name after a cue; headings in capitals are left out, and a cue's own word is no name.
+MENTIONS = (
+    CORPUS
+    + rf"""
+lines AS (SELECT id, date, num_session, rep_id, party, unnest(string_split(coalesce(speech, ''), chr(10))) AS line FROM corpus),
+lower_lines AS (SELECT * FROM lines WHERE len(regexp_replace(line, '[^\p{{L}}]', '', 'g')) < 20 OR len(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) < 0.85 * len(regexp_replace(line, '[^\p{{L}}]', '', 'g'))),
+raw AS (SELECT * EXCLUDE (line), unnest(regexp_extract_all(line, '(?:^|[^\p{{L}}\p{{N}}_]){_CUE}\.?(?:[ \t]+{_CUE}\.?){{0,3}}[ \t]+({_CAP_WORD}(?:{_SMALLS}[ \t]+{_CAP_WORD}){{0,5}})', 1)) AS name FROM lower_lines),
+words AS (SELECT *, regexp_extract_all(strip_accents(lower(name)), '[\p{{L}}\p{{N}}]+') AS every FROM raw WHERE len(name) > 2 AND NOT regexp_matches(name, '^{_CUE}$')),
+m AS (SELECT *, 'ext:' || array_to_string(CASE WHEN len(list_filter(every, lambda w: len(w) > 2)) > 0 THEN list_filter(every, lambda w: len(w) > 2) ELSE every END, ' ') AS person FROM words),
+"""
+)
+
+
+def _mentions(spark, d) -> DataFrame:
+    rows = corpus(spark, d)
+    return mentions.resolve(mentions.candidates(rows, GIVEN), mentions.roster(rows))
 
 
-@query(CORPUS + "z AS (SELECT 1) SELECT rep_id::VARCHAR AS a, (id * 7 % 97)::VARCHAR AS b, count(*) AS n FROM corpus WHERE rep_id <> id * 7 % 97 GROUP BY 1, 2 UNION ALL SELECT rep_id::VARCHAR, 'ext:gomez perez', count(*) FROM corpus GROUP BY 1")
+@query(MENTIONS + "z AS (SELECT 1) SELECT id, name, person, count(*) AS n FROM m GROUP BY ALL")
+def mention_found(spark, d):
+    return _mentions(spark, d).groupBy("id", "name", "person").agg(F.count("*").alias("n"))
+
+
+@query(MENTIONS + "z AS (SELECT 1) SELECT rep_id::VARCHAR AS a, person AS b, count(*) AS n FROM m GROUP BY 1, 2")
 def mention_edges(spark, d):
-    rows = _speeches(spark, d)
-    return mentions.edges(mentions.resolve(mentions.candidates(rows), mentions.roster(rows)))
+    return mentions.edges(_mentions(spark, d))
 
 
-@query(CORPUS + "m AS (SELECT rep_id, (id * 7 % 97)::VARCHAR AS person, 1 AS v FROM corpus UNION ALL SELECT rep_id, 'ext:gomez perez', 0 FROM corpus) SELECT person, count(DISTINCT rep_id) AS speakers, count(*) AS n, sum(v)::BIGINT AS vocative FROM m GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 40")
+@query(MENTIONS + "z AS (SELECT 1) SELECT person, count(DISTINCT rep_id) AS speakers, count(*) AS n FROM m GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 40")
 def mention_received(spark, d):
-    rows = _speeches(spark, d)
-    return mentions.received(mentions.resolve(mentions.candidates(rows), mentions.roster(rows)))
+    return mentions.received(_mentions(spark, d)).select("person", "speakers", "n")
 
 
-@query(CORPUS + "m AS (SELECT id, date, rep_id, (id * 7 % 97)::VARCHAR AS person FROM corpus UNION ALL SELECT id, date, rep_id, 'ext:gomez perez' FROM corpus), o AS (SELECT *, row_number() OVER (PARTITION BY person, rep_id ORDER BY date DESC, id) AS n FROM m), k AS (SELECT person, id, date, row_number() OVER (PARTITION BY person ORDER BY date DESC, id)::INTEGER AS k FROM o WHERE n = 1) SELECT * FROM k WHERE k <= 6")
+@query(MENTIONS + "o AS (SELECT *, row_number() OVER (PARTITION BY person, rep_id ORDER BY date DESC, id) AS n FROM m), k AS (SELECT person, id, date, row_number() OVER (PARTITION BY person ORDER BY date DESC, id)::INTEGER AS k FROM o WHERE n = 1) SELECT * FROM k WHERE k <= 6")
 def mention_contexts(spark, d):
-    rows = _speeches(spark, d)
-    return mentions.contexts(mentions.resolve(mentions.candidates(rows), mentions.roster(rows)))
+    return mentions.contexts(_mentions(spark, d))
 
 
-@query(CORPUS + "z AS (SELECT 1) SELECT party, sum(nwords)::BIGINT AS words FROM corpus WHERE ord <> 0 GROUP BY 1")
-def party_words(spark, d):
-    rows = corpus(spark, d)
-    return mentions.party_words(rows.withColumn("speaker", F.when(F.col("ord") == 0, "La señora PRESIDENTA").otherwise(F.col("speaker"))))
+@query(MENTIONS + "s AS (SELECT person FROM m GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6) SELECT person, party, count(*) AS n FROM m SEMI JOIN s USING (person) GROUP BY 1, 2")
+def mention_external(spark, d):
+    return mentions.external_by_party(_mentions(spark, d))
 
 
-@query(CORPUS + "z AS (SELECT 1) SELECT 'ext:gomez perez' AS person, party, count(*) AS n FROM corpus GROUP BY 2")
-def mention_external(spark, d):
-    rows = _speeches(spark, d)
-    return mentions.external_by_party(mentions.resolve(mentions.candidates(rows), mentions.roster(rows)))
+@query(MENTIONS + "s AS (SELECT party, sum(nwords)::BIGINT AS words FROM corpus GROUP BY 1), c AS (SELECT party, count(*) AS n FROM m GROUP BY 1) SELECT party, coalesce(n, 0) AS n, words, round(coalesce(n, 0) / words * 10000, 6) AS per_10k FROM s LEFT JOIN c USING (party)")
+def mention_rates(spark, d):
+    return mentions.rates(_mentions(spark, d), corpus(spark, d)).withColumn("per_10k", F.round("per_10k", 6))
+
+
+@query(MENTIONS + "p AS (SELECT DISTINCT id, person FROM m) SELECT a.person AS a, b.person AS b, count(*) AS n FROM p a JOIN p b ON a.id = b.id AND a.person < b.person GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10")
+def mention_together(spark, d):
+    return mentions.together(_mentions(spark, d))
 
 
 @query()
@@ -649,6 +672,39 @@ def mention_foci(spark, d):
     return mentions.foci(mention_edges(spark, d))
 
 
+@query()
+def mention_persons(spark, d):
+    """Every mention with bare surnames and outsiders under one name; the tests hold it against a plain version."""
+    return persons.all_mentions(corpus(spark, d), lexicon=GIVEN).groupBy("person", "loose").agg(F.count("*").alias("n"))
+
+
+def _turns(spark, d) -> DataFrame:
+    """Turns of conversations, each role a person."""
+    return read(spark, d, "conversations").select(F.col("conv_id").alias("num_session"), F.col("turn").alias("ord"), F.col("role").alias("rep_id"), F.length(F.coalesce("text", F.lit(""))).alias("size"))
+
+
+@query("""WITH t AS (SELECT conv_id, role, length(coalesce(text, '')) AS size FROM conversations WHERE role IS NOT NULL),
+c AS (SELECT conv_id, role, count(*) AS n, list_sort(list(size))[count(*) // 2 + 1] AS median FROM t GROUP BY 1, 2),
+k AS (SELECT *, sum(n) OVER s AS every, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, role) AS k FROM c WINDOW s AS (PARTITION BY conv_id)),
+f AS (SELECT *, k = 1 AND n >= 0.25 * every AND n >= 3 AND (median <= 400 OR n >= 0.35 * every) AS chair FROM k),
+h AS (SELECT *, bool_or(chair) OVER (PARTITION BY conv_id) AS held FROM f)
+SELECT conv_id AS num_session, role AS person, CASE WHEN chair THEN 'share' ELSE 'clerk' END AS why FROM h WHERE chair OR (held AND k > 1 AND n >= 3 AND n >= 0.15 * every AND median <= 250)""")
+def chair_shares(spark, d):
+    return chair.shares(_turns(spark, d), 3)
+
+
+@query()
+def repeated_turns(spark, d):
+    """Documents of a source as the turns of a session: whose passages an earlier one has."""
+    docs = read(spark, d, "documents")
+    return chair.repeated(docs.select(F.col("source").alias("num_session"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("id"), F.col("text").alias("speech")))
+
+
+@query(CORPUS + "z AS (SELECT 1) SELECT party, sum(nwords)::BIGINT AS words FROM corpus GROUP BY 1")
+def party_words(spark, d):
+    return mentions.party_words(corpus(spark, d))
+
+
 @query(CORPUS + """c AS (SELECT legislature AS x, party AS y, count(*)::DOUBLE AS n FROM corpus GROUP BY 1, 2), t AS (SELECT sum(n) AS t FROM c), x AS (SELECT x, sum(n) AS nx FROM c GROUP BY 1), y AS (SELECT y, sum(n) AS ny FROM c GROUP BY 1),
 mi AS (SELECT sum(n / t * ln(n * t / (nx * ny))) AS mi FROM c JOIN x USING (x) JOIN y USING (y), t), hx AS (SELECT sum(-nx / t * ln(nx / t)) AS h FROM x, t), hy AS (SELECT sum(-ny / t * ln(ny / t)) AS h FROM y, t)
 SELECT round(2 * mi / (hx.h + hy.h), 6) AS nmi FROM mi, hx, hy""")
@@ -793,9 +849,10 @@ def node_rings(spark, d):
     return views.rings(read(spark, d, "part"), "p_size").select("p_partkey", "ring")
 
 
-@query(CORPUS + "e AS (SELECT rep_id::VARCHAR AS a, (id * 7 % 97)::VARCHAR AS b, count(*) AS n FROM corpus WHERE rep_id <> id * 7 % 97 GROUP BY 1, 2 UNION ALL SELECT rep_id::VARCHAR, 'ext:gomez perez', count(*) FROM corpus GROUP BY 1) SELECT * FROM e WHERE a = '3' OR b = '3'")
+@query(MENTIONS + "e AS (SELECT rep_id::VARCHAR AS a, person AS b, count(*) AS n FROM m GROUP BY 1, 2) SELECT * FROM e WHERE a = '3' OR b = 'ext:mit license'")
 def mention_ego(spark, d):
-    return views.ego(mention_edges(spark, d), "3")
+    edges = mention_edges(spark, d)
+    return views.ego(edges, "3").unionByName(views.ego(edges, "ext:mit license")).distinct()
 
 
 @query(f"WITH items AS ({_ITEMS}), f AS (SELECT * FROM items WHERE collection_id = 1 ORDER BY position, id LIMIT 20) SELECT note, count(*) AS n FROM f GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from .functions.dates import year_of
 from .functions.text import word_count
+from .session import ship
 
 #: Columns of the input CSV, in order; the header is checked against them.
 CSV_COLUMNS = ("id_session", "id_int", "legislature", "legislative_session", "session_number", "date", "session_type", "intervention_order", "speaker_raw", "id_dep", "speaker_name", "sex", "party", "district", "dm_speech", "text")
@@ -29,6 +30,8 @@ CORPUS = T.StructType(
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; also sends the package to the executors, which run its functions."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
