@@ -8,14 +8,19 @@ popcount is the shard's count, and the sum over shards the count of the corpus.
 
 Three passes keep shards from extending what can't be frequent: words, then
 pairs of frequent words, then the phrases whose adjacent pairs are all frequent.
-Frequent words get numbers over the whole corpus, so a pair is one long. What is
-frequent comes back to a shard as its own words and pairs, so no task holds more
-than its shards, and nothing is sent to all of them. The frequent set itself is
-only ever a distributed table.
+Frequent words get numbers over the whole corpus, so a pair is one long. A shard
+sends its counts as packed runs, one for each bucket of words or pairs; where a
+bucket's runs meet they are summed, and each shard gets back which of its own
+are frequent. So no task holds more than its shards or a bucket, whose number
+grows with the corpus, and nothing is sent to all of them. A word or pair is in
+a bucket once for each shard that has it. The frequent set itself is only ever a
+distributed table.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import numbered
-from .common import materialise, ship
+from .common import materialise, partitions, ship
 
 _BREAK = b"\xff"  # in no UTF-8 text
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
@@ -42,6 +46,8 @@ class Settings:
     percent: int = 100
     #: Positions after which a shard is closed.
     shard: int = 1 << 21
+    #: Entries of runs, and positions of shards, for which there is a bucket of words and of pairs.
+    bucket: int = 1 << 20
 
 
 # --- bitmaps -----------------------------------------------------------------
@@ -177,6 +183,22 @@ class _Codes(dict):
         return code
 
 
+def _packed(x) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).data)
+
+
+def _unpacked(x: bytes, kind: str = "<i8") -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
+def _texts(x: bytes) -> list[bytes]:
+    return _unpacked(x, "u1").tobytes().split(_BREAK)
+
+
 def _shards(batches, positions: int) -> Iterator[pa.RecordBatch]:
     """Closes the largest language's shard whenever so many positions are held over all languages. Shards are numbered within the task that writes them."""
     from pyspark import TaskContext
@@ -191,8 +213,8 @@ def _shards(batches, positions: int) -> Iterator[pa.RecordBatch]:
         words, arrays, _ = held.pop(lang)
         flat = np.concatenate(arrays)
         n = np.bincount(flat, minlength=len(words)).astype("<i8")
-        row = {"shard": [number], "lang": [lang], "words": [_BREAK.join([b"", *list(words)[1:]])], "n": [n.tobytes()], "codes": [flat.astype("<u4").tobytes()]}
-        return pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("n", pa.binary()), ("codes", pa.binary())]))
+        row = {"shard": [number], "lang": [lang], "span": [len(flat)], "types": [len(words) - 1], "words": [_packed(_BREAK.join([b"", *list(words)[1:]]))], "n": [_packed(n)], "codes": [_packed(flat.astype("<u4"))]}
+        return pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("span", pa.int64()), ("types", pa.int64()), ("words", pa.binary()), ("n", pa.binary()), ("codes", pa.binary())]))
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -215,37 +237,87 @@ def _shards(batches, positions: int) -> Iterator[pa.RecordBatch]:
 _ROWS = 50_000
 
 
-def _counted_words(batches) -> Iterator[pa.RecordBatch]:
-    """A row for each word of each shard."""
+def _cut(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its entries in order) of each bucket that has any."""
+    order = np.argsort(bucket, kind="stable")
+    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+    for k, at in enumerate(np.split(order, ends[:-1])):
+        if len(at):
+            yield k, at
+
+
+def _word_runs(batches, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, shard, codes, words, n): the words of a shard by bucket."""
     for batch in batches:
         for r in batch.to_pylist():
-            words, n = r["words"].split(_BREAK), np.frombuffer(r["n"], "<i8")
-            for a in range(1, len(words), _ROWS):
-                part = words[a : a + _ROWS]
-                k = len(part)
-                cols = [pa.array([r["shard"]] * k, pa.int64()), pa.array([r["lang"]] * k, pa.string()), pa.array([w.decode() for w in part], pa.string()), pa.array(range(a, a + k), pa.int32()), pa.array(n[a : a + k])]
-                yield pa.RecordBatch.from_arrays(cols, ["shard", "lang", "phrase", "code", "n"])
+            words, n = _texts(r["words"])[1:], _unpacked(r["n"])[1:]
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+            rows = [{"lang": r["lang"], "bucket": k, "shard": r["shard"], "codes": _packed(at + 1), "words": _packed(_BREAK.join([words[i] for i in at.tolist()])), "n": _packed(n[at])} for k, at in _cut(bucket, buckets)]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("shard", pa.int64()), ("codes", pa.binary()), ("words", pa.binary()), ("n", pa.binary())]))
+
+
+_WORDS = "lang string, bucket int, shard long, codes array<int>, places array<int>, words array<string>, f array<long>, n long"
+
+
+def _frequent_words(runs: pa.Table, least: int) -> pa.Table:
+    """A row with the bucket's frequent words, their counts and the sum of all, and one for each shard with its codes of them and their places in that list."""
+    rows = runs.to_pylist()
+    totals: Counter = Counter()
+    texts = [_texts(r["words"]) for r in rows]
+    counts = [_unpacked(r["n"]).tolist() for r in rows]
+    for words, n in zip(texts, counts, strict=True):
+        for w, c in zip(words, n, strict=True):
+            totals[w] += c
+    place = {w: k for k, w in enumerate(sorted(w for w, f in totals.items() if f >= least))}
+    head = {"lang": rows[0]["lang"], "bucket": rows[0]["bucket"]}
+    out = [head | {"words": [w.decode() for w in place], "f": [totals[w] for w in place], "n": sum(totals.values())}]
+    for r, words in zip(rows, texts, strict=True):
+        codes = _unpacked(r["codes"])
+        held = [k for k, w in enumerate(words) if w in place]
+        if held:
+            out.append(head | {"shard": r["shard"], "codes": codes[held].tolist(), "places": [place[words[k]] for k in held]})
+    kinds = [("lang", pa.string()), ("bucket", pa.int32()), ("shard", pa.int64()), ("codes", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("words", pa.list_(pa.string())), ("f", pa.list_(pa.int64())), ("n", pa.int64())]
+    return pa.Table.from_pylist(out, schema=pa.schema(kinds))
 
 
 def _numbers(r: dict) -> np.ndarray:
     """The number of the word at each position of a shard, 0 for a gap or a word that isn't frequent."""
-    codes = np.frombuffer(r["codes"], "<u4")
+    codes = _unpacked(r["codes"], "<u4")
     table = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
-    for w in r["own"]:
-        table[w["code"]] = w["number"]
+    for own in r["own"]:
+        table[own["codes"]] = np.array(own["places"], np.int64) + own["ahead"]
     return table[codes]
 
 
-def _counted_pairs(batches) -> Iterator[pa.RecordBatch]:
-    """(shard, pair, n): the pairs of frequent words of each shard, as both numbers in one."""
+def _pair_runs(batches, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, shard, pairs, n): the pairs of frequent words of a shard by bucket, as both numbers in one; sorted pairs are kept as steps."""
     for batch in batches:
         for r in batch.to_pylist():
             shard = Shard(_numbers(r))
-            for codes, n in shard.phrases(None, 2):
-                pair = shard.words[codes[:, 0]] << _SHIFT | shard.words[codes[:, 1]]
-                for a in range(0, len(pair), _ROWS):
-                    part = pair[a : a + _ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), r["shard"])), pa.array(part), pa.array(n[a : a + _ROWS], pa.int64())], ["shard", "pair", "n"])
+            found = [(shard.words[codes[:, 0]] << _SHIFT | shard.words[codes[:, 1]], n) for codes, n in shard.phrases(None, 2)]
+            if not found:
+                continue
+            pairs, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(pairs)
+            pairs, n = pairs[order], n[order]
+            bucket = ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+            rows = [{"bucket": k, "shard": r["shard"], "pairs": _packed(np.diff(pairs[at], prepend=0)), "n": _packed(n[at].astype("<u4"))} for k, at in _cut(bucket, buckets)]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("pairs", pa.binary()), ("n", pa.binary())]))
+
+
+def _frequent_pairs(runs: pa.Table, least: int) -> pa.Table:
+    """A row with the bucket's frequent pairs and their counts, and one for each shard with those of its own."""
+    rows = runs.to_pylist()
+    pairs = [np.cumsum(_unpacked(r["pairs"])) for r in rows]
+    distinct, back = np.unique(np.concatenate(pairs), return_inverse=True)
+    totals = np.zeros(len(distinct), np.int64)
+    np.add.at(totals, back, np.concatenate([_unpacked(r["n"], "<u4") for r in rows]).astype(np.int64))
+    often = totals >= least
+    out = [{"pairs": distinct[often].tolist(), "f": totals[often].tolist()}]
+    for r, own, kept in zip(rows, pairs, np.split(often[back], np.cumsum([len(p) for p in pairs])[:-1]), strict=True):
+        if kept.any():
+            out.append({"shard": r["shard"], "pairs": own[kept].tolist()})
+    return pa.Table.from_pylist(out, schema=pa.schema([("shard", pa.int64()), ("pairs", pa.list_(pa.int64())), ("f", pa.list_(pa.int64()))]))
 
 
 def _counted_longer(batches, longest: int) -> Iterator[pa.RecordBatch]:
@@ -253,9 +325,11 @@ def _counted_longer(batches, longest: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             shard = Shard(_numbers(r))
-            words, local = r["words"].split(_BREAK), {w["number"]: w["code"] for w in r["own"]}
+            words = _texts(r["words"])
+            local = {p + own["ahead"]: c for own in r["own"] for c, p in zip(own["codes"], own["places"], strict=True)}
             texts = [words[local[x]] if x else b"" for x in shard.words.tolist()]
-            for codes, n in shard.phrases(np.sort(np.array(r["pairs"], np.int64)), longest):
+            pairs = np.sort(np.concatenate([np.array(p, np.int64) for p in r["pairs"]]))
+            for codes, n in shard.phrases(pairs, longest):
                 if codes.shape[1] < 3:
                     continue
                 for a in range(0, len(codes), _ROWS):
@@ -268,34 +342,45 @@ def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> tuple[
 
     Reads the columns text and lang.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     s = settings
     texts = docs.filter("text is not null").select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
-    shards = texts.mapInArrow(lambda b: _shards(b, s.shard), "shard long, lang string, words binary, n binary, codes binary")
-    shards = materialise(shards, "shards", "zstd")
-    often = F.col("f") >= s.least
-
-    counted = materialise(shards.select("shard", "lang", "words", "n").mapInArrow(_counted_words, "shard long, lang string, phrase string, code int, n long"), "words", "zstd")
-    total = counted.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(often)
-    words = materialise(numbered(words, ["lang", "phrase"], "number", 1), "numbered")  # two numbers fit a long
-    own = counted.join(words.select("lang", "phrase", F.col("number").cast("int").alias("number")), ["lang", "phrase"])
+    shards = texts.mapInArrow(lambda b: _shards(b, s.shard), "shard long, lang string, span long, types long, words binary, n binary, codes binary")
+    shards = materialise(shards, "shards")
+    span, types = shards.agg(F.coalesce(F.sum("span"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+
+    many = max(partitions(spark), -(-types // s.bucket))
+    runs = shards.select("shard", "lang", "words", "n").mapInArrow(lambda b: _word_runs(b, many), "lang string, bucket int, shard long, codes binary, words binary, n binary")
+    found = materialise(runs.groupBy("lang", "bucket").applyInArrow(lambda t: _frequent_words(t, s.least), _WORDS), "words", "zstd")
+    totals = found.filter("shard IS NULL")
+    # one row for each bucket and language
+    sizes = [(r.lang, r.bucket, r.k) for r in totals.select("lang", "bucket", F.size("words").alias("k")).orderBy("lang", "bucket").collect()]
+    before, ahead = [], 1
+    for lang, bucket, k in sizes:
+        before.append((lang, bucket, ahead))
+        ahead += k
+    if ahead >= 1 << 31:
+        raise ValueError("two numbers of words have to fit a long")
+    offsets = F.broadcast(spark.createDataFrame(before, "lang string, bucket int, ahead long"))
+    words = totals.join(offsets, ["lang", "bucket"]).select("lang", "ahead", F.posexplode(F.arrays_zip("words", "f")).alias("place", "w"))
+    words = words.select("lang", F.col("w.words").alias("phrase"), F.col("w.f").alias("f"), (F.col("ahead") + F.col("place")).alias("number"))
     # at most as many as a shard has words
-    own = materialise(own.groupBy("shard").agg(F.collect_list(F.struct("code", "number")).alias("own")), "own")
-
-    there = shards.select("shard", "codes").join(own, "shard")
-    counted = materialise(there.mapInArrow(_counted_pairs, "shard long, pair long, n long"), "pairs", "zstd")
-    pairs = materialise(counted.groupBy("pair").agg(F.sum("n").alias("f")).filter(often), "frequent")
-    # the frequent pairs of a partition are few beside the rows that look for them, so these needn't be sorted
-    theirs = counted.select("shard", "pair").join(pairs.select("pair").hint("shuffle_hash"), "pair", "left_semi")
-    theirs = theirs.groupBy("shard").agg(F.collect_list("pair").alias("pairs"))
+    own = found.filter("shard IS NOT NULL").join(offsets, ["lang", "bucket"]).groupBy("shard").agg(F.collect_list(F.struct("codes", "places", "ahead")).alias("own"))
+
+    many_pairs = max(partitions(spark), -(-span // s.bucket))
+    runs = shards.select("shard", "codes").join(own, "shard").mapInArrow(lambda b: _pair_runs(b, many_pairs), "bucket int, shard long, pairs binary, n binary")
+    found = materialise(runs.groupBy("bucket").applyInArrow(lambda t: _frequent_pairs(t, s.least), "shard long, pairs array<long>, f array<long>"), "pairs", "zstd")
+    theirs = found.filter("shard IS NOT NULL").groupBy("shard").agg(F.collect_list("pairs").alias("pairs"))
     there = shards.select("shard", "lang", "words", "codes").join(own, "shard").join(theirs, "shard")
-    longer = there.mapInArrow(lambda b: _counted_longer(b, s.longest), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(often)
+    longer = there.mapInArrow(lambda b: _counted_longer(b, s.longest), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= s.least)
 
+    pairs = found.filter("shard IS NULL").select(F.explode(F.arrays_zip("pairs", "f")).alias("p")).select("p.pairs", "p.f")
     first, second = (words.select(F.col("number").alias(x), F.col("lang"), F.col("phrase").alias(f"{x}_word")) for x in ("first", "second"))
-    named = pairs.select(F.shiftright("pair", _SHIFT).alias("first"), F.col("pair").bitwiseAND(F.lit((1 << _SHIFT) - 1)).alias("second"), "f")
+    named = pairs.select(F.shiftright("pairs", _SHIFT).alias("first"), F.col("pairs").bitwiseAND(F.lit((1 << _SHIFT) - 1)).alias("second"), "f")
     named = named.join(first, "first").join(second.drop("lang"), "second").select("lang", F.concat_ws(" ", "first_word", "second_word").alias("phrase"), "f")
-    return materialise(words.select("lang", "phrase", "f").unionByName(named).unionByName(longer), "frequent"), total
+    every = words.select("lang", "phrase", "f").unionByName(named).unionByName(longer)
+    return materialise(every, "frequent"), totals.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def exact_score(a: str, n: str, l: str, r: str) -> Column:  # noqa: E741
