@@ -57,11 +57,15 @@ def scores(corpus: DataFrame, query: str, chosen: DataFrame | None = None) -> Da
     return out if chosen is None else out.join(chosen.select("id"), "id", "left_semi")
 
 
-def search(corpus: DataFrame, query: str | None, limit: int = 50, offset: int = 0, order: str = "relevance", chosen: DataFrame | None = None) -> DataFrame:
+def search(
+    corpus: DataFrame, query: str | None, limit: int = 50, offset: int = 0, order: str = "relevance", chosen: DataFrame | None = None, ranked: DataFrame | None = None, keys: DataFrame | None = None
+) -> DataFrame:
     """A page of results: metadata, snippet, score relative to the page's best.
 
     Ids are ranked first; metadata and text are fetched for the page alone.
-    Without a query it browses: by date, with a preview and no score.
+    Without a query it browses: by date, with a preview and no score. ``ranked``
+    (id, score) and ``keys`` (id and what results are ordered by) come from an
+    index in place of the texts.
     """
     if not 1 <= limit <= 200 or not 0 <= offset <= 10_000_000:
         raise ValueError("limit must be 1 to 200, offset 0 to 10,000,000")
@@ -69,12 +73,12 @@ def search(corpus: DataFrame, query: str | None, limit: int = 50, offset: int =
         rows = corpus if chosen is None else corpus.join(chosen.select("id"), "id", "left_semi")
         page = rows.orderBy(*order_columns("date_asc" if order == "relevance" else order)).offset(offset).limit(limit)
         return page.select(*META, preview(F.col("speech")).alias("snippet"), F.lit(None).cast("double").alias("score"))
-    ranked = scores(corpus, query, chosen)
+    ranked = scores(corpus, query, chosen) if ranked is None else ranked
     if order == "relevance":
         page = ranked.orderBy(F.col("score").desc(), "id").offset(offset).limit(limit)
     else:
-        keys = corpus.select("id", "date", "num_session", "ord", "nwords").join(ranked, "id")
-        page = keys.orderBy(*order_columns(order)).offset(offset).limit(limit).select("id", "score")
+        placed = (corpus if keys is None else keys).select("id", "date", "num_session", "ord", "nwords").join(ranked, "id")
+        page = placed.orderBy(*order_columns(order)).offset(offset).limit(limit).select("id", "score")
     best = F.max("score").over(Window.partitionBy(F.lit(0)))  # the page holds at most 200 rows
     page = page.withColumn("score", F.bround(F.when(best == 0, F.lit(-1.0)).otherwise(F.col("score") / best), 4))
     rows = corpus.join(F.broadcast(page), "id")

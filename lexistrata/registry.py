@@ -184,7 +184,22 @@ def index_bm25(spark, d):
 
 @query(CORPUS + TOKENS + f"z AS (SELECT 1) SELECT id FROM toks WHERE contains({LINE}, ' de la ') OR (list_contains(tokens, 'the') AND contains({LINE}, ' of the '))")
 def index_phrase(spark, d):
-    return _index(spark, d).match('"de la" | (the + "of the")', corpus(spark, d))
+    return _index(spark, d).match('"de la" | (the + "of the")')
+
+
+@query(_BM25 + ", p AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 20) SELECT c.id, c.date, c.party, c.nwords FROM p JOIN corpus c USING (id)")
+def index_page(spark, d):
+    return _index(spark, d).search(corpus(spark, d), "que | los", limit=20).select("id", "date", "party", "nwords")
+
+
+@query(CORPUS + TOKENS + "z AS (SELECT 1) SELECT id, nwords FROM toks WHERE list_contains(tokens, 'que') ORDER BY nwords DESC, id LIMIT 20 OFFSET 5")
+def index_page_by_length(spark, d):
+    return _index(spark, d).search(corpus(spark, d), "que", limit=20, offset=5, order="length_desc").select("id", "nwords")
+
+
+@query(CORPUS + TOKENS + "z AS (SELECT 1) SELECT id FROM toks WHERE list_contains(tokens, 'que') ORDER BY date, num_session, ord, id LIMIT 40")
+def index_id_list(spark, d):
+    return _index(spark, d).id_list("que", order="date_asc", cap=40)
 
 
 @query(_BM25 + ", p AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 20) SELECT c.id, c.date, c.party, c.nwords FROM p JOIN corpus c USING (id)")
@@ -330,6 +345,16 @@ def trend_phrase(spark, d):
     return trend.monthly(corpus(spark, d), trend.read_terms(['"de la"']))
 
 
+@query(_trend_sql("phrase:de la", "len(list_filter(range(1, len(tokens)), lambda i: tokens[i] = 'de' AND tokens[i + 1] = 'la'))"))
+def index_trend_phrase(spark, d):
+    return _index(spark, d).monthly(corpus(spark, d), trend.read_terms(['"de la"']))
+
+
+@query(_trend_sql("prefix:ing", "len(list_filter(tokens, lambda x: starts_with(x, 'ing')))"))
+def index_trend_prefix(spark, d):
+    return _index(spark, d).monthly(corpus(spark, d), trend.read_terms(["ing*"]))
+
+
 @query(f"WITH m AS ({_WORD}) SELECT term, substr(month, 1, 4)::INTEGER AS year, sum(count)::BIGINT AS count, sum(docs)::BIGINT AS docs, sum(tokens)::BIGINT AS tokens, sum(speeches)::BIGINT AS speeches FROM m GROUP BY 1, 2")
 def trend_yearly(spark, d):
     return trend.yearly(trend_word(spark, d))
