@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.dates import year_of
-from ..functions.ranking import numbered
+from ..functions.ranking import cut, numbered
 from ..functions.text import word_count
 from ..schema import CORPUS, CSV_COLUMNS, UNKNOWN
+from ..session import ship
+from . import csv_ranges
 
 
 class IngestError(ValueError):
@@ -55,24 +56,54 @@ def sniff(spark: SparkSession, path: str) -> list[str]:
     return ["bom"] if data.startswith(b"\xef\xbb\xbf") else []
 
 
+def _numbered(found: DataFrame) -> DataFrame:
+    """All columns as strings, empty ones null; ``width`` and the place of each record; the header is left out."""
+    at = {c: F.try_element_at("fields", F.lit(k + 1)) for k, c in enumerate(CSV_COLUMNS)}
+    rows = found.filter("number > 0").select("number", "line", "byte", F.size("fields").alias("width"), *(F.when(v != "", v).alias(c) for c, v in at.items()))
+    return rows.withColumn("place", F.col("number"))
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, ``corrupt`` for records of another width, ``place`` for the order in the file."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in CSV_COLUMNS] + [T.StructField("corrupt", T.StringType())])
-    rows = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="corrupt", encoding="UTF-8", enforceSchema=True)
-    # the width of a record is only known if all its columns are read
-    rows = rows.withColumn("corrupt", F.when(F.length(F.concat_ws("", *CSV_COLUMNS)) >= 0, F.col("corrupt")))
-    return rows.withColumn("place", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")))
+    """The records of a file, read in ranges of bytes: all columns as strings, ``width``, ``line`` from 1, ``byte`` from 0, and ``place``, the order in the file."""
+    source = csv_ranges.lines(spark, path)
+    return _numbered(csv_ranges.read(source, csv_ranges.survey(source)))
+
+
+_INTEGER = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
+#: What ends the ingest, in order; the rest are warnings.
+FATAL = ("field_count", "order_not_integer", "order_too_long", "order_out_of_range", "flag_not_integer")
+
 
+def problems(raw: DataFrame, parties: DataFrame | None = None) -> DataFrame:
+    """(code, n, number, line, byte, value): what is wrong with the records, how many of them, and the first one.
 
-def problems(raw: DataFrame) -> DataFrame:
-    """(code, n): failures found in the records."""
+    Failures: ``field_count``; an order that is no integer, has more than 4,300
+    digits or doesn't fit 32 bits; a speech flag that is no integer. Warnings:
+    ``blank_line``, ``bad_date``, and, if ``parties`` (label) is given,
+    ``unknown_party``.
+    """
+    digits = lambda c: F.regexp_replace(F.btrim(F.col(c)), "[_+-]", "")
+    whole = lambda c: F.col(c).rlike(_INTEGER)
+    fits = F.regexp_replace(F.btrim("intervention_order"), "_", "").try_cast("int").isNotNull()
+    full = F.col("width") == len(CSV_COLUMNS)
+    order = full & F.col("intervention_order").isNotNull()
     checks = {
-        "field_count": F.col("corrupt").isNotNull(),
-        "order_not_integer": F.col("intervention_order").isNotNull() & ~F.col("intervention_order").rlike(r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"),
-        "bad_date": F.col("date").isNotNull() & F.try_to_timestamp("date", F.lit("yyyy-MM-dd")).isNull(),
+        "blank_line": (F.col("width") == 0, F.lit(None)),
+        "field_count": (~full & (F.col("width") > 0), F.col("width").cast("string")),
+        "order_not_integer": (order & ~whole("intervention_order"), F.col("intervention_order")),
+        "order_too_long": (order & whole("intervention_order") & (F.length(digits("intervention_order")) > 4300), F.lit(None)),
+        "order_out_of_range": (order & whole("intervention_order") & (F.length(digits("intervention_order")) <= 4300) & ~fits, F.col("intervention_order")),
+        "flag_not_integer": (full & F.col("dm_speech").isNotNull() & ~whole("dm_speech"), F.col("dm_speech")),
+        "bad_date": (full & (F.btrim(F.coalesce("date", F.lit(""))) != "") & F.try_to_timestamp(F.btrim("date"), F.lit("yyyy-MM-dd")).isNull(), F.col("date")),
     }
-    found = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in checks.items())), lambda x: x.isNotNull())
-    return raw.select(F.explode(found).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    if parties is not None:
+        known = parties.select(F.col("label").alias("party")).distinct().withColumn("known", F.lit(True))
+        raw = raw.withColumn("party", F.btrim("party")).join(known, "party", "left")
+        checks["unknown_party"] = (full & (F.coalesce("party", F.lit("")) != "") & F.col("known").isNull(), F.col("party"))
+    found = F.filter(F.array(*(F.when(c, F.struct(F.lit(k).alias("code"), v.cast("string").alias("value"))) for k, (c, v) in checks.items())), lambda x: x.isNotNull())
+    each = raw.select("number", "line", "byte", F.explode(found).alias("f"))
+    first = F.min(F.struct("number", "line", "byte", "f.value")).alias("at")
+    return each.groupBy("f.code").agg(F.count("*").alias("n"), first).select("code", "n", "at.number", "at.line", "at.byte", "at.value")
 
 
 def _first_seen(rows: DataFrame, key: str, name: str, first: int) -> DataFrame:
@@ -86,7 +117,7 @@ def transform(raw: DataFrame) -> DataFrame:
     clean = lambda c: F.when(F.btrim(F.coalesce(c, F.lit(""))) == "", F.lit(None)).otherwise(F.btrim(c))
     known = lambda c: F.coalesce(clean(c), F.lit(UNKNOWN))
     c = F.col
-    rows = raw.filter("corrupt IS NULL")
+    rows = raw.filter(F.col("width") == len(CSV_COLUMNS))
     rows = rows.withColumn("id_session", F.btrim("id_session")).withColumn("id_dep", clean(c("id_dep")))
     rows = numbered(rows, ["place"], "id", 1)
     rows = rows.join(_first_seen(rows, "id_session", "num_session", 1), "id_session", "left").join(_first_seen(rows, "id_dep", "rep_id", 0), "id_dep", "left")
@@ -102,19 +133,31 @@ def transform(raw: DataFrame) -> DataFrame:
     ).select(*CORPUS.fieldNames())
 
 
+def examine(spark: SparkSession, path: str, parties: DataFrame | None = None) -> tuple[DataFrame, list[tuple]]:
+    """The raw records of a file, and warnings (code, n, number, line); raises ``IngestError`` on a file that can't be a corpus."""
+    ship(spark)
+    warnings = [(w, 1, 0, 1) for w in sniff(spark, path)]
+    source = csv_ranges.lines(spark, path)
+    plan = csv_ranges.survey(source)
+    if plan.nul:
+        raise IngestError("nul_byte", f"line {plan.nul[0]}, byte {plan.nul[1]}")
+    if plan.bad:
+        raise IngestError("cut_utf8" if plan.bad_cut else "invalid_utf8", f"line {plan.bad[0]}, byte {plan.bad[1]}")
+    raw = cut(_numbered(csv_ranges.read(source, plan)))
+    if plan.cut:
+        last = raw.agg(F.max(F.struct("number", "line")).alias("m")).first().m
+        raise IngestError("cut_in_quotes", f"record {last.number}, line {last.line}" if last else "in the header")
+    found = {r.code: r for r in problems(raw, parties).collect()}
+    for code in FATAL:
+        if code in found:
+            r = found[code]
+            raise IngestError(code, f"{r.n} records, the first {r.number} in line {r.line} at byte {r.byte}" + (f": {r.value[:80]}" if r.value else ""))
+    return raw, warnings + [(r.code, r.n, r.number, r.line) for r in sorted(found.values(), key=lambda r: r.code)]
+
+
 def ingest(spark: SparkSession, path: str) -> DataFrame:
     """Corpus of one CSV file; raises ``IngestError`` on a file that can't be one."""
-    sniff(spark, path)
-    raw = read_raw(spark, path)
-    found = {r.code: r.n for r in problems(raw).collect()}
-    for code in ("field_count", "order_not_integer"):
-        if code in found:
-            raise IngestError(code, f"{found[code]} records")
-    # the text source keeps bytes as they are
-    wrong = spark.read.text(path).filter(~F.is_valid_utf8("value")).count()
-    if wrong:
-        raise IngestError("invalid_utf8", f"{wrong} lines")
-    return transform(raw)
+    return transform(examine(spark, path)[0])
 
 
 def write_corpus(corpus: DataFrame, path: str) -> None:
