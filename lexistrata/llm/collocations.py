@@ -234,9 +234,6 @@ def _shards(batches, positions: int) -> Iterator[pa.RecordBatch]:
         yield close(lang)
 
 
-_ROWS = 50_000
-
-
 def _cut(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places of its entries in order) of each bucket that has any."""
     order = np.argsort(bucket, kind="stable")
@@ -320,8 +317,9 @@ def _frequent_pairs(runs: pa.Table, least: int) -> pa.Table:
     return pa.Table.from_pylist(out, schema=pa.schema([("shard", pa.int64()), ("pairs", pa.list_(pa.int64())), ("f", pa.list_(pa.int64()))]))
 
 
-def _counted_longer(batches, longest: int) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, n): the phrases of three words or more over the frequent pairs of each shard."""
+def _longer_runs(batches, longest: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, phrases, n): the phrases of three words or more over the frequent pairs of a shard, by bucket."""
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("phrases", pa.binary()), ("n", pa.binary())])
     for batch in batches:
         for r in batch.to_pylist():
             shard = Shard(_numbers(r))
@@ -329,12 +327,30 @@ def _counted_longer(batches, longest: int) -> Iterator[pa.RecordBatch]:
             local = {p + own["ahead"]: c for own in r["own"] for c, p in zip(own["codes"], own["places"], strict=True)}
             texts = [words[local[x]] if x else b"" for x in shard.words.tolist()]
             pairs = np.sort(np.concatenate([np.array(p, np.int64) for p in r["pairs"]]))
+            phrases: list[bytes] = []
+            counts = []
             for codes, n in shard.phrases(pairs, longest):
-                if codes.shape[1] < 3:
-                    continue
-                for a in range(0, len(codes), _ROWS):
-                    part = [b" ".join([texts[c] for c in p]).decode() for p in codes[a : a + _ROWS].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * len(part), pa.string()), pa.array(part, pa.string()), pa.array(n[a : a + _ROWS], pa.int64())], ["lang", "phrase", "n"])
+                if codes.shape[1] > 2:
+                    phrases += [b" ".join([texts[c] for c in p]) for p in codes.tolist()]
+                    counts.append(n)
+            if not phrases:
+                continue
+            flat = np.concatenate(counts).astype("<u4")
+            bucket = np.fromiter(map(zlib.crc32, phrases), np.int64, len(phrases)) % buckets
+            rows = [{"lang": r["lang"], "bucket": k, "phrases": _packed(_BREAK.join([phrases[i] for i in at.tolist()])), "n": _packed(flat[at])} for k, at in _cut(bucket, buckets)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def _frequent_longer(runs: pa.Table, least: int) -> pa.Table:
+    """(lang, phrase, f): the bucket's frequent phrases."""
+    totals: Counter = Counter()
+    rows = runs.to_pylist()
+    for r in rows:
+        for p, n in zip(_texts(r["phrases"]), _unpacked(r["n"], "<u4").tolist(), strict=True):
+            totals[p] += n
+    often = [(p, f) for p, f in totals.items() if f >= least]
+    cols = [pa.array([rows[0]["lang"]] * len(often), pa.string()), pa.array([p.decode() for p, _ in often], pa.string()), pa.array([f for _, f in often], pa.int64())]
+    return pa.Table.from_arrays(cols, ["lang", "phrase", "f"])
 
 
 def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -373,7 +389,8 @@ def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> tuple[
     found = materialise(runs.groupBy("bucket").applyInArrow(lambda t: _frequent_pairs(t, s.least), "shard long, pairs array<long>, f array<long>"), "pairs", "zstd")
     theirs = found.filter("shard IS NOT NULL").groupBy("shard").agg(F.collect_list("pairs").alias("pairs"))
     there = shards.select("shard", "lang", "words", "codes").join(own, "shard").join(theirs, "shard")
-    longer = there.mapInArrow(lambda b: _counted_longer(b, s.longest), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= s.least)
+    runs = there.mapInArrow(lambda b: _longer_runs(b, s.longest, many_pairs), "lang string, bucket int, phrases binary, n binary")
+    longer = runs.groupBy("lang", "bucket").applyInArrow(lambda t: _frequent_longer(t, s.least), "lang string, phrase string, f long")
 
     pairs = found.filter("shard IS NULL").select(F.explode(F.arrays_zip("pairs", "f")).alias("p")).select("p.pairs", "p.f")
     first, second = (words.select(F.col("number").alias(x), F.col("lang"), F.col("phrase").alias(f"{x}_word")) for x in ("first", "second"))
