@@ -13,13 +13,18 @@ _ROW_BITS = 33
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset and all runs on one machine."""
+    """A new folder below ``spark.checkpoint.dir``, deleted when the driver ends; a local one only where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexistrata-shared-")
-    return f"{base.rstrip('/')}/lexistrata-{uuid.uuid4().hex}/{label}"
+    uri = f"{base.rstrip('/')}/lexistrata-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{uri}/{label}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again. Like ``cut``, but the new plan knows nothing of the old one, whose inferred constraints grow from step to step of a long loop."""
+    path = shared_folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, order: list[Column | str], name: str, first: int = 0) -> DataFrame:
     """Adds consecutive numbers in a global order.
 

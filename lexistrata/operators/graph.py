@@ -1,4 +1,4 @@
-"""Graphs as edge tables: strengths, modularity, components; Leiden communities for small ones."""
+"""Graphs as edge tables: strengths, modularity, components, communities; Leiden's method on the driver for small ones."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.ranking import cut
+from ..functions.ranking import cut, written
 
 
 def strengths(edges: DataFrame) -> DataFrame:
@@ -237,3 +237,94 @@ def _connected(g: _Graph, part: list[int]) -> list[int]:
                         stack.append(u)
             fresh += 1
     return out
+
+
+# --- communities of large graphs ---------------------------------------------
+
+
+def _weights(edges: DataFrame) -> DataFrame:
+    """(a, b, weight) with a <= b, a row for each pair; a loop holds the weight inside its node."""
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+
+
+def _degrees(edges: DataFrame) -> DataFrame:
+    """(node, k); a loop counts twice."""
+    ends = edges.select(F.col("a").alias("node"), "weight").unionAll(edges.select(F.col("b").alias("node"), "weight"))
+    return ends.groupBy("node").agg(F.sum("weight").alias("k"))
+
+
+def local_moves(edges: DataFrame, labels: DataFrame, gamma: float = 1.0, rounds: int = 12, least: float = 0.002) -> tuple[DataFrame, int]:
+    """(labels, moves): nodes moved to the neighbouring community with the largest gain of modularity.
+
+    ``edges`` as ``_weights`` gives them, ``labels`` (node, community). All nodes
+    of a half, drawn anew by hash each round, decide at once on the labels of the
+    round before, so that two neighbours don't swap for ever. It ends when a
+    round moves fewer than a share ``least`` of the nodes, twice in a row.
+    """
+    degrees = written(_degrees(edges))
+    n, m2 = degrees.agg(F.count("*"), F.sum("k")).first()
+    if not n or not m2:
+        return labels, 0
+    near = edges.filter("a <> b")
+    near = written(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
+    total, still = 0, 0
+    for turn in range(rounds):
+        held = labels.join(degrees, "node")
+        mass = held.groupBy("community").agg(F.sum("k").alias("mass"))
+        mine = held.filter(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0).withColumnRenamed("community", "own")
+        links = near.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
+        # the own community is an option even without a neighbour in it
+        options = links.join(mine, "node").unionByName(mine.select("node", F.col("own").alias("community"), F.lit(0.0).alias("w"), "own", "k"))
+        options = options.groupBy("node", "community", "own", "k").agg(F.sum("w").alias("w")).join(mass, "community")
+        stays = F.col("community") == F.col("own")
+        gain = F.col("w") - gamma * F.col("k") * (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)) / m2
+        # rounded, so that sums in another order give the same choice; staying wins a tie, then the smaller community
+        best = options.groupBy("node").agg(F.min_by("community", F.struct(-F.round(gain, 9), (~stays).cast("int"), "community")).alias("to"), F.first("own").alias("own")).filter("to <> own")
+        moves = written(best.select("node", "to"))
+        moved = moves.count()
+        labels = written(labels.join(moves, "node", "left").select("node", F.coalesce("to", "community").alias("community")))
+        total += moved
+        still = still + 1 if moved < max(1.0, least * n) else 0
+        if still == 2:
+            break
+    return labels, total
+
+
+def communities(edges: DataFrame, gamma: float = 1.0, seed: int = 1, small: int = 50_000) -> DataFrame:
+    """(node, community) of an undirected weighted edge table (a, b, weight); each community is connected.
+
+    Local moves and aggregation by turns, distributed, until the graph of the
+    communities has at most ``small`` edges: these alone are collected, and
+    ``leiden`` solves them. A graph that no move makes smaller stays as it is.
+    Then nodes move once more in the whole graph. A community is named by its smallest node.
+    """
+    spark = edges.sparkSession
+    whole = level = written(_weights(edges.filter("a IS NOT NULL AND b IS NOT NULL AND weight > 0")))
+    kind = whole.schema["a"].dataType
+    labels = None  # node of the whole graph -> node of the level
+    large = whole.count() > small
+    while level.count() > small:
+        nodes = level.select(F.col("a").alias("node")).unionAll(level.select(F.col("b").alias("node"))).distinct()
+        found, moved = local_moves(level, written(nodes.withColumn("community", F.col("node"))), gamma)
+        if not moved:
+            break
+        labels = found if labels is None else written(labels.join(found.select(F.col("node").alias("community"), F.col("community").alias("up")), "community").select("node", F.col("up").alias("community")))
+        a, b = (found.select(F.col("node").alias(x), F.col("community").alias(f"{x}2")) for x in "ab")
+        level = written(_weights(level.join(a, "a").join(b, "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"), "weight")))
+    rows = level.orderBy("a", "b").limit(small + 1).collect()
+    if len(rows) <= small:
+        names = sorted({x for r in rows for x in (r.a, r.b)})
+        at = {x: i for i, x in enumerate(names)}
+        part, _ = leiden(len(names), [(at[r.a], at[r.b], float(r.weight)) for r in rows], gamma, seed)
+        first: dict = {}
+        table = spark.createDataFrame([(x, first.setdefault(c, x)) for x, c in zip(names, part, strict=True)], T.StructType([T.StructField("node", kind), T.StructField("community", kind)]))
+        if labels is None:
+            return table
+        labels = written(labels.join(table.select(F.col("node").alias("community"), F.col("community").alias("up")), "community").select("node", F.col("up").alias("community")))
+    if not large:
+        return labels
+    labels, _ = local_moves(whole, labels, gamma, 4)
+    # moves may leave a community in parts
+    a, b = (labels.select(F.col("node").alias(x), F.col("community").alias(f"{x}2")) for x in "ab")
+    inside = whole.join(a, "a").join(b, "b").filter("a2 = b2").select("a", "b")
+    return components(inside).select("node", F.col("component").alias("community")).unionByName(labels.select("node").join(inside.select(F.col("a").alias("node")).unionAll(inside.select(F.col("b").alias("node"))), "node", "left_anti").withColumn("community", F.col("node")))

@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranking import cut, numbered
 from ..functions.text import fold
-from .graph import leiden
+from .graph import communities
 
 FOUND = "array<struct<at:int,form:string,office:string,institution:string,name:string,vocative:boolean>>"
 LOOSE = "array<struct<at:int,word:string,before:string,after:string>>"
@@ -342,18 +343,12 @@ def party_matrix(mentions: DataFrame, people: DataFrame, top: int = 8) -> DataFr
     return full.join(F.broadcast(largest), "party", "left_semi").join(F.broadcast(largest.withColumnRenamed("party", "target")), "target", "left_semi").select("party", "target", "n")
 
 
-def foci(graph: DataFrame, least: int = 5, seed: int = 1) -> DataFrame:
-    """(person, focus): communities of at least ``least`` persons, by size. Persons are a roster's, so it is solved on the driver."""
-    spark = graph.sparkSession
-    rows = graph.orderBy("a", "b").collect()
-    names = sorted({x for r in rows for x in (r.a, r.b)})
-    at = {x: i for i, x in enumerate(names)}
-    part, _ = leiden(len(names), [(at[r.a], at[r.b], float(r.n)) for r in rows], 1.0, seed)
-    groups: dict[int, list[str]] = {}
-    for x, c in zip(names, part, strict=True):
-        groups.setdefault(c, []).append(x)
-    big = sorted((g for g in groups.values() if len(g) >= least), key=lambda g: (-len(g), g[0]))
-    return spark.createDataFrame([(x, k) for k, g in enumerate(big) for x in g], "person string, focus int")
+def foci(graph: DataFrame, least: int = 5, seed: int = 1, small: int = 50_000) -> DataFrame:
+    """(person, focus): communities of at least ``least`` persons, by size, then by their first person. At most ``small`` edges come to the driver."""
+    found = cut(communities(graph.select("a", "b", F.col("n").cast("double").alias("weight")), 1.0, seed, small))
+    sizes = found.groupBy("community").agg(F.count("*").alias("size"), F.min("node").alias("first")).filter(F.col("size") >= least)
+    order = numbered(sizes.select("community", (-F.col("size")).alias("larger"), "first"), ["larger", "first"], "focus").select("community", F.col("focus").cast("int").alias("focus"))
+    return found.join(order, "community").select(F.col("node").alias("person"), "focus")
 
 
 def mutual_information(table: DataFrame, x: str, y: str) -> DataFrame:
