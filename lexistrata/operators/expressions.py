@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranking import cut, written
 from ..functions.stats import c_value, log_likelihood
-from ..functions.ranking import cut
 from ..functions.text import index_tokens, spans
 
 #: Words that join the parts of an expression.
@@ -29,14 +29,24 @@ def token_type(t: Column) -> Column:
     return F.when(t.isin(*CONNECTORS), 1).when((F.char_length(t) >= 3) & ~t.rlike("[0-9]") & ~t.isin(*NUMBERS), 2).otherwise(0)
 
 
+def typed_spans(corpus: DataFrame) -> DataFrame:
+    """(id, s, t): the tokens of each span of the speeches, and their types."""
+    rows = corpus.filter("dm_speech = 1").select("id", F.explode(spans(F.col("speech"))).alias("s"))
+    return rows.withColumn("t", F.transform("s", token_type))
+
+
 def candidates(corpus: DataFrame, longest: int = 7) -> DataFrame:
-    """(id, gram, left, right): every candidate of the speeches, with its neighbours in the span.
+    """(id, gram, left, right): every candidate of the speeches, with its neighbours in the span."""
+    return grams(typed_spans(corpus), longest)
+
+
+def grams(rows: DataFrame, longest: int = 7) -> DataFrame:
+    """The candidates of typed spans.
 
     Starts are exploded first, then the lengths up to the next token that is
     neither content nor connector.
     """
-    rows = corpus.filter("dm_speech = 1").select("id", F.explode(spans(F.col("speech"))).alias("s")).filter(F.size("s") >= 2)
-    rows = rows.withColumn("t", F.transform("s", token_type))
+    rows = rows.filter(F.size("s") >= 2)
     starts = rows.select("id", "s", "t", F.explode(F.filter(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.element_at("t", i) == 2)).alias("i"))
     stop = F.array_position(F.slice("t", F.col("i") + 1, longest - 1), 0).cast("int")
     reach = F.least(F.when(stop == 0, longest).otherwise(stop), F.size("s") - F.col("i") + 1)
@@ -62,7 +72,9 @@ def detect(corpus: DataFrame, least: int | None = None, least_docs: int = 3, ext
     if least is None:
         n = corpus.select(F.sum(F.size(index_tokens(F.col("speech")))).alias("n")).first().n or 0
         least = max(20, math.ceil(0.25 * n / 1e6))
-    found = candidates(corpus, longest)
+    # texts are cut and folded once; all that follows reads the tokens
+    rows = written(typed_spans(corpus))
+    found = grams(rows, longest)
     counts = cut(counted(found).filter(F.col("f") >= least))
     kept = counts.filter(F.col("docs") >= least_docs)
     # a gram that mostly stands inside a longer one is dropped
@@ -71,9 +83,8 @@ def detect(corpus: DataFrame, least: int | None = None, least_docs: int = 3, ext
     most = beside.groupBy("gram", "side", "word").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max("c").alias("most"))
     kept = kept.join(most, "gram", "left").filter(F.coalesce("most", F.lit(0)) < extension * F.col("f")).select("gram", "f", "docs")
     # association between all but the last content word's part and the last word
-    tokens = corpus.filter("dm_speech = 1").select(F.explode(F.flatten(spans(F.col("speech")))).alias("token"))
-    words = tokens.groupBy("token").agg(F.count("*").alias("fp"))
-    total = tokens.agg(F.count("*").alias("n"))
+    words = cut(rows.select(F.explode("s").alias("token")).groupBy("token").agg(F.count("*").alias("fp")))
+    total = words.agg(F.coalesce(F.sum("fp"), F.lit(0)).alias("n"))
     kept = kept.withColumn("g", F.split("gram", " "))
     inner = F.reverse(F.slice("g", 1, F.size("g") - 1))
     head = F.size("g") - F.array_position(F.transform(inner, token_type), 2).cast("int")

@@ -90,8 +90,22 @@ def monthly(corpus: DataFrame, terms: list[Term], allowed: DataFrame | None = No
     return out.select("e.term", "month", "e.count", "e.docs", "tokens", "speeches", reliability(F.col("tokens")).alias("reliability"))
 
 
+def month_sessions(corpus: DataFrame) -> DataFrame:
+    """(month, sessions, first, last): sessions of each month, and its first and last date."""
+    rows = corpus.select("date", "num_session", month_of(F.col("date")).alias("month")).filter("month IS NOT NULL").groupBy("month", "date", "num_session").agg(F.lit(1).alias("one"))
+    return rows.groupBy("month").agg(F.count("*").alias("sessions"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+def with_sessions(months: DataFrame, corpus: DataFrame) -> DataFrame:
+    """A monthly series with sessions, first and last; months without any have 0 and nulls."""
+    return months.join(month_sessions(corpus), "month", "left").fillna(0, ["sessions"])
+
+
 def yearly(months: DataFrame) -> DataFrame:
-    return months.groupBy("term", F.substring("month", 1, 4).cast("int").alias("year")).agg(*(F.sum(c).alias(c) for c in ("count", "docs", "tokens", "speeches")))
+    """Sums of a monthly series by year; with first and last date where it has them."""
+    sums = [c for c in ("count", "docs", "tokens", "speeches", "sessions") if c in months.columns]
+    ends = [f(c).alias(c) for c, f in (("first", F.min), ("last", F.max)) if c in months.columns]
+    return months.groupBy("term", F.substring("month", 1, 4).cast("int").alias("year")).agg(*(F.sum(c).alias(c) for c in sums), *ends)
 
 
 def metrics(series: DataFrame) -> DataFrame:
@@ -109,11 +123,15 @@ def segments(months: DataFrame, gap: int = 3) -> DataFrame:
     return full.withColumn("new", new).withColumn("segment", F.sum("new").over(w)).drop("new")
 
 
-def smoothed(months: DataFrame, size: int = 3, gap: int = 3) -> DataFrame:
-    """(term, month, segment, density): centred ratio of sums within a segment."""
+def smoothed(months: DataFrame, size: int = 3, gap: int = 3, measure: str = "density") -> DataFrame:
+    """(term, month, segment, and the measure): smoothed within a segment over the months around.
+
+    ``density`` and ``percent`` are ratios of centred sums, ``count`` the centred mean.
+    """
     half = size // 2
     w = Window.partitionBy("term", "segment").orderBy("i").rangeBetween(-half, half)
-    return segments(months, gap).select("term", "month", "segment", (F.sum("count").over(w) / F.sum("tokens").over(w) * 10_000).alias("density"))
+    values = {"density": F.sum("count").over(w) / F.sum("tokens").over(w) * 10_000, "percent": F.sum("docs").over(w) / F.sum("speeches").over(w) * 100, "count": F.avg("count").over(w)}
+    return segments(months, gap).select("term", "month", "segment", values[measure].alias(measure))
 
 
 def id_runs(corpus: DataFrame) -> DataFrame:

@@ -355,6 +355,15 @@ def index_trend_prefix(spark, d):
     return _index(spark, d).monthly(corpus(spark, d), trend.read_terms(["ing*"]))
 
 
+@query(CORPUS + TOKENS + _MONTHS + """c AS (SELECT id, substr(date, 1, 7) AS month, len(list_filter(tokens, lambda x: x = 'the')) AS c FROM toks),
+n AS (SELECT month, sum(c)::BIGINT AS count FROM c GROUP BY 1),
+s AS (SELECT substr(date, 1, 7) AS month, count(DISTINCT (date, num_session)) AS sessions, min(date) AS first, max(date) AS last FROM corpus WHERE date IS NOT NULL GROUP BY 1)
+SELECT cal.month, coalesce(n.count, 0) AS count, coalesce(s.sessions, 0) AS sessions, s.first, s.last FROM cal LEFT JOIN n USING (month) LEFT JOIN s USING (month)""")
+def trend_sessions(spark, d):
+    rows = corpus(spark, d)
+    return trend.with_sessions(trend.monthly(rows, trend.read_terms(["the"])), rows).select("month", "count", "sessions", "first", "last")
+
+
 @query(f"WITH m AS ({_WORD}) SELECT term, substr(month, 1, 4)::INTEGER AS year, sum(count)::BIGINT AS count, sum(docs)::BIGINT AS docs, sum(tokens)::BIGINT AS tokens, sum(speeches)::BIGINT AS speeches FROM m GROUP BY 1, 2")
 def trend_yearly(spark, d):
     return trend.yearly(trend_word(spark, d))

@@ -28,11 +28,23 @@ def citation(c: DataFrame | None = None) -> Column:
     return F.concat_ws(", ", "rep_name", F.concat(F.lit("("), F.col("party"), F.lit(")")), "date", F.concat(F.lit("session "), F.col("num_session").cast("string")), F.concat(F.lit("id "), F.col("id").cast("string")))
 
 
-def csv_lines(rows: DataFrame, columns: list[str], source: str) -> DataFrame:
-    """(line) with every cell quoted, ``;`` between, formula cells guarded; first lines cite the source."""
+#: A file that begins with it is read as UTF-8 by spreadsheets.
+BOM = "\ufeff"
+
+
+def csv_lines(rows: DataFrame, columns: list[str], source: str, cited: dict[str, str] | None = None, bom: bool = False) -> DataFrame:
+    """(line) with every cell quoted, ``;`` between, formula cells guarded; first lines cite the source.
+
+    ``cited`` adds columns with the same value in each row, such as the source's
+    citation and DOI. Arrays are joined by commas. ``bom`` marks the first line.
+    """
+    cited = cited or {}
+    arrays = [c for c, kind in rows.dtypes if kind.startswith("array") and c in columns]
+    rows = rows.withColumns({c: F.array_join(c, ", ") for c in arrays} | {c: F.lit(v) for c, v in cited.items()})
+    columns, source = [*columns, *cited], (BOM if bom else "") + "# " + source
     cell = lambda c: F.concat(F.lit('"'), F.replace(guard_formula(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit('"'), F.lit('""')), F.lit('"'))
     body = rows.select(F.col("k").alias("k"), F.concat_ws(";", *map(cell, columns)).alias("line"))
-    head = [(-2, "# " + source), (-1, ";".join(f'"{c}"' for c in columns))]
+    head = [(-2, source), (-1, ";".join(f'"{c}"' for c in columns))]
     return rows.sparkSession.createDataFrame(head, "k long, line string").unionByName(body.withColumn("k", F.col("k").cast("long")))
 
 
@@ -101,3 +113,20 @@ def read_bundle(spark: SparkSession, text: str, country: str) -> tuple[dict, Dat
     name = str(data.get("collection", {}).get("name", "")) or "collection"
     rows = [(i["speech_id"], i.get("note") or "", [str(t) for t in i.get("tags") or []], k) for k, i in enumerate(items)]
     return {"name": f"{name} (imported)"}, spark.createDataFrame(rows, "id long, note string, tags array<string>, position int")
+
+
+def csl(rows: DataFrame, corpus: str = "", url: str = "") -> DataFrame:
+    """(k, line): each speech as an item of CSL-JSON, a ``speech`` with its author in family and given name, its date in parts, and the session as the event."""
+    comma = F.contains("rep_name", F.lit(","))
+    words = F.split(F.btrim("rep_name"), r"\s+")
+    family = F.when(comma, F.btrim(F.split_part("rep_name", F.lit(","), F.lit(1)))).otherwise(F.element_at(words, -1))
+    given = F.when(comma, F.btrim(F.split_part("rep_name", F.lit(","), F.lit(2)))).otherwise(F.array_join(F.slice(words, 1, F.size(words) - 1), " "))
+    author = F.struct(family.alias("family"), F.when(given != "", given).alias("given"))
+    # months and days are numbers; a date that is only a year has one part
+    parts = F.transform(F.split("date", "-"), lambda x: x.cast("int"))
+    item = F.struct(
+        F.concat_ws("-", slug(F.col("rep_name")), F.coalesce("year", F.lit(0)).cast("string"), F.col("id").cast("string")).alias("id"), F.lit("speech").alias("type"), F.array(author).alias("author"),
+        F.when(F.col("date").isNotNull(), F.struct(F.array(parts).alias("date-parts"))).alias("issued"), F.concat(F.lit("session "), F.col("num_session").cast("string")).alias("event-title"),
+        F.col("id").cast("string").alias("number"), F.lit(corpus or None).cast("string").alias("container-title"), F.lit(url or None).cast("string").alias("URL"),
+    )
+    return rows.select("k", F.to_json(item).alias("line"))
