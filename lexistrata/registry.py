@@ -177,6 +177,14 @@ def bm25_scores(spark, d):
     return search.scores(corpus(spark, d), "que | los").select("id", F.round("score", 6).alias("score"))
 
 
+@query(CORPUS + TOKENS + "z AS (SELECT 1) SELECT (SELECT count(*) FROM toks) AS speeches, (SELECT count(*) FROM (SELECT DISTINCT id, token FROM tok)) AS postings, (SELECT sum(len(tokens))::BIGINT FROM toks) AS tokens, (SELECT count(DISTINCT token) FROM tok) AS types")
+def index_build(spark, d):
+    """Builds the index, unless this application has, and counts what it holds."""
+    found = _index(spark, d)
+    sums = found.sums().select(F.col("n").alias("speeches"), "tokens")
+    return sums.crossJoin(found.postings.agg(F.count("*").alias("postings"))).crossJoin(found.vocabulary().agg(F.count("*").alias("types")))
+
+
 @query(_BM25 + "SELECT id, round(score, 6) AS score FROM s")
 def index_bm25(spark, d):
     return _index(spark, d).scores("que | los").select("id", F.round("score", 6).alias("score"))
@@ -459,11 +467,6 @@ def accented_forms(spark, d):
 # --- expressions, co-occurrence, graphs
 
 
-@query()
-def expressions_detected(spark, d):
-    return expressions.detect(corpus(spark, d), least=5)
-
-
 _KIND = f"""CASE WHEN x IN ({", ".join(f"'{w}'" for w in expressions.CONNECTORS)}) THEN 1 WHEN length(x) >= 3 AND NOT regexp_matches(x, '[0-9]') AND x NOT IN ({", ".join(f"'{w}'" for w in expressions.NUMBERS)}) THEN 2 ELSE 0 END"""
 _GRAMS = CORPUS + rf"""sp AS (SELECT id, unnest(regexp_split_to_array(speech, '[.,;:!?¿¡()\[\]{{}}«»"“”„–—…•|\n\t]| {{6,}}')) AS s FROM corpus WHERE dm_speech = 1),
 w AS (SELECT id, regexp_extract_all(strip_accents(lower(s)), '[\p{{L}}\p{{N}}]+') AS w FROM sp), ty AS (SELECT id, w, list_transform(w, lambda x: {_KIND}) AS t FROM w WHERE len(w) >= 2),
@@ -477,6 +480,27 @@ def expression_counts(spark, d):
     return expressions.counted(expressions.candidates(corpus(spark, d))).filter("f >= 5")
 
 
+_LAST = "list_position(list_reverse(list_transform(string_split(gram, ' ')[1:len(string_split(gram, ' ')) - 1], lambda x: " + _KIND + ")), 2)"
+
+
+@query(_GRAMS + f""", gs AS (SELECT id, array_to_string(w[i:i + n - 1], ' ') AS gram, CASE WHEN i > 1 THEN w[i - 1] END AS l, w[i + n] AS r FROM n WHERE i + n - 1 <= len(w) AND t[i + n - 1] = 2 AND NOT list_contains(t[i:i + n - 1], 0)),
+counts AS (SELECT gram, count(*) AS f, count(DISTINCT id) AS docs FROM gs GROUP BY 1 HAVING count(*) >= 5),
+sides AS (SELECT gram, 'l' AS side, l AS word FROM gs UNION ALL SELECT gram, 'r', r FROM gs),
+beside AS (SELECT gram, max(c) AS most FROM (SELECT gram, side, word, count(*) AS c FROM sides WHERE word IS NOT NULL GROUP BY ALL) GROUP BY 1),
+k1 AS (SELECT c.* FROM counts c LEFT JOIN beside b USING (gram) WHERE docs >= 3 AND coalesce(b.most, 0) < 0.8 * f),
+words AS (SELECT token, count(*) AS fp FROM (SELECT unnest(w) AS token FROM w) GROUP BY 1), total AS (SELECT sum(fp)::BIGINT AS n FROM words),
+heads AS (SELECT gram AS head, f AS fh FROM counts UNION ALL SELECT token, fp FROM words),
+k2 AS (SELECT gram, f, docs, string_split(gram, ' ') AS g, array_to_string(string_split(gram, ' ')[1:len(string_split(gram, ' ')) - {_LAST}], ' ') AS head FROM k1),
+k3 AS (SELECT gram, g, f, docs, {_g2("f", "fp - f", "fh", "total.n - fh")} AS g2 FROM k2 JOIN words ON token = g[-1] JOIN heads USING (head), total),
+k4 AS (SELECT * FROM k3 WHERE g2 >= 10.83),
+subs AS (SELECT DISTINCT k.gram AS outer_gram, k.f AS cf, array_to_string(k.g[a.i:b.j], ' ') AS gram FROM k4 k JOIN range(1, 7) a(i) ON true JOIN range(2, 8) b(j) ON b.j > a.i AND b.j <= len(k.g) AND b.j - a.i + 1 < len(k.g)),
+around AS (SELECT gram, max(cf) AS most, avg(cf) AS mean FROM subs GROUP BY 1)
+SELECT gram AS form, len(g)::INTEGER AS n_tokens, f AS freq, docs, f - coalesce(most, 0) AS independent, round(g2, 6) AS g2, round(log2(len(g)) * (f - coalesce(mean, 0)), 6) AS c_value
+FROM k4 LEFT JOIN around USING (gram) WHERE f - coalesce(most, 0) >= 5""")
+def expressions_detected(spark, d):
+    return expressions.detect(corpus(spark, d), least=5).withColumns({c: F.round(c, 6) for c in ("g2", "c_value")})
+
+
 @query()
 def expression_units(spark, d):
     return expressions.units(corpus(spark, d), ["que los", "the of the", "of the", "de la"])
