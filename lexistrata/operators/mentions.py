@@ -170,7 +170,7 @@ class Scanner:
                 out.append({"at": a if k else start, "form": words[0], "office": office, "institution": body, "name": text[a:b] or None, "vocative": vocative, "end": b if spans else stop})
         return out
 
-    def loose(self, text: str | None) -> list[dict]:
+    def loose(self, text: str | None, found: list[dict] | None = None) -> list[dict]:
         """Capitalised words outside of mentions and stage directions that may be bare surnames.
 
         ``before`` and ``after`` are the capitalised words next to it, which have to
@@ -178,7 +178,7 @@ class Scanner:
         """
         text = text or ""
         flat = _plain(text)
-        taken = sorted([(m["at"], m["end"]) for m in self.scan(text)] + [(m.start(), m.end()) for m in _STAGE.finditer(flat)])
+        taken = sorted([(m["at"], m["end"]) for m in (self.scan(text) if found is None else found)] + [(m.start(), m.end()) for m in _STAGE.finditer(flat)])
         out, k = [], 0
         for m in self.word.finditer(text):
             while k < len(taken) and taken[k][1] <= m.start():
@@ -245,6 +245,30 @@ def candidates(corpus: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     return corpus.select(*keys, F.explode(run(F.col("speech"))).alias("m")).select(*keys, "m.*")
 
 
+def marks(corpus: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """(keys of the corpus, found, loose): the candidates and the loose capitals of each speech, from one scan of it."""
+
+    @F.arrow_udf(f"struct<found:{FOUND},loose:{LOOSE}>")
+    def run(texts: pa.Array) -> pa.Array:
+        word, number = pa.string(), pa.int32()
+        one = pa.list_(pa.struct([("at", number), ("form", word), ("office", word), ("institution", word), ("name", word), ("vocative", pa.bool_())]))
+        two = pa.list_(pa.struct([("at", number), ("word", word), ("before", word), ("after", word)]))
+        machine, found, loose = scanner(lexicon), [], []
+        for t in texts.to_pylist():
+            found.append(machine.scan(t))
+            loose.append(machine.loose(t, found[-1]))
+        return pa.StructArray.from_arrays([pa.array(found, one), pa.array(loose, two)], ["found", "loose"])
+
+    keys = _keys(corpus)
+    return corpus.select(*keys, run.asNondeterministic()(F.col("speech")).alias("m")).select(*keys, "m.found", "m.loose")
+
+
+def spread(marked: DataFrame, kind: str) -> DataFrame:
+    """``candidates`` (kind ``found``) or ``capitals`` (``loose``) from marks."""
+    keys = [c for c in marked.columns if c not in ("found", "loose")]
+    return marked.select(*keys, F.explode(kind).alias("m")).select(*keys, "m.*")
+
+
 def capitals(corpus: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """(keys of the corpus, at, word, before, after): words that may be bare surnames."""
 

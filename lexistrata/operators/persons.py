@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import cut
+from ..functions.ranking import cut, written
 from ..functions.text import fold
 from .mentions import DEFAULT, Lexicon, name_words
 
@@ -160,10 +160,11 @@ def loose_surnames(corpus: DataFrame, mentions: DataFrame, capitals: DataFrame,
 
 def all_mentions(corpus: DataFrame, holders: DataFrame | None = None, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Every mention of a corpus: candidates, resolved, unsure ones by evidence, outsiders merged, and bare surnames; ``loose`` tells the last."""
-    from .mentions import candidates, capitals, resolve, roster
+    from .mentions import marks, resolve, roster, spread
 
     people = cut(roster(corpus))
-    found = cut(by_evidence(cut(resolve(candidates(corpus, lexicon), people, holders))))
+    marked = written(marks(corpus, lexicon))
+    found = cut(by_evidence(cut(resolve(spread(marked, "found"), people, holders))))
     sure = cut(merge_outsiders(found, given_names(people), lexicon))
-    bare = loose_surnames(corpus, sure, capitals(corpus, lexicon), people, lexicon)
+    bare = loose_surnames(corpus, sure, spread(marked, "loose"), people, lexicon)
     return sure.withColumn("loose", F.lit(False)).unionByName(bare.withColumn("loose", F.lit(True)).withColumn("vocative", F.lit(False)), allowMissingColumns=True)

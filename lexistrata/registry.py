@@ -11,7 +11,7 @@ from .functions import stats
 from .functions.dates import month_of
 from .functions.ranking import shared_folder
 from .functions.text import ascii_tokens, escape_markup, guard_formula, slug
-from .operators import chair, cooccurrence, document, expressions, facets, filters, graph, index, keyness, library, mentions, persons, replies, search, sessions, speakers, temporal, trend, views
+from .operators import chair, cooccurrence, document, expressions, facets, filters, graph, index, keyness, library, mentions, pages, persons, replies, search, sessions, speakers, temporal, trend, views
 from .operators.filters import Filters
 from .schema import collection_ids, corpus, read
 from .sources import exports
@@ -651,6 +651,21 @@ def speaker_roles(spark, d):
     return speakers.parse(read(spark, d, "conversations").withColumn("speaker", label)).select("conv_id", "turn", "role")
 
 
+@query(r"""WITH l AS (SELECT source AS num_session, regexp_replace(trim(strip_accents(lower(unnest(string_split(coalesce(text, ''), chr(10)))))), '[0-9]+', '#', 'g') AS line FROM documents),
+c AS (SELECT num_session, line, count(*) AS n FROM l WHERE length(line) BETWEEN 3 AND 90 AND regexp_matches(line, '[\p{L}#]') GROUP BY 1, 2)
+SELECT * FROM c WHERE n >= CASE WHEN contains(line, '#') THEN 2 ELSE 4 END""")
+def page_heads(spark, d):
+    """Short lines that recur in the documents of a source, sentences too."""
+    docs = read(spark, d, "documents").select(F.col("source").alias("num_session"), F.col("text").alias("speech"))
+    return pages.running_heads(docs, 2, "")
+
+
+@query()
+def paragraph_labels(spark, d):
+    """The tests hold the labelling against all sequences."""
+    return pages.labels(corpus(spark, d)).groupBy("id", "kind").agg(F.count("*").alias("n"))
+
+
 @query()
 def document_blocks(spark, d):
     return document.documents(corpus(spark, d)).select("id", "kind", "start", "end", "number")
