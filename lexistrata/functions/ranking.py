@@ -48,17 +48,26 @@ def numbered(df: DataFrame, order: list[Column | str], name: str, first: int = 0
     Rows are range-partitioned and sorted, and kept as dealt; one count for each
     partition, a bounded list, gives the numbers before it.
     """
-    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
-    return _number(dealt, "__at", name, first)
+    at = _free("at", df)
+    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    return _number(dealt, at, name, first)
+
+
+def _free(name: str, df: DataFrame) -> str:
+    """A column name that the table hasn't."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
 
 
 def _number(dealt: DataFrame, at: str, name: str, first: int) -> DataFrame:
-    part = F.shiftright(F.col(at), _ROW_BITS)
-    counts = sorted((r.p, r.n) for r in dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    before, ahead = [], first
+    part, ahead = _free("part", dealt), _free("ahead", dealt)
+    number = F.shiftright(F.col(at), _ROW_BITS)
+    counts = sorted((r.p, r.n) for r in dealt.groupBy(number.alias("p")).agg(F.count("*").alias("n")).collect())
+    before, total = [], first
     for p, n in counts:
-        before.append((p, ahead))
-        ahead += n
-    offsets = dealt.sparkSession.createDataFrame(before, "__part long, __ahead long")
-    out = dealt.withColumn("__part", part).join(F.broadcast(offsets), "__part")
-    return out.withColumn(name, F.col("__ahead") + F.col(at).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).drop("__part", "__ahead", at)
+        before.append((p, total))
+        total += n
+    offsets = dealt.sparkSession.createDataFrame(before, f"`{part}` long, `{ahead}` long")
+    out = dealt.withColumn(part, number).join(F.broadcast(offsets), part)
+    return out.withColumn(name, F.col(ahead) + F.col(at).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).drop(*{part, ahead, at} - {name})

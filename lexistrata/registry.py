@@ -598,6 +598,13 @@ def connected_components(spark, d):
     return graph.components(e)
 
 
+@query(_components_sql("SELECT DISTINCT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem"))
+def connected_components_hooked(spark, d):
+    """The same by hooking alone, as on graphs of many edges."""
+    e = read(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
+    return graph.components(e, few=0)
+
+
 @query(_components_sql("SELECT DISTINCT o_orderkey * 2 AS a, o_custkey * 2 + 1 AS b FROM orders"))
 def connected_components_orders(spark, d):
     """Orders (even nodes) and customers (odd ones): a component for each customer."""
