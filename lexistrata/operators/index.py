@@ -59,11 +59,11 @@ def build(corpus: DataFrame, path: str) -> Index:
     tokens = index_tokens(F.col("speech"))
     kept = [k for k in KEYS if k in corpus.columns]
     rows = corpus.select("id", month_of(F.col("date")).alias("month"), *kept, tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
-    rows.write.mode("overwrite").parquet(f"{path}/forward")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/forward")
     kind = dict(rows.dtypes)["id"]
     postings = spark.read.schema(rows.schema).parquet(f"{path}/forward").select("id", "tokens").mapInArrow(_postings, f"token string, id {kind}, tf int, dl int, at array<int>")
     postings = postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id")
-    postings.write.mode("overwrite").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false").parquet(f"{path}/postings")
+    postings.write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false").parquet(f"{path}/postings")
     found = spark.read.schema(postings.schema).parquet(f"{path}/postings")
     found.groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("count")).write.mode("overwrite").parquet(f"{path}/vocabulary")
     return Index(spark, path)

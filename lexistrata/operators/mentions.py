@@ -190,7 +190,7 @@ class Scanner:
             if self.kin.search(before) or self.titled.search(before):
                 continue
             p = self.previous.search(text, a, m.start())
-            if p and re.search(r"(?:^|[.!?:;¿¡—–\n])[ \t\"«“(]*$", text[max(0, p.start() - 20) : p.start()]) and _BLANK.fullmatch(text, p.end(1), m.start()):
+            if p and re.search(r"(?:^|[.!?:;¿¡—–\n])[ \t\"«“(]*$", text[max(0, p.start() - 20) : p.start()]) and (gap := _BLANK.match(text, p.end(1))) and gap.end() == m.start():
                 p = None
             n = self.next.match(text, m.end())
             out.append({"at": m.start(), "word": _plain(m[1]), "before": _plain(p[1]) if p else None, "after": _plain(n[1]) if n else None})
