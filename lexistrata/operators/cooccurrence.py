@@ -94,7 +94,7 @@ def reading(corpus: DataFrame, weights: DataFrame, top: int = 25) -> DataFrame:
     """(theme, id, score, k): best speeches of each theme by BM25 with weights ln(1 + G2)."""
     rows = corpus.select("id", index_tokens(F.col("speech")).alias("tokens")).withColumn("dl", F.size("tokens"))
     mean = rows.agg(F.avg("dl").alias("avg"))
-    tf = rows.select("id", "dl", F.explode("tokens").alias("term")).join(F.broadcast(weights.select("theme", "term", "g2")), "term").groupBy("theme", "id", "dl", "term", "g2").agg(F.count("*").alias("tf"))
+    tf = rows.select("id", "dl", F.explode("tokens").alias("term")).join(weights.select("theme", "term", "g2"), "term").groupBy("theme", "id", "dl", "term", "g2").agg(F.count("*").alias("tf"))
     tf = tf.crossJoin(F.broadcast(mean))
     part = F.log1p("g2") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avg")))
     score = tf.groupBy("theme", "id").agg(F.sum(part).alias("score"))
@@ -125,7 +125,7 @@ def party_rates(corpus: DataFrame, terms: DataFrame, collection: DataFrame | Non
     rows = corpus if collection is None else corpus.join(collection.select("id"), "id", "left_semi")
     rows = rows.filter(F.col("party").isNotNull() & ~F.col("party").isin("", "?", "Sin identificar"))
     tokens = rows.select("party", F.explode(index_tokens(F.col("speech"))).alias("term"))
-    marked = tokens.join(F.broadcast(terms.select("term").distinct().withColumn("one", F.lit(1))), "term", "left")
+    marked = tokens.join(terms.select("term").distinct().withColumn("one", F.lit(1)), "term", "left")
     by = marked.groupBy("party").agg(F.count("one").alias("hits"), F.count("*").alias("words"))
     whole = by.agg(F.sum("hits").alias("all_hits"), F.sum("words").alias("all_words"))
     expected = F.col("all_hits") * F.col("words") / F.col("all_words")
@@ -136,9 +136,9 @@ def party_rates(corpus: DataFrame, terms: DataFrame, collection: DataFrame | Non
 
 def dominant_theme(corpus: DataFrame, members: DataFrame) -> DataFrame:
     """(id, theme): the theme of which a speech uses the largest share of terms: at least two, and no tie."""
-    tokens = corpus.select("id", F.explode(F.array_distinct(index_tokens(F.col("speech")))).alias("term")).join(F.broadcast(members.select("theme", "term")), "term")
+    tokens = corpus.select("id", F.explode(F.array_distinct(index_tokens(F.col("speech")))).alias("term")).join(members.select("theme", "term"), "term")
     size = members.groupBy("theme").agg(F.count("*").alias("size"))
-    used = tokens.groupBy("id", "theme").agg(F.count("*").alias("n")).join(F.broadcast(size), "theme").withColumn("share", F.col("n") / F.col("size"))
+    used = tokens.groupBy("id", "theme").agg(F.count("*").alias("n")).join(size, "theme").withColumn("share", F.col("n") / F.col("size"))
     top = used.withColumn("best", F.max("share").over(Window.partitionBy("id"))).filter("share = best")
     return top.groupBy("id").agg(F.count("*").alias("ties"), F.max("n").alias("n"), F.max("theme").alias("theme")).filter("ties = 1 AND n >= 2").select("id", "theme")
 

@@ -155,7 +155,7 @@ def survey(source: DataFrame) -> Plan:
     return plan
 
 
-_RECORD = "number long, line long, byte long, fields array<string>, block long, piece binary"
+_RECORD = "number long, line long, byte long, fields array<string>, block long, piece binary, head boolean"
 
 
 def _read(batches, plan: Plan) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,7 @@ def _read(batches, plan: Plan) -> Iterator[pa.RecordBatch]:
         for j, (fields, a, b, open_) in enumerate(records(raw, plan.quoted[block])):
             size = sum(sizes[a:b])
             head = plan.quoted[block] and j == 0
-            row = {"number": number, "line": line, "byte": at, "fields": None if open_ or head else fields, "block": block, "piece": b"".join(source.pieces[a:b]) if open_ or head else None}
+            row = {"number": number, "line": line, "byte": at, "fields": None if open_ or head else fields, "block": block, "piece": b"".join(source.pieces[a:b]) if open_ or head else None, "head": head}
             out.append(row)
             number += not open_
             at += size
@@ -189,7 +189,7 @@ def _joined(batches) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             raw = b"".join(p["piece"] for p in r["pieces"])
             fields, *_ = next(records([raw], False, True))
-            out.append({"number": r["number"], "line": r["line"], "byte": r["byte"], "fields": fields, "block": r["block"], "piece": None})
+            out.append({"number": r["number"], "line": r["line"], "byte": r["byte"], "fields": fields, "block": r["block"], "piece": None, "head": False})
         yield pa.RecordBatch.from_pylist(out, schema=_schema(_RECORD))
 
 
@@ -201,11 +201,10 @@ def read(source: DataFrame, plan: Plan) -> DataFrame:
     if not plan.owner and not plan.cut:
         return whole
     # a row for each range that begins inside quotes
-    owners = F.broadcast(spark.createDataFrame(list(plan.owner.items()) or [(-1, -1)], "block long, owner long"))
+    owners = spark.createDataFrame(list(plan.owner.items()) or [(-1, -1)], "block long, owner long")
     pieces = rows.filter("piece IS NOT NULL").join(owners, "block", "left")
     # the piece that a range ends with is its own; the one that it begins with, or is, belongs to the owner
-    head = F.col("owner").isNotNull() & (F.col("byte") == F.create_map(*(F.lit(x).cast("long") for k, v in plan.byte.items() for x in (k, v)))[F.col("block")])
-    pieces = pieces.withColumn("owner", F.when(head, F.col("owner")).otherwise(F.col("block")))
+    pieces = pieces.withColumn("owner", F.when(F.col("head"), F.col("owner")).otherwise(F.col("block")))
     grouped = pieces.groupBy("owner").agg(F.min(F.struct("byte", "line", "number")).alias("start"), F.array_sort(F.collect_list(F.struct("byte", "piece"))).alias("pieces"))
     joined = grouped.select("start.number", "start.line", "start.byte", F.col("owner").alias("block"), "pieces").mapInArrow(_joined, _RECORD)
     return whole.unionByName(joined.select("number", "line", "byte", "fields"))
