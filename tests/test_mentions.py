@@ -5,11 +5,14 @@ import re
 from collections import Counter, defaultdict
 from statistics import median_high
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from lexistrata import registry
 from lexistrata.functions.ranking import cut
 from lexistrata.operators import chair, mentions, persons
+from lexistrata.registry import GIVEN as GIVEN_TEXTS
 
 GIVEN = ["Ana", "Luis", "Pedro", "Inés", "Marta"]
 SURNAMES = ["Gómez", "Vidarte", "Calixto", "Beltrán", "Osorio", "Zabala"]
@@ -48,6 +51,28 @@ def test_lists_institutions_and_initials():
     assert mentions.scan("el ministro de la paz") == [{"at": 3, "form": "ministro", "office": "ministro", "institution": None, "name": None, "vocative": False, "end": 11}]
 
 
+def test_a_form_is_no_name():
+    assert mentions.scan("The The The The The ontion", GIVEN_TEXTS) == [] == mentions.scan("los les les les les Les", GIVEN_TEXTS)
+    assert [m["name"] for m in mentions.scan("The The The The The License", GIVEN_TEXTS)] == ["The License"]
+    assert mentions.scan("Señor Don Doctor Diputado Doctora habló.") == []
+
+
+def test_rows_of_forms_and_headings_match_sql(spark, tmp_path):
+    """The mention queries over texts in which forms stand in a row and lines are long, against their SQL."""
+    texts = [("The " * n + tail).replace("The ", "The" + mark) for n in range(1, 12) for tail in ("ontion", "MIT License", "And And", "License. Les Apache", "", "\nApache") for mark in (" ", ". ")]
+    # a heading is judged by its whole line, however long
+    texts += ["AB CD " * 2000 + "this is of the Apache. And so on with the ordinary small letters of a text. " * 8 + "AB CD " * 2000, "AB CD " * 90 + "small letters all the Way. " * 900 + "the MIT AND SO ON"]
+    texts += ["under the MIT License. " * 3, "MIT License les les Les LES Les", None]
+    docs = spark.createDataFrame([(i, t, "en", f"src{i % 3}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("mention_found", "mention_edges", "mention_contexts", "mention_rates", "mention_ego"):
+        got = registry.queries()[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and want, name
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["señor", "los", "señores", "Gómez", "De", "la", "de", "y", "e", ",", ".", "\n", "ministro", "(", ")", "J.", "Ruiz", "Sr."]), max_size=25))
 def test_spans_lie_in_order_without_overlap(words):
