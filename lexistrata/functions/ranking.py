@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +37,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again. Like ``cut``, but the new plan knows nothing of the old one, whose inferred constraints grow from step to step of a long loop."""
-    path = shared_folder(df.sparkSession, "step")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(*parts: DataFrame, codec: str = "snappy") -> DataFrame:
+    """Written to the shared folder, one part after another, and read again. Like ``cut``, but the new plan knows nothing of the old one, whose inferred constraints grow from step to step of a long loop."""
+    spark = parts[0].sparkSession
+    path = shared_folder(spark, "step")
+    for df in parts:
+        df.write.mode("append").option("compression", codec).parquet(path)
+    return spark.read.schema(parts[0].schema).parquet(path)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go when it ends, and not when the driver collects its plan. For queries whose result is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str, first: int = 0) -> DataFrame:

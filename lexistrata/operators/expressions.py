@@ -1,8 +1,10 @@
 """Multi-word expressions of two to seven tokens, counted exactly.
 
 Candidates start and end with content words and hold nothing but content words
-and connectors; they never cross punctuation. An n-gram explode and a shuffle
-with partial aggregation count them, whatever the size of the corpus.
+and connectors; they never cross punctuation. What is shuffled to count them is
+one row for each place where some start, by its first two tokens, and not one for
+each candidate. Passes over the first tokens share out these rows, and the
+shuffle files of a pass go when it ends.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import cut, written
+from ..functions.ranking import cut, shuffles_dropped, written
 from ..functions.stats import c_value, log_likelihood
 from ..functions.text import index_tokens, spans
 
@@ -57,31 +59,75 @@ def grams(rows: DataFrame, longest: int = 7) -> DataFrame:
     )
 
 
-def counted(found: DataFrame) -> DataFrame:
-    """(gram, f, docs) of candidates."""
-    per_doc = found.groupBy("gram", "id").agg(F.count("*").alias("f"))
-    return per_doc.groupBy("gram").agg(F.sum("f").alias("f"), F.count("*").alias("docs"))
+def windows(rows: DataFrame, longest: int = 7, passes: int = 1, one: int = 0) -> DataFrame:
+    """(id, pair, left, text, ends): the places of typed spans where candidates start.
+
+    ``pair`` has the first two tokens, ``text`` all up to the one after the longest
+    candidate, ``ends`` the lengths of the candidates. Of several passes, pass
+    ``one`` has the places whose first token falls to it.
+    """
+
+    def ours(i: Column) -> Column:
+        content = F.element_at("t", i) == 2
+        return content if passes == 1 else content & (F.pmod(F.hash(F.element_at("s", i)), F.lit(passes)) == one)
+
+    rows = rows.filter(F.size("s") >= 2)
+    starts = rows.select("id", "s", "t", F.explode(F.filter(F.sequence(F.lit(1), F.size("s") - 1), ours)).alias("i"))
+    stop = F.array_position(F.slice("t", F.col("i") + 1, longest - 1), 0).cast("int")
+    reach = F.least(F.when(stop == 0, longest).otherwise(stop), F.size("s") - F.col("i") + 1)
+    starts = starts.withColumn("reach", reach).filter("reach >= 2")
+    ends = F.array_join(F.filter(F.sequence(F.lit(2), F.col("reach")), lambda n: F.element_at("t", F.col("i") + n - 1) == 2), ",")
+    joined = lambda n: F.array_join(F.slice("s", F.col("i"), n), " ")
+    out = starts.select("id", joined(F.lit(2)).alias("pair"), F.when(F.col("i") > 1, F.element_at("s", F.col("i") - 1)).alias("left"), joined(F.col("reach") + 1).alias("text"), ends.alias("ends"))
+    return out.filter("ends <> ''")
+
+
+def _counted(starts: DataFrame, beside: bool) -> DataFrame:
+    """(gram, f, docs) of the candidates at ``windows``, with ``most`` if ``beside``: how often its commonest neighbour on one side stands there.
+
+    A candidate's first two tokens are those of its place, so all groups lie where the pair was sent to.
+    """
+    at = starts.repartition("pair").withColumn("n", F.explode(F.split("ends", ","))).withColumn("n", F.col("n").cast("int"))
+    found = at.select("pair", F.expr("substring_index(text, ' ', n)").alias("gram"), "id", "left", F.expr("nullif(split_part(text, ' ', n + 1), '')").alias("right"))
+    if not beside:
+        per_doc = found.groupBy("pair", "gram", "id").agg(F.count("*").alias("f"))
+        return per_doc.groupBy("pair", "gram").agg(F.sum("f").alias("f"), F.count("*").alias("docs")).drop("pair")
+    kinds = F.array(F.concat(F.lit("i"), F.coalesce(F.col("id").cast("string"), F.lit(""))), F.concat(F.lit("l"), F.col("left")), F.concat(F.lit("r"), F.col("right")))
+    each = found.select("pair", "gram", F.explode(kinds).alias("x")).filter("x IS NOT NULL").groupBy("pair", "gram", "x").agg(F.count("*").alias("c"))
+    own = F.startswith("x", F.lit("i"))
+    return each.groupBy("pair", "gram").agg(F.sum(F.when(own, F.col("c"))).alias("f"), F.count_if(own).alias("docs"), F.max(F.when(~own, F.col("c"))).alias("most")).drop("pair")
+
+
+def counts(rows: DataFrame, least: int, longest: int = 7, beside: bool = False, places: int = 2_000_000, most: int = 8) -> DataFrame:
+    """(gram, f, docs), and ``most`` if ``beside``, of the candidates of typed spans met ``least`` times.
+
+    Counted in a pass for each ``places`` content words, ``most`` passes at most, each
+    of which takes the candidates of its first tokens whole.
+    """
+    n = rows.agg(F.sum(F.size(F.filter("t", lambda t: t == 2)))).first()[0] or 0
+    passes = max(1, min(most, math.ceil(n / places)))
+    with shuffles_dropped(rows.sparkSession):
+        return written(*(_counted(windows(rows, longest, passes, k), beside).filter(F.col("f") >= least) for k in range(passes)))
+
+
+def frequent(corpus: DataFrame, least: int, longest: int = 7) -> DataFrame:
+    """(gram, f, docs) of the candidates of the speeches met ``least`` times."""
+    return counts(written(typed_spans(corpus), codec="zstd"), least, longest)
 
 
 def detect(corpus: DataFrame, least: int | None = None, least_docs: int = 3, extension: float = 0.8, g2_min: float = 10.83, longest: int = 7) -> DataFrame:
     """(form, n_tokens, freq, docs, independent, g2, c_value) of detected expressions.
 
     ``least`` defaults to the larger of 20 and a quarter of the millions of tokens.
-    Neighbours are counted for frequent candidates only.
     """
     if least is None:
         n = corpus.select(F.sum(F.size(index_tokens(F.col("speech")))).alias("n")).first().n or 0
         least = max(20, math.ceil(0.25 * n / 1e6))
     # texts are cut and folded once; all that follows reads the tokens
-    rows = written(typed_spans(corpus))
-    found = grams(rows, longest)
-    counts = cut(counted(found).filter(F.col("f") >= least))
-    kept = counts.filter(F.col("docs") >= least_docs)
+    rows = written(typed_spans(corpus), codec="zstd")
+    every = counts(rows, least, longest, beside=True)
     # a gram that mostly stands inside a longer one is dropped
-    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")), F.struct(F.lit("r").alias("side"), F.col("right").alias("word"))))
-    beside = found.join(kept.select("gram"), "gram", "left_semi").select("gram", sides.alias("n")).select("gram", "n.*").filter("word IS NOT NULL")
-    most = beside.groupBy("gram", "side", "word").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max("c").alias("most"))
-    kept = kept.join(most, "gram", "left").filter(F.coalesce("most", F.lit(0)) < extension * F.col("f")).select("gram", "f", "docs")
+    kept = every.filter((F.col("docs") >= least_docs) & (F.coalesce("most", F.lit(0)) < extension * F.col("f"))).select("gram", "f", "docs")
     # association between all but the last content word's part and the last word
     words = cut(rows.select(F.explode("s").alias("token")).groupBy("token").agg(F.count("*").alias("fp")))
     total = words.agg(F.coalesce(F.sum("fp"), F.lit(0)).alias("n"))
@@ -89,7 +135,7 @@ def detect(corpus: DataFrame, least: int | None = None, least_docs: int = 3, ext
     inner = F.reverse(F.slice("g", 1, F.size("g") - 1))
     head = F.size("g") - F.array_position(F.transform(inner, token_type), 2).cast("int")
     kept = kept.withColumn("last", F.element_at("g", -1)).withColumn("head", F.array_join(F.slice("g", 1, head), " "))
-    heads = counts.select(F.col("gram").alias("head"), F.col("f").alias("fh")).unionByName(words.select(F.col("token").alias("head"), F.col("fp").alias("fh")))
+    heads = every.select(F.col("gram").alias("head"), F.col("f").alias("fh")).unionByName(words.select(F.col("token").alias("head"), F.col("fp").alias("fh")))
     kept = kept.join(words.withColumnRenamed("token", "last"), "last").join(heads, "head").crossJoin(F.broadcast(total))  # one row
     g2 = log_likelihood(F.col("f"), F.col("fp") - F.col("f"), F.col("fh"), F.col("n") - F.col("fh"))
     kept = cut(kept.withColumn("g2", g2).filter(F.col("g2") >= g2_min).select("gram", "g", "f", "docs", "g2"))

@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -277,6 +278,27 @@ def test_expressions_found(spark):
     assert "ley de aguas" not in {r.form for r in listed}
 
 
+def test_expressions_counted_in_passes(spark):
+    """All candidates in several passes as by an explode of each, from fewer shuffled rows."""
+    rnd = random.Random(3)
+    words = ["mesa", "luz", "agua", "ley", "cambio", "de", "la", "del", "x1", "10"]
+    rows = [(i // 2, 1, ". ".join(" ".join(rnd.choice(words) for _ in range(rnd.randrange(12))) for _ in range(4))) for i in range(120)]
+    spans = expressions.typed_spans(spark.createDataFrame(rows, "id long, dm_speech int, speech string")).cache()
+    found = expressions.grams(spans).collect()
+    f, docs, sides = Counter(r.gram for r in found), Counter(g for g, _ in {(r.gram, r.id) for r in found}), Counter()
+    for r in found:
+        sides.update((r.gram, side, w) for side, w in (("l", r.left), ("r", r.right)) if w)
+    most = {}
+    for (g, _, _), n in sides.items():
+        most[g] = max(n, most.get(g, 0))
+    for places in (50, 10**6):
+        got = expressions.counts(spans, 3, beside=True, places=places).collect()
+        assert {r.gram: (r.f, r.docs, r.most) for r in got} == {g: (n, docs[g], most.get(g)) for g, n in f.items() if n >= 3} and len(got) > 50
+        assert {r.gram: (r.f, r.docs) for r in expressions.counts(spans, 3, places=places).collect()} == {g: (n, docs[g]) for g, n in f.items() if n >= 3}
+    assert expressions.windows(spans).count() < 0.6 * len(found)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_saved_expressions(spark, tmp_path):
     table = spark.createDataFrame([("ley de aguas", 3)], "form string, freq int")
     expressions.save(table, str(tmp_path / "e"), "abc")
