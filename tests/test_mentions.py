@@ -227,6 +227,13 @@ def test_loose_surnames_match_plain(spark, seed):
     assert every.filter("loose").count() == len(want) and every.filter("NOT loose").count() == sure.count()
 
 
+def test_party_words_without_the_chair(spark):
+    labels = ["La señora PRESIDENTA", "El señor VICEPRESIDENTE", "El Presidente de edad", "Sra. PAZ", "Sr. MINISTRO DE HACIENDA", None]
+    rows = [(p, label, 10**k) for p in ("A", "B") for k, label in enumerate(labels)]
+    got = mentions.party_words(spark.createDataFrame(rows, "party string, speaker string, nwords int")).collect()
+    assert sorted(map(tuple, got)) == [("A", 111_000), ("B", 111_000)]
+
+
 def test_mentions_of_nothing(spark):
     c = spark.createDataFrame([(1, None, 1, 1, None, None, None, None, None, 0, None), (2, "2010-01-01", 1, 2, "I", 1, "Ana Paz", "A", "x", 0, "")], FORMS)
     assert persons.all_mentions(c).collect() == [] and persons.all_mentions(c.filter("id < 0")).collect() == []
