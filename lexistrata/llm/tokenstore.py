@@ -14,6 +14,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,6 +61,97 @@ class _Words(dict):
         return ids
 
 
+class _WordColumns:
+    """Ids by word for columns of distinct words: new ones are encoded together.
+
+    A table that is over its bound keeps the half met last.
+    """
+
+    #: new words that the library gets in one call
+    at_once = 10_000
+
+    def __init__(self, library, letters: dict, most: int):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+        self.most, self.letters = most, letters
+        # the library's model over words with a letter between them whose byte, 0xff, is in no UTF-8
+        self.joined = Tokenizer(library.model)
+        self.joined.pre_tokenizer = CharDelimiterSplit(chr(letters[255]))
+        self.words = self.ids = pa.array([], pa.large_binary())
+        self.met = np.zeros(0, np.int64)
+        self.calls = 0
+
+    def _encode(self, words: pa.Array) -> pa.Array:
+        counts, blobs = [], []
+        for a in range(0, len(words), self.at_once):
+            some = words.slice(a, self.at_once)
+            text = b"\xff".join(some.to_pylist()).decode("latin-1").translate(self.letters)
+            found = self.joined.encode(text, add_special_tokens=False)
+            blobs.append(np.array(found.ids, "<u4"))
+            counts.append(np.bincount(found.word_ids, minlength=len(some)))
+        return _binary(4 * np.concatenate(counts), np.concatenate(blobs))
+
+    def __call__(self, words: pa.Array) -> pa.Array:
+        at = pc.index_in(words, value_set=self.words)
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = np.arange(len(self.words), len(self.words) + len(new))
+            fresh = words.take(pa.array(new))
+            self.words, self.ids = pa.concat_arrays([self.words, fresh]), pa.concat_arrays([self.ids, self._encode(fresh)])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.calls += 1
+        self.met[at] = self.calls
+        out = self.ids.take(pa.array(at))
+        if len(self.met) > self.most:
+            keep = np.argsort(self.met, kind="stable")[-max(1, self.most // 2) :]
+            self.words, self.ids, self.met = self.words.take(pa.array(keep)), self.ids.take(pa.array(keep)), self.met[keep]
+        return out
+
+
+def _binary(sizes: np.ndarray, data) -> pa.Array:
+    """Column of byte strings of these sizes that lie one behind the other in the data."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype("<i8")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+#: Kinds of bytes: letters (and what is not ASCII), digits, white space, others.
+_LETTER, _DIGIT, _SPACE, _OTHER = range(4)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_KINDS[48:58] = _DIGIT
+_KINDS[[9, 10, 11, 12, 13, 32]] = _SPACE
+
+
+def cuts(raw: bytes, starts: np.ndarray) -> np.ndarray:
+    """Where words begin in texts one behind the other that begin at ``starts``, as the pattern of ``Tokens`` cuts each."""
+    x = np.frombuffer(raw, np.uint8)
+    n = len(x)
+    kind = _KINDS[x]
+    begins = np.ones(n + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:n])
+    first = np.zeros(n + 1, bool)
+    first[starts] = first[n] = True
+    begins |= first
+    runs = np.flatnonzero(begins)
+    # white space before something leaves its last character, and a blank goes to what follows
+    after = runs[1:-1]
+    after = after[(kind[after - 1] == _SPACE) & ~first[after]]
+    begins[after - 1] = True
+    begins[after[x[after - 1] == 32]] = False
+    # a lone apostrophe takes one of these endings; with a blank before it, it begins no word
+    quotes = np.flatnonzero((x == 39) & begins[:n])
+    inside = ~first[quotes + 1]
+    one, two = x[np.minimum(quotes + 1, n - 1)], x[np.minimum(quotes + 2, n - 1)] * ~first[np.minimum(quotes + 2, n)]
+    short = inside & np.isin(one, list(b"stmd"))
+    long = inside & (((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108))
+    begins[quotes[short | long] + 1] = False
+    begins[quotes[short] + 2] = True
+    begins[quotes[long] + 3] = True
+    return np.flatnonzero(begins[:n])
+
+
 class Tokens:
     """Ids by the tokenizers library, with a bounded table of words met before.
 
@@ -75,6 +167,7 @@ class Tokens:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pieces = self.library.pre_tokenizer.pre_tokenize_str
         self.words = _Words(self.library, most)
+        self.columns = _WordColumns(self.library, self.words.letters, most)
         self.other = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]").search
         self.find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+").findall
 
@@ -85,6 +178,30 @@ class Tokens:
         words = [text[a:b] for _, (a, b) in self.pieces(text)] if self.other(text) else self.find(text)
         return b"".join(map(self.words.__getitem__, words))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The same for each of some texts, with every distinct word of theirs looked up once."""
+        out: list[bytes] = [b""] * len(texts)
+        plain, parts = [], []
+        for k, text in enumerate(texts):
+            if self.other(text) or any(s in text for s in self.special):
+                out[k] = self.encode(text)
+            elif text:
+                plain.append(k)
+                parts.append(text.encode())
+        if not plain:
+            return out
+        raw = b"".join(parts)
+        starts = np.cumsum([0, *map(len, parts[:-1])])
+        begins = cuts(raw, starts)
+        words = _binary(np.diff(begins, append=len(raw)), raw).dictionary_encode()
+        # the ids of all words lie one behind the other in the column's buffer
+        _, at, data = self.columns(words.dictionary).take(words.indices).buffers()
+        at = np.frombuffer(at, "<i8")[np.searchsorted(begins, [*starts, len(raw)])].tolist()
+        view = memoryview(data)
+        for k, a, b in zip(plain, at, at[1:], strict=False):
+            out[k] = view[a:b].tobytes()
+        return out
+
 
 def tokens(path: str) -> Tokens:
     """The tokenizer of this process for a file."""
@@ -112,7 +229,7 @@ def write_store(docs: DataFrame, tokenizer: str, settings: Settings = Settings()
         import uuid
 
         fs, root = file_system(folder)
-        encode = tokens(tokenizer).encode
+        encode = tokens(tokenizer).encode_all
         ids: list = []
         blobs: list[bytes] = []
         held = number = part = 0
@@ -135,9 +252,9 @@ def write_store(docs: DataFrame, tokenizer: str, settings: Settings = Settings()
         schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("size", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
         for batch in batches:
             part = batch.column("part")[0].as_py() if batch.num_rows else part
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, blob in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
                 ids.append(doc)
-                blobs.append(encode(text) + end)
+                blobs.append(blob + end)
                 held += len(blobs[-1]) // 4
                 if held >= settings.shard_tokens:
                     yield close()

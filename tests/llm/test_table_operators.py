@@ -16,6 +16,7 @@ from lexistrata.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "¿Qué? 日本語 😀 <|endoftext|> !"), (5, "word " * 5_000), (6, "x" * 20_000), (7, "same text here"), (7, "same text here"), (7, "other text"), (None, "no id"), (None, None), (9, "same text here")]
+_SHARED: dict = {}
 EXTRA = "n_tokens int, fingerprint string, component_id string, part int, start string"
 
 
@@ -74,6 +75,36 @@ def test_token_store_round_trip(docs, empty):
     assert tokenstore.store_tokens(empty, tokenizer_path()).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n\t\r'''stremvldSa1é!-ß"), max_size=25) | st.sampled_from(["x\x1cy z", "\x85 a\xa0b", "5×3 日本 's", "a <|endoftext|> b's", "we'll", "'re've", "can't", "n' s", "  's"]), max_size=6))
+def test_texts_together_are_the_library_s(texts):
+    from tokenizers import Tokenizer
+
+    if "library" not in _SHARED:
+        _SHARED.update(library=Tokenizer.from_file(tokenizer_path()), tokens=tokenstore.Tokens(tokenizer_path(), 20))
+    t = _SHARED["tokens"]
+    assert t.encode_all(texts) == [np.array(_SHARED["library"].encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    plain = [x for x in texts if x and not t.other(x)]
+    if plain:
+        raw = [x.encode() for x in plain]
+        begins = tokenstore.cuts(b"".join(raw), np.cumsum([0, *map(len, raw[:-1])])).tolist()
+        words = [w.encode() for x in plain for w in t.find(x)]
+        assert begins == np.cumsum([0, *map(len, words[:-1])]).tolist()
+
+
+def test_texts_together_encode_each_word_once():
+    t = tokenstore.Tokens(tokenizer_path(), 10)
+    texts = [" ".join(f"wörd{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)) + " "] * 30
+    asked = []
+    t.columns._encode = lambda words, plain=t.columns._encode: asked.extend(words.to_pylist()) or plain(words)
+    t.words.tokenize = lambda word, plain=t.words.tokenize: asked.append(word) or plain(word)
+    want = [np.array(t.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert t.encode_all(texts) == want
+    assert len(asked) == 61  # 60 words and the blank at the end
+    assert len(t.columns.words) == len(t.columns.ids) == len(t.columns.met) == 5
+    assert t.encode_all(texts[:1]) == want[:1] and len(asked) == 61 + 56
+
+
 # --- packing
 
 
