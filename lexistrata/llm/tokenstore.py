@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 from struct import pack
 
 import numpy as np
@@ -167,10 +168,14 @@ class Tokens:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pieces = self.library.pre_tokenizer.pre_tokenize_str
         self.words = _Words(self.library, most)
-        self.columns = _WordColumns(self.library, self.words.letters, most)
+        self.most = most
         self.other = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]").search
         self.find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+").findall
 
+    @cached_property
+    def columns(self) -> _WordColumns:
+        return _WordColumns(self.library, self.words.letters, self.most)
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text."""
         if any(s in text for s in self.special):
