@@ -93,9 +93,9 @@ def encoded(text: Column, tokenizer: str, settings: Settings = Settings()) -> Co
 
     @F.arrow_udf("struct<n_tokens:bigint,ids:binary>")
     def run(texts: pa.Array) -> pa.Array:
-        encode, kind = tokens(tokenizer).encode, _width(tokenizer)
+        encode, kind = tokens(tokenizer).encode_all, _width(tokenizer)
         end = np.array([settings.end_id], kind).tobytes()
-        ids = [np.frombuffer(encode(x or ""), "<u4").astype(kind).tobytes() + end for x in texts.to_pylist()]
+        ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in encode([x or "" for x in texts.to_pylist()])]
         return pa.StructArray.from_arrays([pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["n_tokens", "ids"])
 
     return run(text)

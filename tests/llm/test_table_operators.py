@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -163,6 +164,21 @@ def test_packing_keeps_every_document_within_the_budget(docs, empty):
     assert packing.boundaries([], 3) == []
 
 
+def test_packing_encodes_each_word_of_a_batch_once(monkeypatch):
+    t = tokenstore.Tokens(tokenizer_path(), 10)
+    monkeypatch.setitem(tokenstore._TOKENIZERS, tokenizer_path(), t)
+    monkeypatch.setattr(packing.F, "arrow_udf", lambda kind: lambda run: run)
+    asked = []
+    t.columns._encode = lambda words, plain=t.columns._encode: asked.extend(words.to_pylist()) or plain(words)
+    t.words.tokenize = lambda word, plain=t.words.tokenize: asked.append(word) or plain(word)
+    texts = [None, "", *[" ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))] * 30, "", None]
+    want = [[*t.library.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
+    got = packing.encoded(pa.array(texts), tokenizer_path()).to_pylist()
+    assert [np.frombuffer(r["ids"], "<u2").tolist() for r in got] == want
+    assert [r["n_tokens"] for r in got] == list(map(len, want))
+    assert len(asked) == 60
+
+
 # --- near-duplicates
 
 
