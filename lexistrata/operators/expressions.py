@@ -1,10 +1,7 @@
 """Multi-word expressions of two to seven tokens, counted exactly.
 
 Candidates start and end with content words and hold nothing but content words
-and connectors; they never cross punctuation. What is shuffled to count them is
-one row for each place where some start, by its first two tokens, and not one for
-each candidate. Passes over the first tokens share out these rows, and the
-shuffle files of a pass go when it ends.
+and connectors; they never cross punctuation. ``phrases`` counts them.
 """
 
 from __future__ import annotations
@@ -16,14 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import cut, shuffles_dropped, written
+from ..functions.ranking import cut
 from ..functions.stats import c_value, log_likelihood
-from ..functions.text import index_tokens, spans
-
-#: Words that join the parts of an expression.
-CONNECTORS = ("a", "al", "and", "con", "da", "das", "de", "del", "do", "dos", "e", "el", "en", "for", "in", "la", "las", "los", "of", "para", "por", "que", "the", "to", "y")
-#: Number words that never are content.
-NUMBERS = ("uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez", "cien", "mil", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
+from ..functions.text import index_tokens, spans, tokens_and_cuts
+from . import phrases
+from .phrases import CONNECTORS, NUMBERS
 
 
 def token_type(t: Column) -> Column:
@@ -82,37 +76,24 @@ def windows(rows: DataFrame, longest: int = 7, passes: int = 1, one: int = 0) ->
     return out.filter("ends <> ''")
 
 
-def _counted(starts: DataFrame, beside: bool) -> DataFrame:
-    """(gram, f, docs) of the candidates at ``windows``, with ``most`` if ``beside``: how often its commonest neighbour on one side stands there.
+def speech_shards(corpus: DataFrame) -> DataFrame:
+    """The spans of the speeches as shards of ``phrases``."""
+    return phrases.shards(corpus.filter("dm_speech = 1").select("id", tokens_and_cuts(F.col("speech")).alias("s")))
 
-    A candidate's first two tokens are those of its place, so all groups lie where the pair was sent to.
-    """
-    at = starts.repartition("pair").withColumn("n", F.explode(F.split("ends", ","))).withColumn("n", F.col("n").cast("int"))
-    found = at.select("pair", F.expr("substring_index(text, ' ', n)").alias("gram"), "id", "left", F.expr("nullif(split_part(text, ' ', n + 1), '')").alias("right"))
-    if not beside:
-        per_doc = found.groupBy("pair", "gram", "id").agg(F.count("*").alias("f"))
-        return per_doc.groupBy("pair", "gram").agg(F.sum("f").alias("f"), F.count("*").alias("docs")).drop("pair")
-    kinds = F.array(F.concat(F.lit("i"), F.coalesce(F.col("id").cast("string"), F.lit(""))), F.concat(F.lit("l"), F.col("left")), F.concat(F.lit("r"), F.col("right")))
-    each = found.select("pair", "gram", F.explode(kinds).alias("x")).filter("x IS NOT NULL").groupBy("pair", "gram", "x").agg(F.count("*").alias("c"))
-    own = F.startswith("x", F.lit("i"))
-    return each.groupBy("pair", "gram").agg(F.sum(F.when(own, F.col("c"))).alias("f"), F.count_if(own).alias("docs"), F.max(F.when(~own, F.col("c"))).alias("most")).drop("pair")
-
-
-def counts(rows: DataFrame, least: int, longest: int = 7, beside: bool = False, places: int = 2_000_000, most: int = 8) -> DataFrame:
-    """(gram, f, docs), and ``most`` if ``beside``, of the candidates of typed spans met ``least`` times.
-
-    Counted in a pass for each ``places`` content words, ``most`` passes at most, each
-    of which takes the candidates of its first tokens whole.
-    """
-    n = rows.agg(F.sum(F.size(F.filter("t", lambda t: t == 2)))).first()[0] or 0
-    passes = max(1, min(most, math.ceil(n / places)))
-    with shuffles_dropped(rows.sparkSession):
-        return written(*(_counted(windows(rows, longest, passes, k), beside).filter(F.col("f") >= least) for k in range(passes)))
+
+def counts(rows: DataFrame, least: int, longest: int = 7, beside: bool = False, places: int = 1 << 20) -> DataFrame:
+    """(gram, f, docs), and ``most`` if ``beside``, of the candidates of typed spans met ``least`` times."""
+    return _counts(phrases.shards(rows), least, longest, beside, places)
+
+
+def _counts(held: DataFrame, least: int, longest: int, beside: bool = False, places: int = 1 << 20) -> DataFrame:
+    words, salt = phrases.vocabulary(held)
+    return phrases.named(phrases.count(held, salt, least, longest, beside, places).select("gram", "f", "docs", *["most"] * beside), words)
 
 
 def frequent(corpus: DataFrame, least: int, longest: int = 7) -> DataFrame:
     """(gram, f, docs) of the candidates of the speeches met ``least`` times."""
-    return counts(written(typed_spans(corpus), codec="zstd"), least, longest)
+    return _counts(speech_shards(corpus), least, longest)
 
 
 def detect(corpus: DataFrame, least: int | None = None, least_docs: int = 3, extension: float = 0.8, g2_min: float = 10.83, longest: int = 7) -> DataFrame:
@@ -123,29 +104,27 @@ def detect(corpus: DataFrame, least: int | None = None, least_docs: int = 3, ext
     if least is None:
         n = corpus.select(F.sum(F.size(index_tokens(F.col("speech")))).alias("n")).first().n or 0
         least = max(20, math.ceil(0.25 * n / 1e6))
-    # texts are cut and folded once; all that follows reads the tokens
-    rows = written(typed_spans(corpus), codec="zstd")
-    every = counts(rows, least, longest, beside=True)
+    # texts are cut and folded once; all that follows reads the shards, and knows tokens by their hashes
+    held = speech_shards(corpus)
+    words, salt = phrases.vocabulary(held)
+    every = phrases.count(held, salt, least, longest, beside=True)
     # a gram that mostly stands inside a longer one is dropped
-    kept = every.filter((F.col("docs") >= least_docs) & (F.coalesce("most", F.lit(0)) < extension * F.col("f"))).select("gram", "f", "docs")
+    kept = every.filter((F.col("docs") >= least_docs) & (F.coalesce("most", F.lit(0)) < extension * F.col("f")))
     # association between all but the last content word's part and the last word
-    words = cut(rows.select(F.explode("s").alias("token")).groupBy("token").agg(F.count("*").alias("fp")))
     total = words.agg(F.coalesce(F.sum("fp"), F.lit(0)).alias("n"))
-    kept = kept.withColumn("g", F.split("gram", " "))
-    inner = F.reverse(F.slice("g", 1, F.size("g") - 1))
-    head = F.size("g") - F.array_position(F.transform(inner, token_type), 2).cast("int")
-    kept = kept.withColumn("last", F.element_at("g", -1)).withColumn("head", F.array_join(F.slice("g", 1, head), " "))
-    heads = every.select(F.col("gram").alias("head"), F.col("f").alias("fh")).unionByName(words.select(F.col("token").alias("head"), F.col("fp").alias("fh")))
-    kept = kept.join(words.withColumnRenamed("token", "last"), "last").join(heads, "head").crossJoin(F.broadcast(total))  # one row
+    kept = kept.select("gram", "f", "docs", F.element_at("gram", -1).alias("last"), F.slice("gram", F.lit(1), F.col("head")).alias("head"))
+    heads = every.select(F.col("gram").alias("head"), F.col("f").alias("fh")).unionByName(words.select(F.array("h").alias("head"), F.col("fp").alias("fh")))
+    kept = kept.join(words.select(F.col("h").alias("last"), "fp"), "last").join(heads, "head").crossJoin(F.broadcast(total))  # one row
     g2 = log_likelihood(F.col("f"), F.col("fp") - F.col("f"), F.col("fh"), F.col("n") - F.col("fh"))
-    kept = cut(kept.withColumn("g2", g2).filter(F.col("g2") >= g2_min).select("gram", "g", "f", "docs", "g2"))
+    kept = cut(kept.withColumn("g2", g2).filter(F.col("g2") >= g2_min).select("gram", "f", "docs", "g2"))
     # containers: longer kept grams that hold a gram
-    subs = F.flatten(F.transform(F.sequence(F.lit(2), F.size("g") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.size("g") - n + 1), lambda i: F.array_join(F.slice("g", i, n), " "))))
-    inside = kept.filter(F.size("g") > 2).select(F.col("f").alias("cf"), F.explode(F.array_distinct(subs)).alias("gram"))
+    subs = F.flatten(F.transform(F.sequence(F.lit(2), F.size("gram") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.size("gram") - n + 1), lambda i: F.slice("gram", i, n))))
+    inside = kept.filter(F.size("gram") > 2).select(F.col("f").alias("cf"), F.explode(F.array_distinct(subs)).alias("gram"))
     around = inside.groupBy("gram").agg(F.max("cf").alias("most"), F.avg("cf").alias("mean"))
     out = kept.join(around, "gram", "left").withColumn("independent", F.col("f") - F.coalesce("most", F.lit(0))).filter(F.col("independent") >= least)
-    value = c_value(F.size("g"), F.col("f"), F.col("mean"))
-    return out.select(F.col("gram").alias("form"), F.size("g").alias("n_tokens"), F.col("f").alias("freq"), "docs", "independent", "g2", value.alias("c_value"))
+    value = c_value(F.size("gram"), F.col("f"), F.col("mean"))
+    out = phrases.named(out.select("gram", F.size("gram").alias("n_tokens"), F.col("f").alias("freq"), "docs", "independent", "g2", value.alias("c_value")), words)
+    return out.withColumnRenamed("gram", "form")
 
 
 def listing(table: DataFrame, rejected: DataFrame | None = None, needle: str = "", order: str = "frequency") -> DataFrame:

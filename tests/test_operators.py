@@ -4,12 +4,13 @@ import json
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from lexistrata import registry
 from lexistrata.functions import text
-from lexistrata.operators import document, expressions, graph, index, library, mentions, replies, search, sessions, speakers, temporal, trend, views
+from lexistrata.operators import document, expressions, graph, index, library, mentions, phrases, replies, search, sessions, speakers, temporal, trend, views
 from lexistrata.plans.query import QueryError, fold_text, parse
 from lexistrata.schema import CORPUS, CSV_COLUMNS, corpus
 from lexistrata.sources import corpus_csv, exports
@@ -299,6 +300,31 @@ def test_expressions_counted_in_passes(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_expressions_by_shards(spark):
+    """Small shards and many buckets, marks, wide gaps and final sigmas as by the plain spans; places over rare pairs aren't sent."""
+    rnd = random.Random(5)
+    words = ["mesa", "luz", "Ágúa", "a\u0301rea", "ΛΌΓΟΣ", "İstanbul", "cambio", "de", "la", "\u0301", "x1", "10", "under", "ley"]
+    made = lambda k: rnd.choice([" ", ", ", "      ", " \u0301 "]).join(" ".join([*rnd.choices(words, k=rnd.randrange(9)), f"rara{k}", rnd.choice(words)]) for _ in range(4))
+    c = spark.createDataFrame([(i // 2, int(i % 7 > 0), None if i % 31 == 0 else made(i)) for i in range(200)] + [(900, 1, "")], "id long, dm_speech int, speech string")
+    found = expressions.candidates(c).collect()
+    f, docs = Counter(r.gram for r in found), Counter(g for g, _ in {(r.gram, r.id) for r in found})
+    want = {g: (n, docs[g]) for g, n in f.items() if n >= 4}
+    assert {r.gram: (r.f, r.docs) for r in expressions.frequent(c, 4).collect()} == want and max(g.count(" ") for g in want) > 1
+    rows = c.filter("dm_speech = 1").select("id", text.tokens_and_cuts(F.col("speech")).alias("s"))
+    for positions, places in ((30, 20), (10**6, 10**6)):
+        held = phrases.shards(rows, positions)
+        vocabulary, salt = phrases.vocabulary(held)
+        got = phrases.named(phrases.count(held, salt, 4, places=places).select("gram", "f", "docs"), vocabulary).collect()
+        assert {r.gram: (r.f, r.docs) for r in got} == want
+        assert (held.count() > 20) == (positions == 30)
+    assert {r.token: r.fp for r in vocabulary.collect()} == Counter(t for r in expressions.typed_spans(c).collect() for t in r.s)
+    assert expressions.frequent(c.limit(0), 4).count() == 0 and expressions.detect(c.limit(0), least=4).count() == 0
+    # of a rare word's pairs none is frequent, so its places stay at home
+    h, t, on = (np.array(x) for x in ([1, 2, 3, 9, 1, 2, 0], [2, 2, 2, 2, 2, 1, 0], [1, 1, 0, 0, 1, 0, 0]))
+    at, reach = phrases._places(h, t, on.astype(bool), 7)
+    assert at.tolist() == [0, 1] and reach.tolist() == [3, 2]
+
+
 def test_saved_expressions(spark, tmp_path):
     table = spark.createDataFrame([("ley de aguas", 3)], "form string, freq int")
     expressions.save(table, str(tmp_path / "e"), "abc")
